@@ -100,7 +100,7 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, C: float = 1.0,
     n_train = n_train or df.count()
     est = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
                              regParam=1.0 / (C * n_train), elasticNetParam=0.0,
-                             standardization=False, family="binomial", tol=1e-8)
+                             standardization=False, family="binomial", tol=1e-6)
     return _fit("logistic_regression", df, features, label, est, {"C": C, "max_iter": max_iter})
 
 
@@ -184,14 +184,18 @@ class LeafMedianForest:
     def features(self) -> list[str]:
         return self.forest.features
 
-    def transform(self, df: DataFrame, id_col: str) -> DataFrame:
+    def transform(self, df: DataFrame, id_cols) -> DataFrame:
+        """Average over trees of each row's leaf median: rows × trees leaf ids are joined
+        to the (tree, leaf) table — broadcast under a checked size — then re-aggregated
+        per row id."""
+        ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
         scored = self.forest.transform(df)
         if self.leaf_values is None:
             return scored
-        exploded = scored.select(id_col, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+        exploded = scored.select(*ids, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
         joined = exploded.join(self.leaf_values, ["tree", "leaf"], "inner")
-        pred = joined.groupBy(id_col).agg(F.avg("value").alias("_median_prediction"))
-        return (scored.join(pred, id_col, "left")
+        pred = joined.groupBy(*ids).agg(F.avg("value").alias("_median_prediction"))
+        return (scored.join(pred, ids, "left")
                 .withColumn("prediction", F.col("_median_prediction")).drop("_median_prediction"))
 
 

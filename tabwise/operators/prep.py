@@ -16,7 +16,7 @@ from pyspark.sql.types import NumericType
 
 from tabwise.errors import PipelineError
 from tabwise.functions.columns import dummy_name
-from tabwise.operators.quantiles import exact_quantiles, mode_row
+from tabwise.operators.quantiles import exact_quantiles, modes
 
 MAX_CATEGORIES = 10_000
 
@@ -35,8 +35,9 @@ def fit_impute(df: DataFrame, mode_cols: list[str] = (), median_cols: list[str]
     the split; pass only training rows for a leakage-free variant).
     """
     stats = ImputeStats()
+    found = modes(df, list(mode_cols)) if mode_cols else {}
     for c in mode_cols:
-        m = mode_row(df, c)
+        m = found[c]
         if m is None:
             raise PipelineError(f"Cannot calculate a mode for `{c}`.")
         stats.values[c], stats.kinds[c] = m[0], "mode"
@@ -87,6 +88,8 @@ def fit_one_hot(df: DataFrame, columns: list[str], max_categories: int = MAX_CAT
     checked first with ``approx_count_distinct`` so an id-like column errors out
     instead of flooding the driver.
     """
+    if not columns:
+        return OneHotModel({})
     approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     wide = [c for c in columns if approx[c] > max_categories * 1.1]
     if wide:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
 from tabwise.functions.columns import is_missing
-from tabwise.operators.quantiles import exact_quantiles, mode_row
+from tabwise.operators.quantiles import exact_quantiles, modes
 from tabwise.operators.ranking import hash_key
 
 
@@ -77,8 +77,9 @@ def describe_strings(df: DataFrame, columns: list[str]) -> DataFrame:
     row = df.agg(*[F.count(c).alias(f"n_{c}") for c in columns],
                  *[F.count_distinct(c).alias(f"u_{c}") for c in columns]).first()
     rows = []
+    tops = modes(df, columns)
     for c in columns:
-        top = mode_row(df, c)
+        top = tops[c]
         rows.append((c, int(row[f"n_{c}"]), int(row[f"u_{c}"]),
                      None if top is None else str(top[0]), None if top is None else top[1]))
     return df.sparkSession.createDataFrame(

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 DEFAULT_BUCKETS = 4096
 
@@ -139,6 +140,42 @@ def value_frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
 
 
+def modes(df: DataFrame, columns: list[str]) -> dict:
+    """Mode of several columns in ONE job: ``{column: (value, count)}`` (None if all NULL).
+
+    Values of every column are stacked as (column, numeric value, text value),
+    counted per distinct value with map-side combine, then ``min_by`` picks the
+    value with the largest count (ties → smallest value, numerically for numeric
+    columns).  ``min_by`` keeps one running candidate per column, so a
+    high-cardinality column never builds a map in one task.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    entries = []
+    for c in columns:
+        numeric = isinstance(types[c], NumericType)
+        entries.append(F.struct(F.lit(c).alias("k"),
+                                (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
+                                F.col(c).cast("string").alias("txt")))
+    stacked = df.select(F.explode(F.array(*entries)).alias("s")).select("s.*").where(F.col("txt").isNotNull())
+    counts = stacked.groupBy("k", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("k").agg(F.min_by(F.struct("num", "txt", "n"),
+                                            F.struct((-F.col("n")).alias("neg"), "num", "txt")).alias("b"))
+    found = {r["k"]: r["b"] for r in best.collect()}
+    out = {}
+    for c in columns:
+        b = found.get(c)
+        if b is None:
+            out[c] = None
+            continue
+        t = types[c]
+        if isinstance(t, NumericType):
+            value = int(b["num"]) if t.typeName() in ("integer", "long", "short", "byte") else b["num"]
+        else:
+            value = b["txt"]
+        out[c] = (value, int(b["n"]))
+    return out
+
+
 def mode_row(df: DataFrame, column: str):
     """Most frequent non-null value; ties go to the smallest value.
 

@@ -20,7 +20,7 @@ from tabwise.operators import metrics as ME
 from tabwise.operators import prep as PR
 from tabwise.operators import profile as PF
 from tabwise.operators import split as SP
-from tabwise.operators.quantiles import exact_quantiles, mode_row
+from tabwise.operators.quantiles import exact_quantiles, modes
 from tabwise.plans import tables as T
 from tabwise.sources.tables import TABLE_NAMES, catalog_counts, read_table
 
@@ -172,8 +172,9 @@ def q_central_tendency(spark, sf_dir):
     og = T.orders_with_gaps(spark, sf_dir)
     mean = og.agg(F.avg("o_totalprice")).first()[0]
     med = exact_quantiles(og, ["o_totalprice", "o_custkey"], [0.5])
+    mo = modes(og, ["o_orderpriority", "o_orderstatus"])
     row = (round(mean, 4), round(med["o_totalprice"][0], 4), round(med["o_custkey"][0], 4),
-           mode_row(og, "o_orderpriority")[0], mode_row(og, "o_orderstatus")[0])
+           mo["o_orderpriority"][0], mo["o_orderstatus"][0])
     return spark.createDataFrame([row], "mean_totalprice double, median_totalprice double, "
                                         "median_custkey double, mode_priority string, mode_status string")
 
