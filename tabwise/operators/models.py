@@ -39,6 +39,9 @@ from tabwise.errors import PipelineError
 from tabwise.session import materialize
 
 MAX_DEPTH = 30
+# More node statistics per pass over the data (fewer passes per tree level) and node ids
+# cached with the rows (checkpointed to the reliable checkpoint dir every 10 iterations).
+TREE_TUNING = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
 @dataclass
@@ -140,7 +143,7 @@ def fit_decision_tree(df: DataFrame, features: list[str], label: str, criterion:
         raise PipelineError("min_samples_split other than 2 has no exact Spark counterpart")
     est = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity=_impurity(criterion),
                                  maxDepth=_depth(max_depth), minInstancesPerNode=1, maxBins=max_bins,
-                                 seed=seed)
+                                 seed=seed, **TREE_TUNING)
     return _fit("decision_tree", df, features, label, est,
                 {"criterion": criterion, "max_depth": max_depth, "min_samples_split": min_samples_split})
 
@@ -151,7 +154,7 @@ def fit_random_forest(df: DataFrame, features: list[str], label: str, n_estimato
     est = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_estimators,
                                  impurity=_impurity(criterion), maxDepth=_depth(max_depth),
                                  featureSubsetStrategy=feature_subset(max_features, len(features)),
-                                 maxBins=max_bins, seed=seed, bootstrap=True)
+                                 maxBins=max_bins, seed=seed, bootstrap=True, **TREE_TUNING)
     return _fit("random_forest", df, features, label, est,
                 {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth,
                  "max_features": max_features})
@@ -174,25 +177,38 @@ def param_table(spark: SparkSession, model: FittedModel) -> DataFrame:
 # --------------------------------------------------------------------------- E2
 @dataclass
 class LeafMedianForest:
-    """Variance-grown forest whose leaves predict a median (``absolute_error`` stand-in)."""
+    """Variance-grown forest whose leaves predict a median (``absolute_error`` stand-in).
+
+    Scoring: when the (tree, leaf) → median table is small (checked:
+    ``≤ LEAF_LITERAL_CELLS`` dense cells) it is embedded as a constant nested
+    array and every row averages ``table[t][leaf_t]`` inside its own projection —
+    no shuffle.  Beyond that bound the table stays distributed: rows × trees
+    leaf ids are joined to it and re-averaged per row id (a shuffle).
+    """
 
     forest: FittedModel
     leaf_values: DataFrame | None  # (tree, leaf, value); None → plain means
     n_trees: int
+    dense: list | None = None      # dense[tree][leaf] when small enough
 
     @property
     def features(self) -> list[str]:
         return self.forest.features
 
     def transform(self, df: DataFrame, id_cols) -> DataFrame:
-        """Average over trees of each row's leaf median: rows × trees leaf ids are joined
-        to the (tree, leaf) table — broadcast under a checked size — then re-aggregated
-        per row id."""
         ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
         scored = self.forest.transform(df)
         if self.leaf_values is None:
             return scored
-        exploded = scored.select(*ids, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+        if self.dense is not None:
+            table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.dense])
+            leaves = vector_to_array("_leaf")
+            per_tree = F.transform(leaves, lambda leaf, t: F.element_at(F.element_at(table, t + 1),
+                                                                         leaf.cast("int") + 1))
+            total = F.aggregate(per_tree, F.lit(0.0), lambda acc, v: acc + v)
+            return scored.withColumn("prediction", total / F.lit(float(self.n_trees)))
+        exploded = (scored.select(*ids, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+                    .withColumn("leaf", F.col("leaf").cast("int")))
         joined = exploded.join(self.leaf_values, ["tree", "leaf"], "inner")
         pred = joined.groupBy(*ids).agg(F.avg("value").alias("_median_prediction"))
         return (scored.join(pred, ids, "left")
@@ -200,6 +216,7 @@ class LeafMedianForest:
 
 
 LEAF_BROADCAST_ROWS = 1 << 20
+LEAF_LITERAL_CELLS = 200_000
 
 
 def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estimators: int = 200,
@@ -211,7 +228,8 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
     est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
                                 impurity="variance", maxDepth=_depth(max_depth),
                                 featureSubsetStrategy=feature_subset(max_features, len(features)),
-                                maxBins=max_bins, seed=seed, bootstrap=True, leafCol="_leaf")
+                                maxBins=max_bins, seed=seed, bootstrap=True, leafCol="_leaf",
+                                **TREE_TUNING)
     fitted = _fit("random_forest_regressor", df, features, label, est,
                   {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth})
     if criterion == "squared_error":
@@ -219,9 +237,16 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
     train = fitted.transform(df.select(*features, label))
     per_leaf = (train.select(F.col(label).cast("double").alias("y"),
                              F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+                .withColumn("leaf", F.col("leaf").cast("int"))
                 .groupBy("tree", "leaf")
                 .agg(F.percentile_approx("y", 0.5, 10000).alias("value")))
     per_leaf = materialize(per_leaf)  # reliable checkpoint: reused by every later transform
-    n_leaves = per_leaf.count()
+    size = per_leaf.agg(F.count(F.lit(1)).alias("n"), F.max("leaf").alias("mx")).first()
+    n_leaves, max_leaf = int(size["n"]), int(size["mx"] or 0)
+    dense = None
+    if n_estimators * (max_leaf + 1) <= LEAF_LITERAL_CELLS:
+        dense = [[0.0] * (max_leaf + 1) for _ in range(n_estimators)]
+        for r in per_leaf.collect():  # bounded by the check above
+            dense[r["tree"]][r["leaf"]] = float(r["value"])
     leaf_values = F.broadcast(per_leaf) if n_leaves <= LEAF_BROADCAST_ROWS else per_leaf
-    return LeafMedianForest(fitted, leaf_values, n_estimators)
+    return LeafMedianForest(fitted, leaf_values, n_estimators, dense)

@@ -7,7 +7,7 @@ in one task, which does not survive a 100 TB high-cardinality column.
 ``exact_quantiles`` instead narrows a value interval around each requested
 order statistic: every pass is ONE distributed ``groupBy(target, bucket)``
 aggregation with map-side combine over equal-width buckets of the current
-interval (4096 buckets by default), and only the bucket holding the wanted
+interval (16384 buckets by default), and only the bucket holding the wanted
 rank survives into the next pass.  The aggregated table has at most
 ``targets × buckets`` rows, so nothing data-sized ever reaches the driver or a
 single task; a hot value simply ends in one bucket whose count combines.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-DEFAULT_BUCKETS = 4096
+DEFAULT_BUCKETS = 16384
 
 
 @dataclass
@@ -39,39 +39,44 @@ class _Target:
 
 def _refine(df: DataFrame, targets: list[_Target], buckets: int, max_passes: int) -> None:
     for _ in range(max_passes):
+        for t in targets:
+            if t.value is None and t.lo == t.hi:
+                t.value = t.lo
         active = [i for i, t in enumerate(targets) if t.value is None]
-        for i in list(active):
-            if targets[i].lo == targets[i].hi:
-                targets[i].value = targets[i].lo
-                active.remove(i)
         if not active:
             return
-        entries = []
+        # Targets on the same column and interval share one histogram (all of them on pass 1).
+        groups: dict[tuple, list[int]] = {}
         for i in active:
             t = targets[i]
-            v = F.col(t.column).cast("double")
-            width = t.hi - t.lo
-            bucket = F.least(F.floor((v - F.lit(t.lo)) / F.lit(width) * F.lit(buckets)),
+            groups.setdefault((t.column, t.lo, t.hi), []).append(i)
+        keys = list(groups)
+        entries = []
+        for g, (column, lo, hi) in enumerate(keys):
+            v = F.col(column).cast("double")
+            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
                              F.lit(buckets - 1)).cast("int")
-            entries.append(F.when((v >= F.lit(t.lo)) & (v <= F.lit(t.hi)),
-                                  F.struct(F.lit(i).alias("t"), bucket.alias("b"), v.alias("v"))))
+            entries.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
+                                  F.struct(F.lit(g).alias("g"), bucket.alias("b"), v.alias("v"))))
         exploded = (df.select(F.explode(F.array(*entries)).alias("s"))
                     .where(F.col("s").isNotNull()).select("s.*"))
-        per_bucket = exploded.groupBy("t", "b").agg(
+        per_bucket = exploded.groupBy("g", "b").agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-        rank_of = F.element_at(F.array(*[F.lit(targets[i].rank if i in active else -1)
-                                         for i in range(len(targets))]), F.col("t") + 1)
-        w = Window.partitionBy("t").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = F.element_at(F.array(*[F.array(*[F.lit(targets[i].rank) for i in groups[k]]) for k in keys]),
+                             F.col("g") + 1)
+        w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         picked = (per_bucket.withColumn("cum", F.sum("n").over(w))
                   .withColumn("before", F.col("cum") - F.col("n"))
-                  .where((F.col("before") <= rank_of) & (rank_of < F.col("cum")))
-                  .select("t", "before", "mn", "mx").collect())
+                  .where(F.exists(ranks, lambda r: (F.col("before") <= r) & (r < F.col("cum"))))
+                  .select("g", "before", "cum", "mn", "mx").collect())
         for row in picked:
-            t = targets[row["t"]]
-            t.rank -= int(row["before"])
-            t.lo, t.hi = float(row["mn"]), float(row["mx"])
-            if t.lo == t.hi:
-                t.value = t.lo
+            for i in groups[keys[row["g"]]]:
+                t = targets[i]
+                if row["before"] <= t.rank < row["cum"]:
+                    t.rank -= int(row["before"])
+                    t.lo, t.hi = float(row["mn"]), float(row["mx"])
+                    if t.lo == t.hi:
+                        t.value = t.lo
     raise RuntimeError("exact_quantiles did not converge")  # pragma: no cover
 
 

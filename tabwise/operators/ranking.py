@@ -13,8 +13,9 @@ Because a bucket is a prefix of ``h``, bucket order agrees with ``h`` order:
 2. prefix-sum those counts per stratum → each bucket's offset (window over the
    small table only);
 3. ``row_number`` inside (stratum, bucket) — groups of ≈ ``rows_per_bucket``
-   rows, uniformly spread because md5 is uniform, so a hot stratum is split
-   into many balanced tasks.
+   rows (64 Ki by default, so even a mid-sized class is sorted by many tasks),
+   uniformly spread because md5 is uniform, so a hot stratum is split into
+   many balanced tasks.
 
 rank = offset + row_number − 1.  ``bits`` grows with the largest stratum so the
 per-bucket group stays bounded at any scale.
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1 << 20
+ROWS_PER_BUCKET = 1 << 16
 MAX_BITS = 24
 BROADCAST_ROWS = 1 << 20
 
