@@ -8,6 +8,7 @@ expressions in codegen: no join against a centre table and no pair generation.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -179,7 +180,7 @@ def fit_kmeans(df: DataFrame, features: list[str] | str, k: int, init: str = "k-
     The caller should cache ``df``; each restart is an iterative Spark job.
     """
     mode = "random" if init == "random" else "k-means||"
-    data = vectorize(df, features, "_features")
+    data = df if "_features" in df.columns else vectorize(df, features, "_features")
     best = None
     for r in range(n_init):
         km = KMeans(k=k, initMode=mode, maxIter=max_iter, tol=tol, seed=seed + r,
@@ -196,13 +197,23 @@ def predict_clusters(result: KMeansResult, df: DataFrame, out_col: str = "Cluste
 
 
 def cluster_diagnostics(df: DataFrame, features: list[str] | str, k_values, init: str = "k-means||",
-                        n_init: int = 10, max_iter: int = 300, seed: int = 42) -> DataFrame:
-    """Per k: WCSS and (squared Euclidean) silhouette of the best restart — one fit per k."""
-    rows = []
-    for k in k_values:
-        res = fit_kmeans(df, features, int(k), init, n_init, max_iter, seed=seed)
-        labelled = predict_clusters(res, df, "_c")
-        rows.append((int(k), res.wcss, silhouette_score(labelled, features, "_c")))
+                        n_init: int = 10, max_iter: int = 300, seed: int = 42,
+                        parallelism: int = 4) -> DataFrame:
+    """Per k: WCSS and (squared Euclidean) silhouette of the best restart — one fit per k.
+
+    The assembled vectors are persisted once and shared by every k and restart.
+    """
+    data = vectorize(df, features, "_features").persist()
+
+    def one(k):
+        res = fit_kmeans(data, features, int(k), init, n_init, max_iter, seed=seed)
+        labelled = predict_clusters(res, data, "_c")
+        return (int(k), res.wcss, silhouette_score(labelled, features, "_c"))
+
+    # Fits for different k are independent Spark jobs: run them concurrently.
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(list(k_values))))) as pool:
+        rows = list(pool.map(one, list(k_values)))
+    data.unpersist()
     return df.sparkSession.createDataFrame(rows, "cluster int, WCSS_Score double, Silhouette_Score double")
 
 

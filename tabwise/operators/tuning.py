@@ -9,6 +9,7 @@ table summarised by mean and population std (A25).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -24,23 +25,44 @@ def accuracy_of(scored: DataFrame, label: str = "label", prediction: str = "pred
     return float(v) if v is not None else 0.0
 
 
-def cross_validate(spark: SparkSession, df: DataFrame, id_col: str, label: str,
-                   fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame],
-                   folds: int = 5, stratified: bool = False, seed: int = 42) -> DataFrame:
-    """Per-fold accuracy table (fold, n_train, n_test, score)."""
+def assign_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, stratified: bool = False,
+                 seed: int = 42) -> DataFrame:
+    """Fold ids (exact sizes), persisted because every fold and configuration reads them."""
     assigned = (stratified_kfold_ids(df, id_col, label, folds, seed) if stratified
-                else kfold_ids(df, id_col, folds, seed)).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for f in range(folds):
+                else kfold_ids(df, id_col, folds, seed))
+    return assigned.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _run_folds(spark, assigned: DataFrame, label: str, fit, predict, folds: int, parallelism: int):
+    def one(f: int):
         train = assigned.where(F.col("fold") != f)
         test = assigned.where(F.col("fold") == f)
         model = fit(train)
         scored = predict(model, test)
-        rows.append((f, train.count(), test.count(), accuracy_of(scored, label)))
-    assigned.unpersist()
+        counts = assigned.groupBy((F.col("fold") == f).alias("held_out")).count().collect()
+        n = {r["held_out"]: r["count"] for r in counts}
+        return (f, n.get(False, 0), n.get(True, 0), accuracy_of(scored, label))
+
+    # Independent fits run as concurrent Spark jobs (like CrossValidator's parallelism):
+    # small fits leave most of the cluster idle, so overlapping them cuts wall time.
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, range(folds)))
     return spark.createDataFrame(rows, "fold int, n_train bigint, n_test bigint, score double")
 
 
+def cross_validate(spark: SparkSession, df: DataFrame, id_col: str, label: str,
+                   fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame],
+                   folds: int = 5, stratified: bool = False, seed: int = 42,
+                   parallelism: int = 4) -> DataFrame:
+    """Per-fold accuracy table (fold, n_train, n_test, score)."""
+    assigned = assign_folds(df, id_col, label, folds, stratified, seed)
+    out = _run_folds(spark, assigned, label, fit, predict, folds, parallelism)
+    out = out.persist()
+    out.count()
+    assigned.unpersist()
+    return out
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     """A25 + F10: mean, population std and the fold scores joined as text, one aggregation."""
     ordered = F.array_sort(F.collect_list(F.struct("fold", "score")))
@@ -52,13 +74,19 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 def parameter_trials(spark: SparkSession, df: DataFrame, id_col: str, label: str,
                      grid: list[dict], make_fit: Callable[[dict], Callable], predict: Callable,
-                     folds: int = 5, stratified: bool = True, seed: int = 42) -> DataFrame:
-    """One CV run per configuration → (config, mean_score, std_score)."""
-    out = []
-    for cfg in grid:
-        scores = cross_validate(spark, df, id_col, label, make_fit(cfg), predict, folds, stratified, seed)
+                     folds: int = 5, stratified: bool = True, seed: int = 42,
+                     parallelism: int = 4) -> DataFrame:
+    """One CV run per configuration on ONE shared fold assignment → (config, mean, std)."""
+    assigned = assign_folds(df, id_col, label, folds, stratified, seed)
+
+    def one(cfg):
+        scores = _run_folds(spark, assigned, label, make_fit(cfg), predict, folds, 1)
         row = ME.score_summary(scores, "score").first()
-        out.append((str(sorted(cfg.items())), float(row["mean_score"]), float(row["std_score"])))
+        return (str(sorted(cfg.items())), float(row["mean_score"]), float(row["std_score"]))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        out = list(pool.map(one, grid))
+    assigned.unpersist()
     return (spark.createDataFrame(out, "config string, mean_score double, std_score double")
             .orderBy(F.desc("mean_score")))
 

@@ -22,6 +22,7 @@ from tabwise.operators import profile as PF
 from tabwise.operators import split as SP
 from tabwise.operators.quantiles import exact_quantiles, modes
 from tabwise.plans import tables as T
+from tabwise.session import materialize
 from tabwise.sources.tables import TABLE_NAMES, catalog_counts, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,7 +406,8 @@ mm AS (SELECT {', '.join(f'min({c}) AS mn_{c}, max({c}) AS mx_{c}' for c in LINE
 def q_minmax_train_only(spark, sf_dir):
     """T5: min/max fitted on the training rows only, applied to both sides (no clipping)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINEITEM_NUM)
-    sp = SP.train_test_split(li, ["l_orderkey", "l_linenumber"], None, 0.2, SEED)
+    # the split feeds both the fit and the output: cut lineage once (reliable checkpoint)
+    sp = materialize(SP.train_test_split(li, ["l_orderkey", "l_linenumber"], None, 0.2, SEED))
     model = PR.fit_minmax(sp.where(F.col("split") == "train"), LINEITEM_NUM)
     scaled = PR.apply_minmax(sp, model)
     return scaled.select("l_orderkey", "l_linenumber", "split", *[r(c, 6).alias(c) for c in LINEITEM_NUM])
@@ -727,3 +729,56 @@ def orders_slice(og: DataFrame) -> DataFrame:
     return (g.join(F.broadcast(totals), "split")  # two rows: train / test
             .select("split", "o_orderstatus", "n", r(F.col("n") / F.col("split_n"), 6).alias("share"),
                     r("mean_totalprice", 2).alias("mean_totalprice"), r("urgent_share", 6).alias("urgent_share")))
+
+
+# =============================================================================== J2 / P13 / L8 / S6
+@register("null_report_before_after", f"""WITH {T.ORDERS_WITH_GAPS_SQL},
+b AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n FROM og" for c in _OG_COLS)})
+SELECT column_name, n AS nulls_before,
+       CASE WHEN column_name IN ('o_orderstatus', 'o_orderpriority', 'o_totalprice') THEN 0 ELSE n END AS nulls_after
+FROM b""")
+def q_null_report_before_after(spark, sf_dir):
+    """Per column NULLs before and after imputation (full outer join on the column name)."""
+    og = T.orders_with_gaps(spark, sf_dir)
+    imputed, _ = PR.impute(og, mode_cols=["o_orderstatus", "o_orderpriority"], median_cols=["o_totalprice"])
+    before = PF.null_report(og).select(F.col("column").alias("column_name"), F.col("null_count").alias("nulls_before"))
+    after = PF.null_report(imputed).select(F.col("column").alias("column_name"), F.col("null_count").alias("nulls_after"))
+    return before.join(after, "column_name", "full")
+
+
+@register("first_test_row", f"""WITH tot AS (SELECT CAST(ceil(CAST(0.25 AS DOUBLE) * count(*)) AS BIGINT) AS n_test FROM customer),
+rk AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY {T.md5_key_sql(7, 'c_custkey')}, c_custkey) - 1 AS r FROM customer)
+SELECT c_custkey, c_acctbal FROM rk, tot WHERE r < n_test ORDER BY c_custkey LIMIT 1""")
+def q_first_test_row(spark, sf_dir):
+    """The first test row in id order (default record and its actual value)."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    sp = SP.train_test_split(c, "c_custkey", None, 0.25, 7)
+    return PF.head(sp.where(F.col("split") == "test"), "c_custkey", 1).select("c_custkey", "c_acctbal")
+
+
+@register("processed_table_sink", ORACLE_SQL["one_hot"])
+def q_processed_table_sink(spark, sf_dir):
+    """S6 + S1: the encoded table written as headered CSV, read back through validated ingest."""
+    import uuid
+
+    from tabwise.session import ensure_checkpoint_dir
+    from tabwise.sources.csv import read_csv
+    from tabwise.sources.sinks import write_table
+    out = q_one_hot(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+    write_table(out, path, fmt="csv")
+    return read_csv(spark, path, schema=out.schema)
+
+
+@register("schema_listing")
+def q_schema_listing(spark, sf_dir):
+    """Column, Spark type and non-null count of lineitem (one pass)."""
+    return PF.schema_listing(read_table(spark, sf_dir, "lineitem")).withColumnRenamed("column", "column_name")
+
+
+@register("class_names", """SELECT CASE WHEN o_orderstatus = 'F' THEN 'Fulfilled' WHEN o_orderstatus = 'O' THEN 'Open'
+  ELSE o_orderstatus END AS status_name, count(*) AS n FROM orders GROUP BY 1""")
+def q_class_names(spark, sf_dir):
+    """P10: codes relabelled to display names before counting (unmapped codes kept)."""
+    o = PR.relabel(T.orders(spark, sf_dir), "o_orderstatus", {"F": "Fulfilled", "O": "Open"}, "status_name")
+    return o.groupBy("status_name").agg(F.count(F.lit(1)).alias("n"))

@@ -19,6 +19,7 @@ from tabwise.operators import cluster as CL
 from tabwise.operators import metrics as ME
 from tabwise.operators import models as MO
 from tabwise.operators import scoring as SC
+from tabwise.operators import split as SP
 from tabwise.operators import tuning as TU
 from tabwise.plans import tables as T
 from tabwise.plans import workflows as WF
@@ -222,8 +223,11 @@ def q_segmentation_correlation(spark, sf_dir):
 @register("kmeans_diagnostics")
 def q_kmeans_diagnostics(spark, sf_dir):
     """WCSS and silhouette for k = 3..8 on the embeddings (2 restarts per k)."""
-    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding").persist()
-    return _r(CL.cluster_diagnostics(emb, "embedding", range(3, 9), "k-means++", n_init=2, max_iter=100, seed=42))
+    def build():
+        emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        return _r(CL.cluster_diagnostics(emb, "embedding", range(3, 9), "k-means++", n_init=2, max_iter=100,
+                                         seed=42))
+    return _memo("kmeans_diagnostics", spark, sf_dir, build)
 
 
 @register("kmeans_centres")
@@ -285,3 +289,42 @@ def q_streaming_scoring(spark, sf_dir):
                      f"{base}/stream-out-{run}", f"{base}/stream-ckpt-{run}")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/stream-out-{run}")
+
+
+# =============================================================================== L2 / L5 / L6 / X3
+@register("prediction_preview")
+def q_prediction_preview(spark, sf_dir):
+    """L2: the first 10 test predictions of the OLS price model in id order, actual beside predicted."""
+    res = price(spark, sf_dir)
+    sp = SP.train_test_split(price_input(spark, sf_dir), ["l_orderkey", "l_linenumber"], "returned", 0.2, 42)
+    pred = res.linear.transform(sp.where(F.col("split") == "test"))
+    return _r(pred.orderBy("l_orderkey", "l_linenumber").limit(10)
+              .select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("actual"),
+                      F.col("prediction").alias("predicted")), 2)
+
+
+@register("best_price_model")
+def q_best_price_model(spark, sf_dir):
+    """Lowest test MAE (ties → model name)."""
+    best = price(spark, sf_dir).best
+    return spark.createDataFrame([(best["model"], float(round(best["mae"], 4)))], "model string, mae double")
+
+
+@register("best_k")
+def q_best_k(spark, sf_dir):
+    """The k with the highest silhouette (first k on ties) from the diagnostics table."""
+    diag = q_kmeans_diagnostics(spark, sf_dir)
+    return diag.orderBy(F.desc("Silhouette_Score"), "cluster").limit(1)
+
+
+@register("mlp_scoring")
+def q_mlp_scoring(spark, sf_dir):
+    """S7/S8 + X3: the MLP bundle saved, loaded (kind checked) and applied to every raw row (>= 0.5)."""
+    res = admission(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/bundles/mlp-{uuid.uuid4().hex}"
+    save_bundle(spark, res.bundle, path)
+    bundle = load_bundle(spark, path, "mlp")
+    emb = read_table(spark, sf_dir, "embeddings")
+    raw = emb.select("vec_id", *[F.col("embedding")[i].alias(f"embedding_{i}")
+                                 for i in range(len(bundle.features))])
+    return _r(SC.score_mlp(raw, bundle).select("vec_id", "probability_1", "predicted_class"))

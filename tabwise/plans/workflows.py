@@ -17,6 +17,7 @@ tables that several later steps read are cut with a reliable checkpoint.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -104,8 +105,25 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     # Statistics, categories and the split each read the input: persist it once
     # (spills to disk when large) instead of recomputing upstream joins per pass.
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    imputed, _ = PR.impute(df, cfg.mode_cols, cfg.median_cols)
-    defaults = default_raw_values(imputed, cfg.categorical_cols, cfg.numeric_cols)
+    # One mode job and one quantile refinement serve both the imputation (T1) and the
+    # default raw values (A26): filling NULLs with the mode/median leaves both unchanged.
+    mode_cols = list(dict.fromkeys([*cfg.mode_cols, *cfg.categorical_cols]))
+    median_cols = list(dict.fromkeys([*cfg.median_cols, *cfg.numeric_cols]))
+    found = modes(df, mode_cols) if mode_cols else {}
+    meds = exact_quantiles(df.select(*[F.col(c).cast("double").alias(c) for c in median_cols]),
+                           median_cols, [0.5]) if median_cols else {}
+    stats = PR.ImputeStats()
+    for c in cfg.mode_cols:
+        if found[c] is None:
+            raise PipelineError(f"Cannot calculate a mode for `{c}`.")
+        stats.values[c], stats.kinds[c] = found[c][0], "mode"
+    for c in cfg.median_cols:
+        if meds[c][0] is None:
+            raise PipelineError(f"Cannot calculate the median for `{c}`.")
+        stats.values[c], stats.kinds[c] = meds[c][0], "median"
+    imputed = PR.apply_impute(df, stats)
+    defaults = {c: (found[c] or (None,))[0] for c in cfg.categorical_cols}
+    defaults.update({c: meds[c][0] for c in cfg.numeric_cols})
     encoded, onehot = PR.one_hot(imputed, cfg.categorical_cols)
     labelled = PR.map_target(encoded, cfg.target, cfg.mapping, "label").drop(cfg.target)
     features = [c for c in labelled.columns if c not in (cfg.id_col, "label")]
@@ -118,25 +136,32 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     s_train = scaled.where(F.col("split") == "train")
     n_train = s_train.count()
 
-    fitted = {}
-    if "logistic" in models:
-        fitted["logistic"] = MO.fit_logistic(s_train, features, "label", cfg.logistic_C,
-                                             cfg.logistic_max_iter, n_train)
-    if "decision_tree" in models:
-        fitted["decision_tree"] = MO.fit_decision_tree(s_train, features, "label", cfg.tree_criterion,
-                                                       cfg.tree_max_depth, seed=cfg.seed)
-    if "random_forest" in models:
-        fitted["random_forest"] = MO.fit_random_forest(s_train, features, "label", cfg.forest_trees,
-                                                       cfg.forest_criterion, cfg.forest_max_depth,
-                                                       cfg.forest_max_features, seed=cfg.seed)
-    tables, confusion = {}, {}
-    for name, model in fitted.items():
+    builders = {
+        "logistic": lambda: MO.fit_logistic(s_train, features, "label", cfg.logistic_C,
+                                            cfg.logistic_max_iter, n_train),
+        "decision_tree": lambda: MO.fit_decision_tree(s_train, features, "label", cfg.tree_criterion,
+                                                      cfg.tree_max_depth, seed=cfg.seed),
+        "random_forest": lambda: MO.fit_random_forest(s_train, features, "label", cfg.forest_trees,
+                                                      cfg.forest_criterion, cfg.forest_max_depth,
+                                                      cfg.forest_max_features, seed=cfg.seed),
+    }
+    wanted = [m for m in builders if m in models]
+    # The three estimators are independent: fit them as concurrent Spark jobs.
+    with ThreadPoolExecutor(max_workers=len(wanted) or 1) as pool:
+        fitted = dict(zip(wanted, pool.map(lambda m: builders[m](), wanted)))
+    def evaluate(name):
         # The decision slider applies to the logistic model; trees use 0.5.
         thr = cfg.threshold if name == "logistic" else 0.5
-        scored = _scored_class(model, scaled, thr, True)
+        scored = _scored_class(fitted[name], scaled, thr, True)
         m = ME.binary_metrics(scored, "label", "prediction", ["split"]).withColumn("threshold", F.lit(thr))
-        tables[name] = m
-        confusion[name] = ME.confusion_matrix(scored.where(F.col("split") == "test"), "label", "prediction")
+        m = m.persist()
+        m.count()
+        return m, ME.confusion_matrix(scored.where(F.col("split") == "test"), "label", "prediction")
+
+    with ThreadPoolExecutor(max_workers=len(fitted) or 1) as pool:
+        evaluated = dict(zip(fitted, pool.map(evaluate, list(fitted))))
+    tables = {k: v[0] for k, v in evaluated.items()}
+    confusion = {k: v[1] for k, v in evaluated.items()}
     metrics = TU.comparison_table(tables, "accuracy")
     comparison = metrics.where(F.col("split") == "test").orderBy(F.desc("accuracy"), "model")
 
