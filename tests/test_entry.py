@@ -9,7 +9,9 @@ ORACLE_FAST = ["null_report", "describe_numeric", "value_counts", "class_shares"
                "corr_spearman", "histogram_30", "density_grid", "impute_mode_median", "one_hot",
                "stratified_split", "split_report", "kfold_ids", "stratified_kfold_ids",
                "threshold_sweep_metrics", "silhouette", "assign_nearest_center", "segment_names",
-               "orders_slice", "minmax_train_only", "cv_score_summary", "central_tendency"]
+               "orders_slice", "minmax_train_only", "cv_score_summary", "central_tendency",
+               "class_names", "first_test_row", "null_report_before_after", "processed_table_sink",
+               "score_time_encoding", "mae_baseline", "describe_strings", "catalog_counts"]
 
 
 def test_entry_smoke(spark):

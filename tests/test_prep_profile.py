@@ -109,3 +109,15 @@ def test_value_counts_and_shares(spark):
 def test_sample_rows_exact_count(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert PF.sample_rows(df, "k", 7).count() == 7
+
+
+def test_relabel_keeps_unmapped_codes(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,)], "y int")
+    out = [r.name for r in PR.relabel(df, "y", {0: "No", 1: "Yes"}, "name").orderBy("y").collect()]
+    assert out == ["No", "Yes", "2"]
+
+
+def test_schema_listing_counts_non_nulls(spark):
+    df = spark.createDataFrame([(1, None), (2, "a")], "a int, b string")
+    got = {r["column"]: (r.dtype, r.non_null) for r in PF.schema_listing(df).collect()}
+    assert got == {"a": ("int", 2), "b": ("string", 1)}
