@@ -19,6 +19,24 @@ from tabwise.errors import PipelineError
 from tabwise.operators.ranking import hash_rank
 
 MAX_STRATA = 100_000
+CASE_LOOKUP_MAX = 64
+
+
+def attach_per_class(df: DataFrame, label_col: str, values: dict, out_col: str) -> DataFrame:
+    """Add a per-class constant: an inline CASE for a few classes, else a broadcast
+    join with the (class, value) table — at most ``MAX_STRATA`` rows by construction."""
+    if len(values) <= CASE_LOOKUP_MAX:
+        expr = None
+        for k, v in values.items():
+            cond = F.col(label_col).isNull() if k is None else (F.col(label_col) == F.lit(k))
+            expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
+        return df.withColumn(out_col, expr)
+    spark = df.sparkSession
+    dtype = df.schema[label_col].dataType
+    table = spark.createDataFrame([(k, int(v)) for k, v in values.items()],
+                                  f"_k {dtype.simpleString()}, {out_col} long")
+    joined = df.join(F.broadcast(table), df[label_col].eqNullSafe(table["_k"]), "left")
+    return joined.drop("_k")
 
 
 def class_counts(df: DataFrame, label_col: str, max_classes: int = MAX_STRATA) -> list[tuple]:
@@ -77,23 +95,18 @@ def train_test_split(df: DataFrame, id_cols: list[str] | str, stratify: str | No
         test_quota = {k: c - quotas[k] for k, c in counts}
         ranked = hash_rank(df, id_cols, seed, by=[stratify],
                            max_group_rows=max(c for _, c in counts), n_strata=len(counts))
-        quota_expr = None
-        for k, q in test_quota.items():
-            cond = F.col(stratify).isNull() if k is None else (F.col(stratify) == F.lit(k))
-            quota_expr = (F.when(cond, F.lit(q)) if quota_expr is None
-                          else quota_expr.when(cond, F.lit(q)))
-        test_if = F.col("_rank") < quota_expr
+        ranked = attach_per_class(ranked, stratify, test_quota, "_quota")
+        test_if = F.col("_rank") < F.col("_quota")
     return (ranked.withColumn(split_col, F.when(test_if, F.lit("test")).otherwise(F.lit("train")))
-            .drop("_rank", "_h"))
+            .drop("_rank", "_h", "_quota"))
 
 
 def kfold_ids(df: DataFrame, id_cols: list[str] | str, k: int = 5, seed: int = 42,
               shuffle: bool = True, fold_col: str = "fold") -> DataFrame:
     """``KFold``: fold sizes differ by at most one, the first ``n % k`` folds larger.
 
-    With ``shuffle=False`` the order is the id order itself (exact global rank via
-    the same bucketed-offset scheme, keyed on the id instead of its hash is not
-    uniform, so we rank by id through ``hash_rank`` with seed ordering disabled).
+    ``shuffle=True`` ranks rows in the seeded md5 order; ``shuffle=False`` ranks
+    them in id order (range partitioning + per-partition offsets, see ``_id_rank``).
     """
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     n = df.count()
@@ -119,20 +132,15 @@ def stratified_kfold_ids(df: DataFrame, id_cols: list[str] | str, label_col: str
     """
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     counts = class_counts(df, label_col)
-    if any(c < k for _, c in counts):
-        pass  # allowed (sklearn warns); such classes miss some folds
     offsets, acc = {}, 0
     for key, c in counts:
         offsets[key] = acc
         acc += c
     ranked = hash_rank(df, id_cols, seed, by=[label_col],
                        max_group_rows=max(c for _, c in counts), n_strata=len(counts))
-    off = None
-    for key, o in offsets.items():
-        cond = F.col(label_col).isNull() if key is None else (F.col(label_col) == F.lit(key))
-        off = F.when(cond, F.lit(o)) if off is None else off.when(cond, F.lit(o))
-    return (ranked.withColumn(fold_col, F.pmod(off + F.col("_rank"), F.lit(k)).cast("int"))
-            .drop("_rank", "_h"))
+    ranked = attach_per_class(ranked, label_col, offsets, "_off_c")
+    return (ranked.withColumn(fold_col, F.pmod(F.col("_off_c") + F.col("_rank"), F.lit(k)).cast("int"))
+            .drop("_rank", "_h", "_off_c"))
 
 
 def _id_rank(df: DataFrame, id_cols: list[str]) -> DataFrame:

@@ -86,3 +86,15 @@ def test_stratified_kfold_balance(spark):
         assert max(got) - min(got) <= 1 and sum(got) == n
     totals = [sum(per.get((fold, k), 0) for k in (0, 1, 2)) for fold in range(5)]
     assert max(totals) - min(totals) <= 1
+
+
+def test_many_classes_use_join_lookup(spark):
+    from tabwise.operators import split as SP
+    rows = [(i, i % 100) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    sp = SP.train_test_split(df, "id", "y", 0.25, 3)
+    per = {r["y"]: r["count"] for r in sp.where("split = 'test'").groupBy("y").count().collect()}
+    assert sum(per.values()) == 500 and set(per.values()) == {5}
+    f = SP.stratified_kfold_ids(df, "id", "y", 4, 3)
+    sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
+    assert sorted(sizes) == [500, 500, 500, 500]
