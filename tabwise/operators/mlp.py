@@ -24,6 +24,7 @@ Scoring needs no Python: the forward pass is compiled into Spark expressions
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from tabwise.errors import PipelineError
 
 ACTIVATIONS = ("relu", "tanh", "logistic", "identity")
+DIRECT_REDUCE_MAX = 256
 
 
 # --------------------------------------------------------------------------- numpy core
@@ -219,7 +221,8 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
             activation: str = "relu", batch_size: int = 50, learning_rate: float = 1e-3,
             alpha: float = 1e-4, max_iter: int = 200, tol: float = 1e-4, n_iter_no_change: int = 10,
             early_stopping: bool = False, validation_fraction: float = 0.1, seed: int = 123,
-            id_col: str | None = None, partitions: int | None = None) -> MLPModel:
+            id_col: str | None = None, partitions: int | None = None,
+            rows_per_partition: int = 100_000) -> MLPModel:
     """Train on ``features_col`` (array<double>, already scaled) and 0/1 ``label_col``."""
     if activation not in ACTIVATIONS:
         raise PipelineError(f"activation must be one of {ACTIVATIONS}")
@@ -237,7 +240,16 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
         sp = train_test_split(data, id_col, "_y", validation_fraction, seed, "_part")
         val = sp.where(F.col("_part") == "test").drop("_part").persist(StorageLevel.MEMORY_AND_DISK)
         data = sp.where(F.col("_part") == "train").drop("_part")
-    if partitions:
+    explicit = partitions is not None
+    if partitions is None:
+        # ~rows_per_partition rows per local model: small data trains as exact sequential
+        # mini-batch Adam (one partition); large data splits into many parallel workers.
+        n_rows = data.count()
+        partitions = max(1, math.ceil(n_rows / rows_per_partition))
+    current = data.rdd.getNumPartitions()
+    if partitions < current:
+        data = data.coalesce(partitions)          # narrow: no shuffle
+    elif explicit and partitions > current:
         data = data.repartition(partitions)
     train = data.withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     first = train.select(F.size("_x")).first()
@@ -258,13 +270,19 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
         fn = _epoch_fn(theta.tolist(), m.tolist(), v.tolist(), t, shapes, activation, alpha,
                        learning_rate, batch_size, seed, epoch, "_x", "_y")
         res = train.select("_x", "_y", "_pid").mapInPandas(fn, schema)
-        # One job per epoch: slot-wise sums (and max for the Adam step count) reduced by
-        # Spark with partial aggregation; exactly 3·n_params + 3 rows reach the driver.
-        sums = (res.select(F.posexplode("vec").alias("j", "x"))
-                .groupBy("j").agg(F.sum("x").alias("s"), F.max("x").alias("mx")))
-        vec, mx = np.zeros(3 * n_params + 3), np.zeros(3 * n_params + 3)
-        for row in sums.collect():
-            vec[row["j"]], mx[row["j"]] = row["s"], row["mx"]
+        # One job per epoch.  Few partitions: their P result vectors (P ≤ DIRECT_REDUCE_MAX,
+        # each 3·n_params + 3 doubles) come straight back.  Many partitions: slot-wise sums
+        # (max for the Adam step count) are reduced by Spark with partial aggregation, so
+        # exactly 3·n_params + 3 rows reach the driver whatever the partition count.
+        if partitions <= DIRECT_REDUCE_MAX:
+            parts = np.array([r["vec"] for r in res.collect()])
+            vec, mx = parts.sum(axis=0), parts.max(axis=0)
+        else:
+            sums = (res.select(F.posexplode("vec").alias("j", "x"))
+                    .groupBy("j").agg(F.sum("x").alias("s"), F.max("x").alias("mx")))
+            vec, mx = np.zeros(3 * n_params + 3), np.zeros(3 * n_params + 3)
+            for row in sums.collect():
+                vec[row["j"]], mx[row["j"]] = row["s"], row["mx"]
         n = vec[3 * n_params]
         theta, m, v = vec[:n_params] / n, vec[n_params:2 * n_params] / n, vec[2 * n_params:3 * n_params] / n
         t = int(mx[3 * n_params + 2])
