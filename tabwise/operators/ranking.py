@@ -76,8 +76,68 @@ def hash_rank(df: DataFrame, id_cols: list[str], seed: int, by: list[str] | None
     # fixed bound, otherwise a shuffle join on the same keys the window below uses.
     if n_strata * (1 << bits) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    cond = [keyed["_b"] == offsets["_ob"]] + [keyed[c].eqNullSafe(offsets[renamed[c]]) for c in by]
+    cond = [keyed["_b"].eqNullSafe(offsets["_ob"])] + [keyed[c].eqNullSafe(offsets[renamed[c]]) for c in by]
     joined = keyed.join(offsets, on=cond, how="inner").drop("_ob", *renamed.values())
     within = Window.partitionBy(*by, "_b").orderBy(key_col, *id_cols)
     return (joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(within) - 1).cast("long"))
             .drop("_b", "_off"))
+
+
+def rank_segments(df: DataFrame, id_cols: list[str], seed: int, cuts: dict, by: str | None = None,
+                  max_group_rows: int | None = None, seg_col: str = "_seg",
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Index of the rank segment of every row, without sorting the table.
+
+    ``cuts[stratum]`` is an ascending list of rank cut points c1 < c2 < …; a row
+    whose rank r (seeded md5 order within its stratum) satisfies
+    c_j <= r < c_{j+1} gets segment j (0 before c1).  Splits use one cut (the
+    test quota), folds use the cumulative fold sizes.
+
+    Only buckets that straddle a cut need exact ranks: the per-(stratum, bucket)
+    count table (strata × 2^bits rows) gives every bucket its rank range, so rows
+    of all other buckets get their segment in a map-only projection.  The few
+    straddling buckets (≤ strata × cuts of them, ≈ ``rows_per_bucket`` rows
+    each) are ranked by a window — the only data shuffled besides the tiny
+    count table.
+    """
+    from tabwise.operators.split import attach_per_class
+
+    by_cols = [by] if by else []
+    if max_group_rows is None:
+        max_group_rows = (df.groupBy(*by_cols).count().agg(F.max("count")).first()[0]) or 0
+    bits = bucket_bits(max_group_rows, rows_per_bucket)
+    keyed = df.withColumn("_h", hash_key(id_cols, seed))
+    keyed = keyed.withColumn("_b", F.lit(0).cast("long") if bits == 0 else F.shiftright(
+        F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), 32 - bits))
+    counts = keyed.groupBy(*by_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if by:
+        table = attach_per_class(table, by, {k: [int(c) for c in v] for k, v in cuts.items()}, "_cuts")
+    else:
+        only = next(iter(cuts.values()))
+        table = table.withColumn("_cuts", F.array(*[F.lit(int(c)).cast("long") for c in only]))
+    n_cuts = lambda x: F.size(F.filter(F.col("_cuts"), lambda c: c <= x))
+    table = (table.withColumn("_lo", n_cuts(F.col("_before")))
+             .withColumn("_hi", n_cuts(F.col("_before") + F.col("_n") - 1)))
+    renamed = {c: f"_s{i}" for i, c in enumerate(by_cols)}
+    bt = table.select(*[F.col(c).alias(renamed[c]) for c in by_cols], F.col("_b").alias("_tb"),
+                      "_before", "_lo", "_hi", "_cuts")
+    # The bucket table (≤ strata × 2^bits rows) is read by both branches below: keep it
+    # in memory once instead of re-aggregating the whole input per branch.
+    bt = bt.persist()
+    bt.count()
+    n_strata = len(cuts)
+    if n_strata * (1 << bits) <= BROADCAST_ROWS:   # bounded: strata × 2^bits rows
+        bt = F.broadcast(bt)
+    # Null-safe keys: an inner equi-join would add an inferred isnotnull(_b) filter that
+    # evaluates md5 a second time per row before the projection.
+    cond = [keyed["_b"].eqNullSafe(bt["_tb"])] + [keyed[c].eqNullSafe(bt[renamed[c]]) for c in by_cols]
+    joined = keyed.join(bt, on=cond, how="inner").drop("_tb", *renamed.values())
+    easy = joined.where(F.col("_lo") == F.col("_hi")).withColumn(seg_col, F.col("_lo"))
+    within = Window.partitionBy(*by_cols, "_b").orderBy("_h", *id_cols)
+    hard = (joined.where(F.col("_lo") != F.col("_hi"))
+            .withColumn("_r", F.col("_before") + F.row_number().over(within) - 1)
+            .withColumn(seg_col, n_cuts(F.col("_r"))).drop("_r"))
+    helpers = ["_h", "_b", "_before", "_lo", "_hi", "_cuts"]
+    return easy.drop(*helpers).unionByName(hard.drop(*helpers))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
-from tabwise.operators.ranking import hash_rank
+from tabwise.operators.ranking import rank_segments
 
 MAX_STRATA = 100_000
 CASE_LOOKUP_MAX = 64
@@ -29,12 +29,15 @@ def attach_per_class(df: DataFrame, label_col: str, values: dict, out_col: str)
         expr = None
         for k, v in values.items():
             cond = F.col(label_col).isNull() if k is None else (F.col(label_col) == F.lit(k))
-            expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
+            lit = F.array(*[F.lit(int(x)).cast("long") for x in v]) if isinstance(v, list) else F.lit(v)
+            expr = F.when(cond, lit) if expr is None else expr.when(cond, lit)
         return df.withColumn(out_col, expr)
     spark = df.sparkSession
     dtype = df.schema[label_col].dataType
-    table = spark.createDataFrame([(k, int(v)) for k, v in values.items()],
-                                  f"_k {dtype.simpleString()}, {out_col} long")
+    is_list = isinstance(next(iter(values.values())), list)
+    vtype = "array<long>" if is_list else "long"
+    table = spark.createDataFrame([(k, (list(map(int, v)) if is_list else int(v))) for k, v in values.items()],
+                                  f"_k {dtype.simpleString()}, {out_col} {vtype}")
     joined = df.join(F.broadcast(table), df[label_col].eqNullSafe(table["_k"]), "left")
     return joined.drop("_k")
 
@@ -74,14 +77,16 @@ def train_test_split(df: DataFrame, id_cols: list[str] | str, stratify: str | No
                      test_size: float = 0.2, seed: int = 42, split_col: str = "split") -> DataFrame:
     """Add ``split_col`` ∈ {'train','test'} with exact sizes and class quotas.
 
-    Cost: one small count aggregation, then one shuffle keyed on hash buckets.
+    Cost: a small count aggregation per (class, hash bucket); rows are then assigned
+    map-side, and only the bucket holding each class's quota boundary is sorted.
     """
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if stratify is None:
         n = df.count()
         _, n_test = split_sizes(n, test_size)
-        ranked = hash_rank(df, id_cols, seed, max_group_rows=n, n_strata=1)
-        test_if = F.col("_rank") < F.lit(n_test)
+        seg = rank_segments(df, id_cols, seed, {None: [n_test]}, None, max_group_rows=n)
+        return (seg.withColumn(split_col, F.when(F.col("_seg") == 0, F.lit("test")).otherwise(F.lit("train")))
+                .drop("_seg"))
     else:
         counts = class_counts(df, stratify)
         n = sum(c for _, c in counts)
@@ -92,13 +97,11 @@ def train_test_split(df: DataFrame, id_cols: list[str] | str, stratify: str | No
                 f"The least populated class in `{stratify}` has only 1 member; "
                 f"stratified splitting needs at least 2 per class (classes: {small[:10]})")
         quotas = train_quotas(counts, n_train)
-        test_quota = {k: c - quotas[k] for k, c in counts}
-        ranked = hash_rank(df, id_cols, seed, by=[stratify],
-                           max_group_rows=max(c for _, c in counts), n_strata=len(counts))
-        ranked = attach_per_class(ranked, stratify, test_quota, "_quota")
-        test_if = F.col("_rank") < F.col("_quota")
-    return (ranked.withColumn(split_col, F.when(test_if, F.lit("test")).otherwise(F.lit("train")))
-            .drop("_rank", "_h", "_quota"))
+        test_quota = {k: [c - quotas[k]] for k, c in counts}
+        seg = rank_segments(df, id_cols, seed, test_quota, stratify,
+                            max_group_rows=max(c for _, c in counts))
+    return (seg.withColumn(split_col, F.when(F.col("_seg") == 0, F.lit("test")).otherwise(F.lit("train")))
+            .drop("_seg"))
 
 
 def kfold_ids(df: DataFrame, id_cols: list[str] | str, k: int = 5, seed: int = 42,
@@ -112,35 +115,47 @@ def kfold_ids(df: DataFrame, id_cols: list[str] | str, k: int = 5, seed: int = 4
     n = df.count()
     if k < 2 or k > n:
         raise PipelineError(f"Cannot make {k} folds from {n} rows")
-    ranked = hash_rank(df, id_cols, seed, max_group_rows=n, n_strata=1) if shuffle \
-        else _id_rank(df, id_cols)
     q, rem = divmod(n, k)
+    if shuffle:
+        sizes = [q + 1 if f < rem else q for f in range(k)]
+        cuts = [sum(sizes[:f + 1]) for f in range(k - 1)]
+        seg = rank_segments(df, id_cols, seed, {None: cuts}, None, max_group_rows=n)
+        return seg.withColumn(fold_col, F.col("_seg").cast("int")).drop("_seg")
+    ranked = _id_rank(df, id_cols)
     r = F.col("_rank")
     fold = F.when(r < F.lit(rem * (q + 1)), F.floor(r / F.lit(q + 1))) \
         .otherwise(F.lit(rem) + F.floor((r - F.lit(rem * (q + 1))) / F.lit(q)))
     return ranked.withColumn(fold_col, fold.cast("int")).drop("_rank", "_h")
 
 
-def stratified_kfold_ids(df: DataFrame, id_cols: list[str] | str, label_col: str, k: int = 5,
-                         seed: int = 42, fold_col: str = "fold") -> DataFrame:
-    """``StratifiedKFold`` allocation: the label-sorted sequence is dealt round-robin.
+def fold_allocation(counts: list[tuple], k: int) -> dict:
+    """Rows of each class per fold when the label-sorted sequence is dealt round-robin.
 
-    A row of class c with in-class (shuffled) rank r sits at position
-    ``offset_c + r`` of the label-sorted sequence and gets fold ``(offset_c + r) % k``,
-    so every class is spread over folds as evenly as possible and overall fold
-    sizes differ by at most one.
+    Class c occupies positions [o_c, o_c + n_c) of the label-sorted sequence and
+    fold f receives the positions p ≡ f (mod k): that fixes how many rows of c
+    each fold gets (overall fold sizes then differ by at most one).
     """
+    def upto(x: int, f: int) -> int:  # #{0 <= p < x : p % k == f}
+        return 0 if x <= f else (x - f + k - 1) // k
+
+    alloc, off = {}, 0
+    for key, c in counts:
+        alloc[key] = [upto(off + c, f) - upto(off, f) for f in range(k)]
+        off += c
+    return alloc
+
+
+def stratified_kfold_ids(df: DataFrame, id_cols: list[str] | str, label_col: str, k: int = 5,
+                         seed: int = 42, fold_col: str = "fold") -> DataFrame:
+    """``StratifiedKFold``: per-class fold counts of the round-robin allocation; within a
+    class the rows (in seeded md5 order) fill fold 0, then fold 1, … — a random
+    assignment with exact counts, and exactly the unshuffled rule in id order."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     counts = class_counts(df, label_col)
-    offsets, acc = {}, 0
-    for key, c in counts:
-        offsets[key] = acc
-        acc += c
-    ranked = hash_rank(df, id_cols, seed, by=[label_col],
-                       max_group_rows=max(c for _, c in counts), n_strata=len(counts))
-    ranked = attach_per_class(ranked, label_col, offsets, "_off_c")
-    return (ranked.withColumn(fold_col, F.pmod(F.col("_off_c") + F.col("_rank"), F.lit(k)).cast("int"))
-            .drop("_rank", "_h", "_off_c"))
+    alloc = fold_allocation(counts, k)
+    cuts = {key: [sum(a[:f + 1]) for f in range(k - 1)] for key, a in alloc.items()}
+    seg = rank_segments(df, id_cols, seed, cuts, label_col, max_group_rows=max(c for _, c in counts))
+    return seg.withColumn(fold_col, F.col("_seg").cast("int")).drop("_seg")
 
 
 def _id_rank(df: DataFrame, id_cols: list[str]) -> DataFrame:

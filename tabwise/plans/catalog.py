@@ -439,12 +439,17 @@ def q_kfold_ids(spark, sf_dir):
 
 
 @register("stratified_kfold_ids", f"""WITH c AS (SELECT o_orderstatus AS k, count(*) AS cnt FROM orders GROUP BY 1),
-off AS (SELECT k, coalesce(sum(cnt) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM c),
+off AS (SELECT k, cnt, coalesce(sum(cnt) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM c),
+fs AS (SELECT CAST(i AS BIGINT) AS f FROM range(0, 5) t(i)),
+al AS (SELECT k, f, (CASE WHEN o + cnt <= f THEN 0 ELSE (o + cnt - f + 4) // 5 END)
+                  - (CASE WHEN o <= f THEN 0 ELSE (o - f + 4) // 5 END) AS a FROM off, fs),
+cu AS (SELECT k, f, a, sum(a) OVER (PARTITION BY k ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM al),
 rk AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus
          ORDER BY {T.md5_key_sql(SEED, 'o_orderkey')}, o_orderkey) - 1 AS r FROM orders)
-SELECT o_orderkey, o_orderstatus, CAST((o + r) % 5 AS INTEGER) AS fold FROM rk JOIN off ON rk.o_orderstatus = off.k""")
+SELECT o_orderkey, o_orderstatus, CAST(cu.f AS INTEGER) AS fold
+FROM rk JOIN cu ON rk.o_orderstatus = cu.k AND rk.r >= cu.hi - cu.a AND rk.r < cu.hi""")
 def q_stratified_kfold_ids(spark, sf_dir):
-    """StratifiedKFold allocation (label-sorted sequence dealt round-robin)."""
+    """StratifiedKFold per-class fold counts (round-robin allocation), rows in md5 order."""
     o = T.orders(spark, sf_dir).select("o_orderkey", "o_orderstatus")
     return SP.stratified_kfold_ids(o, "o_orderkey", "o_orderstatus", 5, SEED)
 

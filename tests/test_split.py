@@ -98,3 +98,18 @@ def test_many_classes_use_join_lookup(spark):
     f = SP.stratified_kfold_ids(df, "id", "y", 4, 3)
     sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
     assert sorted(sizes) == [500, 500, 500, 500]
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1 << 16, 8])
+def test_rank_segments_match_brute_force(spark, rows_per_bucket):
+    from tabwise.operators.ranking import rank_segments
+    df = _frame(spark, 900)
+    cuts = {0: [100, 101, 400], 1: [0, 270], 2: [5]}
+    got = rank_segments(df, ["id"], 9, cuts, "y", rows_per_bucket=rows_per_bucket)
+    w = Window.partitionBy("y").orderBy(hash_key(["id"], 9), "id")
+    ranks = {(r.id): (r.y, r.rk) for r in df.withColumn("rk", F.row_number().over(w) - 1).collect()}
+    rows = got.collect()
+    assert len(rows) == 900
+    for r in rows:
+        y, rk = ranks[r.id]
+        assert r._seg == sum(1 for c in cuts[y] if c <= rk)
