@@ -258,5 +258,8 @@ def segment_names(profile: DataFrame, cluster_col: str, income_col: str, spend_c
 
 
 def attach_segments(df: DataFrame, names: DataFrame, cluster_col: str) -> DataFrame:
-    """Dictionary lookup; the name table has one row per cluster (k ≤ MAX_CENTRES) → broadcast."""
-    return df.join(F.broadcast(names), cluster_col, "left")
+    """Dictionary lookup: one name row per cluster, broadcast after checking k ≤ MAX_CENTRES
+    (a regular shuffle join otherwise)."""
+    k = names.count()
+    right = F.broadcast(names) if k <= MAX_CENTRES else names
+    return df.join(right, cluster_col, "left")

@@ -64,6 +64,7 @@ class ClassificationConfig:
     cv_folds: int = 5
     cv_stratified: bool = False
     cv_model: str = "logistic"
+    fill_constants: dict = field(default_factory=dict)   # P8: e.g. {"Gender": "Male"} before imputation
 
 
 @dataclass
@@ -104,6 +105,8 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     require_columns(df, [cfg.id_col, cfg.target, *cfg.mode_cols, *cfg.median_cols, *cfg.categorical_cols])
     # Statistics, categories and the split each read the input: persist it once
     # (spills to disk when large) instead of recomputing upstream joins per pass.
+    if cfg.fill_constants:  # notebook variant: a constant fill before the statistics
+        df = df.fillna(cfg.fill_constants)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     # One mode job and one quantile refinement serve both the imputation (T1) and the
     # default raw values (A26): filling NULLs with the mode/median leaves both unchanged.

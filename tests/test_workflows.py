@@ -82,3 +82,10 @@ def test_price_workflow_stratified_and_singular_design(spark):
     assert rows[("linear_regression", "test")] < 25000
     no_strat = P.run_price(spark, df.drop("property_type_Condo"), "id", n_estimators=5, max_depth=4)
     assert no_strat.stratify_used is None
+
+
+def test_loan_constant_fill_variant(spark, tmp_dir):
+    df = P.load_loan(spark, FX.loan_csv(tmp_dir))
+    res = P.run_loan(spark, df, forest_trees=5, cv_folds=0, fill_constants={"Gender": "Male"})
+    assert res.defaults["Gender"] == "Male"
+    assert res.cv_scores is None
