@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
 from tabwise.functions.columns import share_equal_ci
+from tabwise.session import ensure_parallelism
 
 MAX_CENTRES = 10_000
 
@@ -203,7 +204,7 @@ def cluster_diagnostics(df: DataFrame, features: list[str] | str, k_values, init
 
     The assembled vectors are persisted once and shared by every k and restart.
     """
-    data = vectorize(df, features, "_features").persist()
+    data = ensure_parallelism(vectorize(df, features, "_features")).persist()
 
     def one(k):
         res = fit_kmeans(data, features, int(k), init, n_init, max_iter, seed=seed)

@@ -35,7 +35,7 @@ from tabwise.operators import prep as PR
 from tabwise.operators import split as SP
 from tabwise.operators import tuning as TU
 from tabwise.operators.quantiles import exact_quantiles, modes
-from tabwise.session import materialize
+from tabwise.session import ensure_parallelism, materialize, persist_balanced
 from tabwise.sources.models_io import Bundle
 from tabwise.sources.validate import coerce_and_reject, require_columns, require_numeric
 
@@ -107,7 +107,7 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     # (spills to disk when large) instead of recomputing upstream joins per pass.
     if cfg.fill_constants:  # notebook variant: a constant fill before the statistics
         df = df.fillna(cfg.fill_constants)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = persist_balanced(df)
     # One mode job and one quantile refinement serve both the imputation (T1) and the
     # default raw values (A26): filling NULLs with the mode/median leaves both unchanged.
     mode_cols = list(dict.fromkeys([*cfg.mode_cols, *cfg.categorical_cols]))
@@ -253,7 +253,7 @@ def segmentation_workflow(spark: SparkSession, df: DataFrame, id_col: str, featu
                           k_values=None, init: str = "k-means++", n_init: int = 10, max_iter: int = 300,
                           seed: int = 42) -> SegmentationResult:
     require_columns(df, [id_col, *features])
-    data = coerce_and_reject(df, features).persist()
+    data = ensure_parallelism(coerce_and_reject(df, features)).persist()
     pearson = CO.pearson_matrix(data, features)
     spearman = CO.spearman_matrix(data, features)
     result = CL.fit_kmeans(data, features, k, init, n_init, max_iter, seed=seed)

@@ -9,7 +9,10 @@ master is local.
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwise.errors import PipelineError
@@ -29,6 +32,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Split small file sets across all cores (large inputs are unaffected: their
+        # split size stays spark.sql.files.maxPartitionBytes).
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,7 +61,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def session_conf(spark: SparkSession, key: str, value: str):
+    """Temporarily set a SQL conf (restored afterwards)."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a frame that has fewer partitions than the cluster has cores.
+
+    Only call it on frames without pending shuffles (scans, written tables,
+    persisted frames): asking an adaptive plan for its partitions would run its
+    shuffle stages.  Large inputs already have many partitions (no-op); a small
+    input read from a few unsplittable files would otherwise leave model fits
+    and iterative passes running on one core.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def persist_balanced(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Persist (spilling to disk) and, if it came out with too few partitions, rebalance once."""
+    kept = df.persist(level)
+    kept.count()
+    balanced = ensure_parallelism(kept)
+    if balanced is kept:
+        return kept
+    balanced = balanced.persist(level)
+    balanced.count()
+    kept.unpersist()
+    return balanced
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table under the reliable checkpoint directory.
+
+    One job (``Dataset.checkpoint`` on an unpersisted plan computes it twice),
+    compressed columnar files, and later readers get column pruning and filter
+    pushdown; a lost executor only re-reads files.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return ensure_parallelism(spark.read.parquet(path))
