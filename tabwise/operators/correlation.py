@@ -37,11 +37,31 @@ def corr_with_target(df: DataFrame, target: str, columns: list[str]) -> DataFram
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Spearman rank correlation (average ranks on ties) on complete rows."""
-    data = df.select([F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    """Spearman rank correlation (average ranks on ties), pairwise-complete like pandas.
+
+    Without NULLs one distributed rank pass serves the whole matrix; with NULLs
+    each pair is ranked on its own complete rows (m·(m−1)/2 passes).
+    """
+    data = df.select([F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+                      for c in columns])
+    nulls = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    spark = df.sparkSession
+    if not any(nulls[c] for c in columns):
+        mat = _spearman(data, columns)
+        rows = [(a, b, mat[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+        return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
+    rows = [(c, c, 1.0) for c in columns]
+    for i, a in enumerate(columns):
+        for b in columns[i + 1:]:
+            pair = data.select(a, b).dropna()
+            v = _spearman(pair, [a, b])[0][1] if pair.count() > 1 else None
+            rows += [(a, b, v), (b, a, v)]
+    return spark.createDataFrame(rows, "col_a string, col_b string, corr double")
+
+
+def _spearman(data: DataFrame, columns: list[str]):
     if data.isEmpty():
         raise PipelineError("No complete rows to rank")
-    vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(data).select("_v")
+    vec = VectorAssembler(inputCols=columns, outputCol="_v").transform(data.dropna()).select("_v")
     mat = Correlation.corr(vec, "_v", "spearman").first()[0].toArray()
-    rows = [(a, b, float(mat[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    return [[float(x) for x in row] for row in mat]

@@ -58,11 +58,12 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear interpolation), max."""
     aggs = []
     for c in columns:
-        v = F.col(c).cast("double")
+        v = F.col(c)
         aggs += [F.count(v).alias(f"n_{c}"), F.avg(v).alias(f"mean_{c}"),
                  F.stddev_samp(v).alias(f"std_{c}"), F.min(v).alias(f"lo_{c}"),
                  F.max(v).alias(f"hi_{c}")]
-    data = df.select(*columns)
+    # NaN counts as missing, as in pandas
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     row = data.agg(*aggs).first()
     stats = {c: (row[f"n_{c}"], row[f"lo_{c}"], row[f"hi_{c}"]) for c in columns}
     q = exact_quantiles(data, columns, [0.25, 0.5, 0.75], stats=stats)

@@ -87,7 +87,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
     ``stats`` may carry precomputed ``{col: (count, min, max)}`` to save a pass.
     """
-    data = df.select(*columns)
+    # NaN counts as missing (pandas semantics); Spark would order it above every value.
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     if stats is None:
         aggs = []
         for c in columns:

@@ -787,3 +787,17 @@ def q_class_names(spark, sf_dir):
     """P10: codes relabelled to display names before counting (unmapped codes kept)."""
     o = PR.relabel(T.orders(spark, sf_dir), "o_orderstatus", {"F": "Fulfilled", "O": "Open"}, "status_name")
     return o.groupBy("status_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("corr_spearman_gaps", f"""WITH {T.ORDERS_WITH_GAPS_SQL},
+p AS (SELECT o_totalprice AS a, CAST(o_custkey AS DOUBLE) AS b FROM og WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL),
+rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra,
+              rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM p)
+SELECT 'o_totalprice' AS col_a, 'o_custkey' AS col_b, round(corr(ra, rb), 6) AS corr FROM rk
+UNION ALL SELECT 'o_custkey', 'o_totalprice', round(corr(ra, rb), 6) FROM rk
+UNION ALL SELECT 'o_totalprice', 'o_totalprice', CAST(1.0 AS DOUBLE)
+UNION ALL SELECT 'o_custkey', 'o_custkey', CAST(1.0 AS DOUBLE)""")
+def q_corr_spearman_gaps(spark, sf_dir):
+    """A13 with NULLs: each pair ranked on its own complete rows (pandas semantics)."""
+    m = CO.spearman_matrix(T.orders_with_gaps(spark, sf_dir), ["o_totalprice", "o_custkey"])
+    return m.select("col_a", "col_b", r("corr", 6).alias("corr"))

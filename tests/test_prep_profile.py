@@ -121,3 +121,22 @@ def test_schema_listing_counts_non_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "a")], "a int, b string")
     got = {r["column"]: (r.dtype, r.non_null) for r in PF.schema_listing(df).collect()}
     assert got == {"a": ("int", 2), "b": ("string", 1)}
+
+
+def test_spearman_pairwise_complete_with_nulls(spark):
+    import pandas as pd
+    rows = [(1.0, 2.0, 5.0), (2.0, None, 3.0), (3.0, 1.0, None), (4.0, 4.0, 1.0), (5.0, 3.0, 2.0), (2.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    from tabwise.operators.correlation import spearman_matrix
+    got = {(r.col_a, r.col_b): r.corr for r in spearman_matrix(df, ["a", "b", "c"]).collect()}
+    want = pd.DataFrame(rows, columns=["a", "b", "c"]).corr(method="spearman")
+    for (x, y), v in got.items():
+        assert abs(v - want.loc[x, y]) < 1e-12
+
+
+def test_nan_is_missing_in_quantiles_and_describe(spark):
+    from tabwise.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert exact_quantiles(df, ["x"], [0.5])["x"] == [2.0]
+    d = PF.describe_numeric(df, ["x"]).first()
+    assert (d["count"], d["mean"], d["max"]) == (2, 2.0, 3.0)
