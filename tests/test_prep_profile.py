@@ -140,3 +140,17 @@ def test_nan_is_missing_in_quantiles_and_describe(spark):
     assert exact_quantiles(df, ["x"], [0.5])["x"] == [2.0]
     d = PF.describe_numeric(df, ["x"]).first()
     assert (d["count"], d["mean"], d["max"]) == (2, 2.0, 3.0)
+
+
+def test_average_ranks_with_heavy_ties_across_partitions(spark):
+    import pandas as pd
+    from tabwise.operators.correlation import average_ranks
+    vals = [5.0] * 700 + [float(i % 37) for i in range(600)] + [None] * 3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double").repartition(7)
+    got = {r.id: r.rk for r in average_ranks(df, "x", "rk").collect()}
+    want = pd.Series(vals).rank(method="average")
+    for i, v in enumerate(vals):
+        if v is None:
+            assert got[i] is None
+        else:
+            assert got[i] == want[i]
