@@ -161,8 +161,9 @@ def stratified_kfold_ids(df: DataFrame, id_cols: list[str] | str, label_col: str
 def _id_rank(df: DataFrame, id_cols: list[str]) -> DataFrame:
     """Exact rank in id order (unshuffled folds): range partitioning + partition offsets."""
     from pyspark.sql import Window
+    from tabwise.session import materialize
     ordered = df.repartitionByRange(*id_cols).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.checkpoint(eager=True)  # freeze the range assignment before two reads
+    ordered = materialize(ordered)  # written table: freezes the range assignment before two reads
     sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select("_p", F.coalesce(F.sum("_n").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -26,10 +26,11 @@ def accuracy_of(scored: DataFrame, label: str = "label", prediction: str = "pred
 
 
 def assign_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, stratified: bool = False,
-                 seed: int = 42) -> DataFrame:
-    """Fold ids (exact sizes), persisted because every fold and configuration reads them."""
+                 seed: int = 42, shuffle: bool = True) -> DataFrame:
+    """Fold ids (exact sizes), persisted because every fold and configuration reads them.
+    ``shuffle=False`` gives the unshuffled KFold of the notebooks (folds in id order)."""
     assigned = (stratified_kfold_ids(df, id_col, label, folds, seed) if stratified
-                else kfold_ids(df, id_col, folds, seed))
+                else kfold_ids(df, id_col, folds, seed, shuffle=shuffle))
     return assigned.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -53,9 +54,9 @@ def _run_folds(spark, assigned: DataFrame, label: str, fit, predict, folds: int,
 def cross_validate(spark: SparkSession, df: DataFrame, id_col: str, label: str,
                    fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame],
                    folds: int = 5, stratified: bool = False, seed: int = 42,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, shuffle: bool = True) -> DataFrame:
     """Per-fold accuracy table (fold, n_train, n_test, score)."""
-    assigned = assign_folds(df, id_col, label, folds, stratified, seed)
+    assigned = assign_folds(df, id_col, label, folds, stratified, seed, shuffle)
     out = _run_folds(spark, assigned, label, fit, predict, folds, parallelism)
     out = out.persist()
     out.count()

@@ -801,3 +801,14 @@ def q_corr_spearman_gaps(spark, sf_dir):
     """A13 with NULLs: each pair ranked on its own complete rows (pandas semantics)."""
     m = CO.spearman_matrix(T.orders_with_gaps(spark, sf_dir), ["o_totalprice", "o_custkey"])
     return m.select("col_a", "col_b", r("corr", 6).alias("corr"))
+
+
+@register("kfold_ids_unshuffled", """WITH rk AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders),
+p AS (SELECT count(*) // 5 AS q, count(*) % 5 AS rem FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN r < rem * (q + 1) THEN r // (q + 1)
+                             ELSE rem + (r - rem * (q + 1)) // q END AS INTEGER) AS fold
+FROM rk, p""")
+def q_kfold_ids_unshuffled(spark, sf_dir):
+    """T6 unshuffled (the notebooks' KFold): contiguous folds in id order, exact global rank
+    from range partitions + per-partition offsets."""
+    return SP.kfold_ids(T.orders(spark, sf_dir).select("o_orderkey"), "o_orderkey", 5, shuffle=False)

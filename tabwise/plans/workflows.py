@@ -63,6 +63,7 @@ class ClassificationConfig:
     forest_max_features: object = "sqrt"
     cv_folds: int = 5
     cv_stratified: bool = False
+    cv_shuffle: bool = True                               # False: the notebooks' unshuffled KFold
     cv_model: str = "logistic"
     fill_constants: dict = field(default_factory=dict)   # P8: e.g. {"Gender": "Male"} before imputation
 
@@ -185,7 +186,7 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
             return _scored_class(model, part, 0.5, False)
 
         cv_scores = TU.cross_validate(spark, s_train.drop("split"), cfg.id_col, "label", fit, predict,
-                                      cfg.cv_folds, cfg.cv_stratified, cfg.seed)
+                                      cfg.cv_folds, cfg.cv_stratified, cfg.seed, shuffle=cfg.cv_shuffle)
     best = "logistic" if "logistic" in fitted else next(iter(fitted))
     bundle = Bundle("classification", features,
                     {"model_name": best, "defaults": defaults, "categories": onehot.categories,
