@@ -174,23 +174,31 @@ def vectorize(df: DataFrame, features: list[str] | str, out_col: str = "features
 
 
 def fit_kmeans(df: DataFrame, features: list[str] | str, k: int, init: str = "k-means||",
-               n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> KMeansResult:
+               n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42,
+               parallelism: int = 4) -> KMeansResult:
     """Best of ``n_init`` seeded restarts by WCSS (training cost).
 
     ``init`` accepts 'k-means++' (mapped to Spark's scalable k-means||) or 'random'.
     The caller should cache ``df``; each restart is an iterative Spark job.
     """
     mode = "random" if init == "random" else "k-means||"
-    data = df if "_features" in df.columns else vectorize(df, features, "_features")
-    best = None
-    for r in range(n_init):
+    owned = "_features" not in df.columns
+    # assemble once and share the cached vectors between concurrent restarts
+    data = vectorize(df, features, "_features").persist() if owned else df
+
+    def one(r: int) -> KMeansResult:
         km = KMeans(k=k, initMode=mode, maxIter=max_iter, tol=tol, seed=seed + r,
                     featuresCol="_features", predictionCol="_cluster")
         model = km.fit(data)
-        cost = float(model.summary.trainingCost)
-        if best is None or cost < best.wcss:
-            best = KMeansResult(model, k, cost, seed + r, features)
-    return best
+        return KMeansResult(model, k, float(model.summary.trainingCost), seed + r, features)
+
+    # Restarts are independent fits: run them as concurrent Spark jobs, keep the lowest WCSS
+    # (ties → the earliest seed, as a sequential loop would).
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+        results = list(pool.map(one, range(n_init)))
+    if owned:
+        data.unpersist()
+    return min(results, key=lambda res: (res.wcss, res.seed))
 
 
 def predict_clusters(result: KMeansResult, df: DataFrame, out_col: str = "Cluster") -> DataFrame:
@@ -207,7 +215,7 @@ def cluster_diagnostics(df: DataFrame, features: list[str] | str, k_values, init
     data = ensure_parallelism(vectorize(df, features, "_features")).persist()
 
     def one(k):
-        res = fit_kmeans(data, features, int(k), init, n_init, max_iter, seed=seed)
+        res = fit_kmeans(data, features, int(k), init, n_init, max_iter, seed=seed, parallelism=1)
         labelled = predict_clusters(res, data, "_c")
         return (int(k), res.wcss, silhouette_score(labelled, features, "_c"))
 
