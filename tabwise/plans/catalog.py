@@ -812,3 +812,20 @@ def q_kfold_ids_unshuffled(spark, sf_dir):
     """T6 unshuffled (the notebooks' KFold): contiguous folds in id order, exact global rank
     from range partitions + per-partition offsets."""
     return SP.kfold_ids(T.orders(spark, sf_dir).select("o_orderkey"), "o_orderkey", 5, shuffle=False)
+
+
+@register("ols_two_features", """WITH s AS (SELECT covar_pop(l_quantity, l_quantity) AS sxx, covar_pop(l_discount, l_discount) AS syy,
+  covar_pop(l_quantity, l_discount) AS sxy, covar_pop(l_quantity, l_extendedprice) AS sxt,
+  covar_pop(l_discount, l_extendedprice) AS syt, avg(l_quantity) AS mx, avg(l_discount) AS my,
+  avg(l_extendedprice) AS mt FROM lineitem),
+b AS (SELECT (syy * sxt - sxy * syt) / (sxx * syy - sxy * sxy) AS b1,
+             (sxx * syt - sxy * sxt) / (sxx * syy - sxy * sxy) AS b2, mx, my, mt FROM s)
+SELECT 'intercept' AS term, round(mt - b1 * mx - b2 * my, 4) AS estimate FROM b
+UNION ALL SELECT 'l_quantity', round(b1, 4) FROM b
+UNION ALL SELECT 'l_discount', round(b2, 4) FROM b""")
+def q_ols_two_features(spark, sf_dir):
+    """E1 with two features + M1: normal-equation OLS checked against the closed-form 2×2 solve."""
+    from tabwise.operators.models import coefficient_table, fit_linear
+    li = read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    model = fit_linear(li, ["l_quantity", "l_discount"], "l_extendedprice")
+    return coefficient_table(spark, model).select("term", r("estimate", 4).alias("estimate"))

@@ -11,7 +11,8 @@ ORACLE_FAST = ["null_report", "describe_numeric", "value_counts", "class_shares"
                "threshold_sweep_metrics", "silhouette", "assign_nearest_center", "segment_names",
                "orders_slice", "minmax_train_only", "cv_score_summary", "central_tendency",
                "class_names", "first_test_row", "null_report_before_after", "processed_table_sink",
-               "score_time_encoding", "mae_baseline", "describe_strings", "catalog_counts"]
+               "score_time_encoding", "mae_baseline", "describe_strings", "catalog_counts",
+               "ols_fit", "ols_two_features", "kfold_ids_unshuffled", "corr_spearman_gaps"]
 
 
 def test_entry_smoke(spark):
