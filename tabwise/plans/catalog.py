@@ -707,10 +707,11 @@ def q_sample_rows(spark, sf_dir):
 pm AS (SELECT o_orderpriority AS v FROM og WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1),
 md AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM og),
 im AS (SELECT o_orderkey, o_orderstatus, coalesce(o_totalprice, (SELECT m FROM md)) AS o_totalprice,
-              coalesce(o_orderpriority, (SELECT v FROM pm)) AS o_orderpriority FROM og WHERE o_orderstatus IS NOT NULL),
+              coalesce(o_orderpriority, (SELECT v FROM pm)) AS o_orderpriority FROM og),
 {_strat_quota_sql('im', 'o_orderstatus')},
 rk AS (SELECT im.*, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {T.md5_key_sql(SEED, 'o_orderkey')}, o_orderkey) - 1 AS r FROM im),
-sp AS (SELECT rk.*, CASE WHEN r < test_q THEN 'test' ELSE 'train' END AS split FROM rk JOIN quota ON rk.o_orderstatus = quota.k)
+sp AS (SELECT rk.*, CASE WHEN r < test_q THEN 'test' ELSE 'train' END AS split
+       FROM rk JOIN quota ON rk.o_orderstatus IS NOT DISTINCT FROM quota.k)
 SELECT split, o_orderstatus, count(*) AS n,
        round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share,
        round(avg(o_totalprice), 2) AS mean_totalprice,
@@ -724,8 +725,8 @@ def q_orders_slice(spark, sf_dir):
 def orders_slice(og: DataFrame) -> DataFrame:
     og = og.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     imputed, _ = PR.impute(og, mode_cols=["o_orderpriority"], median_cols=["o_totalprice"])
-    labelled = imputed.where(F.col("o_orderstatus").isNotNull())
-    encoded, _ = PR.one_hot(labelled, ["o_orderpriority"])
+    # every row stays: a missing status is its own stratum
+    encoded, _ = PR.one_hot(imputed, ["o_orderpriority"])
     sp = SP.train_test_split(encoded, "o_orderkey", "o_orderstatus", 0.2, SEED)
     g = sp.groupBy("split", "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_totalprice"),
