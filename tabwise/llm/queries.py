@@ -155,3 +155,32 @@ def op9(spark, sf_dir):
     from tabwise.llm.decontaminate import find_contamination
 
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_spans")
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    from tabwise.llm.language_id import evaluate
+
+    return evaluate(table(spark, sf_dir, "documents"))
+
+
+@query("op8_kneser_ney_scoring")
+def op8(spark, sf_dir):
+    from tabwise.llm.kneser_ney import evaluate
+    from tabwise.llm.language_id import remainder
+
+    return evaluate(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    from tabwise.llm.html_crf import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    from tabwise.llm.toxicity import evaluate
+
+    return evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
