@@ -40,6 +40,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = set("ul ol dl table html body div article section main aside nav header footer form blockquote".split())
 
+REGIONS = set("article main section nav aside header footer form".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -131,7 +133,10 @@ def _place(name: str) -> int:
 
 
 def path_features(path: tuple) -> list[int]:
-    names = ["bias", f"parent={path[-1][0] if path else ''}"]
+    parent = path[-1][0] if path else ""
+    region = next((t for t, _ in reversed(path) if t in REGIONS), "")       # the innermost landmark decides most
+    inside = " ".join(sorted({w for _, words in path for w in words}))
+    names = ["bias", f"parent={parent}", f"region={region}", f"region={region},parent={parent}", f"region={region},words={inside}"]
     for tag, words in path:
         names.append(f"in={tag}")
         names += [f"word={w}" for w in words]
