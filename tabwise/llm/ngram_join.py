@@ -5,11 +5,12 @@ from the start.  Two sets can only be similar when they share one of the first
 ``n - ceil(t n) + 1`` n-grams in any common order, so an inverted index over
 those prefixes finds every candidate.  Two kinds of skipping keep it small:
 
-* Index lists are cut into blocks of equal set size and position.  The overlap
-  still possible after a position bounds a whole pair of blocks, and once a
-  block fails, the later positions of its size fail too.
+* Index lists are sorted into blocks by set size and position.  Of a list, only
+  the blocks whose size and position allow enough overlap are visited, all
+  others are skipped; lists whose sets are connected already are skipped whole.
+  How many prefix n-grams two sets share then bounds their overlap once more.
 * Answers are derived from a highly similar set.  First every set is compared
-  with one leader only, the earlier set that shares most lists with it.
+  with one leader only, the set that comes just before it in most lists.
   Sets that turn out connected need no comparison with each other.  For the
   pairs that are left, a follower's overlap is bounded by its leader's computed
   answer plus the few n-grams that it does not share with the leader, and only
@@ -37,6 +38,8 @@ from tabwise.llm.textarrays import shingle_sets
 MAX_HEAVY, MIN_HEAVY = 1 << 20, 32
 #: N-grams that a task gathers before it sends them on, and about how many one index bucket gets.
 FLUSH, BUCKET = 1 << 21, 1 << 22
+#: Bits of the map that tells which texts may be compared (1 MB).
+BITMAP = 1 << 23
 
 _V16 = np.dtype("V16")
 
@@ -218,65 +221,78 @@ def _possible(size_a, place_a, size_b, place_b, percent: int):
 
 
 def leader_votes(lists: DataFrame, percent: int) -> DataFrame:
-    """(follower, leader, votes): in each list, a set's leader is the first set of a size and position that fit."""
+    """(follower, leader, votes): in each list, a set's leader is the one before it by size and position, if they fit."""
     schema = pa.schema([("follower", pa.binary()), ("leader", pa.binary()), ("votes", pa.int64())])
 
     def vote(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 x = _Lists(row)
-                span = int(x.size.max()) + 1
-                smallest = (percent * x.size + 99) // 100
-                lead = np.searchsorted(x.list * span + x.size, x.list * span + smallest)
-                here = np.arange(len(lead))
-                fits = (lead < here) & _possible(x.size[lead], x.place[lead], x.size, x.place, percent)
+                here = np.arange(1, len(x.list))
+                lead = here - 1
+                fits = ((x.list[lead] == x.list[here]) & (100 * x.size[lead] >= percent * x.size[here])
+                        & _possible(x.size[lead], x.place[lead], x.size[here], x.place[here], percent))
                 width = len(x.sets)
-                pairs, votes = np.unique(x.member[fits] * width + x.member[lead[fits]], return_counts=True)
+                pairs, votes = np.unique(x.member[here[fits]] * width + x.member[lead[fits]], return_counts=True)
                 yield _table(schema, [(x.sets[p // width].tobytes(), x.sets[p % width].tobytes(), int(v))
                                       for p, v in zip(pairs.tolist(), votes.tolist())])
 
     return lists.mapInArrow(vote, "follower binary, leader binary, votes long")
 
 
-def _crossing(x: _Lists, group: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of members of different groups that some list cannot rule out, as member * width + member."""
-    width, found = len(x.sets), [np.zeros(0, np.int64)]
-    starts = np.append(np.flatnonzero(np.diff(x.list, prepend=-1)), len(x.list))
-    for a, b in zip(starts[:-1], starts[1:]):
-        g = group[x.member[a:b]]
-        if (g == g[0]).all():
-            continue                   # the whole list is connected already
-        size, place = x.size[a:b], x.place[a:b]
-        cut = np.append(np.flatnonzero((np.diff(size, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0)), b - a)
-        bs, bp = size[cut[:-1]], place[cut[:-1]]          # blocks of equal size and position, by size then position
-        sizes, at = np.unique(bs, return_index=True)
-        at = np.append(at, len(bs))
-        for i in range(len(bs)):
-            left = np.arange(cut[i], cut[i + 1])
-            for s in range(int(np.searchsorted(sizes, bs[i])), len(sizes)):
-                if 100 * bs[i] < percent * sizes[s]:
-                    break              # this size and all larger ones
-                low, high = max(at[s], i), at[s + 1]
-                ok = _possible(bs[i], bp[i], sizes[s], bp[low:high], percent)
-                high = low + (len(ok) if ok.all() else int(np.argmin(ok)))   # later positions fail too
-                if high <= low:
-                    continue
-                right = np.arange(cut[low], cut[high])
-                step = max(1, FLUSH // len(right))
-                for k in range(0, len(left), step):
-                    l, r = np.repeat(left[k:k + step], len(right)), np.tile(right, len(left[k:k + step]))
-                    l, r = l[g[l] != g[r]], r[g[l] != g[r]]
-                    l, r = x.member[a + l], x.member[a + r]
-                    found.append(np.unique(np.minimum(l, r) * width + np.maximum(l, r)))
-    return np.unique(np.concatenate(found))
+def _crossing(x: _Lists, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of different groups (as member * width + member) and how many lists they share here.
+
+    In each list the largest group is compared with the other sets, and these
+    with each other; nothing within a group.  At a common n-gram with positions
+    i and j, similar sets have min(i, j) common n-grams before it at most, and
+    the rest after it: other blocks of positions are skipped.
+    """
+    width, span = len(x.sets), int(x.size.max()) + 1
+    g = group[x.member]
+    kind = x.list * width + g
+    kinds, inverse, count = np.unique(kind, return_inverse=True, return_counts=True)
+    order = np.lexsort((count, kinds // width))
+    last = np.flatnonzero(np.diff(kinds[order] // width, append=-1))
+    major = np.zeros(int(x.list.max()) + 1, np.int64)
+    major[kinds[order][last] // width] = kinds[order][last]
+    is_major = kind == major[x.list]
+    rest = np.flatnonzero(~is_major)
+    if not len(rest):
+        return
+    most = np.flatnonzero(is_major)
+    largest = 100 * x.size[rest] // percent
+    at = x.list * span + x.size
+    top = x.list[rest] * span + np.minimum(largest, span - 1)
+    for others, low in ((most, np.searchsorted(at[most], x.list[rest] * span + (percent * x.size[rest] + 99) // 100)),
+                        (rest, np.arange(1, len(rest) + 1))):
+        high = np.maximum(np.searchsorted(at[others], top, "right"), low)
+        done = np.concatenate([[0], np.cumsum(high - low)])
+        row = 0
+        while row < len(rest):
+            end = max(row + 1, int(np.searchsorted(done, done[row] + FLUSH, "right")) - 1)
+            n = (high - low)[row:end]
+            left = np.repeat(rest[row:end], n)
+            right = others[np.arange(done[row], done[end]) - np.repeat(done[row:end] - low[row:end], n)]
+            row = end
+            i, j = x.place[left], x.place[right]
+            fits = (np.minimum(i, j) + np.minimum(x.size[left] - i, x.size[right] - j) >= _needed(x.size[left], x.size[right], percent)) \
+                & (g[left] != g[right])
+            l, r = x.member[left[fits]], x.member[right[fits]]
+            if len(l):
+                yield np.unique(np.minimum(l, r) * width + np.maximum(l, r), return_counts=True)
 
 
 def crossing_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of sets in different groups; ``groups (set_id, component)`` of connected sets."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    """Candidate pairs (a, b, n_a, n_b) of sets in different groups; ``groups (set_id, component)`` of connected sets.
+
+    Common n-grams of similar sets are all found, as far as the shorter of the
+    two prefixes goes; what comes after it is at most the rest of that set.
+    """
+    kind = pa.schema([("bucket", pa.int64()), ("set_id", pa.binary())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("shared", pa.int64())])
 
     def own_sets(batches):
-        kind = pa.schema([("bucket", pa.int64()), ("set_id", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
                 sets = np.frombuffer(row["sets"], _V16)
@@ -285,36 +301,74 @@ def crossing_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
         known = dict(zip(right["set_id"].to_pylist(), right["component"].to_pylist()))
-        out = []
+        out = [_table(schema, [])]
         for row in left.to_pylist():
             x = _Lists(row)
             names = [s.tobytes() for s in x.sets]
-            _, group = np.unique(np.array([known.get(s, s).hex() for s in names]), return_inverse=True)
-            width = len(names)
-            out += [tuple(sorted((names[p // width], names[p % width]))) for p in _crossing(x, group, percent).tolist()]
-        return pa.Table.from_batches([_table(schema, out)], schema=schema)
+            number: dict[bytes, int] = {}
+            group = np.array([number.setdefault(known.get(s, s), len(number)) for s in names])
+            size = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+            column, width = pa.array(names, pa.binary()), len(names)
+            for pairs, shared in _crossing(x, group, percent):
+                a, b = pairs // width, pairs % width
+                out.append(pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b)), pa.array(size[a]), pa.array(size[b]),
+                                                       pa.array(shared.astype(np.int64))], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     where = lists.mapInArrow(own_sets, "bucket long, set_id binary").join(groups, "set_id")
-    return (lists.groupBy("bucket").cogroup(where.groupBy("bucket"))
-            .applyInArrow(cross, "a binary, b binary").distinct())
+    pairs = (lists.groupBy("bucket").cogroup(where.groupBy("bucket"))
+             .applyInArrow(cross, "a binary, b binary, n_a long, n_b long, shared long"))
+    flip = F.col("a") > F.col("b")
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
+                           F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "shared")
+    after = f"(({percent} * greatest(n_a, n_b) + 99) div 100 - 1)"
+    return (ordered.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+            .where(f"shared + {after} >= (({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})").drop("shared"))
+
+
+def wanted_bits(lists: DataFrame) -> np.ndarray:
+    """A bit map, of fixed size, of the hashes of all sets that share a list: whatever is not in it is not wanted."""
+    kind = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+    parts = 256
+
+    def mark(batches):
+        bits = np.zeros(BITMAP, bool)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                bits[np.frombuffer(blob, np.uint32)[::4] % BITMAP] = True
+        for k, part in enumerate(np.packbits(bits).reshape(parts, -1)):
+            if part.any():
+                yield _table(kind, [(k, part.tobytes())])
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
+        return pa.Table.from_batches([_table(kind, [(table["part"][0].as_py(), np.bitwise_or.reduce(rows).tobytes())])], schema=kind)
+
+    out = np.zeros((parts, BITMAP // 8 // parts), np.uint8)
+    merged = lists.select("sets").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
+    for row in merged.collect():       # 256 rows of 4 KB
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
 
 
-def set_texts(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(set_id, text): one text for every set of ``wanted (set_id)``."""
+def set_texts(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
+    """(set_id, text): one text for every set that the bit map has."""
     schema = pa.schema([("set_id", pa.binary()), ("text", pa.string())])
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def texts(batches):
+        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             keep = []
             for digest, _, text in _distinct_sets([batch], size):
-                keep.append((digest, text.as_py()))
+                if wanted[int.from_bytes(digest[:4], "little") % BITMAP]:
+                    keep.append((digest, text.as_py()))
                 if len(keep) >= 256:
                     yield _table(schema, keep)
                     keep = []
             yield _table(schema, keep)
 
-    return (docs.select("text").mapInArrow(texts, "set_id binary, text string")
-            .join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
+    return docs.select("text").mapInArrow(texts, "set_id binary, text string").dropDuplicates(["set_id"])
 
 
 def pair_overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -362,10 +416,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     votes = leader_votes(lists, percent).groupBy("follower", "leader").agg(F.sum("votes").alias("votes"))
     led = scratch.write(votes.groupBy("follower").agg(F.max(F.struct("votes", "leader"))["leader"].alias("leader")), "led")
-    # Any candidate pair passes its length and position test in some list, and so has a leader there.
-    wanted = led.select(F.explode(F.array("follower", "leader")).alias("set_id")).distinct()
-    wanted = wanted.unionByName(_listed_sets(lists)).distinct()
-    texts = scratch.write(set_texts(docs, size, wanted), "texts")
+    texts = scratch.write(set_texts(docs, size, wanted_bits(lists)), "texts")
 
     linked = F.expr(f"100 * overlap >= {percent} * (size_a + size_b - overlap)")
     answers = scratch.write(pair_overlaps(led.select(F.col("leader").alias("a"), F.col("follower").alias("b")), texts, size)
@@ -374,7 +425,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     crossing = scratch.write(crossing_pairs(lists, groups, percent), "crossing")
     links = answers.where("linked").select("a", "b")
     if not crossing.isEmpty():
-        links = links.unionByName(_compare_rest(crossing, answers, profiles, texts, scratch, size, percent))
+        links = links.unionByName(_compare_rest(crossing, answers, texts, scratch, size, percent))
     groups = connected_components(links, scratch, "all")
     scratch.drop("lists", "texts", "crossing", "led")
 
@@ -385,19 +436,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _listed_sets(lists: DataFrame) -> DataFrame:
-    def sets(batches):
-        kind = pa.schema([("set_id", pa.binary())])
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                names = {s.tobytes() for s in np.frombuffer(blob, _V16)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.binary())], schema=kind)
-
-    return lists.select("sets").mapInArrow(sets, "set_id binary")
-
-
-def _compare_rest(crossing: DataFrame, answers: DataFrame, profiles: DataFrame, texts: DataFrame, scratch: Scratch,
-                  size: int, percent: int) -> DataFrame:
+def _compare_rest(crossing: DataFrame, answers: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Links (a, b) among the crossing pairs: pivots first, then those followers' pairs that the answers cannot rule out."""
     linked = answers.where("linked")
     followers = linked.select(F.col("b").alias("leader")).distinct()
@@ -405,13 +444,13 @@ def _compare_rest(crossing: DataFrame, answers: DataFrame, profiles: DataFrame,
     pivots = scratch.write(
         linked.select(F.col("b").alias("set_id"), F.col("a").alias("leader"), "overlap", F.col("size_a").alias("pivot_size"))
         .join(followers, "leader", "left_anti").select("set_id", F.col("leader").alias("pivot"), "overlap", "pivot_size"), "pivots")
-    sizes = profiles.where("n > 0").select("set_id", "n").distinct()
     pairs = crossing
     for end in ("a", "b"):
-        own = (crossing.select(F.col(end).alias("set_id")).distinct().join(sizes, "set_id").join(pivots, "set_id", "left")
-               .select(F.col("set_id").alias(end), F.col("n").alias(f"n_{end}"), F.coalesce("pivot", "set_id").alias(f"p_{end}"),
-                       F.coalesce("pivot_size", "n").alias(f"pn_{end}"), (F.col("n") - F.coalesce("overlap", "n")).alias(f"rest_{end}")))
-        pairs = pairs.join(own, end)
+        own = pivots.select(F.col("set_id").alias(end), F.col("pivot").alias(f"p_{end}"), F.col("pivot_size").alias(f"pn_{end}"),
+                            F.col("overlap").alias(f"o_{end}"))
+        pairs = (pairs.join(own, end, "left")
+                 .withColumns({f"p_{end}": F.coalesce(f"p_{end}", end), f"pn_{end}": F.coalesce(f"pn_{end}", f"n_{end}"),
+                               f"rest_{end}": F.col(f"n_{end}") - F.coalesce(f"o_{end}", f"n_{end}")}).drop(f"o_{end}"))
     pairs = scratch.write(pairs.select("a", "b", "n_a", "n_b", "pn_a", "pn_b", (F.col("rest_a") + F.col("rest_b")).alias("rest"),
                                        F.least("p_a", "p_b").alias("low"), F.greatest("p_a", "p_b").alias("high")), "pairs")
     is_pivot = (F.col("low") == F.least("a", "b")) & (F.col("high") == F.greatest("a", "b"))
