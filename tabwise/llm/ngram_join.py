@@ -215,9 +215,10 @@ class _Lists:
 
 
 def _possible(size_a, place_a, size_b, place_b, percent: int):
-    """Whether sets can be similar of which the first common n-gram is at these positions."""
-    rest = np.minimum(size_a - place_a, size_b - place_b)
-    return rest >= _needed(size_a, size_b, percent)
+    """Whether sets can be similar that have a common n-gram at these positions: as many before it as the
+    earlier position allows, and all that follows it."""
+    reach = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    return reach >= _needed(size_a, size_b, percent)
 
 
 def leader_votes(lists: DataFrame, percent: int) -> DataFrame:
@@ -275,9 +276,7 @@ def _crossing(x: _Lists, group: np.ndarray, percent: int) -> Iterator[tuple[np.n
             left = np.repeat(rest[row:end], n)
             right = others[np.arange(done[row], done[end]) - np.repeat(done[row:end] - low[row:end], n)]
             row = end
-            i, j = x.place[left], x.place[right]
-            fits = (np.minimum(i, j) + np.minimum(x.size[left] - i, x.size[right] - j) >= _needed(x.size[left], x.size[right], percent)) \
-                & (g[left] != g[right])
+            fits = _possible(x.size[left], x.place[left], x.size[right], x.place[right], percent) & (g[left] != g[right])
             l, r = x.member[left[fits]], x.member[right[fits]]
             if len(l):
                 yield np.unique(np.minimum(l, r) * width + np.maximum(l, r), return_counts=True)
