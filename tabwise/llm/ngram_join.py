@@ -10,7 +10,7 @@ those prefixes finds every candidate.  Two kinds of skipping keep it small:
   others are skipped; lists whose sets are connected already are skipped whole.
   How many prefix n-grams two sets share then bounds their overlap once more.
 * Answers are derived from a highly similar set.  First every set is compared
-  with one leader only, the set that comes just before it in most lists.
+  with two leaders only: its neighbour and the hub in most of its lists.
   Sets that turn out connected need no comparison with each other.  For the
   pairs that are left, a follower's overlap is bounded by its leader's computed
   answer plus the few n-grams that it does not share with the leader, and only
@@ -35,7 +35,7 @@ from tabwise.llm.scratch import Scratch
 from tabwise.llm.textarrays import shingle_sets
 
 #: Bound for the broadcast table of frequent n-grams, and the least document frequency that counts as frequent.
-MAX_HEAVY, MIN_HEAVY = 1 << 20, 32
+MAX_HEAVY, MIN_HEAVY = 1 << 22, 32
 #: N-grams that a task gathers before it sends them on, and about how many one index bucket gets.
 FLUSH, BUCKET = 1 << 21, 1 << 22
 #: Bits of the map that tells which texts may be compared (1 MB).
@@ -214,34 +214,82 @@ class _Lists:
         self.list = np.cumsum(np.diff(np.frombuffer(row["keys"], np.uint32).astype(np.int64), prepend=-1) != 0)
 
 
-def _possible(size_a, place_a, size_b, place_b, percent: int):
-    """Whether sets can be similar that have a common n-gram at these positions: as many before it as the
-    earlier position allows, and all that follows it."""
-    reach = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
-    return reach >= _needed(size_a, size_b, percent)
+def _possible(x: _Lists, degree: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of two postings of a list can be similar.
+
+    By position: they have as many common n-grams before this one as the
+    earlier position allows, and all that follows it.  By degree: in the
+    prefixes they share at most the lists of the set that is in fewer, and
+    after them at most the rest of one set.
+    """
+    a, b, i, j = x.size[one], x.size[other], x.place[one], x.place[other]
+    needed, large = _needed(a, b, percent), np.maximum(a, b)
+    shared = np.minimum(degree[x.member[one]], degree[x.member[other]])
+    return ((100 * np.minimum(a, b) >= percent * large) & (np.minimum(i, j) + np.minimum(a - i, b - j) >= needed)
+            & (shared + (percent * large + 99) // 100 - 1 >= needed))
 
 
-def leader_votes(lists: DataFrame, percent: int) -> DataFrame:
-    """(follower, leader, votes): in each list, a set's leader is the one before it by size and position, if they fit."""
-    schema = pa.schema([("follower", pa.binary()), ("leader", pa.binary()), ("votes", pa.int64())])
+def list_degrees(lists: DataFrame) -> DataFrame:
+    """(set_id, degree): in how many lists each set is, that is, how many of its prefix n-grams others have too."""
+    kind = pa.schema([("set_id", pa.binary()), ("degree", pa.int64())])
 
-    def vote(batches):
+    def degrees(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 x = _Lists(row)
-                here = np.arange(1, len(x.list))
-                lead = here - 1
-                fits = ((x.list[lead] == x.list[here]) & (100 * x.size[lead] >= percent * x.size[here])
-                        & _possible(x.size[lead], x.place[lead], x.size[here], x.place[here], percent))
-                width = len(x.sets)
-                pairs, votes = np.unique(x.member[here[fits]] * width + x.member[lead[fits]], return_counts=True)
-                yield _table(schema, [(x.sets[p // width].tobytes(), x.sets[p % width].tobytes(), int(v))
-                                      for p, v in zip(pairs.tolist(), votes.tolist())])
+                yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in x.sets], pa.binary()),
+                                                  pa.array(np.bincount(x.member, minlength=len(x.sets)), pa.int64())], schema=kind)
+
+    return lists.mapInArrow(degrees, "set_id binary, degree long").groupBy("set_id").agg(F.sum("degree").alias("degree"))
+
+
+def _with_sets(lists: DataFrame, known: DataFrame, fn, schema: pa.Schema, sql: str) -> DataFrame:
+    """Apply ``fn(lists, degree, group, sets)`` to each bucket; ``known (set_id, degree, component)`` of all listed sets."""
+    kind = pa.schema([("bucket", pa.int64()), ("set_id", pa.binary())])
+
+    def own_sets(batches):
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sets = np.frombuffer(blob, _V16)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(sets), pa.int64()),
+                                                  pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = dict(zip(right["set_id"].to_pylist(), zip(right["degree"].to_pylist(), right["component"].to_pylist())))
+        out = [_table(schema, [])]
+        for row in left.to_pylist():
+            x = _Lists(row)
+            names = [s.tobytes() for s in x.sets]
+            number: dict[bytes, int] = {}
+            group = np.array([number.setdefault(of[s][1], len(number)) for s in names])
+            out += fn(x, np.array([of[s][0] for s in names]), group, pa.array(names, pa.binary()))
+        return pa.Table.from_batches(out, schema=schema)
 
-    return lists.mapInArrow(vote, "follower binary, leader binary, votes long")
+    where = lists.select("bucket", "sets").mapInArrow(own_sets, "bucket long, set_id binary").join(known, "set_id")
+    return lists.groupBy("bucket").cogroup(where.groupBy("bucket")).applyInArrow(apply, sql)
 
 
-def _crossing(x: _Lists, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leader_votes(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(follower, leader, hub, votes): in each list, a set votes for the set before it by size and position,
+    and for the list's hub, the set that is in most lists (so it has least of its own), if they fit."""
+    schema = pa.schema([("follower", pa.binary()), ("leader", pa.binary()), ("hub", pa.bool_()), ("votes", pa.int64())])
+
+    def vote(x: _Lists, degree, group, sets) -> list[pa.RecordBatch]:
+        width, here, out = len(sets), np.arange(len(x.list)), []
+        order = np.lexsort((x.member, -degree[x.member], x.list))
+        first = order[np.flatnonzero(np.diff(x.list[order], prepend=-1))]
+        hubs = first[np.searchsorted(x.list[first], x.list)]
+        for hub, lead in ((False, np.maximum(here - 1, 0)), (True, hubs)):
+            fits = (x.list[lead] == x.list) & (lead != here) & _possible(x, degree, lead, here, percent)
+            pairs, votes = np.unique(x.member[fits] * width + x.member[lead[fits]], return_counts=True)
+            out.append(pa.RecordBatch.from_arrays([sets.take(pa.array(pairs // width)), sets.take(pa.array(pairs % width)),
+                                                   pa.array([hub] * len(pairs), pa.bool_()), pa.array(votes, pa.int64())], schema=schema))
+        return out
+
+    return _with_sets(lists, known, vote, schema, "follower binary, leader binary, hub boolean, votes long")
+
+
+def _crossing(x: _Lists, degree: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members of different groups (as member * width + member) and how many lists they share here.
 
     In each list the largest group is compared with the other sets, and these
@@ -276,47 +324,31 @@ def _crossing(x: _Lists, group: np.ndarray, percent: int) -> Iterator[tuple[np.n
             left = np.repeat(rest[row:end], n)
             right = others[np.arange(done[row], done[end]) - np.repeat(done[row:end] - low[row:end], n)]
             row = end
-            fits = _possible(x.size[left], x.place[left], x.size[right], x.place[right], percent) & (g[left] != g[right])
+            fits = _possible(x, degree, left, right, percent) & (g[left] != g[right])
             l, r = x.member[left[fits]], x.member[right[fits]]
             if len(l):
                 yield np.unique(np.minimum(l, r) * width + np.maximum(l, r), return_counts=True)
 
 
-def crossing_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b, n_a, n_b) of sets in different groups; ``groups (set_id, component)`` of connected sets.
+def crossing_pairs(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, n_a, n_b) of sets in different components.
 
     Common n-grams of similar sets are all found, as far as the shorter of the
     two prefixes goes; what comes after it is at most the rest of that set.
     """
-    kind = pa.schema([("bucket", pa.int64()), ("set_id", pa.binary())])
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("shared", pa.int64())])
 
-    def own_sets(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                sets = np.frombuffer(row["sets"], _V16)
-                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(sets), pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
-
-    def cross(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["set_id"].to_pylist(), right["component"].to_pylist()))
-        out = [_table(schema, [])]
-        for row in left.to_pylist():
-            x = _Lists(row)
-            names = [s.tobytes() for s in x.sets]
-            number: dict[bytes, int] = {}
-            group = np.array([number.setdefault(known.get(s, s), len(number)) for s in names])
-            size = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-            column, width = pa.array(names, pa.binary()), len(names)
-            for pairs, shared in _crossing(x, group, percent):
-                a, b = pairs // width, pairs % width
-                out.append(pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b)), pa.array(size[a]), pa.array(size[b]),
-                                                       pa.array(shared.astype(np.int64))], schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
-
-    where = lists.mapInArrow(own_sets, "bucket long, set_id binary").join(groups, "set_id")
-    pairs = (lists.groupBy("bucket").cogroup(where.groupBy("bucket"))
-             .applyInArrow(cross, "a binary, b binary, n_a long, n_b long, shared long"))
+    def cross(x: _Lists, degree, group, sets) -> list[pa.RecordBatch]:
+        width, out = len(sets), []
+        size = np.zeros(width, np.int64)
+        size[x.member] = x.size
+        for pairs, shared in _crossing(x, degree, group, percent):
+            a, b = pairs // width, pairs % width
+            out.append(pa.RecordBatch.from_arrays([sets.take(pa.array(a)), sets.take(pa.array(b)), pa.array(size[a]), pa.array(size[b]),
+                                                   pa.array(shared, pa.int64())], schema=schema))
+        return out
+
+    pairs = _with_sets(lists, known, cross, schema, "a binary, b binary, n_a long, n_b long, shared long")
     flip = F.col("a") > F.col("b")
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
                            F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "shared")
@@ -413,20 +445,24 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     postings = prefix_postings(docs, size, percent, bits, broadcast(heavy), broadcast(counts))
     lists = scratch.write(postings.groupBy("bucket").applyInArrow(_merge_lists, _LISTS_SQL), "lists")
 
-    votes = leader_votes(lists, percent).groupBy("follower", "leader").agg(F.sum("votes").alias("votes"))
-    led = scratch.write(votes.groupBy("follower").agg(F.max(F.struct("votes", "leader"))["leader"].alias("leader")), "led")
+    degrees = scratch.write(list_degrees(lists), "degrees")
+    alone = degrees.withColumn("component", F.col("set_id"))
+    votes = leader_votes(lists, alone, percent).groupBy("follower", "leader", "hub").agg(F.sum("votes").alias("votes"))
+    led = scratch.write(votes.groupBy("follower", "hub").agg(F.max(F.struct("votes", "leader"))["leader"].alias("leader"))
+                        .select("follower", "leader").distinct(), "led")
     texts = scratch.write(set_texts(docs, size, wanted_bits(lists)), "texts")
 
     linked = F.expr(f"100 * overlap >= {percent} * (size_a + size_b - overlap)")
     answers = scratch.write(pair_overlaps(led.select(F.col("leader").alias("a"), F.col("follower").alias("b")), texts, size)
                             .withColumn("linked", linked), "answers0")
     groups = connected_components(answers.where("linked").select("a", "b"), scratch, "first").withColumnRenamed("node", "set_id")
-    crossing = scratch.write(crossing_pairs(lists, groups, percent), "crossing")
+    known = degrees.join(groups, "set_id", "left").select("set_id", "degree", F.coalesce("component", "set_id").alias("component"))
+    crossing = scratch.write(crossing_pairs(lists, known, percent), "crossing")
     links = answers.where("linked").select("a", "b")
     if not crossing.isEmpty():
         links = links.unionByName(_compare_rest(crossing, answers, texts, scratch, size, percent))
     groups = connected_components(links, scratch, "all")
-    scratch.drop("lists", "texts", "crossing", "led")
+    scratch.drop("lists", "texts", "crossing", "led", "degrees")
 
     named = profiles.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left") \
         .select("doc_id", "n", F.coalesce("component", "set_id").alias("component"))
