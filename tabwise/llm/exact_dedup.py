@@ -40,7 +40,9 @@ def digest_state(digests: DataFrame, scratch: Scratch) -> DataFrame:
     spark = scratch.spark
     best = F.struct("n_points", F.bitwise_not("doc_id").alias("inverted"), "locator")
     counted = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("keep"))
-    with session_conf(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKSDB):
+    # Many small stores: no disk set aside beforehand for their logs.
+    with session_conf(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKSDB), \
+            session_conf(spark, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"):
         query = (counted.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
                  .option("checkpointLocation", scratch.path("state")).start())
         query.awaitTermination()
