@@ -6,34 +6,46 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwise.llm.decontaminate import remove_contaminated
 from tabwise.llm.exact_dedup import exact_dedup
+from tabwise.llm.language_id import keep_identified, remainder, train_language_model
 from tabwise.llm.ngram_join import similar_components
 from tabwise.llm.packing import best_fit_packing
 from tabwise.llm.queries import tokenizer_path
 from tabwise.llm.scratch import Scratch
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined; learned from those whose crc32(doc_id) mod 3 is not 1."""
+    return keep_identified(docs, train_language_model(docs.where(remainder(F.col("doc_id"), 3) != 1)))
+
+
 def _keep_ids(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep (doc_id)``, one row for each id, with the columns of ``docs``."""
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The rows of ``docs`` whose doc_id is in ``keep (doc_id)``, rows without id stay."""
+    kept = docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return _keep_ids(docs, exact_dedup(docs).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 5-word shingles at Jaccard 0.8 or more."""
     return _keep_ids(docs, similar_components(docs).where("component_id = doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark's passages do not contaminate."""
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in packed sequences."""
     return best_fit_packing(docs, tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact), ("near_duplicates", near), ("decontamination", decontaminated), ("packing", packed)]
+STAGES = [("language_id", identified), ("exact_dedup", exact), ("near_duplicates", near),
+          ("decontamination", decontaminated), ("packing", packed)]
 
 #: Tokenisation and best-fit packing cannot be said in SQL.
 ORACLE_SQL = None
