@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,15 @@ class _Lists:
         self.list = np.cumsum(np.diff(np.frombuffer(row["keys"], np.uint32).astype(np.int64), prepend=-1) != 0)
 
 
+class _Sets(NamedTuple):
+    """What is known of a bucket's sets."""
+
+    degree: np.ndarray     #: lists it is in, over all buckets
+    group: np.ndarray      #: component so far
+    hub: np.ndarray        #: the hub it was compared with
+    overlap: np.ndarray    #: and the computed overlap with that; -1 if the hub is the set itself
+
+
 def _possible(x: _Lists, degree: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sets of two postings of a list can be similar.
 
@@ -229,6 +239,25 @@ def _possible(x: _Lists, degree: np.ndarray, one: np.ndarray, other: np.ndarray,
             & (shared + (percent * large + 99) // 100 - 1 >= needed))
 
 
+def _derivable(x: _Lists, sets: _Sets, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two postings' sets can be similar, by their answers for a hub that both were compared with.
+
+    They share at most what either shares with the hub, and of what is outside
+    the hub the lesser part.  Prefix n-grams that no other prefix has are no
+    common ones, for that set of the two whose prefix ends first.
+    """
+    a, b = x.member[one], x.member[other]
+    with_hub, out, bare = [], [], []
+    for m, size in ((a, x.size[one]), (b, x.size[other])):
+        o = np.where(sets.overlap[m] < 0, size, sets.overlap[m])
+        alone = _prefix(size, percent) - sets.degree[m]
+        with_hub.append(o)
+        out.append(size - o)
+        bare.append(np.maximum(size - o - alone, 0))
+    bound = np.minimum(*with_hub) + np.maximum(np.minimum(bare[0], out[1]), np.minimum(out[0], bare[1]))
+    return (sets.hub[a] != sets.hub[b]) | (bound >= _needed(x.size[one], x.size[other], percent))
+
+
 def list_degrees(lists: DataFrame) -> DataFrame:
     """(set_id, degree): in how many lists each set is, that is, how many of its prefix n-grams others have too."""
     kind = pa.schema([("set_id", pa.binary()), ("degree", pa.int64())])
@@ -244,7 +273,7 @@ def list_degrees(lists: DataFrame) -> DataFrame:
 
 
 def _with_sets(lists: DataFrame, known: DataFrame, fn, schema: pa.Schema, sql: str) -> DataFrame:
-    """Apply ``fn(lists, degree, group, sets)`` to each bucket; ``known (set_id, degree, component)`` of all listed sets."""
+    """Apply ``fn(lists, sets, names)`` to each bucket; ``known (set_id, degree, component, hub, overlap)`` of all listed sets."""
     kind = pa.schema([("bucket", pa.int64()), ("set_id", pa.binary())])
 
     def own_sets(batches):
@@ -255,14 +284,16 @@ def _with_sets(lists: DataFrame, known: DataFrame, fn, schema: pa.Schema, sql: s
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = dict(zip(right["set_id"].to_pylist(), zip(right["degree"].to_pylist(), right["component"].to_pylist())))
+        of = dict(zip(right["set_id"].to_pylist(), zip(*(right[c].to_pylist() for c in ("degree", "component", "hub", "overlap")))))
         out = [_table(schema, [])]
         for row in left.to_pylist():
             x = _Lists(row)
             names = [s.tobytes() for s in x.sets]
             number: dict[bytes, int] = {}
             group = np.array([number.setdefault(of[s][1], len(number)) for s in names])
-            out += fn(x, np.array([of[s][0] for s in names]), group, pa.array(names, pa.binary()))
+            hub = np.array([number.setdefault(of[s][2], len(number)) for s in names])
+            sets = _Sets(np.array([of[s][0] for s in names]), group, hub, np.array([of[s][3] for s in names]))
+            out += fn(x, sets, pa.array(names, pa.binary()))
         return pa.Table.from_batches(out, schema=schema)
 
     where = lists.select("bucket", "sets").mapInArrow(own_sets, "bucket long, set_id binary").join(known, "set_id")
@@ -274,22 +305,22 @@ def leader_votes(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     and for the list's hub, the set that is in most lists (so it has least of its own), if they fit."""
     schema = pa.schema([("follower", pa.binary()), ("leader", pa.binary()), ("hub", pa.bool_()), ("votes", pa.int64())])
 
-    def vote(x: _Lists, degree, group, sets) -> list[pa.RecordBatch]:
-        width, here, out = len(sets), np.arange(len(x.list)), []
+    def vote(x: _Lists, sets: _Sets, names: pa.Array) -> list[pa.RecordBatch]:
+        width, here, out, degree = len(names), np.arange(len(x.list)), [], sets.degree
         order = np.lexsort((x.member, -degree[x.member], x.list))
         first = order[np.flatnonzero(np.diff(x.list[order], prepend=-1))]
         hubs = first[np.searchsorted(x.list[first], x.list)]
         for hub, lead in ((False, np.maximum(here - 1, 0)), (True, hubs)):
             fits = (x.list[lead] == x.list) & (lead != here) & _possible(x, degree, lead, here, percent)
             pairs, votes = np.unique(x.member[fits] * width + x.member[lead[fits]], return_counts=True)
-            out.append(pa.RecordBatch.from_arrays([sets.take(pa.array(pairs // width)), sets.take(pa.array(pairs % width)),
+            out.append(pa.RecordBatch.from_arrays([names.take(pa.array(pairs // width)), names.take(pa.array(pairs % width)),
                                                    pa.array([hub] * len(pairs), pa.bool_()), pa.array(votes, pa.int64())], schema=schema))
         return out
 
     return _with_sets(lists, known, vote, schema, "follower binary, leader binary, hub boolean, votes long")
 
 
-def _crossing(x: _Lists, degree: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _crossing(x: _Lists, sets: _Sets, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members of different groups (as member * width + member) and how many lists they share here.
 
     In each list the largest group is compared with the other sets, and these
@@ -298,7 +329,7 @@ def _crossing(x: _Lists, degree: np.ndarray, group: np.ndarray, percent: int) ->
     the rest after it: other blocks of positions are skipped.
     """
     width, span = len(x.sets), int(x.size.max()) + 1
-    g = group[x.member]
+    g = sets.group[x.member]
     kind = x.list * width + g
     kinds, inverse, count = np.unique(kind, return_inverse=True, return_counts=True)
     order = np.lexsort((count, kinds // width))
@@ -324,7 +355,7 @@ def _crossing(x: _Lists, degree: np.ndarray, group: np.ndarray, percent: int) ->
             left = np.repeat(rest[row:end], n)
             right = others[np.arange(done[row], done[end]) - np.repeat(done[row:end] - low[row:end], n)]
             row = end
-            fits = _possible(x, degree, left, right, percent) & (g[left] != g[right])
+            fits = _possible(x, sets.degree, left, right, percent) & (g[left] != g[right]) & _derivable(x, sets, left, right, percent)
             l, r = x.member[left[fits]], x.member[right[fits]]
             if len(l):
                 yield np.unique(np.minimum(l, r) * width + np.maximum(l, r), return_counts=True)
@@ -338,13 +369,13 @@ def crossing_pairs(lists: DataFrame, known: DataFrame, percent: int) -> DataFram
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("shared", pa.int64())])
 
-    def cross(x: _Lists, degree, group, sets) -> list[pa.RecordBatch]:
-        width, out = len(sets), []
+    def cross(x: _Lists, sets: _Sets, names: pa.Array) -> list[pa.RecordBatch]:
+        width, out = len(names), []
         size = np.zeros(width, np.int64)
         size[x.member] = x.size
-        for pairs, shared in _crossing(x, degree, group, percent):
+        for pairs, shared in _crossing(x, sets, percent):
             a, b = pairs // width, pairs % width
-            out.append(pa.RecordBatch.from_arrays([sets.take(pa.array(a)), sets.take(pa.array(b)), pa.array(size[a]), pa.array(size[b]),
+            out.append(pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(size[a]), pa.array(size[b]),
                                                    pa.array(shared, pa.int64())], schema=schema))
         return out
 
@@ -446,17 +477,21 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     lists = scratch.write(postings.groupBy("bucket").applyInArrow(_merge_lists, _LISTS_SQL), "lists")
 
     degrees = scratch.write(list_degrees(lists), "degrees")
-    alone = degrees.withColumn("component", F.col("set_id"))
+    alone = degrees.withColumns({"component": F.col("set_id"), "hub": F.col("set_id"), "overlap": F.lit(-1).cast("long")})
     votes = leader_votes(lists, alone, percent).groupBy("follower", "leader", "hub").agg(F.sum("votes").alias("votes"))
     led = scratch.write(votes.groupBy("follower", "hub").agg(F.max(F.struct("votes", "leader"))["leader"].alias("leader"))
-                        .select("follower", "leader").distinct(), "led")
+                        .groupBy("follower", "leader").agg(F.bool_or("hub").alias("hub")), "led")
     texts = scratch.write(set_texts(docs, size, wanted_bits(lists)), "texts")
 
     linked = F.expr(f"100 * overlap >= {percent} * (size_a + size_b - overlap)")
     answers = scratch.write(pair_overlaps(led.select(F.col("leader").alias("a"), F.col("follower").alias("b")), texts, size)
                             .withColumn("linked", linked), "answers0")
     groups = connected_components(answers.where("linked").select("a", "b"), scratch, "first").withColumnRenamed("node", "set_id")
-    known = degrees.join(groups, "set_id", "left").select("set_id", "degree", F.coalesce("component", "set_id").alias("component"))
+    hubs = (led.where("hub").select(F.col("leader").alias("a"), F.col("follower").alias("b")).join(answers, ["a", "b"])
+            .select(F.col("b").alias("set_id"), F.col("a").alias("hub"), "overlap"))
+    known = (degrees.join(groups, "set_id", "left").join(hubs, "set_id", "left")
+             .select("set_id", "degree", F.coalesce("component", "set_id").alias("component"),
+                     F.coalesce("hub", "set_id").alias("hub"), F.coalesce("overlap", F.lit(-1)).alias("overlap")))
     crossing = scratch.write(crossing_pairs(lists, known, percent), "crossing")
     links = answers.where("linked").select("a", "b")
     if not crossing.isEmpty():
