@@ -63,3 +63,12 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     """Names of numeric columns in schema order (``select_dtypes('number')``)."""
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
+
+
+#: Decimal numbers as plain text: no Java type suffixes (``5f``, ``7d``), which a cast alone would accept.
+NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+def text_to_double(col):
+    """A double from number-like text, NULL from anything else."""
+    return F.when(col.cast("string").rlike(NUMBER_TEXT), col.try_cast("double"))

@@ -212,6 +212,7 @@ def cluster_diagnostics(df: DataFrame, features: list[str] | str, k_values, init
 
     The assembled vectors are persisted once and shared by every k and restart.
     """
+    k_values = list(k_values)
     data = ensure_parallelism(vectorize(df, features, "_features")).persist()
 
     def one(k):
@@ -220,8 +221,8 @@ def cluster_diagnostics(df: DataFrame, features: list[str] | str, k_values, init
         return (int(k), res.wcss, silhouette_score(labelled, features, "_c"))
 
     # Fits for different k are independent Spark jobs: run them concurrently.
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(list(k_values))))) as pool:
-        rows = list(pool.map(one, list(k_values)))
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(k_values)))) as pool:
+        rows = list(pool.map(one, k_values))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "cluster int, WCSS_Score double, Silhouette_Score double")
 

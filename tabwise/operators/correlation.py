@@ -17,23 +17,33 @@ from tabwise.errors import PipelineError
 from tabwise.session import materialize
 
 
+def _number(column: str):
+    """The column as a double, NaN as missing."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
+
+
+def safe_corr(a, b):
+    """Pearson correlation over the rows where both are present; NULL if either is constant there."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long-format matrix (col_a, col_b, corr) for every ordered pair (diagonal = 1)."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                   for i, (a, b) in enumerate(pairs)]).first() if pairs else None
-    rows = [(c, c, 1.0) for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        rows += [(a, b, row[f"{i}"]), (b, a, row[f"{i}"])]
+    """Long-format matrix (col_a, col_b, corr) for every ordered pair; NULL for constant or empty columns."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    varies = [F.when(F.stddev_pop(_number(c)) > 0, 1.0).alias(f"d{i}") for i, c in enumerate(columns)]
+    row = df.agg(*varies, *[safe_corr(_number(columns[i]), _number(columns[j])).alias(f"{i}_{j}") for i, j in pairs]).first() if columns else None
+    rows = [(c, c, row[f"d{i}"]) for i, c in enumerate(columns)]
+    for i, j in pairs:
+        rows += [(columns[i], columns[j], row[f"{i}_{j}"]), (columns[j], columns[i], row[f"{i}_{j}"])]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def corr_with_target(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """Correlation of each column with ``target`` (self excluded), ascending."""
+    """Correlation of each column with ``target`` (self excluded), ascending; NULL for constant columns."""
     others = [c for c in columns if c != target]
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c)
-                   for c in others]).first()
-    out = df.sparkSession.createDataFrame([(c, row[c]) for c in others], "column string, corr double")
+    row = df.agg(*[safe_corr(_number(c), _number(target)).alias(f"c{i}") for i, c in enumerate(others)]).first() if others else None
+    out = df.sparkSession.createDataFrame([(c, row[f"c{i}"]) for i, c in enumerate(others)], "column string, corr double")
     return out.orderBy(F.asc("corr"), F.asc("column"))
 
 
@@ -95,13 +105,15 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     data = df.select([F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
                       for c in columns])
-    nulls = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    facts = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
+                     *[F.when(F.stddev_pop(c) > 0, 1.0).alias(f"_d{i}") for i, c in enumerate(columns)]).first()
+    nulls = {c: facts[c] for c in columns}
     spark = df.sparkSession
-    rows = [(c, c, 1.0) for c in columns]
+    rows = [(c, c, facts[f"_d{i}"]) for i, c in enumerate(columns)]
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     if not any(nulls[c] for c in columns):
         ranked = attach_ranks(data, columns, "_r")
-        row = ranked.agg(*[F.corr(f"_r{columns.index(a)}", f"_r{columns.index(b)}").alias(f"{a}|{b}")
+        row = ranked.agg(*[safe_corr(F.col(f"_r{columns.index(a)}"), F.col(f"_r{columns.index(b)}")).alias(f"{a}|{b}")
                            for a, b in pairs]).first() if pairs else None
         for a, b in pairs:
             rows += [(a, b, row[f"{a}|{b}"]), (b, a, row[f"{a}|{b}"])]
@@ -109,6 +121,6 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         for a, b in pairs:
             pair = data.select(a, b).dropna()
             ranked = attach_ranks(pair, [a, b], "_r")
-            v = ranked.agg(F.corr("_r0", "_r1")).first()[0]
+            v = ranked.agg(safe_corr(F.col("_r0"), F.col("_r1"))).first()[0]
             rows += [(a, b, v), (b, a, v)]
     return spark.createDataFrame(rows, "col_a string, col_b string, corr double")

@@ -21,23 +21,30 @@ from tabwise.operators.metrics import predicted_class
 from tabwise.sources.models_io import Bundle
 
 
+def _text(value) -> str | None:
+    """A category as Spark writes it."""
+    return str(value).lower() if isinstance(value, bool) else None if value is None else str(value)
+
+
 def encode_raw(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """Rebuild the training feature columns from raw columns."""
+    """Rebuild the training feature columns from raw columns; missing values take the training defaults, else 0."""
     cats = bundle.extras.get("categories", {})
     onehot = PR.OneHotModel({c: list(v) for c, v in cats.items()})
     cols = set(df.columns)
+    defaults = bundle.extras.get("defaults") or {}
     enc = {}
     for c, vals in onehot.categories.items():
         for v in vals:
             name = f"{c}_{v}"
-            enc[name] = (F.when(F.col(c).cast("string") == F.lit(str(v)), F.lit(1)).otherwise(F.lit(0))
-                         if c in cols else F.lit(0))
+            value = F.coalesce(F.col(c).cast("string"), F.lit(_text(defaults.get(c))))
+            enc[name] = F.when(value == F.lit(_text(v)), F.lit(1)).otherwise(F.lit(0)) if c in cols else F.lit(0)
     out = []
     for f in bundle.features:
         if f in enc:
             out.append(enc[f].cast("double").alias(f))
         elif f in cols:
-            out.append(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f))
+            number = F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+            out.append(F.coalesce(number, F.lit(float(defaults.get(f) or 0.0))).alias(f))
         else:
             out.append(F.lit(0.0).alias(f))
     keep = [F.col(c) for c in df.columns if c not in bundle.features]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tabwise.errors import PipelineError
+from tabwise.functions.columns import text_to_double
 
 # The text tokens that pandas.read_csv treats as missing by default
 # (public pandas documentation, ``na_values``).  Spark only knows one ``nullValue``.
@@ -27,7 +28,7 @@ def _infer(df: DataFrame) -> DataFrame:
     """Infer long / double / string per column in ONE aggregation pass."""
     aggs = []
     for c in df.columns:
-        dbl = F.col(c).try_cast("double")
+        dbl = text_to_double(F.col(c))
         lng = F.col(c).try_cast("long")
         aggs += [
             F.count(F.col(c)).alias(f"{c}__n"),
@@ -41,7 +42,7 @@ def _infer(df: DataFrame) -> DataFrame:
         if n > 0 and lc == n:
             out.append(F.col(c).try_cast("long").alias(c))
         elif n > 0 and d == n:
-            out.append(F.col(c).try_cast("double").alias(c))
+            out.append(text_to_double(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return df.select(out)
