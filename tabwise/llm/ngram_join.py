@@ -15,6 +15,9 @@ those prefixes finds every candidate.  Two kinds of skipping keep it small:
   pairs that are left, a follower's overlap is bounded by its leader's computed
   answer plus the few n-grams that it does not share with the leader, and only
   pairs that this bound cannot rule out are compared.
+* A parity sketch of each set (one bit a slot: whether an odd number of its
+  n-grams fall there) bounds the overlap from above: two sets differ in at least
+  as many n-grams as their sketches differ in bits.
 
 N-grams are compared as 64-bit hashes, sets are named by 128-bit digests.
 Frequent n-grams come last in the order: those that hold more than one in
@@ -39,6 +42,8 @@ from tabwise.llm.textarrays import shingle_sets
 MAX_HEAVY, MIN_HEAVY = 1 << 22, 32
 #: N-grams that a task gathers before it sends them on, and about how many one index bucket gets.
 FLUSH, BUCKET = 1 << 21, 1 << 22
+#: Bits of a set's parity sketch.
+SKETCH = 512
 #: Bits of the map that tells which texts may be compared (1 MB).
 BITMAP = 1 << 23
 
@@ -58,6 +63,12 @@ def _needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """For each of SKETCH slots, whether an odd number of the set's n-grams fall there."""
+    slots = np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((slots & 1).astype(np.uint8)).tobytes()
+
+
 def _blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
@@ -222,6 +233,7 @@ class _Sets(NamedTuple):
     group: np.ndarray      #: component so far
     hub: np.ndarray        #: the hub it was compared with
     overlap: np.ndarray    #: and the computed overlap with that; -1 if the hub is the set itself
+    sketch: np.ndarray     #: parity sketch as SKETCH / 64 integers
 
 
 def _possible(x: _Lists, degree: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
@@ -273,7 +285,8 @@ def list_degrees(lists: DataFrame) -> DataFrame:
 
 
 def _with_sets(lists: DataFrame, known: DataFrame, fn, schema: pa.Schema, sql: str) -> DataFrame:
-    """Apply ``fn(lists, sets, names)`` to each bucket; ``known (set_id, degree, component, hub, overlap)`` of all listed sets."""
+    """Apply ``fn(lists, sets, names)`` to each bucket; ``known (set_id, degree, component, hub, overlap, sketch)`` of all listed sets
+    (sketches are null where ``fn`` does not use them)."""
     kind = pa.schema([("bucket", pa.int64()), ("set_id", pa.binary())])
 
     def own_sets(batches):
@@ -284,7 +297,7 @@ def _with_sets(lists: DataFrame, known: DataFrame, fn, schema: pa.Schema, sql: s
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = dict(zip(right["set_id"].to_pylist(), zip(*(right[c].to_pylist() for c in ("degree", "component", "hub", "overlap")))))
+        of = dict(zip(right["set_id"].to_pylist(), zip(*(right[c].to_pylist() for c in ("degree", "component", "hub", "overlap", "sketch")))))
         out = [_table(schema, [])]
         for row in left.to_pylist():
             x = _Lists(row)
@@ -292,7 +305,8 @@ def _with_sets(lists: DataFrame, known: DataFrame, fn, schema: pa.Schema, sql: s
             number: dict[bytes, int] = {}
             group = np.array([number.setdefault(of[s][1], len(number)) for s in names])
             hub = np.array([number.setdefault(of[s][2], len(number)) for s in names])
-            sets = _Sets(np.array([of[s][0] for s in names]), group, hub, np.array([of[s][3] for s in names]))
+            sketch = np.frombuffer(b"".join(of[s][4] or bytes(SKETCH // 8) for s in names), np.uint64).reshape(len(names), -1)
+            sets = _Sets(np.array([of[s][0] for s in names]), group, hub, np.array([of[s][3] for s in names]), sketch)
             out += fn(x, sets, pa.array(names, pa.binary()))
         return pa.Table.from_batches(out, schema=schema)
 
@@ -375,6 +389,9 @@ def crossing_pairs(lists: DataFrame, known: DataFrame, percent: int) -> DataFram
         size[x.member] = x.size
         for pairs, shared in _crossing(x, sets, percent):
             a, b = pairs // width, pairs % width
+            apart = np.bitwise_count(sets.sketch[a] ^ sets.sketch[b]).sum(axis=1, dtype=np.int64)
+            close = size[a] + size[b] - apart >= 2 * _needed(size[a], size[b], percent)
+            a, b, shared = a[close], b[close], shared[close]
             out.append(pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(size[a]), pa.array(size[b]),
                                                    pa.array(shared, pa.int64())], schema=schema))
         return out
@@ -414,23 +431,23 @@ def wanted_bits(lists: DataFrame) -> np.ndarray:
 
 
 def set_texts(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
-    """(set_id, text): one text for every set that the bit map has."""
-    schema = pa.schema([("set_id", pa.binary()), ("text", pa.string())])
+    """(set_id, text, sketch): one text, and the set's parity sketch, for every set that the bit map has."""
+    schema = pa.schema([("set_id", pa.binary()), ("text", pa.string()), ("sketch", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def texts(batches):
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             keep = []
-            for digest, _, text in _distinct_sets([batch], size):
+            for digest, tokens, text in _distinct_sets([batch], size):
                 if wanted[int.from_bytes(digest[:4], "little") % BITMAP]:
-                    keep.append((digest, text.as_py()))
+                    keep.append((digest, text.as_py(), _sketch(tokens)))
                 if len(keep) >= 256:
                     yield _table(schema, keep)
                     keep = []
             yield _table(schema, keep)
 
-    return docs.select("text").mapInArrow(texts, "set_id binary, text string").dropDuplicates(["set_id"])
+    return docs.select("text").mapInArrow(texts, "set_id binary, text string, sketch binary").dropDuplicates(["set_id"])
 
 
 def pair_overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -477,7 +494,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     lists = scratch.write(postings.groupBy("bucket").applyInArrow(_merge_lists, _LISTS_SQL), "lists")
 
     degrees = scratch.write(list_degrees(lists), "degrees")
-    alone = degrees.withColumns({"component": F.col("set_id"), "hub": F.col("set_id"), "overlap": F.lit(-1).cast("long")})
+    alone = degrees.withColumns({"component": F.col("set_id"), "hub": F.col("set_id"), "overlap": F.lit(-1).cast("long"),
+                                 "sketch": F.lit(None).cast("binary")})
     votes = leader_votes(lists, alone, percent).groupBy("follower", "leader", "hub").agg(F.sum("votes").alias("votes"))
     led = scratch.write(votes.groupBy("follower", "hub").agg(F.max(F.struct("votes", "leader"))["leader"].alias("leader"))
                         .groupBy("follower", "leader").agg(F.bool_or("hub").alias("hub")), "led")
@@ -489,8 +507,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     groups = connected_components(answers.where("linked").select("a", "b"), scratch, "first").withColumnRenamed("node", "set_id")
     hubs = (led.where("hub").select(F.col("leader").alias("a"), F.col("follower").alias("b")).join(answers, ["a", "b"])
             .select(F.col("b").alias("set_id"), F.col("a").alias("hub"), "overlap"))
-    known = (degrees.join(groups, "set_id", "left").join(hubs, "set_id", "left")
-             .select("set_id", "degree", F.coalesce("component", "set_id").alias("component"),
+    known = (degrees.join(texts.select("set_id", "sketch"), "set_id").join(groups, "set_id", "left").join(hubs, "set_id", "left")
+             .select("set_id", "degree", "sketch", F.coalesce("component", "set_id").alias("component"),
                      F.coalesce("hub", "set_id").alias("hub"), F.coalesce("overlap", F.lit(-1)).alias("overlap")))
     crossing = scratch.write(crossing_pairs(lists, known, percent), "crossing")
     links = answers.where("linked").select("a", "b")
