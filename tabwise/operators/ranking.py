@@ -6,27 +6,24 @@ would put a whole class (possibly a third of 100 TB) into one task, and an
 unpartitioned window puts everything into one task.
 
 Here the order key is ``h = md5("<seed>:<id>")`` (identical in any SQL engine),
-and rows are spread over ``2^bits`` buckets by the first 32 bits of ``h``.
-Because a bucket is a prefix of ``h``, bucket order agrees with ``h`` order:
-
-1. count rows per (stratum, bucket) — a tiny aggregate (≤ strata × 2^bits rows);
-2. prefix-sum those counts per stratum → each bucket's offset (window over the
-   small table only);
-3. ``row_number`` inside (stratum, bucket) — groups of ≈ ``rows_per_bucket``
-   rows (64 Ki by default, so even a mid-sized class is sorted by many tasks),
-   uniformly spread because md5 is uniform, so a hot stratum is split into
-   many balanced tasks.
-
-rank = offset + row_number − 1.  ``bits`` grows with the largest stratum so the
-per-bucket group stays bounded at any scale.
+and buckets are prefixes of ``h``, so bucket order agrees with ``h`` order.
+Because md5 is uniform, a hot stratum spreads over many balanced buckets.
+
+``rank_segments`` finds the order keys of the rows at the wanted cuts (bucket
+counts, then a sort of the few buckets that hold a cut) and compares every row
+with them: the table itself is not shuffled.  ``hash_rank`` ranks every row.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from tabwise.session import materialize
 
 ROWS_PER_BUCKET = 1 << 16
 MAX_BITS = 24
@@ -83,61 +80,107 @@ def hash_rank(df: DataFrame, id_cols: list[str], seed: int, by: list[str] | None
             .drop("_b", "_off"))
 
 
-def rank_segments(df: DataFrame, id_cols: list[str], seed: int, cuts: dict, by: str | None = None,
-                  max_group_rows: int | None = None, seg_col: str = "_seg",
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Index of the rank segment of every row, without sorting the table.
+def ordered_totals(df: DataFrame, order: list, value: Column, out_col: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before this one in ``order`` (which must be total).
+
+    Rows are range-partitioned and written once, so the partitions stay as they
+    are; partition totals (one row a partition) give each partition its start.
+    """
+    ordered = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_v", value), spread=False)
+    sizes = ordered.groupBy("_p").agg(F.sum("_v").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ordered.join(F.broadcast(starts), "_p")
+            .withColumn(out_col, (F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).cast("long"))
+            .drop("_p", "_v", "_start"))
+
+
+def _matched(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys``, where NULL is a value like any other."""
+    table = table.select([F.col(c).alias(f"{c}_t") if c in keys else F.col(c) for c in table.columns])
+    on = [rows[c].eqNullSafe(table[f"{c}_t"]) for c in keys]
+    return rows.join(table, on).drop(*[f"{c}_t" for c in keys])
 
-    ``cuts[stratum]`` is an ascending list of rank cut points c1 < c2 < …; a row
-    whose rank r (seeded md5 order within its stratum) satisfies
-    c_j <= r < c_{j+1} gets segment j (0 before c1).  Splits use one cut (the
-    test quota), folds use the cumulative fold sizes.
 
-    Only buckets that straddle a cut need exact ranks: the per-(stratum, bucket)
-    count table (strata × 2^bits rows) gives every bucket its rank range, so rows
-    of all other buckets get their segment in a map-only projection.  The few
-    straddling buckets (≤ strata × cuts of them, ≈ ``rows_per_bucket`` rows
-    each) are ranked by a window — the only data shuffled besides the tiny
-    count table.
+def _cut_keys(thin: DataFrame, targets: DataFrame, id_cols: list[str], rows_per_bucket: int) -> DataFrame:
+    """(_s, _j, _key): the order key of the row at each wanted rank; ``thin (_s, _h, ids)``, ``targets (_s, _j, _rank, _n)``.
+
+    Buckets are prefixes of the hash.  Each pass counts, inside the buckets that
+    hold a cut and are still too large to sort, the buckets three hex digits
+    longer (4,096 of each); a stratum of 2^28 rows takes one pass, of 2^40 two.
+    """
+    wanted, length, parts = targets.where("_rank > 0 AND _rank < _n").withColumn("_b", F.lit("")), 0, []
+    while True:
+        large = wanted.where(F.col("_n") > rows_per_bucket)
+        last = length >= 30 or large.isEmpty()
+        small = wanted if last else wanted.where(F.col("_n") <= rows_per_bucket)
+        bucketed = thin.withColumn("_b", F.substring("_h", 1, length))
+        order = Window.partitionBy("_s", "_b").orderBy("_h", *id_cols)
+        ranked = _matched(bucketed, small.select("_s", "_b").distinct(), ["_s", "_b"]) \
+            .withColumn("_rank", (F.row_number().over(order) - 1).cast("long"))
+        parts.append(_matched(ranked, small.select("_s", "_b", "_rank", "_j"), ["_s", "_b", "_rank"])
+                     .select("_s", "_j", F.struct("_h", *id_cols).alias("_key")))
+        if last:
+            return reduce(DataFrame.unionByName, parts)
+        length += 3
+        before = Window.partitionBy("_s", "_b").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        counts = (_matched(bucketed, large.select("_s", "_b").distinct(), ["_s", "_b"])
+                  .groupBy("_s", "_b", F.substring("_h", 1, length).alias("_next")).agg(F.count(F.lit(1)).alias("_m"))
+                  .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))))
+        wanted = materialize(_matched(counts, large, ["_s", "_b"]).where("_rank >= _before AND _rank < _before + _m")
+                             .select("_s", "_j", (F.col("_rank") - F.col("_before")).alias("_rank"),
+                                     F.col("_m").alias("_n"), F.col("_next").alias("_b")), spread=False)
+
+
+def rank_segments(df: DataFrame, id_cols: list[str], seed: int, cuts: dict | DataFrame, by: str | None = None,
+                  n: int | None = None, seg_col: str = "_seg", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Index of the rank segment of every row, without sorting or shuffling the table.
+
+    ``cuts`` has for each stratum an ascending list of rank cut points c1 < c2 < …,
+    as a dict or as a table (by, n, cuts) with the stratum's row count; a row whose
+    rank r (seeded md5 order within its stratum) satisfies c_j <= r < c_{j+1} gets
+    segment j (0 before c1).  Splits use one cut, folds the cumulative fold sizes.
+
+    A row's segment follows from comparing its order key (hash, id) with the keys of
+    the rows at the cuts.  Those keys, one per cut and stratum, are found by counting
+    hash buckets and sorting only the buckets that hold a cut; hash, stratum and ids
+    are all that these passes read.  The rows themselves then take one projection;
+    with strata, after a join with one row a stratum, which Spark broadcasts as far as
+    its size limit allows.
     """
-    from tabwise.operators.split import attach_per_class
+    spark = df.sparkSession
+    if by is None:
+        only = [int(c) for c in next(iter(cuts.values()))]
+        strata = spark.createDataFrame([(0, n if n is not None else df.count(), only)], "_s int, _n long, _cuts array<long>")
+        stratum = F.lit(0)
+    else:
+        stratum = F.col(by)
+        if isinstance(cuts, dict):
+            kind = StructType([StructField("_s", df.schema[by].dataType), StructField("_cuts", ArrayType(LongType()))])
+            given = spark.createDataFrame([(k, [int(c) for c in v]) for k, v in cuts.items()], kind)
+            strata = _matched(df.groupBy(stratum.alias("_s")).agg(F.count(F.lit(1)).alias("_n")), given, ["_s"])
+        else:
+            strata = cuts.select(stratum.alias("_s"), F.col("n").alias("_n"), F.col("cuts").alias("_cuts"))
+    targets = materialize(strata.select("_s", "_n", F.posexplode("_cuts").alias("_j", "_rank")), spread=False)
+    width = (targets.agg(F.max("_j")).first()[0] or 0) + 1
+    thin = df.select(stratum.alias("_s"), hash_key(id_cols, seed).alias("_h"), *id_cols)
+    keys = _cut_keys(thin, targets, id_cols, rows_per_bucket)
+    at = [F.max(F.when(F.col("_j") == j, F.col("_key"))).alias(f"_k{j}") for j in range(width)]
+    found = keys.groupBy("_s").agg(*at)
+    none_before = targets.groupBy(F.col("_s").alias("_s2")).agg(F.count_if(F.col("_rank") <= 0).alias("_base"))
+    table = materialize(none_before.join(found, F.col("_s2").eqNullSafe(F.col("_s")), "left").drop("_s"), spread=False)
 
-    by_cols = [by] if by else []
-    if max_group_rows is None:
-        max_group_rows = (df.groupBy(*by_cols).count().agg(F.max("count")).first()[0]) or 0
-    bits = bucket_bits(max_group_rows, rows_per_bucket)
     keyed = df.withColumn("_h", hash_key(id_cols, seed))
-    keyed = keyed.withColumn("_b", F.lit(0).cast("long") if bits == 0 else F.shiftright(
-        F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), 32 - bits))
-    counts = keyed.groupBy(*by_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    table = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if by:
-        table = attach_per_class(table, by, {k: [int(c) for c in v] for k, v in cuts.items()}, "_cuts")
+    own = F.struct("_h", *id_cols)
+    if by is None:
+        row = table.first()
+        kinds = {c: df.schema[c].dataType for c in id_cols}
+        keys = [F.struct(F.lit(row[f"_k{j}"]["_h"]).alias("_h"), *[F.lit(row[f"_k{j}"][c]).cast(kinds[c]).alias(c) for c in id_cols])
+                for j in range(width) if row[f"_k{j}"] is not None]
+        base = F.lit(row["_base"])
     else:
-        only = next(iter(cuts.values()))
-        table = table.withColumn("_cuts", F.array(*[F.lit(int(c)).cast("long") for c in only]))
-    n_cuts = lambda x: F.size(F.filter(F.col("_cuts"), lambda c: c <= x))
-    table = (table.withColumn("_lo", n_cuts(F.col("_before")))
-             .withColumn("_hi", n_cuts(F.col("_before") + F.col("_n") - 1)))
-    renamed = {c: f"_s{i}" for i, c in enumerate(by_cols)}
-    bt = table.select(*[F.col(c).alias(renamed[c]) for c in by_cols], F.col("_b").alias("_tb"),
-                      "_before", "_lo", "_hi", "_cuts")
-    # The bucket table (≤ strata × 2^bits rows) is read by both branches below: keep it
-    # in memory once instead of re-aggregating the whole input per branch.
-    bt = bt.persist()
-    bt.count()
-    n_strata = len(cuts)
-    if n_strata * (1 << bits) <= BROADCAST_ROWS:   # bounded: strata × 2^bits rows
-        bt = F.broadcast(bt)
-    # Null-safe keys: an inner equi-join would add an inferred isnotnull(_b) filter that
-    # evaluates md5 a second time per row before the projection.
-    cond = [keyed["_b"].eqNullSafe(bt["_tb"])] + [keyed[c].eqNullSafe(bt[renamed[c]]) for c in by_cols]
-    joined = keyed.join(bt, on=cond, how="inner").drop("_tb", *renamed.values())
-    easy = joined.where(F.col("_lo") == F.col("_hi")).withColumn(seg_col, F.col("_lo"))
-    within = Window.partitionBy(*by_cols, "_b").orderBy("_h", *id_cols)
-    hard = (joined.where(F.col("_lo") != F.col("_hi"))
-            .withColumn("_r", F.col("_before") + F.row_number().over(within) - 1)
-            .withColumn(seg_col, n_cuts(F.col("_r"))).drop("_r"))
-    helpers = ["_h", "_b", "_before", "_lo", "_hi", "_cuts"]
-    return easy.drop(*helpers).unionByName(hard.drop(*helpers))
+        keyed = keyed.join(table, keyed[by].eqNullSafe(table["_s2"]), "left")
+        keys, base = [F.col(f"_k{j}") for j in range(width)], F.col("_base")
+    passed = [F.coalesce((own >= k).cast("int"), F.lit(0)) for k in keys]
+    return keyed.select(*df.columns, reduce(Column.__add__, passed, base).cast("int").alias(seg_col))

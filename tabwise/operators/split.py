@@ -16,43 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
-from tabwise.operators.ranking import rank_segments
-
-MAX_STRATA = 100_000
-CASE_LOOKUP_MAX = 64
-
-
-def attach_per_class(df: DataFrame, label_col: str, values: dict, out_col: str) -> DataFrame:
-    """Add a per-class constant: an inline CASE for a few classes, else a broadcast
-    join with the (class, value) table — at most ``MAX_STRATA`` rows by construction."""
-    if len(values) <= CASE_LOOKUP_MAX:
-        expr = None
-        for k, v in values.items():
-            cond = F.col(label_col).isNull() if k is None else (F.col(label_col) == F.lit(k))
-            lit = F.array(*[F.lit(int(x)).cast("long") for x in v]) if isinstance(v, list) else F.lit(v)
-            expr = F.when(cond, lit) if expr is None else expr.when(cond, lit)
-        return df.withColumn(out_col, expr)
-    spark = df.sparkSession
-    dtype = df.schema[label_col].dataType
-    is_list = isinstance(next(iter(values.values())), list)
-    vtype = "array<long>" if is_list else "long"
-    table = spark.createDataFrame([(k, (list(map(int, v)) if is_list else int(v))) for k, v in values.items()],
-                                  f"_k {dtype.simpleString()}, {out_col} {vtype}")
-    joined = df.join(F.broadcast(table), df[label_col].eqNullSafe(table["_k"]), "left")
-    return joined.drop("_k")
-
-
-def class_counts(df: DataFrame, label_col: str, max_classes: int = MAX_STRATA) -> list[tuple]:
-    """(label, count) sorted by label, NULL label last; errors past ``max_classes``."""
-    rows = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.col(label_col).asc_nulls_last()).limit(max_classes + 1).collect())
-    if len(rows) > max_classes:
-        raise PipelineError(f"`{label_col}` has more than {max_classes} distinct values to stratify on")
-    return [(r[label_col], int(r["n"])) for r in rows]
+from tabwise.operators.ranking import ordered_totals, rank_segments
+from tabwise.session import materialize
+
+
+def class_counts(df: DataFrame, label_col: str) -> DataFrame:
+    """(label, n) of every class, NULL included, as a written table."""
+    return materialize(df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")), spread=False)
 
 
 def train_quotas(counts: list[tuple], n_train: int) -> dict:
-    """Largest-remainder allocation of ``n_train`` rows over classes (exact integers)."""
+    """Largest-remainder allocation of ``n_train`` rows over a list of classes: the rule of ``quota_table``."""
     n = sum(c for _, c in counts)
     base = {k: (c * n_train) // n for k, c in counts}
     rema = sorted(((-((c * n_train) % n), i, k) for i, (k, c) in enumerate(counts)))
@@ -62,6 +36,16 @@ def train_quotas(counts: list[tuple], n_train: int) -> dict:
     return base
 
 
+def quota_table(counts: DataFrame, label_col: str, n: int, n_train: int) -> DataFrame:
+    """(label, n, train): ``train_quotas`` as a table, for any number of classes."""
+    product = f"(CAST(n AS DECIMAL(19,0)) * CAST({n_train} AS DECIMAL(19,0)))"
+    shares = counts.select(label_col, "n", F.expr(f"CAST({product} div {n} AS BIGINT)").alias("_whole"),
+                           F.expr(f"CAST({product} % {n} AS BIGINT)").alias("_rest"))
+    left = n_train - shares.agg(F.sum("_whole")).first()[0]
+    ranked = ordered_totals(shares, [F.desc("_rest"), F.asc_nulls_last(label_col)], F.lit(1), "_place")
+    return ranked.select(label_col, "n", (F.col("_whole") + (F.col("_place") < left).cast("int")).alias("train"))
+
+
 def split_sizes(n: int, test_size: float) -> tuple[int, int]:
     if isinstance(test_size, float) and 0 < test_size < 1:
         n_test = math.ceil(test_size * n)
@@ -77,29 +61,26 @@ def train_test_split(df: DataFrame, id_cols: list[str] | str, stratify: str | No
                      test_size: float = 0.2, seed: int = 42, split_col: str = "split") -> DataFrame:
     """Add ``split_col`` ∈ {'train','test'} with exact sizes and class quotas.
 
-    Cost: a small count aggregation per (class, hash bucket); rows are then assigned
-    map-side, and only the bucket holding each class's quota boundary is sorted.
+    Cost: the class counts, and the order key of each class's last test row (see
+    ``rank_segments``); rows are then assigned in a projection.
     """
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if stratify is None:
         n = df.count()
         _, n_test = split_sizes(n, test_size)
-        seg = rank_segments(df, id_cols, seed, {None: [n_test]}, None, max_group_rows=n)
+        seg = rank_segments(df, id_cols, seed, {None: [n_test]}, n=n)
         return (seg.withColumn(split_col, F.when(F.col("_seg") == 0, F.lit("test")).otherwise(F.lit("train")))
                 .drop("_seg"))
     else:
         counts = class_counts(df, stratify)
-        n = sum(c for _, c in counts)
-        n_train, n_test = split_sizes(n, test_size)
-        small = [k for k, c in counts if c < 2]
+        n = counts.agg(F.sum("n")).first()[0] or 0
+        n_train, _ = split_sizes(n, test_size)
+        small = counts.where("n < 2").orderBy(F.asc_nulls_last(stratify)).limit(10).collect()
         if small:
-            raise PipelineError(
-                f"The least populated class in `{stratify}` has only 1 member; "
-                f"stratified splitting needs at least 2 per class (classes: {small[:10]})")
-        quotas = train_quotas(counts, n_train)
-        test_quota = {k: [c - quotas[k]] for k, c in counts}
-        seg = rank_segments(df, id_cols, seed, test_quota, stratify,
-                            max_group_rows=max(c for _, c in counts))
+            raise PipelineError(f"Stratified splitting on `{stratify}` needs two rows or more in each class; "
+                                f"too few in (first ten): {[r[0] for r in small]}")
+        quotas = quota_table(counts, stratify, n, n_train)
+        seg = rank_segments(df, id_cols, seed, quotas.withColumn("cuts", F.array(F.col("n") - F.col("train"))), stratify)
     return (seg.withColumn(split_col, F.when(F.col("_seg") == 0, F.lit("test")).otherwise(F.lit("train")))
             .drop("_seg"))
 
@@ -119,30 +100,26 @@ def kfold_ids(df: DataFrame, id_cols: list[str] | str, k: int = 5, seed: int = 4
     if shuffle:
         sizes = [q + 1 if f < rem else q for f in range(k)]
         cuts = [sum(sizes[:f + 1]) for f in range(k - 1)]
-        seg = rank_segments(df, id_cols, seed, {None: cuts}, None, max_group_rows=n)
+        seg = rank_segments(df, id_cols, seed, {None: cuts}, n=n)
         return seg.withColumn(fold_col, F.col("_seg").cast("int")).drop("_seg")
     ranked = _id_rank(df, id_cols)
     r = F.col("_rank")
     fold = F.when(r < F.lit(rem * (q + 1)), F.floor(r / F.lit(q + 1))) \
         .otherwise(F.lit(rem) + F.floor((r - F.lit(rem * (q + 1))) / F.lit(q)))
-    return ranked.withColumn(fold_col, fold.cast("int")).drop("_rank", "_h")
+    return ranked.withColumn(fold_col, fold.cast("int")).drop("_rank")
 
 
-def fold_allocation(counts: list[tuple], k: int) -> dict:
-    """Rows of each class per fold when the label-sorted sequence is dealt round-robin.
+def fold_cuts(counts: DataFrame, label_col: str, k: int) -> DataFrame:
+    """(label, n, cuts): the rank cuts of each class when the label-sorted sequence is dealt round-robin.
 
     Class c occupies positions [o_c, o_c + n_c) of the label-sorted sequence and
     fold f receives the positions p ≡ f (mod k): that fixes how many rows of c
     each fold gets (overall fold sizes then differ by at most one).
     """
-    def upto(x: int, f: int) -> int:  # #{0 <= p < x : p % k == f}
-        return 0 if x <= f else (x - f + k - 1) // k
-
-    alloc, off = {}, 0
-    for key, c in counts:
-        alloc[key] = [upto(off + c, f) - upto(off, f) for f in range(k)]
-        off += c
-    return alloc
+    placed = ordered_totals(counts, [F.asc_nulls_last(label_col)], F.col("n"), "_from")
+    dealt = lambda x, f: f"(({x}) div {k}) * {f + 1} + least(({x}) % {k}, {f + 1})"  # noqa: E731  to folds 0 to f
+    cuts = [F.expr(f"{dealt('_from + n', f)} - ({dealt('_from', f)})").cast("long") for f in range(k - 1)]
+    return placed.select(label_col, "n", F.array(*cuts).alias("cuts"))
 
 
 def stratified_kfold_ids(df: DataFrame, id_cols: list[str] | str, label_col: str, k: int = 5,
@@ -151,23 +128,10 @@ def stratified_kfold_ids(df: DataFrame, id_cols: list[str] | str, label_col: str
     class the rows (in seeded md5 order) fill fold 0, then fold 1, … — a random
     assignment with exact counts, and exactly the unshuffled rule in id order."""
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    counts = class_counts(df, label_col)
-    alloc = fold_allocation(counts, k)
-    cuts = {key: [sum(a[:f + 1]) for f in range(k - 1)] for key, a in alloc.items()}
-    seg = rank_segments(df, id_cols, seed, cuts, label_col, max_group_rows=max(c for _, c in counts))
+    seg = rank_segments(df, id_cols, seed, fold_cuts(class_counts(df, label_col), label_col, k), label_col)
     return seg.withColumn(fold_col, F.col("_seg").cast("int")).drop("_seg")
 
 
 def _id_rank(df: DataFrame, id_cols: list[str]) -> DataFrame:
     """Exact rank in id order (unshuffled folds): range partitioning + partition offsets."""
-    from pyspark.sql import Window
-    from tabwise.session import materialize
-    ordered = df.repartitionByRange(*id_cols).withColumn("_p", F.spark_partition_id())
-    ordered = materialize(ordered)  # written table: freezes the range assignment before two reads
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_p", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_p").orderBy(*id_cols)
-    return (ordered.join(F.broadcast(offs), "_p")
-            .withColumn("_rank", (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_p", "_off"))
+    return ordered_totals(df, [F.col(c) for c in id_cols], F.lit(1), "_rank")
