@@ -4,14 +4,15 @@ Spark's built-in ``MultilayerPerceptronClassifier`` only offers sigmoid hidden
 units without L2, Adam or early stopping, so training here is data-parallel
 local SGD with parameter averaging (Zinkevich et al., 2010; Stich, 2018):
 
-* the training rows are persisted once; each **epoch is one Spark job**: a
-  ``mapInPandas`` pass where every partition shuffles its rows (seeded by
-  epoch and partition), runs mini-batch Adam from the current global weights
+* rows are dealt to a fixed number of logical workers by a hash of their id and
+  persisted once; each **epoch is one Spark job**: a ``mapInPandas`` pass where
+  every worker streams its rows, shuffles blocks of mini-batches (seeded by
+  epoch, worker and block), runs mini-batch Adam from the current global weights
   and emits its row count, new weights, Adam moments and summed loss;
-* the partition results are reduced by Spark itself (``posexplode`` →
+* the workers' results are reduced by Spark itself (``posexplode`` →
   ``groupBy(slot).sum``, partially aggregated per task), so the driver only
-  ever receives one vector of parameters, whatever the partition count;
-* one partition reproduces ordinary sequential mini-batch Adam.
+  ever receives one vector of parameters;
+* the number of rows and the partitions of the input do not change the method.
 
 Stopping follows the usual rule: stop after ``n_iter_no_change`` epochs whose
 training loss (or, with early stopping, validation accuracy on a 10 %
@@ -24,7 +25,6 @@ Scoring needs no Python: the forward pass is compiled into Spark expressions
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tabwise.errors import PipelineError
 
 ACTIVATIONS = ("relu", "tanh", "logistic", "identity")
-DIRECT_REDUCE_MAX = 256
+#: Mini-batches that a worker shuffles together, and holds in memory.
+SHUFFLE_BATCHES = 64
 
 
 # --------------------------------------------------------------------------- numpy core
@@ -196,24 +197,52 @@ def _act_expr(name: str, z: Column) -> Column:
     return z
 
 
-def _epoch_fn(theta, m, v, t, shapes, activation, alpha, lr, batch, seed, epoch, feat_col, label_col):
+def _epoch_fn(theta, m, v, t, shapes, activation, alpha, lr, batch, seed, epoch):
+    """One epoch of every worker's rows: each starts from the shared state, its rows come as a stream."""
+    block = SHUFFLE_BATCHES * batch
+
     def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
         import pandas as pd
-        pdf = pd.concat(frames, ignore_index=True)
-        if len(pdf) == 0:
-            return
-        x = np.stack(pdf[feat_col].to_numpy()).astype(np.float64)
-        y = pdf[label_col].to_numpy().astype(np.float64)
-        part = int(pdf["_pid"].iloc[0])
-        rng = np.random.default_rng([seed, epoch, part])
-        state = AdamState(np.array(m), np.array(v), t)
-        th, total = adam_epoch(np.array(theta), state, shapes, activation, alpha, lr, batch, x, y, rng)
-        n = float(len(y))
-        packed = np.concatenate([th * n, state.m * n, state.v * n, [n, total, float(state.t)]])
-        yield pd.DataFrame({"vec": [packed.tolist()]})
+
+        worker, xs, ys, held, done = None, [], [], 0, None
+
+        def learn(last: bool):
+            """Go through the full blocks gathered so far, and the rest if ``last``."""
+            nonlocal xs, ys, held, done
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            at = 0
+            while len(y) - at >= block or (last and at < len(y)):
+                rng = np.random.default_rng([seed, epoch, worker, done["blocks"]])
+                done["theta"], total = adam_epoch(done["theta"], done["state"], shapes, activation, alpha, lr, batch,
+                                                  x[at:at + block], y[at:at + block], rng)
+                done["loss"] += total
+                done["rows"] += len(y[at:at + block])
+                done["blocks"] += 1
+                at += block
+            xs, ys, held = [x[at:]], [y[at:]], max(0, len(y) - at)
+
+        def result():
+            learn(True)
+            n, state = float(done["rows"]), done["state"]
+            packed = np.concatenate([done["theta"] * n, state.m * n, state.v * n, [n, done["loss"], float(state.t)]])
+            return pd.DataFrame({"vec": [packed.tolist()]})
+
+        for pdf in batches:
+            workers = pdf["_w"].to_numpy()
+            cuts = np.flatnonzero(np.diff(workers, prepend=-1)) if len(pdf) else []
+            for a, b in zip(cuts, [*cuts[1:], len(pdf)]):
+                if workers[a] != worker:
+                    if worker is not None:
+                        yield result()
+                    worker, xs, ys, held = int(workers[a]), [], [], 0
+                    done = {"theta": np.array(theta), "state": AdamState(np.array(m), np.array(v), t), "loss": 0.0, "rows": 0, "blocks": 0}
+                xs.append(np.stack(pdf["_x"].to_numpy()[a:b]).astype(np.float64))
+                ys.append(pdf["_y"].to_numpy()[a:b].astype(np.float64))
+                held += b - a
+                if held >= block:
+                    learn(False)
+        if worker is not None:
+            yield result()
     return run
 
 
@@ -221,9 +250,15 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
             activation: str = "relu", batch_size: int = 50, learning_rate: float = 1e-3,
             alpha: float = 1e-4, max_iter: int = 200, tol: float = 1e-4, n_iter_no_change: int = 10,
             early_stopping: bool = False, validation_fraction: float = 0.1, seed: int = 123,
-            id_col: str | None = None, partitions: int | None = None,
-            rows_per_partition: int = 100_000) -> MLPModel:
-    """Train on ``features_col`` (array<double>, already scaled) and 0/1 ``label_col``."""
+            id_col: str | None = None, workers: int = 8) -> MLPModel:
+    """Train on ``features_col`` (array<double>, already scaled) and 0/1 ``label_col``.
+
+    ``workers`` logical workers train side by side and are averaged after each
+    epoch.  A row's worker and its place in the worker's stream follow from a
+    hash of its id (without ``id_col``: of its values), so the model depends on
+    neither the number of rows nor the partitions of the input.  On a cluster
+    set ``workers`` to the cores that should train.
+    """
     if activation not in ACTIVATIONS:
         raise PipelineError(f"activation must be one of {ACTIVATIONS}")
     hidden = tuple(int(h) for h in hidden)
@@ -240,18 +275,9 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
         sp = train_test_split(data, id_col, "_y", validation_fraction, seed, "_part")
         val = sp.where(F.col("_part") == "test").drop("_part").persist(StorageLevel.MEMORY_AND_DISK)
         data = sp.where(F.col("_part") == "train").drop("_part")
-    explicit = partitions is not None
-    if partitions is None:
-        # ~rows_per_partition rows per local model: small data trains as exact sequential
-        # mini-batch Adam (one partition); large data splits into many parallel workers.
-        n_rows = data.count()
-        partitions = max(1, math.ceil(n_rows / rows_per_partition))
-    current = data.rdd.getNumPartitions()
-    if partitions < current:
-        data = data.coalesce(partitions)          # narrow: no shuffle
-    elif explicit and partitions > current:
-        data = data.repartition(partitions)
-    train = data.withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    own = F.xxhash64(F.lit(seed), *([F.col(id_col)] if id_col else [F.col("_x"), F.col("_y")]))
+    train = (data.withColumns({"_w": F.pmod(own, F.lit(workers)).cast("int"), "_k": own})
+             .repartition(workers, "_w").sortWithinPartitions("_w", "_k").drop("_k").persist(StorageLevel.MEMORY_AND_DISK))
     first = train.select(F.size("_x")).first()
     if first is None:
         raise PipelineError("No training rows")
@@ -268,21 +294,14 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
     schema = "vec array<double>"
     for epoch in range(max_iter):
         fn = _epoch_fn(theta.tolist(), m.tolist(), v.tolist(), t, shapes, activation, alpha,
-                       learning_rate, batch_size, seed, epoch, "_x", "_y")
-        res = train.select("_x", "_y", "_pid").mapInPandas(fn, schema)
-        # One job per epoch.  Few partitions: their P result vectors (P ≤ DIRECT_REDUCE_MAX,
-        # each 3·n_params + 3 doubles) come straight back.  Many partitions: slot-wise sums
-        # (max for the Adam step count) are reduced by Spark with partial aggregation, so
-        # exactly 3·n_params + 3 rows reach the driver whatever the partition count.
-        if partitions <= DIRECT_REDUCE_MAX:
-            parts = np.array([r["vec"] for r in res.collect()])
-            vec, mx = parts.sum(axis=0), parts.max(axis=0)
-        else:
-            sums = (res.select(F.posexplode("vec").alias("j", "x"))
-                    .groupBy("j").agg(F.sum("x").alias("s"), F.max("x").alias("mx")))
-            vec, mx = np.zeros(3 * n_params + 3), np.zeros(3 * n_params + 3)
-            for row in sums.collect():
-                vec[row["j"]], mx[row["j"]] = row["s"], row["mx"]
+                       learning_rate, batch_size, seed, epoch)
+        # One job per epoch: slot-wise sums (and the largest Adam step count) are reduced by Spark,
+        # so 3·n_params + 3 rows reach the driver whatever the number of workers.
+        sums = (train.select("_x", "_y", "_w").mapInPandas(fn, schema).select(F.posexplode("vec").alias("j", "x"))
+                .groupBy("j").agg(F.sum("x").alias("s"), F.max("x").alias("mx")))
+        vec, mx = np.zeros(3 * n_params + 3), np.zeros(3 * n_params + 3)
+        for row in sums.collect():
+            vec[row["j"]], mx[row["j"]] = row["s"], row["mx"]
         n = vec[3 * n_params]
         theta, m, v = vec[:n_params] / n, vec[n_params:2 * n_params] / n, vec[2 * n_params:3 * n_params] / n
         t = int(mx[3 * n_params + 2])

@@ -55,3 +55,14 @@ def test_early_stopping_uses_validation_scores(spark):
     model = MLP.fit_mlp(df, "x", "label", hidden=(4,), activation="relu", learning_rate=0.05, max_iter=40,
                         early_stopping=True, id_col="id", seed=2)
     assert len(model.validation_scores) == len(model.loss_curve) > 0
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, size=(700, 2))
+    df = spark.createDataFrame([(i, [float(a), float(b)], int(a > b)) for i, (a, b) in enumerate(x)],
+                               "id long, x array<double>, label int")
+    fits = [MLP.fit_mlp(df.repartition(n), "x", "label", hidden=(4,), batch_size=8, learning_rate=0.02, max_iter=4,
+                        id_col="id", seed=3, workers=3) for n in (1, 4)]
+    assert np.allclose(fits[0].loss_curve, fits[1].loss_curve, rtol=1e-9)
+    assert np.allclose(fits[0].theta, fits[1].theta, atol=1e-9)
