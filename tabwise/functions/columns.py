@@ -32,6 +32,20 @@ def is_missing(c: str | Column, dtype=None) -> Column:
     return col.isNull()
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def nan_as_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NaN becomes NULL in the floating columns of ``columns`` (all if not given)."""
+    wanted = set(df.columns if columns is None else columns)
+    floating = {f.name for f in df.schema.fields if f.name in wanted and isinstance(f.dataType, (DoubleType, FloatType))}
+    if not floating:
+        return df
+    return df.select([F.when(~F.isnan(quoted(c)), quoted(c)).alias(c) if c in floating else quoted(c) for c in df.columns])
+
+
 def fill_value(c: str | Column, value, dtype=None) -> Column:
     """``fillna`` as ``coalesce`` with a literal of the column's own type."""
     lit = F.lit(value)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tabwise.errors import PipelineError
-from tabwise.functions.columns import dummy_name
+from tabwise.functions.columns import dummy_name, nan_as_null, quoted
 from tabwise.operators.quantiles import exact_quantiles, modes
 
 MAX_CATEGORIES = 10_000
@@ -35,6 +35,7 @@ def fit_impute(df: DataFrame, mode_cols: list[str] = (), median_cols: list[str]
     the split; pass only training rows for a leakage-free variant).
     """
     stats = ImputeStats()
+    df = nan_as_null(df, [*mode_cols, *median_cols])
     found = modes(df, list(mode_cols)) if mode_cols else {}
     for c in mode_cols:
         m = found[c]
@@ -51,6 +52,8 @@ def fit_impute(df: DataFrame, mode_cols: list[str] = (), median_cols: list[str]
 
 
 def apply_impute(df: DataFrame, stats: ImputeStats) -> DataFrame:
+    """Fill NULL and NaN with the fitted values."""
+    df = nan_as_null(df, list(stats.values))
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in df.columns:
@@ -60,9 +63,9 @@ def apply_impute(df: DataFrame, stats: ImputeStats) -> DataFrame:
             if stats.kinds[c] == "median" and isinstance(target, NumericType) \
                     and target.typeName() not in ("double", "float"):
                 target = "double"  # a median of integers may be fractional
-            out.append(F.coalesce(F.col(c).cast(target), F.lit(value).cast(target)).alias(c))
+            out.append(F.coalesce(quoted(c).cast(target), F.lit(value).cast(target)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(quoted(c))
     return df.select(out)
 
 
@@ -112,7 +115,7 @@ def one_hot_columns(model: OneHotModel, available: set[str] | None = None) -> li
             if available is not None and c not in available:
                 cols.append(F.lit(0).alias(name))  # absent raw column → zeros (score time)
             else:
-                cols.append(F.when(F.col(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name))
+                cols.append(F.when(quoted(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name))
     return cols
 
 
@@ -121,7 +124,7 @@ def apply_one_hot(df: DataFrame, model: OneHotModel) -> DataFrame:
 
     NULL and categories unseen at fit time give all zeros (score-time encoding).
     """
-    keep = [F.col(c) for c in df.columns if c not in model.categories]
+    keep = [quoted(c) for c in df.columns if c not in model.categories]
     return df.select(*keep, *one_hot_columns(model, set(df.columns)))
 
 
@@ -147,11 +150,12 @@ def map_target(df: DataFrame, column: str, mapping: dict, out_col: str | None =
         expr = F.when(F.col(column) == F.lit(k), F.lit(v)) if expr is None \
             else expr.when(F.col(column) == F.lit(k), F.lit(v))
     if check:
-        bad = (df.where(~F.col(column).isin(list(mapping.keys())) | F.col(column).isNull())
-               .select(column).distinct().limit(20).collect())
-        if bad:
-            raise PipelineError(
-                f"`{column}` must contain only {list(mapping.keys())}; found: {[r[0] for r in bad]}")
+        bad = df.where(~F.col(column).isin(list(mapping.keys())) | F.col(column).isNull()).select(column).distinct()
+        total = bad.count()
+        if total:
+            first = [r[0] for r in bad.orderBy(F.asc_nulls_first(column)).limit(20).collect()]
+            raise PipelineError(f"{total} value(s) of `{column}` have no mapping (known: {list(mapping)}); "
+                                f"in order, the first of them: {first}")
     return df.withColumn(out_col, expr)
 
 
@@ -175,17 +179,18 @@ class MinMaxModel:
 
 
 def fit_minmax(train: DataFrame, columns: list[str]) -> MinMaxModel:
-    row = train.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in columns],
-                    *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in columns]).first()
-    return MinMaxModel({c: row[f"mn_{c}"] for c in columns}, {c: row[f"mx_{c}"] for c in columns})
+    values = [quoted(c).cast("double") for c in columns]
+    row = train.agg(*[F.min(v).alias(f"mn{i}") for i, v in enumerate(values)],
+                    *[F.max(v).alias(f"mx{i}") for i, v in enumerate(values)]).first()
+    return MinMaxModel({c: row[f"mn{i}"] for i, c in enumerate(columns)}, {c: row[f"mx{i}"] for i, c in enumerate(columns)})
 
 
 def minmax_expr(c: str, model: MinMaxModel) -> Column:
     """(x - min) / (max - min); a constant column keeps range 1 (x - min); no clipping."""
     mn, mx = model.mins[c], model.maxs[c]
     rng = (mx - mn) if (mx is not None and mn is not None and mx != mn) else 1.0
-    return ((F.col(c).cast("double") - F.lit(mn)) / F.lit(rng)).alias(c)
+    return ((quoted(c).cast("double") - F.lit(mn)) / F.lit(rng)).alias(c)
 
 
 def apply_minmax(df: DataFrame, model: MinMaxModel) -> DataFrame:
-    return df.select([minmax_expr(c, model) if c in model.mins else F.col(c) for c in df.columns])
+    return df.select([minmax_expr(c, model) if c in model.mins else quoted(c) for c in df.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
-from tabwise.functions.columns import is_missing
+from tabwise.functions.columns import is_missing, nan_as_null
 from tabwise.operators.quantiles import exact_quantiles, modes
 from tabwise.operators.ranking import hash_key
 
@@ -35,7 +35,8 @@ def null_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
-    """``df.info()``: column, dtype, non-null count (one pass)."""
+    """``df.info()``: column, dtype, non-null count (one pass); NaN counts as null."""
+    df = nan_as_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     wide = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
     listing = wide.unpivot([], df.columns, "column", "non_null")
@@ -90,6 +91,7 @@ def describe_strings(df: DataFrame, columns: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------- A5 / A6
 def value_counts(df: DataFrame, column: str, order: str = "count") -> DataFrame:
     """Group sizes without NULLs, by count desc (ties by value) or by value."""
+    df = nan_as_null(df, [column])
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(
         F.count(F.lit(1)).alias("count"))
     if order == "count":
@@ -100,7 +102,7 @@ def value_counts(df: DataFrame, column: str, order: str = "count") -> DataFrame:
 def class_shares(df: DataFrame, column: str) -> DataFrame:
     """value_counts(normalize=True): share of each non-null value."""
     counts = value_counts(df, column)
-    total = df.where(F.col(column).isNotNull()).count()
+    total = nan_as_null(df, [column]).where(F.col(column).isNotNull()).count()
     return counts.withColumn("share", F.col("count") / F.lit(float(total) if total else None))
 
 
@@ -117,7 +119,8 @@ def rate_and_count(df: DataFrame, predicates: dict) -> DataFrame:
 # --------------------------------------------------------------------------- A15 / A16
 def histogram(df: DataFrame, column: str, bins: int = 30, lo: float | None = None,
               hi: float | None = None) -> DataFrame:
-    """Equal-width bins over [min, max], last bin closed; empty bins included."""
+    """Equal-width bins over [min, max], last bin closed; empty bins included, NULL and NaN left out."""
+    df = nan_as_null(df, [column])
     if lo is None or hi is None:
         row = df.agg(F.min(F.col(column).cast("double")), F.max(F.col(column).cast("double"))).first()
         lo, hi = row[0], row[1]
@@ -141,11 +144,12 @@ def bin_index(v, lo: float, hi: float, bins: int):
     if hi == lo:
         return F.when(v.isNotNull(), F.lit(1))
     raw = F.floor((v - F.lit(lo)) * F.lit(bins) / F.lit(hi - lo)).cast("int") + 1
-    return F.least(raw, F.lit(bins))
+    return F.when(v.isNotNull(), F.least(raw, F.lit(bins)))
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
-    """Binned pair counts for a scatter matrix cell (non-empty cells only)."""
+    """Binned pair counts for a scatter matrix cell (non-empty cells only), NULL and NaN left out."""
+    df = nan_as_null(df, [x, y])
     row = df.agg(F.min(F.col(x).cast("double")), F.max(F.col(x).cast("double")),
                  F.min(F.col(y).cast("double")), F.max(F.col(y).cast("double"))).first()
     bx = bin_index(F.col(x).cast("double"), row[0], row[1], bins)

@@ -776,7 +776,11 @@ def q_processed_table_sink(spark, sf_dir):
     return read_csv(spark, path, schema=out.schema)
 
 
-@register("schema_listing")
+@register("schema_listing", """SELECT c.column_name, c.non_null,
+  CASE t.kind WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+       WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(t.kind) END AS dtype
+FROM (UNPIVOT (SELECT count(COLUMNS(*)) AS "\\0" FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE non_null) c
+JOIN (UNPIVOT (SELECT any_value(typeof(COLUMNS(*))) AS "\\0" FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE kind) t USING (column_name)""")
 def q_schema_listing(spark, sf_dir):
     """Column, Spark type and non-null count of lineitem (one pass)."""
     return PF.schema_listing(read_table(spark, sf_dir, "lineitem")).withColumnRenamed("column", "column_name")

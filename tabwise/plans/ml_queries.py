@@ -121,7 +121,13 @@ def q_tree_params(spark, sf_dir):
     return MO.param_table(spark, eligibility(spark, sf_dir).models["decision_tree"])
 
 
-@register("eligibility_defaults")
+@register("eligibility_defaults", f"""WITH {T.ORDERS_WITH_GAPS_SQL}, {T.CUSTOMER_WITH_GAPS_SQL},
+i AS (SELECT o_totalprice, o_orderpriority, c_acctbal, c_mktsegment FROM og JOIN cg ON o_custkey = c_custkey)
+SELECT 'o_orderpriority' AS column_name, (SELECT o_orderpriority FROM i WHERE o_orderpriority IS NOT NULL
+         GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS text_value, CAST(NULL AS DOUBLE) AS num_value
+UNION ALL SELECT 'c_mktsegment', (SELECT c_mktsegment FROM i WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), NULL
+UNION ALL SELECT 'o_totalprice', NULL, median(o_totalprice) FROM i
+UNION ALL SELECT 'c_acctbal', NULL, median(c_acctbal) FROM i""")
 def q_eligibility_defaults(spark, sf_dir):
     """Default raw values (mode per category, median per number) kept in the bundle."""
     d = eligibility(spark, sf_dir).defaults
@@ -211,7 +217,13 @@ def q_segment_assignment(spark, sf_dir):
     return res.named.select("c_custkey", "Segment", "Cluster", "c_acctbal", "c_nationkey")
 
 
-@register("segmentation_correlation")
+@register("segmentation_correlation", """WITH k AS (
+  SELECT CAST(c_acctbal AS DOUBLE) AS a, CAST(c_nationkey AS DOUBLE) AS b,
+         rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS ra,
+         rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS rb FROM customer),
+v AS (SELECT 'pearson' AS method, round(corr(a, b), 6) AS c FROM k UNION ALL SELECT 'spearman', round(corr(ra, rb), 6) FROM k),
+n(x) AS (VALUES ('c_acctbal'), ('c_nationkey'))
+SELECT p.x AS col_a, q.x AS col_b, CASE WHEN p.x = q.x THEN 1.0 ELSE c END::DOUBLE AS corr, method FROM v, n p, n q""")
 def q_segmentation_correlation(spark, sf_dir):
     """A12 + A13 on the clustering features."""
     res = segmentation(spark, sf_dir)

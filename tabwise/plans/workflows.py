@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
+from tabwise.functions.columns import quoted
 from tabwise.operators import cluster as CL
 from tabwise.operators import correlation as CO
 from tabwise.operators import metrics as ME
@@ -305,7 +306,7 @@ def mlp_workflow(spark: SparkSession, df: DataFrame, id_col: str, target: str, r
     sp = materialize(SP.train_test_split(encoded, id_col, "label", test_size, seed))
     scaler = PR.fit_minmax(sp.where(F.col("split") == "train"), features)
     scaled = PR.apply_minmax(sp, scaler).select(id_col, "label", "split",
-                                                F.array(*[F.col(c) for c in features]).alias("x"))
+                                                F.array(*[quoted(c) for c in features]).alias("x"))
     model = MLP.fit_mlp(scaled.where(F.col("split") == "train"), "x", "label", hidden, activation,
                         batch_size, learning_rate, alpha, max_iter, early_stopping=early_stopping,
                         seed=seed, id_col=id_col)

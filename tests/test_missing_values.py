@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
 from tabwise.functions.columns import text_to_double
+from tabwise.operators import prep as PR, profile as PF
 from tabwise.operators.correlation import corr_with_target, pearson_matrix, spearman_matrix
 from tabwise.operators.scoring import encode_raw
 from tabwise.sources.models_io import Bundle
@@ -35,3 +36,18 @@ def test_scoring_fills_with_training_defaults(spark):
     df = spark.createDataFrame([(None, None, None), (1.0, "a", False)], "x double, c string, flag boolean")
     got = [tuple(r[c] for c in bundle.features) for r in encode_raw(df, bundle).collect()]
     assert got == [(7.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 0.0)]
+
+
+def test_nan_is_missing_everywhere(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 3.0), (4, None)], "id int, x double")
+    assert [r["x"] for r in PR.impute(df, median_cols=["x"])[0].orderBy("id").collect()] == [1.0, 2.0, 3.0, 2.0]
+    assert sorted((r["x"], r["count"]) for r in PF.value_counts(df, "x").collect()) == [(1.0, 1), (3.0, 1)]
+    assert [r["count"] for r in PF.histogram(df, "x", 2).collect()] == [1, 1]
+    assert {r["column"]: r["non_null"] for r in PF.schema_listing(df).collect()} == {"id": 4, "x": 2}
+
+
+def test_dotted_category_names_scale(spark):
+    df = spark.createDataFrame([("B.Sc", 1.0), ("M.Sc", 2.0)], "degree string, x double")
+    encoded, _ = PR.one_hot(df, ["degree"])
+    scaled = PR.apply_minmax(encoded, PR.fit_minmax(encoded, encoded.columns))
+    assert sorted(map(tuple, scaled.collect())) == [(0.0, 1.0, 0.0), (1.0, 0.0, 1.0)]
