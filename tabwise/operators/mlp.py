@@ -250,14 +250,15 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
             activation: str = "relu", batch_size: int = 50, learning_rate: float = 1e-3,
             alpha: float = 1e-4, max_iter: int = 200, tol: float = 1e-4, n_iter_no_change: int = 10,
             early_stopping: bool = False, validation_fraction: float = 0.1, seed: int = 123,
-            id_col: str | None = None, workers: int = 8) -> MLPModel:
+            id_col: str | None = None, workers: int = 2) -> MLPModel:
     """Train on ``features_col`` (array<double>, already scaled) and 0/1 ``label_col``.
 
     ``workers`` logical workers train side by side and are averaged after each
     epoch.  A row's worker and its place in the worker's stream follow from a
     hash of its id (without ``id_col``: of its values), so the model depends on
     neither the number of rows nor the partitions of the input.  On a cluster
-    set ``workers`` to the cores that should train.
+    set ``workers`` to the cores that should train; the step size is scaled by
+    it, as each worker takes that many fewer steps an epoch.
     """
     if activation not in ACTIVATIONS:
         raise PipelineError(f"activation must be one of {ACTIVATIONS}")
@@ -294,7 +295,7 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
     schema = "vec array<double>"
     for epoch in range(max_iter):
         fn = _epoch_fn(theta.tolist(), m.tolist(), v.tolist(), t, shapes, activation, alpha,
-                       learning_rate, batch_size, seed, epoch)
+                       learning_rate * workers, batch_size, seed, epoch)
         # One job per epoch: slot-wise sums (and the largest Adam step count) are reduced by Spark,
         # so 3·n_params + 3 rows reach the driver whatever the number of workers.
         sums = (train.select("_x", "_y", "_w").mapInPandas(fn, schema).select(F.posexplode("vec").alias("j", "x"))
