@@ -256,17 +256,17 @@ def _derivable(x: _Lists, sets: _Sets, one: np.ndarray, other: np.ndarray, perce
 
     They share at most what either shares with the hub, and of what is outside
     the hub the lesser part.  Prefix n-grams that no other prefix has are no
-    common ones, for that set of the two whose prefix ends first.
+    common ones, for that set of the two whose prefix ends first; the hub may
+    hold them behind its own prefix, so they are taken off the whole set only.
     """
     a, b = x.member[one], x.member[other]
-    with_hub, out, bare = [], [], []
+    with_hub, out, common = [], [], []
     for m, size in ((a, x.size[one]), (b, x.size[other])):
         o = np.where(sets.overlap[m] < 0, size, sets.overlap[m])
-        alone = _prefix(size, percent) - sets.degree[m]
         with_hub.append(o)
         out.append(size - o)
-        bare.append(np.maximum(size - o - alone, 0))
-    bound = np.minimum(*with_hub) + np.maximum(np.minimum(bare[0], out[1]), np.minimum(out[0], bare[1]))
+        common.append(size - (_prefix(size, percent) - sets.degree[m]))
+    bound = np.minimum(np.minimum(*with_hub) + np.minimum(*out), np.maximum(*common))
     return (sets.hub[a] != sets.hub[b]) | (bound >= _needed(x.size[one], x.size[other], percent))
 
 

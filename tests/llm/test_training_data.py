@@ -65,6 +65,28 @@ def test_ngram_join_matches_brute_force(spark):
     assert sorted(tuple(r) for r in got) == components(texts)
 
 
+def test_ngram_join_keeps_links_behind_a_hub(spark):
+    """Pairs at or just above the threshold, both near a hub that has all of their difference."""
+    from tabwise.llm.ngram_join import similar_components
+
+    sets = []
+    for family in range(1000):
+        rng = random.Random(family)
+        core = rng.randint(30, 50)
+        word = [f"f{family}w{k}" for k in range(2 * core)]
+        a, b = word[:core + core // 4], word[:core]
+        hub = rng.sample(b, core - rng.randint(3, core // 4)) + word[core:core + core // 4 + rng.randint(0, 8)]
+        sets += [hub, a, b]
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(docs_frame(spark, [" ".join(s) for s in sets]), size=1).collect()}
+    expected = {}
+    for k in range(0, len(sets), 3):
+        link = lambda x, y: 100 * len(set(sets[x]) & set(sets[y])) >= 80 * len(set(sets[x]) | set(sets[y]))
+        assert link(k + 1, k + 2)
+        first = k if link(k, k + 1) or link(k, k + 2) else k + 1
+        expected |= {k: k, k + 1: first, k + 2: first}
+    assert {k for k in expected if got[k] != expected[k]} == set()
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
