@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwise.llm.decontaminate import remove_contaminated
 from tabwise.llm.exact_dedup import exact_dedup
@@ -18,20 +19,43 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs, train_language_model(docs.where(remainder(F.col("doc_id"), 3) != 1)))
 
 
-def _keep_ids(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep (doc_id)``, rows without id stay."""
-    kept = docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+def _row() -> Column:
+    """A row's key: its place in the stored table."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def _stored(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a plain scan of files whose rows have a place; anything else is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select(_row())
+            return docs
+        except AnalysisException:      # files without places
+            pass
+    return Scratch(docs.sparkSession, f"pipeline-{name}").write(docs, "docs")
+
+
+def _keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of the stored table ``docs`` whose place is in ``keep (key)``."""
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _row().alias("key"))
+    return placed.join(keep.select("key"), "key", "left_semi").select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _keep_ids(docs, exact_dedup(docs).where("kept"))
+    """One row of each group of equal texts, with or without doc_id."""
+    docs = _stored(docs, "exact")
+    return _keep_rows(docs, exact_dedup(docs, key=_row()).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by 5-word shingles at Jaccard 0.8 or more."""
-    return _keep_ids(docs, similar_components(docs).where("component_id = doc_id"))
+    """One row, the first of the smallest id (null last), of each group linked by 5-word shingles at Jaccard 0.8 or more.
+
+    Texts without words are linked with nothing: all stay."""
+    docs = _stored(docs, "near")
+    rows = similar_components(docs, key=_row())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))["key"].alias("key")
+    keep = rows.where("component IS NOT NULL").groupBy("component").agg(first).select("key")
+    return _keep_rows(docs, keep.unionByName(rows.where("component IS NULL").select("key")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def digest_state(digests: DataFrame, scratch: Scratch) -> DataFrame:
                                       F.col(f"value.`{kept}`").alias("keep")), "groups")
 
 
-def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=sha256, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator.
 
     Two texts are equal when the same after deleting white space; null equals
@@ -61,14 +61,15 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     of repeated rows exactly one has ``kept``.  An empty table gives no rows;
     columns other than doc_id and text are not read, so their names cannot
     clash.  ``digest`` is the grouping hash; any function gives whole results,
-    as hits are compared byte by byte.
+    as hits are compared byte by byte.  With a ``key`` of the rows, that is
+    returned too.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     spark = scratch.spark
     norm = normalised(F.col("text"))
     thin = scratch.write(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
-        digest(norm).alias("digest")), "digests")
+        digest(norm).alias("digest"), *([] if key is None else [key.alias("key")])), "digests")
     locator = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     placed = thin.withColumn("locator", locator)
     stream = spark.readStream.schema(thin.schema).parquet(scratch.path("digests")).withColumn("locator", locator)
@@ -89,11 +90,12 @@ def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     scratch.drop("state")
     return rows.select(
         "doc_id", F.bitwise_not("keep.inverted").alias("keep_id"), "group_size",
-        (F.col("locator") == F.col("keep.locator")).alias("kept"), F.col("digest").alias("text_sha256"), "locator")
+        (F.col("locator") == F.col("keep.locator")).alias("kept"), F.col("digest").alias("text_sha256"), "locator", *([] if key is None else ["key"]))
 
 
 def _split_clashes(docs: DataFrame, rows: DataFrame, clash: DataFrame, digest) -> DataFrame:
     """Group the rows of clashing digests by their bytes; rows of ``docs`` are found again by id, length and digest."""
+    key = [c for c in rows.columns if c == "key"]
     norm = normalised(F.col("text"))
     points = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), points.alias("n_points"), norm.alias("norm"))
@@ -101,8 +103,8 @@ def _split_clashes(docs: DataFrame, rows: DataFrame, clash: DataFrame, digest) -
     same = [F.col("r.digest") == F.col("t.digest"), F.col("r.n_points") == F.col("t.n_points"),
             F.col("r.doc_id").eqNullSafe(F.col("t.doc_id"))]
     apart = (rows.alias("r").join(texts.alias("t"), same)
-             .select("r.digest", "r.doc_id", "r.n_points", "r.locator", "t.norm"))
+             .select("r.digest", "r.doc_id", "r.n_points", "r.locator", "t.norm", *[f"r.{c}" for c in key]))
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("inverted"), "locator")).alias("keep")
     sizes = apart.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("group_size"), best)
-    apart = apart.join(sizes, ["digest", "norm"]).select("digest", "doc_id", "n_points", "locator", "group_size", "keep")
+    apart = apart.join(sizes, ["digest", "norm"]).select("digest", "doc_id", "n_points", "locator", "group_size", "keep", *key)
     return rows.join(clash, "digest", "left_anti").select(apart.columns).unionByName(apart)

@@ -32,7 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabwise.llm.components import connected_components
 from tabwise.llm.scratch import Scratch
@@ -78,17 +78,18 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def set_profiles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_id): size and digest of every document's set (set_id null if empty)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.binary())])
-
+def set_profiles(docs: DataFrame, size: int, key: Column | None = None) -> DataFrame:
+    """(doc_id, n, set_id): size and digest of every document's set (set_id null if empty), and the row's key if there is one."""
     def profile(batches):
         for batch in batches:
             sets = [(len(s), _digest(s) if len(s) else None) for _, s in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()),
-                                              pa.array([d for _, d in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.binary()),
+                                              *batch.columns[2:]], names=["doc_id", "n", "set_id", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n long, set_id binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *([] if key is None else [key.alias("key")]))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
+                           *rows.schema.fields[2:]])
+    return rows.mapInArrow(profile, schema)
 
 
 def _distinct_sets(batches, size: int) -> Iterator[tuple[bytes, np.ndarray, object]]:
@@ -472,7 +473,7 @@ def pair_overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             .mapInArrow(compare, "a binary, b binary, size_a long, size_b long, overlap long"))
 
 
-def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id.
 
     Sets link when 100 * intersection >= percent * union; component_id is the
@@ -481,11 +482,13 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     words have the empty set and are linked with nothing.  Rows with a null
     doc_id take part and keep a null id; they give no component its name (their
     component_id is null if nothing else is linked).  Repeated rows are equal
-    sets.  An empty table gives none.  Other columns are not read.
+    sets.  An empty table gives none.  Other columns are not read.  With a
+    ``key`` of the rows, that is returned too, and ``component``, which names
+    also components without any doc_id (null for the empty set).
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     spark = scratch.spark
-    profiles = scratch.write(set_profiles(docs, size), "profiles")
+    profiles = scratch.write(set_profiles(docs, size, key), "profiles")
     total = profiles.agg(F.sum("n")).first()[0] or 0
     bits = max(3, (total // BUCKET).bit_length())
     heavy, counts = frequent_tokens(docs, size, total, bits)
@@ -517,11 +520,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     groups = connected_components(links, scratch, "all")
     scratch.drop("lists", "texts", "crossing", "led", "degrees")
 
+    more = [] if key is None else ["key"]
     named = profiles.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left") \
-        .select("doc_id", "n", F.coalesce("component", "set_id").alias("component"))
+        .select("doc_id", "n", F.coalesce("component", "set_id").alias("component"), *more)
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), *(["component"] + more if more else []))
 
 
 def _compare_rest(crossing: DataFrame, answers: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:

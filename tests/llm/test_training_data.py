@@ -305,3 +305,26 @@ def test_pipeline(spark):
     assert all(near[ids.index(k)][2] == ids.index(k) for k in left if texts[k] and near[ids.index(k)][1])
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_dedup_stages_decide_by_row(spark, tmp_dir, stored):
+    """Null ids, repeated rows and one id with two texts, from memory and from files."""
+    import corpus_pipeline
+
+    long, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, "a b c"), (None, "a b c"), (1, "a  b c"), (None, "only null"), (None, "only null"), (2, "twice"), (2, "twice"),
+            (3, "a b c"), (3, "third"), (4, None), (4, ""), (None, long), (None, long + " end"), (5, other), (5, other + " end"),
+            (6, other + " tail"), (7, "")]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], DOC).repartition(3)
+    if stored:
+        frame.write.parquet(f"{tmp_dir}/docs")
+        frame = spark.read.parquet(f"{tmp_dir}/docs")
+    got = corpus_pipeline.exact(spark, frame, SF)
+    assert got.columns == frame.columns
+    exact = sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+    assert exact == sorted([(1, "a  b c"), (0, "only null"), (2, "twice"), (3, "third"), (4, ""), (0, long), (0, long + " end"),
+                            (5, other), (5, other + " end"), (6, other + " tail")])
+    got = corpus_pipeline.near(spark, frame, SF).collect()
+    near = Counter((r["doc_id"] or 0, "w0" if "w0" in (r["text"] or "") else "v0" if "v0" in (r["text"] or "") else " ".join((r["text"] or "").split())) for r in got)
+    assert near == Counter([(1, "a b c"), (0, "only null"), (2, "twice"), (3, "third"), (4, ""), (4, ""), (7, ""), (0, "w0"), (5, "v0")])
