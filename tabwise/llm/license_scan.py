@@ -10,6 +10,9 @@ documents.  DataFrame operations only.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Public licence texts and standard notices.
@@ -58,26 +61,65 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(canonical_sha256, license) of the known texts: as many rows as KNOWN_LICENSES at most."""
-    known = spark.createDataFrame(KNOWN_LICENSES, "license string, text string")
-    return known.select(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), "license").distinct()
+_CLAUSE_3 = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+             "derived from this software without specific prior written permission. ")
+#: First lines that usually stand before a text, for the licences whose text has no title of its own.
+HEADINGS = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "Zlib": ["", "zlib License", "The zlib License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"],
+}
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """(license, text): KNOWN_LICENSES, their whole texts under the usual headings, and the texts of the folder ``licenses``."""
+    bodies = [(name, text) for name, text in KNOWN_LICENSES if len(text) > 500 and not text.startswith("MIT License")]
+    two = dict(bodies)["BSD-2-Clause"]
+    bodies.append(("BSD-3-Clause", two.replace("THIS SOFTWARE IS", _CLAUSE_3 + "THIS SOFTWARE IS", 1)))
+    for name, text in bodies[:]:
+        if name.startswith("BSD"):
+            bodies.append((name, text.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")))
+    for name, text in bodies[:]:      # lists with bullets
+        if name.startswith("BSD"):
+            bodies.append((name, re.sub(r"\b[123]\. ", "* ", text)))
+    out = list(KNOWN_LICENSES)
+    for name, text in bodies:
+        out += [(name, f"{heading}\n{rights}\n{text}") for heading in HEADINGS[name] for rights in ("", "All rights reserved.")]
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = file.read_text()
+        out.append((file.stem, text))
+        # In other line breaks, no line of a sentence may start with "copyright".
+        paragraphs = re.split(r"\n[ \t]*\n", text)
+        out.append((file.stem, "\n".join(" ".join(p.split()) for p in paragraphs)))
+    return out
+
+
+def known_digests(licenses: DataFrame) -> DataFrame:
+    """(canonical_sha256, license) of the known texts ``licenses (license, text)``; of licences with equal texts the first by name."""
+    return (licenses.where("text IS NOT NULL").select(F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"), "license")
+            .groupBy("canonical_sha256").agg(F.min("license").alias("license")))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, canonical_sha256, license, notices.
 
+    ``licenses (license, text)``: the known texts, ``license_texts()`` by default.
     ``license``: the licence whose entire text the document is, else null.
     ``notices``: sorted distinct licences of which some line of the document is
     the entire text (empty array if none).  A null text has a null digest, no
     licence and no notices; a text without words has the digest of the empty
-    string.  Rows are only projected, joined to the few known digests and, per
-    row, filtered: nothing is shuffled.
+    string.  Rows are only projected, joined to the known digests (broadcast) and,
+    per row, filtered: the documents are not shuffled.
     """
     spark = docs.sparkSession
-    known = known_digests(spark).select(F.col("canonical_sha256").alias("_digest"), "license")
-    # The known table is of fixed size; for the line lookups it is one constant map.
-    lookup = F.create_map(*[F.lit(x) for row in known.collect() for x in (row["_digest"], row["license"])])
+    if licenses is None:
+        licenses = spark.createDataFrame(license_texts(), "license string, text string")
+    # The digests (one row a known text) pass the driver; for the line lookups they are one constant map.
+    rows = [(r["canonical_sha256"], r["license"]) for r in known_digests(licenses).collect()]
+    known = spark.createDataFrame(rows, "_digest string, license string")
+    lookup = F.create_map(*[F.lit(x) for row in rows for x in row]).cast("map<string,string>")
     lines = F.filter(F.split(F.col("text"), r"[\r\n]+"), lambda x: x.rlike("(?i)licen[cs]e|released under|spdx|permission|redistribution"))
     found = F.filter(F.transform(lines, lambda x: F.element_at(lookup, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"),

@@ -187,6 +187,28 @@ def test_license_scan(spark):
     assert got[3]["canonical_sha256"] == hashlib.sha256(b"").hexdigest() and got[4]["notices"] == ["CC-BY-NC-4.0", "MIT"]
 
 
+def test_license_scan_whole_texts_and_own_table(spark):
+    from pathlib import Path
+
+    from tabwise.llm import license_scan as scan
+
+    folder = Path(scan.__file__).parent / "licenses"
+    files = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    body = {name: text for name, text in scan.KNOWN_LICENSES[::-1] if len(text) > 500}
+    bsd3 = body["BSD-2-Clause"].replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+                                        "or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS", 1)
+    mit = scan.KNOWN_LICENSES[1][1]
+    expected = [*files.items(), ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n{mit}"), ("ISC", f"ISC License\n\n(c) X\n\n{body['ISC']}"),
+                ("MIT", f"Copyright 2001 X\nAll rights reserved.\n{mit}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) Y\nAll rights reserved.\n\n{bsd3}"),
+                (None, f"The MIT License (MIT)\n{mit} or not")]
+    got = {r["doc_id"]: r["license"] for r in scan.license_scan(docs_frame(spark, [t for _, t in expected])).collect()}
+    assert [got[k] for k in range(len(expected))] == [name for name, _ in expected] and len(files) >= 8
+    own = spark.createDataFrame([("House-1", "Ours, under licence."), ("Gone", None)], "license string, text string")
+    got = scan.license_scan(docs_frame(spark, ["ours under LICENSE", "x\nOurs, under licence!\ny", mit]), own).collect()
+    assert [(r["license"], r["notices"]) for r in sorted(got)] == [("House-1", ["House-1"]), (None, ["House-1"]), (None, [])]
+    assert {r["license"] for r in scan.license_scan(docs_frame(spark, [mit]), own.limit(0)).collect()} == {None}
+
+
 def test_language_id_held_out(spark):
     from tabwise.llm.language_id import evaluate
 
