@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over the whole driver tables."""
+"""Registered queries of the operators, over the whole driver tables."""
 
 from __future__ import annotations
 
@@ -184,3 +184,34 @@ def op10(spark, sf_dir):
     from tabwise.llm.toxicity import evaluate
 
     return evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_conversation_trie", r"""
+WITH o AS (
+  SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS m,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(m ORDER BY k) AS own,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 6 AS h
+  FROM o GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS turns
+      FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+p AS (SELECT conv_id, d, turns[1:d] AS node, d = len(turns) AS last
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+      FROM p GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE length(n.node[d].t) END AS saved
+      FROM n LEFT JOIN k ON k.node = n.node),
+u AS (SELECT node[1:e] AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+      FROM (SELECT node, n_children, saved, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1)
+SELECT v.conv_id, v.d::BIGINT AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves,
+       u.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN u ON u.node = v.node LEFT JOIN n q ON v.d > 0 AND q.node = v.node[1:v.d - 1]""")
+def op12(spark, sf_dir):
+    from tabwise.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("p1", "p2")
