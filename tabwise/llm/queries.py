@@ -215,3 +215,11 @@ def op12(spark, sf_dir):
     from tabwise.llm.prefix_trie import conversation_trie
 
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("p1", "p2")
+
+
+@query("op13_minhash_near_dedup", "SELECT *, doc_id = component_id AS kept FROM ("
+       + ORACLE_SQL["op1_ngram_jaccard_join"].replace("100 * o >= 80 *", "100 * o >= 85 *") + ")")
+def op13(spark, sf_dir):
+    from tabwise.llm.minhash_hamming import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
