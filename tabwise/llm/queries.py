@@ -32,6 +32,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def aligned_tokenizer_paths() -> tuple[str, str]:
+    """Places of the two public tokenizers of op11; TABWISE_TOKENIZER_A and TABWISE_TOKENIZER_B override the installed ones."""
+    import public_tokenizers
+
+    return (os.environ.get("TABWISE_TOKENIZER_A") or str(public_tokenizers.path("byte_bpe_50k.json")),
+            os.environ.get("TABWISE_TOKENIZER_B") or str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 # The rules of op3, as host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -223,3 +231,10 @@ def op13(spark, sf_dir):
     from tabwise.llm.minhash_hamming import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark, sf_dir):
+    from tabwise.llm.token_alignment import count_links
+
+    return count_links(table(spark, sf_dir, "documents"), aligned_tokenizer_paths())
