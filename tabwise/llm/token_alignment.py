@@ -20,8 +20,8 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +30,65 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tabwise.llm.scratch import Scratch
-from tabwise.llm.textarrays import slices, text_bytes
+from tabwise.llm.textarrays import text_bytes
 
 #: Bytes of text of a block, and of a long text that are cut into chunks at once.
 BLOCK, SEGMENT = 1 << 22, 1 << 20
 #: Chunks of which a worker keeps the alignment (about 400 bytes each).
-CACHE = 300_000
+CACHE = 400_000
+
+#: Links of a group that are listed one by one.
+LARGE = 1 << 16
 
 CHUNK = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
 CUT = re.compile("(?<=[^ \t\n])(?=[ \t\n])")
 OTHER_SPACE = re.compile("[^\\S \t\n]")
 
-Group = tuple[int, int, list[int], list[int]]
 
 
-def byte_ends(chunk: str, ids: list[int], spans: list[tuple[int, int]], entries: list[bytes]) -> list[int]:
-    """Byte offset where each token ends: from its span in characters, or from its decoded bytes where it is not whole characters."""
-    if chunk.isascii():
-        return [end for _, end in spans]
-    at = [0]
-    for c in chunk:
-        at.append(at[-1] + (1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4))
-    out, last = [], 0
-    for token, (start, end) in zip(ids, spans):
-        size = len(entries[token])
-        last = at[end] if at[start] == last and at[end] - last == size else last + size
-        out.append(last)
-    return out
+def byte_ends(raw: np.ndarray, spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte offset where each token ends: its span in characters where it is whole characters, else by the decoded bytes."""
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    start, end = at[spans[:, 0]], at[spans[:, 1]]
+    return np.where(end - start == sizes, end, np.cumsum(sizes))
+
+
+class Groups(NamedTuple):
+    """Tokens of both tokenizers and the groups between their common ends."""
+
+    a: np.ndarray
+    b: np.ndarray
+    ends: np.ndarray       #: byte offset where each group ends
+    group_a: np.ndarray    #: group of each token
+    group_b: np.ndarray
+
+    def written(self) -> list[str]:
+        """a1,a2|b1 of every group."""
+        out, i, j = [], 0, 0
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        for n, m in zip(np.bincount(self.group_a).tolist(), np.bincount(self.group_b).tolist()):
+            out.append(a[i] + "|" + b[j] if n == m == 1 else ",".join(a[i:i + n]) + "|" + ",".join(b[j:j + m]))
+            i, j = i + n, j + m
+        return out
+
+    def links(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, pair, times) of the links, by group; of groups of very many, each pair once with how often."""
+        n, m = np.bincount(self.group_a), np.bincount(self.group_b)
+        first = np.concatenate([[0], np.cumsum(m)])
+        large = n * m > LARGE
+        own = np.flatnonzero(~large[self.group_a])
+        places, size = _spread(first, self.group_a[own])
+        group, pair = np.repeat(self.group_a[own], size), np.repeat(self.a[own], size) * width + self.b[places]
+        times = np.ones(len(pair), np.int64)
+        if large.any():
+            for g in np.flatnonzero(large).tolist():
+                x, k = np.unique(self.a[self.group_a == g], return_counts=True)
+                y, l = np.unique(self.b[self.group_b == g], return_counts=True)
+                group = np.append(group, np.full(len(x) * len(y), g))
+                pair, times = np.append(pair, np.add.outer(x * width, y)), np.append(times, np.multiply.outer(k, l))
+            order = np.argsort(group, kind="stable")
+            group, pair, times = group[order], pair[order], times[order]
+        return group, pair, times
 
 
 class Aligner:
@@ -77,30 +109,21 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.chunked = not any(re.search("[^▁]▁|[\t\n]", p) for p in pieces)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in entries], np.int64) for entries in (self.a_bytes, self.b_bytes))
         self.width = len(pieces)
 
-    def align(self, chunks: list[str]) -> list[list[Group] | None]:
-        """(start, end, A ids, B ids) of every group of each chunk; None where the tokens' bytes are not the chunk's."""
-        out = []
-        first = self.a.encode_batch(chunks, add_special_tokens=False)
-        second = self.b.encode(["\n" + c for c in chunks], return_type="offset_mapping", num_threads=1)    # a line feed keeps the model's own space apart
-        for chunk, one, other in zip(chunks, first, second):
-            a, b = one.ids, other["ids"][2:]
-            raw = chunk.encode()
-            if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-                out.append(None)
-                continue
-            a_ends = byte_ends(chunk, a, one.offsets, self.a_bytes)
-            b_ends = byte_ends(chunk, b, [(max(s - 1, 0), e - 1) for s, e in other["offsets"][2:]], self.b_bytes)
-            groups, start, i, j = [], 0, 0, 0
-            common = set(a_ends).intersection(b_ends)
-            for k, end in enumerate(a_ends):
-                if end in common:
-                    stop = b_ends.index(end, j) + 1
-                    groups.append((start, end, a[i:k + 1], b[j:stop]))
-                    start, i, j = end, k + 1, stop
-            out.append(groups)
-        return out
+    def align(self, text: str) -> Groups | None:
+        """Groups of a text, or of chunks one after the other; None where the tokens' bytes are not the text's."""
+        one = self.a.encode(text, add_special_tokens=False)
+        other = self.b.encode("\n" + text, return_type="offset_mapping")     # a line feed keeps the model's own space apart
+        a, b, raw = one.ids, other["ids"][2:], text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        a, b, raw = np.array(a, np.int64), np.array(b, np.int64), np.frombuffer(raw, np.uint8)
+        a_ends = byte_ends(raw, np.array(one.offsets, np.int64).reshape(-1, 2), self.a_sizes[a])
+        b_ends = byte_ends(raw, np.maximum(np.array(other["offsets"][2:], np.int64).reshape(-1, 2) - 1, 0), self.b_sizes[b])
+        ends = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        return Groups(a, b, ends, np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends))
 
     def document(self, text: str) -> Iterator[tuple[str, bool]]:
         """(segment, whole): parts of space + text; whole ones are not to be cut into chunks."""
@@ -125,51 +148,83 @@ def _aligner(paths: tuple[str, str]) -> Aligner:
     return _ALIGNERS[paths]
 
 
-class _Chunks:
-    """Alignments of chunks seen by a worker: counts, the groups written out, and links as numbered pairs."""
+class _Chunks(dict):
+    """Numbers of the chunks that a worker has seen, their alignments: sizes, the groups written out, and links.
 
-    def __init__(self, aligner: Aligner):
-        self.aligner = aligner
-        self.clear()
+    Looking up a new chunk gives it a number; ``learn`` then aligns all new ones.
+    """
 
-    def clear(self) -> None:
-        self.at, self.pair_at = {}, {}
+    def __init__(self, aligner: Aligner):
+        super().__init__()
+        self.aligner, self.new = aligner, []
         self.sizes, self.first, self.links, self.times = array("q"), array("q", [0]), array("q"), array("q")
-        self.pairs, self.written = array("q"), []
-
-    def learn(self, chunks: list[str]) -> None:
-        width, pair_at = self.aligner.width, self.pair_at
-        for chunk, groups in zip(chunks, self.aligner.align(chunks)):
-            self.at[chunk] = -1 if groups is None else len(self.written)
-            if groups is None:
-                continue
-            links: Counter = Counter()
-            n = [0, 0, len(groups), 0]
-            for _, _, a, b in groups:
-                n[0], n[1], n[3] = n[0] + len(a), n[1] + len(b), n[3] + len(a) * len(b)
-                for x, k in (Counter(a).items() if len(a) > 1 else ((a[0], 1),)):
-                    for y, m in (Counter(b).items() if len(b) > 1 else ((b[0], 1),)):
-                        links[x * width + y] += k * m
-            for pair, count in links.items():
-                self.links.append(pair_at.setdefault(pair, len(pair_at)))
-                self.times.append(count)
-                if len(pair_at) > len(self.pairs):
-                    self.pairs.append(pair)
-            self.sizes.extend(n)
-            self.first.append(len(self.links))
-            self.written.append(";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for _, _, a, b in groups]))
+        self.written, self.seen = [], np.zeros(0, np.int64)
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = number = len(self)
+        return number
+
+    def learn(self) -> None:
+        new, self.new = self.new, []
+        joined = [c for c in new if c[-1] not in " \t\n"]     # white space at a text's end would run into the next chunk
+        found = self.aligner.align("".join(joined)) if len(joined) == len(new) else None
+        if found is not None:
+            ends = np.cumsum([len(c.encode()) for c in joined])
+            if np.isin(ends, found.ends).all():
+                self._keep(found, ends)
+                return
+        for chunk in new:
+            found = self.aligner.align(chunk)
+            if found is None:
+                self.sizes.extend((-1, 0, 0, 0))
+                self.first.append(len(self.links))
+                self.written.append("")
+            else:
+                self._keep(found, found.ends[-1:])
+
+    def _keep(self, found: Groups, ends: np.ndarray) -> None:
+        """Add the chunks that end at ``ends``."""
+        of_group, count = np.searchsorted(ends, found.ends), len(ends)
+        group, pair, times = found.links(self.aligner.width)
+        n_links = np.bincount(of_group[group], times, count).astype(np.int64)
+        columns = [np.bincount(of_group[found.group_a], minlength=count), np.bincount(of_group[found.group_b], minlength=count),
+                   np.bincount(of_group, minlength=count), n_links]
+        self.sizes.frombytes(np.column_stack(columns).astype(np.int64).tobytes())
+        self.first.frombytes((len(self.links) + np.cumsum(np.bincount(of_group[group], minlength=count))).astype(np.int64).tobytes())
+        self.links.frombytes(pair.tobytes())
+        self.times.frombytes(times.tobytes())
+        written = found.written()
+        cuts = np.searchsorted(of_group, np.arange(count + 1)).tolist()
+        self.written.extend(";".join(written[i:j]) for i, j in zip(cuts[:-1], cuts[1:]))
+
+    def shrink(self, limit: int) -> None:
+        """Forget the chunks that were seen least, until half of ``limit`` are left."""
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[:limit // 2])
+        places, size = _spread(np.frombuffer(self.first, np.int64).copy(), keep)
+        chunks = list(self)
+        kept = [(chunks[k], self.written[k]) for k in keep.tolist()]
+        sizes = np.frombuffer(self.sizes, np.int64).reshape(-1, 4)[keep]
+        links, times = np.frombuffer(self.links, np.int64)[places], np.frombuffer(self.times, np.int64)[places]
+        self.clear()
+        self.update((c, k) for k, (c, _) in enumerate(kept))
+        self.written, self.seen = [w for _, w in kept], self.seen[keep] // 2
+        self.sizes, self.links, self.times = (array("q", x.tobytes()) for x in (sizes, links, times))
+        self.first = array("q", np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes())
 
     def numbers(self, text: str) -> np.ndarray | None:
         """Chunk numbers of space + text in order; None if its tokens' bytes are not its own."""
         parts = []
         for segment, whole in self.aligner.document(text):
             chunks = [segment] if whole else CHUNK.findall(segment)
-            new = [c for c in dict.fromkeys(chunks) if c not in self.at]
-            if new:
-                self.learn(new)
-            parts.append(np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks)))
+            parts.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
+        if self.new:
+            self.learn()
         out = np.concatenate(parts)
-        return out if out.min() >= 0 else None
+        if len(self.seen) < len(self):
+            self.seen = np.concatenate([self.seen, np.zeros(len(self), np.int64)])
+        self.seen[out] += 1
+        return out if np.frombuffer(self.sizes, np.int64)[4 * out].min() >= 0 else None
 
 
 def _spread(first: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,17 +256,26 @@ def alignment_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """One row per block of documents: their sizes and digests, the block's distinct pairs with how many of its
     documents hold each, and each document's pairs (``first`` its first place, ``step`` from pair to pair, ``times`` linked)."""
     def block(rows: list[tuple], known: _Chunks, number: int) -> pa.RecordBatch:
-        pairs = np.frombuffer(known.pairs, np.int64) if len(known.pairs) else np.zeros(0, np.int64)
-        own, times = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
-        first = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
-        used, index, holders = np.unique(pairs[own], return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(rows)), np.diff(first))
-        order = np.argsort(doc * max(1, len(used)) + index, kind="stable")
-        index, times = index[order], times[order]
+        """``rows``: (doc_id, chunk numbers, digest)."""
+        first = np.frombuffer(known.first, np.int64)
+        chunks = np.concatenate([r[1] for r in rows])
+        doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        sizes = np.zeros((len(rows), 4), np.int64)
+        np.add.at(sizes, doc, np.frombuffer(known.sizes, np.int64).reshape(-1, 4)[chunks])
+        each, often = np.unique(doc * (len(known) + 1) + chunks, return_counts=True)
+        doc, chunks = each // (len(known) + 1), each % (len(known) + 1)
+        places, size = _spread(first, chunks)
+        weight = np.frombuffer(known.times, np.int64)[places] * np.repeat(often, size)
+        used, index = np.unique(np.frombuffer(known.links, np.int64)[places], return_inverse=True)
+        key, inverse = np.unique(np.repeat(doc, size) * max(1, len(used)) + index, return_inverse=True)
+        times = np.bincount(inverse, weight, len(key)).astype(np.int64)
+        doc, index = key // max(1, len(used)), key % max(1, len(used))
+        begin = np.searchsorted(doc, np.arange(len(rows) + 1))
         step = np.diff(index, prepend=0)
-        step[first[:-1][np.diff(first) > 0]] = index[first[:-1][np.diff(first) > 0]]
-        columns = [[number], [[r[0] for r in rows]], *[[[int(r[1][k]) for r in rows]] for k in range(4)], [[r[4] for r in rows]],
-                   [used.tobytes()], [_pack(holders)], [_pack(first)], [_pack(step)], [_pack(times)]]
+        starts = begin[:-1][np.diff(begin) > 0]
+        step[starts] = index[starts]
+        columns = [[number], [[r[0] for r in rows]], *[[sizes[:, k]] for k in range(4)], [[r[2] for r in rows]],
+                   [used.tobytes()], [_pack(np.bincount(index, minlength=len(used)))], [_pack(begin)], [_pack(step)], [_pack(times)]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS)], schema=_BLOCKS)
 
     def blocks(batches):
@@ -219,36 +283,28 @@ def alignment_blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
         if not hasattr(aligner, "known"):
             aligner.known = _Chunks(aligner)
         known, count = aligner.known, TaskContext.get().partitionId() << 32
-        rows, held = [], 0
+        rows, held, none = [], 0, np.zeros(0, np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                for doc, x, y in zip(batch.column(0).slice(a, b - a).to_pylist(), offsets[a:b].tolist(), offsets[a + 1:b + 1].tolist()):
-                    try:
-                        text = data[x:y].tobytes().decode()
-                    except UnicodeDecodeError:      # no such text in bytes
-                        text = ""
-                    chunks = known.numbers(text) if text else None
-                    if chunks is None and text:     # one chunk is not its tokens' bytes: so is the whole, or it is aligned as a whole
-                        if " " + text not in known.at:
-                            known.learn([" " + text])
-                        at = known.at[" " + text]
-                        chunks = np.array([at]) if at >= 0 else None
-                    if chunks is None:
-                        rows.append((doc, (0, 0, 0, 0), np.zeros(0, np.int64), np.zeros(0, np.int64), ""))
-                    else:
-                        places, _ = _spread(np.frombuffer(known.first, np.int64), chunks)
-                        links, times = np.frombuffer(known.links, np.int64)[places], np.frombuffer(known.times, np.int64)[places]
-                        own, inverse = np.unique(links, return_inverse=True)
-                        sizes = np.frombuffer(known.sizes, np.int64).reshape(-1, 4)[chunks].sum(axis=0)
-                        digest = hashlib.sha256(";".join(map(known.written.__getitem__, chunks.tolist())).encode()).hexdigest()
-                        rows.append((doc, sizes, own, np.bincount(inverse, times).astype(np.int64), digest))
-                    held += y - x
-                    if held >= BLOCK or len(known.written) > CACHE:
-                        yield block(rows, known, count)
-                        rows, held, count = [], 0, count + 1
-                        if len(known.written) > CACHE:
-                            known.clear()
+            for doc, x, y in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                try:
+                    text = data[x:y].tobytes().decode()
+                except UnicodeDecodeError:      # no such text in bytes
+                    text = ""
+                chunks = known.numbers(text) if text else None
+                if chunks is None and text:     # a chunk's tokens are not its bytes: what are those of the whole?
+                    whole = np.array([known[" " + text]])
+                    if known.new:
+                        known.learn()
+                    chunks = whole if known.sizes[4 * int(whole[0])] >= 0 else None
+                rows.append((doc, none, "") if chunks is None else
+                            (doc, chunks, hashlib.sha256(";".join(map(known.written.__getitem__, chunks.tolist())).encode()).hexdigest()))
+                held += y - x
+                if held >= BLOCK or len(known) > CACHE:
+                    yield block(rows, known, count)
+                    rows, held, count = [], 0, count + 1
+                    if len(known) > CACHE:
+                        known.shrink(CACHE)
         if rows:
             yield block(rows, known, count)
 
@@ -322,14 +378,12 @@ def token_groups(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
         aligner = _aligner(paths)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out, base = [], 0
-                for segment, whole in aligner.document(text) if text else ():
-                    chunks = [segment] if whole else CHUNK.findall(segment)
-                    for chunk, found in zip(chunks, aligner.align(chunks)):
-                        out = None if found is None or out is None else out + [(base + s, base + e, a, b) for s, e, a, b in found]
-                        base += len(chunk.encode())
-                if out is None:
-                    out = aligner.align([" " + text])[0] or []
+                found = aligner.align(" " + text) if text else None
+                out = []
+                if found is not None:
+                    starts = np.concatenate([[0], found.ends[:-1]]).tolist()
+                    cut_a, cut_b = (np.split(ids, np.flatnonzero(np.diff(of)) + 1) for ids, of in ((found.a, found.group_a), (found.b, found.group_b)))
+                    out = [(s, e, x.tolist(), y.tolist()) for s, e, x, y in zip(starts, found.ends.tolist(), cut_a, cut_b)]
                 rows = [dict(zip(("start", "end", "a", "b"), g)) for g in out]
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([rows], kind.field(1).type)], schema=kind)
 

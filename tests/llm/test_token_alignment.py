@@ -4,6 +4,7 @@ import hashlib
 import json
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 DOC = "doc_id long, text string, block int, n string"     # extra columns with names used inside
@@ -99,12 +100,27 @@ def test_segments_blocks_and_a_full_cache(spark, monkeypatch):
     text = "Some words,  in\nsegments of ten or more bytes, naïve 日本語 ones as well "
     parts = [s for s, whole in aligner.document(text)]
     assert "".join(parts) == " " + text and len(parts) > 4
-    groups, base = [], 0
-    for part in parts:
-        for chunk, found in zip(M.CHUNK.findall(part), aligner.align(M.CHUNK.findall(part))):
-            groups += [(base + s, base + e, a, b) for s, e, a, b in found]
-            base += len(chunk.encode())
-    assert groups == brute.groups(text)
+    known = M._Chunks(aligner)
+    numbers = known.numbers(text)
+    assert ";".join(known.written[k] for k in numbers) == ";".join(
+        ",".join(map(str, a)) + "|" + ",".join(map(str, b)) for _, _, a, b in brute.groups(text))
+    for k in range(40):
+        known.numbers(f"word{k} segments")
+    known.shrink(20)
+    assert len(known) == 10 and " segments" in known
+    again = known.numbers(text)
+    assert ";".join(known.written[k] for k in again) == ";".join(
+        ",".join(map(str, a)) + "|" + ",".join(map(str, b)) for _, _, a, b in brute.groups(text))
+
+
+def test_links_of_a_large_group(monkeypatch):
+    from tabwise.llm import token_alignment as M
+
+    groups = M.Groups(np.array([1, 1, 2, 3]), np.array([5, 6, 5, 7]), np.array([4, 5]), np.array([0, 0, 0, 1]), np.array([0, 0, 0, 1]))
+    one = sum((Counter({(g, p): t}) for g, p, t in zip(*map(np.ndarray.tolist, groups.links(10)))), Counter())
+    monkeypatch.setattr(M, "LARGE", 3)
+    other = sum((Counter({(g, p): t}) for g, p, t in zip(*map(np.ndarray.tolist, groups.links(10)))), Counter())
+    assert one == other and sum(one.values()) == 10
 
 
 def test_groups_and_null_ids(spark):
@@ -126,8 +142,6 @@ def test_spans_and_bytes_agree(text):
 
     aligner = Aligner(*paths())
     one = aligner.a.encode(" " + text, add_special_tokens=False)
-    total, expected = 0, []
-    for i in one.ids:
-        total += len(aligner.a_bytes[i])
-        expected.append(total)
-    assert byte_ends(" " + text, one.ids, one.offsets, aligner.a_bytes) == expected
+    sizes = aligner.a_sizes[np.array(one.ids)]
+    raw = np.frombuffer((" " + text).encode(), np.uint8)
+    assert byte_ends(raw, np.array(one.offsets), sizes).tolist() == np.cumsum(sizes).tolist()
