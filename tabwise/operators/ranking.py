@@ -11,23 +11,22 @@ Because md5 is uniform, a hot stratum spreads over many balanced buckets.
 
 ``rank_segments`` finds the order keys of the rows at the wanted cuts (bucket
 counts, then a sort of the few buckets that hold a cut) and compares every row
-with them: the table itself is not shuffled.  ``hash_rank`` ranks every row.
+with them: the table itself is not shuffled.  A cut is a key and how many rows
+of that key come before it.  Where a cut key has several rows, only these are
+ranked, by all their columns and then their place.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, MapType, StructField, StructType, VariantType
 
 from tabwise.session import materialize
 
 ROWS_PER_BUCKET = 1 << 16
-MAX_BITS = 24
-BROADCAST_ROWS = 1 << 20
 
 
 def hash_key(id_cols: list[str], seed: int) -> Column:
@@ -35,51 +34,6 @@ def hash_key(id_cols: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
 
 
-def bucket_bits(max_group_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    if max_group_rows <= rows_per_bucket:
-        return 0
-    return min(MAX_BITS, math.ceil(math.log2(max_group_rows / rows_per_bucket)))
-
-
-def hash_rank(df: DataFrame, id_cols: list[str], seed: int, by: list[str] | None = None,
-              max_group_rows: int | None = None, n_strata: int | None = None,
-              rows_per_bucket: int = ROWS_PER_BUCKET,
-              rank_col: str = "_rank", key_col: str = "_h") -> DataFrame:
-    """Add ``key_col`` (md5 order key) and ``rank_col`` (0-based rank within ``by``).
-
-    ``max_group_rows``/``n_strata`` are usually known by the caller (from the
-    class counts it already collected); otherwise one small aggregation finds them.
-    """
-    by = list(by or [])
-    if max_group_rows is None or n_strata is None:
-        if by:
-            row = df.groupBy(*by).count().agg(F.max("count"), F.count(F.lit(1))).first()
-            max_group_rows, n_strata = int(row[0] or 0), int(row[1])
-        else:
-            max_group_rows, n_strata = df.count(), 1
-    bits = bucket_bits(max_group_rows, rows_per_bucket)
-    keyed = df.withColumn(key_col, hash_key(id_cols, seed))
-    if bits == 0:
-        keyed = keyed.withColumn("_b", F.lit(0).cast("long"))
-    else:
-        keyed = keyed.withColumn(
-            "_b", F.shiftright(F.conv(F.substring(key_col, 1, 8), 16, 10).cast("long"), 32 - bits))
-    counts = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    renamed = {c: f"_s{i}" for i, c in enumerate(by)}
-    offsets = counts.select(*[F.col(c).alias(renamed[c]) for c in by], F.col("_b").alias("_ob"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # The offsets table has exactly strata x 2^bits rows at most: broadcast only under a
-    # fixed bound, otherwise a shuffle join on the same keys the window below uses.
-    if n_strata * (1 << bits) <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    cond = [keyed["_b"].eqNullSafe(offsets["_ob"])] + [keyed[c].eqNullSafe(offsets[renamed[c]]) for c in by]
-    joined = keyed.join(offsets, on=cond, how="inner").drop("_ob", *renamed.values())
-    within = Window.partitionBy(*by, "_b").orderBy(key_col, *id_cols)
-    return (joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(within) - 1).cast("long"))
-            .drop("_b", "_off"))
-
-
 def ordered_totals(df: DataFrame, order: list, value: Column, out_col: str) -> DataFrame:
     """Add the sum of ``value`` over all rows before this one in ``order`` (which must be total).
 
@@ -104,7 +58,8 @@ def _matched(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _cut_keys(thin: DataFrame, targets: DataFrame, id_cols: list[str], rows_per_bucket: int) -> DataFrame:
-    """(_s, _j, _key): the order key of the row at each wanted rank; ``thin (_s, _h, ids)``, ``targets (_s, _j, _rank, _n)``.
+    """(_s, _j, _key, _within, _ties): for each wanted rank, the order key of its row, how many rows of that key come
+    before it, and how many rows the key has; ``thin (_s, _h, ids)``, ``targets (_s, _j, _rank, _n)``.
 
     Buckets are prefixes of the hash.  Each pass counts, inside the buckets that
     hold a cut and are still too large to sort, the buckets three hex digits
@@ -116,11 +71,16 @@ def _cut_keys(thin: DataFrame, targets: DataFrame, id_cols: list[str], rows_per_
         last = length >= 30 or large.isEmpty()
         small = wanted if last else wanted.where(F.col("_n") <= rows_per_bucket)
         bucketed = thin.withColumn("_b", F.substring("_h", 1, length))
-        order = Window.partitionBy("_s", "_b").orderBy("_h", *id_cols)
-        ranked = _matched(bucketed, small.select("_s", "_b").distinct(), ["_s", "_b"]) \
-            .withColumn("_rank", (F.row_number().over(order) - 1).cast("long"))
-        parts.append(_matched(ranked, small.select("_s", "_b", "_rank", "_j"), ["_s", "_b", "_rank"])
-                     .select("_s", "_j", F.struct("_h", *id_cols).alias("_key")))
+        key = F.struct("_h", *id_cols)
+        # One row a key and its count, so that a key of very many rows is one row of the window.
+        runs = (_matched(bucketed, small.select("_s", "_b").distinct(), ["_s", "_b"])
+                .groupBy("_s", "_b", key.alias("_key")).agg(F.count(F.lit(1)).alias("_ties")))
+        inside = Window.partitionBy("_s", "_b").orderBy("_key")
+        runs = runs.withColumn("_first", F.sum("_ties").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_ties"))
+        at = small.select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), "_rank", "_j")
+        parts.append(runs.join(at, runs["_s"].eqNullSafe(F.col("_s2")) & (runs["_b"] == F.col("_b2"))
+                               & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_ties")))
+                     .select("_s", "_j", "_key", (F.col("_rank") - F.col("_first")).alias("_within"), "_ties"))
         if last:
             return reduce(DataFrame.unionByName, parts)
         length += 3
@@ -165,22 +125,41 @@ def rank_segments(df: DataFrame, id_cols: list[str], seed: int, cuts: dict | Dat
     targets = materialize(strata.select("_s", "_n", F.posexplode("_cuts").alias("_j", "_rank")), spread=False)
     width = (targets.agg(F.max("_j")).first()[0] or 0) + 1
     thin = df.select(stratum.alias("_s"), hash_key(id_cols, seed).alias("_h"), *id_cols)
-    keys = _cut_keys(thin, targets, id_cols, rows_per_bucket)
-    at = [F.max(F.when(F.col("_j") == j, F.col("_key"))).alias(f"_k{j}") for j in range(width)]
-    found = keys.groupBy("_s").agg(*at)
+    cut = F.struct(F.col("_key").alias("key"), "_within", (F.col("_ties") > 1).alias("tied"))
+    found = _cut_keys(thin, targets, id_cols, rows_per_bucket).groupBy("_s").agg(
+        *[F.max(F.when(F.col("_j") == j, cut)).alias(f"_k{j}") for j in range(width)])
     none_before = targets.groupBy(F.col("_s").alias("_s2")).agg(F.count_if(F.col("_rank") <= 0).alias("_base"))
     table = materialize(none_before.join(found, F.col("_s2").eqNullSafe(F.col("_s")), "left").drop("_s"), spread=False)
+    tied = not table.where(reduce(Column.__or__, [F.coalesce(F.col(f"_k{j}.tied"), F.lit(False)) for j in range(width)])).isEmpty()
 
-    keyed = df.withColumn("_h", hash_key(id_cols, seed))
+    # Without strata there is one row of cuts: constants, and no join.
+    keyed = df.withColumn("_h", hash_key(id_cols, seed)).withColumn("_s", stratum)
     own = F.struct("_h", *id_cols)
     if by is None:
         row = table.first()
-        kinds = {c: df.schema[c].dataType for c in id_cols}
-        keys = [F.struct(F.lit(row[f"_k{j}"]["_h"]).alias("_h"), *[F.lit(row[f"_k{j}"][c]).cast(kinds[c]).alias(c) for c in id_cols])
-                for j in range(width) if row[f"_k{j}"] is not None]
+        cuts = [_constant(row[f"_k{j}"], [(c, df.schema[c].dataType) for c in id_cols]) for j in range(width) if row[f"_k{j}"] is not None]
         base = F.lit(row["_base"])
     else:
-        keyed = keyed.join(table, keyed[by].eqNullSafe(table["_s2"]), "left")
-        keys, base = [F.col(f"_k{j}") for j in range(width)], F.col("_base")
-    passed = [F.coalesce((own >= k).cast("int"), F.lit(0)) for k in keys]
-    return keyed.select(*df.columns, reduce(Column.__add__, passed, base).cast("int").alias(seg_col))
+        keyed = keyed.join(table, keyed["_s"].eqNullSafe(table["_s2"]), "left")
+        cuts, base = [F.col(f"_k{j}") for j in range(width)], F.col("_base")
+
+    def segment(rank: Column) -> Column:
+        passed = [F.coalesce(((own > c["key"]) | ((own == c["key"]) & (rank >= c["_within"]))).cast("int"), F.lit(0)) for c in cuts]
+        return reduce(Column.__add__, passed, base).cast("int").alias(seg_col)
+
+    if not tied:
+        return keyed.select(*df.columns, segment(F.lit(0)))
+    at_tie = reduce(Column.__or__, [F.coalesce(c["tied"] & (own == c["key"]), F.lit(False)) for c in cuts])
+    sortable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType)) and f.name not in id_cols]
+    order = [F.col(c) for c in ["_s", "_h", *id_cols, *sortable, "_place"]]
+    ties = ordered_totals(keyed.where(at_tie).withColumn("_place", F.monotonically_increasing_id()), order, F.lit(1), "_r")
+    first = ties.groupBy(F.col("_s").alias("_fs"), F.col("_h").alias("_fh"), *[F.col(c).alias(f"_f{k}") for k, c in enumerate(id_cols)]).agg(F.min("_r").alias("_r0"))
+    same = [F.col("_s").eqNullSafe(F.col("_fs")), F.col("_h") == F.col("_fh"), *[F.col(c).eqNullSafe(F.col(f"_f{k}")) for k, c in enumerate(id_cols)]]
+    ranked = ties.join(first, same)
+    return keyed.where(~at_tie).select(*df.columns, segment(F.lit(0))).unionByName(ranked.select(*df.columns, segment(F.col("_r") - F.col("_r0"))))
+
+
+def _constant(cut, ids: list[tuple]) -> Column:
+    """A cut (key, _within, tied) as a literal."""
+    key = F.struct(F.lit(cut["key"]["_h"]).alias("_h"), *[F.lit(cut["key"][c]).cast(kind).alias(c) for c, kind in ids])
+    return F.struct(key.alias("key"), F.lit(cut["_within"]).alias("_within"), F.lit(cut["tied"]).alias("tied"))

@@ -394,7 +394,8 @@ def q_plain_split(spark, sf_dir):
 # =============================================================================== T5
 _MM_SPLIT = f"""WITH tot AS (SELECT CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_test FROM lineitem),
 rk AS (SELECT l_orderkey, l_linenumber, {', '.join(LINEITEM_NUM)},
-              row_number() OVER (ORDER BY {T.md5_key_sql(SEED, 'l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber) - 1 AS r
+              row_number() OVER (ORDER BY {T.md5_key_sql(SEED, 'l_orderkey', 'l_linenumber')}, l_orderkey, l_linenumber,
+                                      {', '.join(f'{c} NULLS FIRST' for c in LINEITEM_NUM)}) - 1 AS r
        FROM lineitem),
 sp AS (SELECT rk.*, CASE WHEN r < n_test THEN 'test' ELSE 'train' END AS split FROM rk, tot),
 mm AS (SELECT {', '.join(f'min({c}) AS mn_{c}, max({c}) AS mx_{c}' for c in LINEITEM_NUM)} FROM sp WHERE split = 'train')"""

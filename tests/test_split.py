@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
-from tabwise.operators.ranking import hash_key, hash_rank
+from tabwise.operators.ranking import hash_key, rank_segments
 from tabwise.operators.split import (kfold_ids, stratified_kfold_ids, train_quotas,
                                      train_test_split)
 
@@ -20,14 +20,49 @@ def _frame(spark, n=1000, classes=(0, 1, 2), weights=(0.6, 0.3, 0.1)):
 
 
 @pytest.mark.parametrize("rows_per_bucket", [1 << 20, 16])
-def test_hash_rank_matches_global_window(spark, rows_per_bucket):
+def test_segments_match_global_window(spark, rows_per_bucket):
     df = _frame(spark, 700)
-    got = hash_rank(df, ["id"], 42, by=["y"], rows_per_bucket=rows_per_bucket)
+    got = rank_segments(df, ["id"], 42, {0: [0, 100], 1: [7, 8], 2: [35, 70]}, "y", rows_per_bucket=rows_per_bucket)
     w = Window.partitionBy("y").orderBy(hash_key(["id"], 42), "id")
-    want = df.withColumn("want", F.row_number().over(w) - 1)
-    j = got.join(want, ["id", "y"])
-    assert j.count() == 700
-    assert j.where(F.col("_rank") != F.col("want")).count() == 0
+    cut = {0: (0, 100), 1: (7, 8), 2: (35, 70)}
+    rows = got.join(df.withColumn("r", F.row_number().over(w) - 1), ["id", "y"]).collect()
+    assert len(rows) == 700
+    assert all(row["_seg"] == sum(row["r"] >= c for c in cut[row["y"]]) for row in rows)
+
+
+def _tied(spark, parts):
+    """Ids of 1 to 400 rows, wholly equal rows, null ids and classes, a null and a NaN among the other columns."""
+    rows = [(k % 7, k % 3, float(k % 5)) for k in range(60)] + [(100, 0, 1.0)] * 400 + [(None, 1, None)] * 9
+    rows += [(200 + k, None, float("nan")) for k in range(20)]
+    return spark.createDataFrame(rows, "id long, y int, x double").repartition(parts)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 211])
+def test_sizes_are_exact_with_equal_ids_and_rows(spark, parts):
+    df = _tied(spark, parts)
+    n = 489
+    for size in (0.2, 0.85):
+        sp = train_test_split(df, "id", None, size, 3)
+        assert sp.where("split = 'test'").count() == math.ceil(size * n) and sp.count() == n
+    sp = train_test_split(df, "id", "y", 0.3, 3)
+    got = {(r["y"], r["split"]): r["count"] for r in sp.groupBy("y", "split").count().collect()}
+    sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    quotas = train_quotas(sorted(sizes.items(), key=lambda x: (x[0] is None, x[0])), n - math.ceil(0.3 * n))
+    assert got == {(k, s): v for k in sizes for s, v in (("train", quotas[k]), ("test", sizes[k] - quotas[k])) if v}
+    folds = [r["count"] for r in kfold_ids(df, "id", 5, 3).groupBy("fold").count().orderBy("fold").collect()]
+    assert folds == [98, 98, 98, 98, 97]
+    folds = [r["count"] for r in stratified_kfold_ids(df, "id", "y", 5, 3).groupBy("fold").count().orderBy("fold").collect()]
+    assert sorted(folds) == [97, 98, 98, 98, 98]
+    assert sorted(map(str, sp.select("id", "y", "x").collect())) == sorted(map(str, df.collect()))
+
+
+def test_equal_ids_are_split_by_their_other_columns(spark):
+    """The same rows on each side, whatever the partitions are; ten equal ids have test rows and even folds."""
+    df = spark.createDataFrame([(1, k) for k in range(10)], "id long, x int")
+    sides = [sorted(r["x"] for r in train_test_split(df.repartition(p), "id", None, 0.3, 1).where("split = 'test'").collect()) for p in (1, 3, 7)]
+    assert sides == [[0, 1, 2]] * 3
+    folds = kfold_ids(df, "id", 5, 1).groupBy("fold").count().collect()
+    assert sorted((r["fold"], r["count"]) for r in folds) == [(f, 2) for f in range(5)]
 
 
 def test_split_sizes_exact_and_quotas(spark):
