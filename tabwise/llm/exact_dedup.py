@@ -42,7 +42,8 @@ def digest_state(digests: DataFrame, scratch: Scratch) -> DataFrame:
     counted = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(best).alias("keep"))
     # Many small stores: no disk set aside beforehand for their logs.
     with session_conf(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKSDB), \
-            session_conf(spark, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"):
+            session_conf(spark, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"), \
+            session_conf(spark, "spark.sql.streaming.stateStore.unloadOnCommit", "true"):
         query = (counted.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
                  .option("checkpointLocation", scratch.path("state")).start())
         query.awaitTermination()

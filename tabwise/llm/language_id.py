@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwise.llm.sampling import smallest_hashes
+from tabwise.llm.textarrays import slices, text_bytes
 
 FEATURES = 1 << 15
 #: Sampled training texts of each language, at most; every fifth calibrates.
@@ -174,13 +175,22 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is determined with at least ``least_score``; one pass."""
+    """The rows of ``docs``, all columns, whose language is determined with at least ``least_score``; one pass.
+
+    Rows are passed on in pieces of about SLICE_BYTES, so neither side holds a whole batch of long texts twice.
+    A model that had nothing to learn from rejects nothing.
+    """
+    if not model.languages:
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in found], pa.bool_()))
+            _, offsets = text_bytes(batch.column(at))
+            for a, b in slices(offsets):
+                piece = batch.slice(a, b - a)
+                found = [shared.value.predict(t.as_py()) for t in piece.column(at)]
+                yield piece.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -41,7 +41,7 @@ from tabwise.llm.textarrays import shingle_sets
 #: Bound for the broadcast table of frequent n-grams, and the least document frequency that counts as frequent.
 MAX_HEAVY, MIN_HEAVY = 1 << 22, 32
 #: N-grams that a task gathers before it sends them on, and about how many one index bucket gets.
-FLUSH, BUCKET = 1 << 21, 1 << 22
+FLUSH, BUCKET = 1 << 20, 1 << 20
 #: Bits of a set's parity sketch.
 SKETCH = 512
 #: Bits of the map that tells which texts may be compared (1 MB).
@@ -196,24 +196,28 @@ def prefix_postings(docs: DataFrame, size: int, percent: int, bits: int, heavy,
 def _merge_lists(table: pa.Table) -> pa.Table:
     """One bucket's postings as lists sorted by n-gram, set size and position; lists of one set are dropped."""
     column = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-    sets, sizes, members = column("sets", _V16), column("sizes", np.uint32), column("members", np.uint32)
-    base = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sets, members = column("sets", _V16), column("members", np.uint32)
+    base = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.uint32)
     names, first, same = np.unique(np.concatenate(sets).astype("V16").view("S16"), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first].astype(np.int64)
+    size, same = np.concatenate(column("sizes", np.uint32))[first], same.astype(np.uint32)
     member = same[np.concatenate([m + b for m, b in zip(members, base)])]
-    key, place = np.concatenate(column("keys", np.uint32)), np.concatenate(column("places", np.uint32)).astype(np.int64)
+    del sets, members, same
+    key, place = np.concatenate(column("keys", np.uint32)), np.concatenate(column("places", np.uint32))
     order = np.lexsort((member, place, size[member], key))
     key, member, place = key[order], member[order], place[order]
+    del order
     new = np.ones(len(key), bool)      # copies from different tasks are one posting
     new[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])
     key, member, place = key[new], member[new], place[new]
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    shared = count[inverse] > 1
-    own, index = np.unique(member[shared], return_inverse=True)
+    ends = np.ones(len(key) + 1, bool)     # of lists: those of one posting are dropped
+    ends[1:-1] = key[1:] != key[:-1]
+    shared = ~(ends[:-1] & ends[1:])
+    key, member, place = key[shared], member[shared], place[shared]
+    own, index = np.unique(member, return_inverse=True)
     raw = names.astype("S16").view("V16")
     return pa.Table.from_batches([_table(_LISTS, [(
-        table["bucket"][0].as_py(), _blob(raw[own]), _blob(size[own].astype(np.uint32)), _blob(key[shared]),
-        _blob(index.astype(np.uint32)), _blob(place[shared].astype(np.uint32)))] if shared.any() else [])], schema=_LISTS)
+        table["bucket"][0].as_py(), _blob(raw[own]), _blob(size[own]), _blob(key), _blob(index.astype(np.uint32)), _blob(place))]
+        if len(key) else [])], schema=_LISTS)
 
 
 class _Lists:
