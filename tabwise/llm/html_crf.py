@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -28,99 +29,212 @@ from tabwise.llm.sampling import smallest_hashes
 
 #: Sampled pages at most, and their greatest length in code points.
 SAMPLE_PAGES, SAMPLE_LENGTH = 500, 65_536
+#: Open elements, summed over its blocks, of a page that the model is fitted on, at most.
+SAMPLE_PATHS = 100_000
 DIMENSIONS, EPOCHS, RATE, DECAY = 1 << 14, 10, 0.3, 1e-4
 
 # HTML element names by their role in the layout.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s "
-             "samp small span strike strong sub sup time tt u var wbr".split())
+             "samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext msup msub msubsup "
+             "mfrac msqrt mroot munder mover munderover mstyle mspace annotation svg g text tspan object canvas".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template svg math iframe object canvas audio video head title select datalist textarea button".split())
+UNSEEN = set("script style noscript template iframe audio video head title select datalist textarea button".split())
 RAW = set("script style textarea title noscript iframe".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-          "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+          "th": {"td", "th"}, "option": {"option"}, "body": {"head"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = set("ul ol dl table html body div article section main aside nav header footer form blockquote".split())
 
 REGIONS = set("article main section nav aside header footer form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][-\w:.]*)")
+_SPECIAL = re.compile("[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MAIN = re.compile(r"\bdata-main\b")
 
 
+class Path:
+    """The open elements of a block, as a node that shares its ancestors; nodes are kept over pages, with what is known of them."""
+
+    __slots__ = ("parent", "tag", "words", "depth", "new", "region", "bag", "children", "score")
+
+    def __init__(self, parent: Path | None = None, tag: str = "", words: tuple[str, ...] = (), new: tuple[str, ...] = ()):
+        self.parent, self.tag, self.words, self.children, self.score = parent, tag, words, {}, None
+        self.depth = parent.depth + 1 if parent else 0
+        self.new = [_place(n) for n in new]        # features that no ancestor has
+        self.region = tag if tag in REGIONS else parent.region if parent else ""       # the innermost landmark decides most
+        # The set of class and id words, as a sum that does not depend on their order.
+        self.bag = ((parent.bag if parent else 0) + sum(zlib.crc32(n.encode()) for n in new if n.startswith("word="))) & 0xFFFFFFFF
+
+    def elements(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(tag, class and id words) from the outermost element to this."""
+        out, node = [], self
+        while node.parent:
+            out.append((node.tag, node.words))
+            node = node.parent
+        return out[::-1]
+
+    def own_features(self) -> list[int]:
+        return [_place(n) for n in ("bias", f"parent={self.tag}", f"region={self.region}", f"region={self.region},parent={self.tag}",
+                                    f"region={self.region},words={self.bag}")]
+
+    def features(self) -> list[int]:
+        out, node = self.own_features(), self
+        while node:
+            out += node.new
+            node = node.parent
+        return out
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]      # open elements: tag, class and id words
-    linked: int                                        # characters inside links
-    main: bool                                         # inside an element marked data-main (training layouts)
+    path: Path
+    linked: int      # characters inside links
+    main: bool       # inside an element marked data-main (training layouts)
+
+
+#: Path nodes that are kept over pages.
+PATHS = 50_000
+_roots: list = [None, 0]
+
+
+def _root() -> Path:
+    if _roots[0] is None or _roots[1] > PATHS:
+        _roots[:] = [Path(), 0]
+    return _roots[0]
+
+
+class _Marks:
+    """Ends of the tags of a page, each place looked at a bounded number of times, however broken the mark-up is."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.known: dict[int, int] = {}      # opening quote -> end of the tag around it, or -1
+        self.clear = (0, -1)                 # a stretch without special characters, and what ends it
+
+    def _next(self, at: int) -> int:
+        found = _SPECIAL.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin at ``at``, quotes respected; -1 if there is none."""
+        if at > self.last:
+            return -1
+        if not self.clear[0] <= at <= self.clear[1]:
+            self.clear = (at, self._next(at))
+        place, passed = self.clear[1], []
+        while True:
+            if place >= len(self.page):
+                end = -1
+            elif self.page[place] == ">":
+                end = place
+            elif place in self.known:
+                end = self.known[place]
+            else:
+                passed.append(place)
+                close = self.page.find(self.page[place], place + 1)
+                if close >= 0:
+                    place = self._next(close + 1)
+                    continue
+                end = -1
+            self.known.update(dict.fromkeys(passed, end))
+            return end
 
 
 def leaf_blocks(page: str) -> Iterator[Block]:
-    """The text blocks of a page in order, references decoded, white space collapsed; unseen elements left out."""
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    """The text blocks of a page in order, references decoded, white space collapsed; unseen elements left out.
+
+    Time and memory grow with the page's length only: open elements are
+    counted, not searched, and blocks share their paths.
+    """
+    root = _root()
+    stack: list[tuple[str, Path, Counter, bool]] = [("", root, Counter(), False)]
+    places: defaultdict[str, list[int]] = defaultdict(list)      # where in the stack each tag is open
+    scopes, held = [0], Counter()                                 # places of scoping elements; features of the path
+    unseen = links = mains = linked = at = 0
     parts: list[str] = []
-    linked, raw, at = 0, None, 0
+    marks = _Marks(page)
 
     def flush():
         nonlocal linked
         text = " ".join("".join(parts).split()) if parts else ""
         parts.clear()
         n, linked = linked, 0
-        if text:
-            return [Block(text, tuple((t, c) for t, c, _ in stack if t not in INLINE), min(n, len(text)), any(m for _, _, m in stack))]
-        return []
-
-    while True:
-        if raw is not None:
-            end = re.compile(r"</%s\b[^>]*>" % re.escape(raw), re.I).search(page, at)
-            at, raw = (end.start(), None) if end else (len(page), None)
-        m = _TOKEN.match(page, at)
-        if m is None:
-            break
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            piece = m.group()
-            if piece[0] != "<" or len(piece) == 1:
-                if not any(t in UNSEEN for t, _, _ in stack):
-                    piece = html.unescape(piece)
-                    parts.append(piece)
-                    if any(t == "a" for t, _, _ in stack):
-                        linked += len(piece.strip())
+        return [Block(text, stack[-1][1], min(n, len(text)), mains > 0)] if text else []
+
+    def close(depth: int) -> None:
+        """Close all elements from this place of the stack on."""
+        nonlocal unseen, links, mains
+        while len(stack) > depth:
+            tag, node, inline, main = stack.pop()
+            places[tag].pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
+            unseen, links, mains = unseen - (tag in UNSEEN), links - inline["a"], mains - main
+            held.subtract([f"in={tag}", *(f"word={w}" for w in node.words)])
+
+    while at < len(page):
+        text = None
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            text, at = page[at:end], end
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        elif page.startswith(("<!", "<?"), at) and at < marks.last:
+            at = page.find(">", at) + 1
             continue
-        name = name.lower()
+        else:
+            tag = _TAG.match(page, at)
+            end = marks.tag_end(tag.end()) if tag else -1
+            start, at = at, at + 1 if end < 0 else end + 1
+            text = "<" if end < 0 else None
+        if text is not None:
+            if not unseen:
+                text = html.unescape(text)
+                parts.append(text)
+                if links:
+                    linked += len(text.strip())
+            continue
+        name, closing = tag.group(1).lower(), page[start + 1] == "/"
         if name == "br":
             parts.append(" ")
             continue
-        if name not in INLINE:
-            yield from flush()
-        if m.group(1):
-            if name not in INLINE and any(t == name for t, _, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            elif name in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+        if name in INLINE:
+            inline, step = stack[-1][2], 1 if not closing else -1 if stack[-1][2][name] else 0
+            if name not in VOID:
+                inline[name] += step
+                links += step * (name == "a")
+            continue
+        yield from flush()
+        if closing:
+            if places[name]:
+                close(places[name][-1])
             continue
-        if name not in INLINE:
-            closes = CLOSES.get(name, ()) if name in CLOSES else {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+        last = max((places[c][-1] for c in CLOSES.get(name, ("p",)) if places[c]), default=0)
+        if last > scopes[-1]:
+            close(last)
         if name in VOID:
             continue
-        attributes = m.group(3)
+        attributes = page[tag.end():end]
         names = tuple(w for g in _NAMES.findall(attributes) for w in _WORD.findall("".join(g).lower())) if "=" in attributes else ()
-        stack.append((name, names, bool(_MAIN.search(attributes))))
+        above, features = stack[-1][1], [f"in={name}", *(f"word={w}" for w in names)]
+        node = above.children.get((name, names))
+        if node is None:
+            node = above.children[name, names] = Path(above, name, names, tuple(f for f in dict.fromkeys(features) if held[f] <= 0))
+            _roots[1] += 1
+        held.update(features)
+        places[name].append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
+        main = bool(_MAIN.search(attributes))
+        unseen, mains = unseen + (name in UNSEEN), mains + main
+        stack.append((name, node, Counter(), main))
         if name in RAW:
-            raw = name
+            found = re.compile(r"</%s\b" % re.escape(name), re.I).search(page, at)
+            at = found.start() if found and found.start() < marks.last else len(page)
     yield from flush()
 
 
@@ -132,27 +246,16 @@ def _place(name: str) -> int:
     return zlib.crc32(name.encode()) % DIMENSIONS
 
 
-def path_features(path: tuple) -> list[int]:
-    parent = path[-1][0] if path else ""
-    region = next((t for t, _ in reversed(path) if t in REGIONS), "")       # the innermost landmark decides most
-    inside = " ".join(sorted({w for _, words in path for w in words}))
-    names = ["bias", f"parent={parent}", f"region={region}", f"region={region},parent={parent}", f"region={region},words={inside}"]
-    for tag, words in path:
-        names.append(f"in={tag}")
-        names += [f"word={w}" for w in words]
-    return [_place(n) for n in dict.fromkeys(names)]
-
-
 def text_features(block: Block, index: int, count: int) -> list[int]:
     text = block.text
     words, n = text.count(" ") + 1, len(text)
-    parent = block.path[-1][0] if block.path else ""
+    parent = block.path.tag
     size = _bucket(words, (3, 6, 12, 25, 60))
     stops = text.count(".") + text.count("!") + text.count("?")
     names = (f"words={size}", f"words={size},parent={parent}", f"linked={_bucket(block.linked / n, (0.01, 0.2, 0.5, 0.9))}",
              f"ends={text[-1] if text[-1] in '.!?:;,' else 'w'}", f"stops={_bucket(stops, (1, 2, 4))}", f"commas={_bucket(text.count(','), (1, 3))}",
              f"mark={'©' in text or '|' in text or '·' in text or '»' in text}", f"place={_bucket(index / count, (0.1, 0.3, 0.7, 0.9))}",
-             f"digits={_bucket(sum(c.isdigit() for c in text[:200]) / min(n, 200), (0.05, 0.2))}")
+             f"digits={_bucket(sum(map(str.isdigit, text)) / n, (0.05, 0.2))}")
     return [_place(x) for x in names]
 
 
@@ -162,19 +265,22 @@ class BlockTagger:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     starts: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
-    def __post_init__(self):
-        self._paths: dict[tuple, float] = {}
-
     def emissions(self, blocks: list[Block]) -> list[float]:
-        out, w = [], self.weights
-        for k, block in enumerate(blocks):
-            known = self._paths.get(block.path)
-            if known is None:
-                if len(self._paths) > 20_000:
-                    self._paths.clear()
-                known = self._paths[block.path] = float(w[path_features(block.path)].sum())
-            out.append(known + sum(w[text_features(block, k, len(blocks))].tolist()))
-        return out
+        w = self.weights
+        return [self._path_score(b.path) + sum(w[text_features(b, k, len(blocks))].tolist()) for k, b in enumerate(blocks)]
+
+    def _path_score(self, path: Path) -> float:
+        """What a path's features add; kept on its nodes: (model, of the ancestors' features, of all)."""
+        todo = []
+        while path and (path.score is None or path.score[0] is not self):
+            todo.append(path)
+            path = path.parent
+        above = path.score[1] if path else 0.0
+        for node in reversed(todo):
+            above += float(self.weights[node.new].sum()) if node.new else 0.0
+            node.score = (self, above, above + float(self.weights[node.own_features()].sum()))
+            path = node
+        return path.score[2]
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         """The likeliest labels (Viterbi); on a tie, not main text."""
@@ -204,7 +310,7 @@ def train_tagger(pages: list[list[tuple[Block, bool]]]) -> BlockTagger:
     for page in pages:
         if page:
             blocks = [b for b, _ in page]
-            data.append(([np.array(path_features(b.path) + text_features(b, k, len(blocks))) for k, b in enumerate(blocks)],
+            data.append(([np.array(b.path.features() + text_features(b, k, len(blocks))) for k, b in enumerate(blocks)],
                          np.array([int(y) for _, y in page])))
     order = np.random.default_rng(11)
     step = 0
@@ -287,21 +393,23 @@ ASIDE_WORDS = set("ad ads advert advertisement banner comment comments cookie di
 def label_by_markup(page: str | None) -> list[tuple[Block, bool]]:
     """Blocks of a page labelled by its own article or main element; no blocks if it has none."""
     blocks = list(leaf_blocks(page or ""))
-    if not any(tag in ("article", "main") for b in blocks for tag, _ in b.path):
+    if sum(b.path.depth for b in blocks) > SAMPLE_PATHS:
+        return []
+    paths = [b.path.elements() for b in blocks]
+    if not any(tag in ("article", "main") for path in paths for tag, _ in path):
         return []
 
-    def main(block: Block) -> bool:
-        tags = [t for t, _ in block.path]
-        inner = [k for k, t in enumerate(tags) if t in ("article", "main")]
-        return bool(inner) and not any(t in ASIDE_TAGS or ASIDE_WORDS & set(w) for t, w in block.path[inner[0]:])
+    def main(path: list) -> bool:
+        inner = [k for k, (t, _) in enumerate(path) if t in ("article", "main")]
+        return bool(inner) and not any(t in ASIDE_TAGS or ASIDE_WORDS & set(w) for t, w in path[inner[0]:])
 
-    return [(b, main(b)) for b in blocks]
+    return [(b, main(path)) for b, path in zip(blocks, paths)]
 
 
 def fit_tagger(pages: DataFrame) -> BlockTagger:
     """Fit on the annotated layouts and at most SAMPLE_PAGES pages, those of smallest hash."""
-    some = pages.where(F.col("html").isNotNull() & (F.char_length("html") <= SAMPLE_LENGTH)).select(F.lit(1).alias("one"), "html")
-    sample = smallest_hashes(some, "one", SAMPLE_PAGES, F.col("html")).orderBy("_rank").collect()
+    some = pages.where(F.col("html").isNotNull() & (F.char_length("html") <= SAMPLE_LENGTH)).select(F.lit(1).alias("one"), "page_id", "html")
+    sample = smallest_hashes(some, "one", SAMPLE_PAGES, F.struct("page_id", "html")).orderBy("_rank").collect()
     return train_tagger(layout_pages() + [label_by_markup(r["html"]) for r in sample])
 
 
