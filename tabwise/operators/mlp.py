@@ -1,18 +1,20 @@
 """Multilayer perceptron classifier (binary) with relu/tanh/logistic/identity, Adam, L2.
 
 Spark's built-in ``MultilayerPerceptronClassifier`` only offers sigmoid hidden
-units without L2, Adam or early stopping, so training here is data-parallel
-local SGD with parameter averaging (Zinkevich et al., 2010; Stich, 2018):
-
-* rows are dealt to a fixed number of logical workers by a hash of their id and
-  persisted once; each **epoch is one Spark job**: a ``mapInPandas`` pass where
-  every worker streams its rows, shuffles blocks of mini-batches (seeded by
-  epoch, worker and block), runs mini-batch Adam from the current global weights
-  and emits its row count, new weights, Adam moments and summed loss;
-* the workers' results are reduced by Spark itself (``posexplode`` →
-  ``groupBy(slot).sum``, partially aggregated per task), so the driver only
-  ever receives one vector of parameters;
-* the number of rows and the partitions of the input do not change the method.
+units without L2, Adam or early stopping, so training here is synchronous and
+data-parallel: one update is one Spark job.
+
+* Every task adds up the gradient over its Arrow batches of rows, wherever they
+  are: the table is not dealt out anew, and all cores work at any table size;
+* the sums are reduced by Spark (``posexplode`` → ``groupBy(slot).sum``, partially
+  aggregated per task), so the driver only ever receives one vector of parameters
+  and takes one Adam step with it;
+* the sum of gradients is the same for any partitions, cores and row order, and
+  so is the model (but for the rounding of sums).
+
+An update sees all rows, or with ``slices`` > 1 one slice of them by a hash, in
+turn.  As one step takes the place of ``rows / (slices * batch_size)`` small ones,
+its length grows with the square root of that, up to ``LONGEST_STEP``.
 
 Stopping follows the usual rule: stop after ``n_iter_no_change`` epochs whose
 training loss (or, with early stopping, validation accuracy on a 10 %
@@ -28,15 +30,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
+from tabwise.session import persist_balanced
 
 ACTIVATIONS = ("relu", "tanh", "logistic", "identity")
-#: Mini-batches that a worker shuffles together, and holds in memory.
-SHUFFLE_BATCHES = 64
+#: Adam's step is not lengthened beyond this.
+LONGEST_STEP = 0.05
 
 
 # --------------------------------------------------------------------------- numpy core
@@ -104,22 +108,33 @@ def forward(theta, shapes, activation, x):
     return acts
 
 
-def loss_and_grad(theta, shapes, activation, alpha, x, y):
-    """Mean log-loss + alpha/(2n)‖W‖² and its gradient for one mini-batch."""
-    n = x.shape[0]
+def loss_and_grad_sums(theta, shapes, activation, x, y) -> tuple[float, np.ndarray]:
+    """Log-loss and its gradient, summed over the rows of (x, y)."""
     ws, _ = unpack(theta, shapes)
     acts = forward(theta, shapes, activation, x)
     p = np.clip(acts[-1][:, 0], 1e-15, 1 - 1e-15)
-    loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
-    loss += alpha / (2 * n) * sum(float(np.sum(w * w)) for w in ws)
-    delta = (acts[-1][:, 0] - y)[:, None] / n
+    loss = -np.sum(y * np.log(p) + (1 - y) * np.log(1 - p))
+    delta = (acts[-1][:, 0] - y)[:, None]
     gws, gbs = [None] * len(ws), [None] * len(ws)
     for i in range(len(ws) - 1, -1, -1):
-        gws[i] = acts[i].T @ delta + alpha * ws[i] / n
+        gws[i] = acts[i].T @ delta
         gbs[i] = delta.sum(axis=0)
         if i > 0:
             delta = (delta @ ws[i].T) * _act_grad(activation, acts[i])
-    return loss, pack(gws, gbs)
+    return float(loss), pack(gws, gbs)
+
+
+def penalised(theta, shapes, alpha, loss_sum, grad_sum, n, batch) -> tuple[float, np.ndarray]:
+    """Mean log-loss + alpha/(2 batch)‖W‖² and its gradient, from sums over n rows."""
+    ws, bs = unpack(theta, shapes)
+    loss = loss_sum / n + alpha / (2 * batch) * sum(float(np.sum(w * w)) for w in ws)
+    return loss, grad_sum / n + pack([alpha / batch * w for w in ws], [np.zeros_like(b) for b in bs])
+
+
+def loss_and_grad(theta, shapes, activation, alpha, x, y):
+    """Mean log-loss + alpha/(2n)‖W‖² and its gradient over the n rows of (x, y)."""
+    loss, grad = loss_and_grad_sums(theta, shapes, activation, x, y)
+    return penalised(theta, shapes, alpha, loss, grad, len(y), len(y))
 
 
 @dataclass
@@ -129,21 +144,13 @@ class AdamState:
     t: int = 0
 
 
-def adam_epoch(theta, state: AdamState, shapes, activation, alpha, lr, batch, x, y, rng):
-    """One pass of mini-batch Adam over (x, y) in a shuffled order; returns summed loss."""
+def adam_step(theta, state: AdamState, grad, lr) -> np.ndarray:
     b1, b2, eps = 0.9, 0.999, 1e-8
-    order = rng.permutation(x.shape[0])
-    total = 0.0
-    for s in range(0, len(order), batch):
-        idx = order[s:s + batch]
-        loss, g = loss_and_grad(theta, shapes, activation, alpha, x[idx], y[idx])
-        total += loss * len(idx)
-        state.t += 1
-        state.m = b1 * state.m + (1 - b1) * g
-        state.v = b2 * state.v + (1 - b2) * g * g
-        step = lr * np.sqrt(1 - b2 ** state.t) / (1 - b1 ** state.t)
-        theta = theta - step * state.m / (np.sqrt(state.v) + eps)
-    return theta, total
+    state.t += 1
+    state.m = b1 * state.m + (1 - b1) * grad
+    state.v = b2 * state.v + (1 - b2) * grad * grad
+    step = lr * np.sqrt(1 - b2 ** state.t) / (1 - b1 ** state.t)
+    return theta - step * state.m / (np.sqrt(state.v) + eps)
 
 
 # --------------------------------------------------------------------------- Spark training
@@ -197,68 +204,37 @@ def _act_expr(name: str, z: Column) -> Column:
     return z
 
 
-def _epoch_fn(theta, m, v, t, shapes, activation, alpha, lr, batch, seed, epoch):
-    """One epoch of every worker's rows: each starts from the shared state, its rows come as a stream."""
-    block = SHUFFLE_BATCHES * batch
-
-    def run(batches):
-        import pandas as pd
-
-        worker, xs, ys, held, done = None, [], [], 0, None
-
-        def learn(last: bool):
-            """Go through the full blocks gathered so far, and the rest if ``last``."""
-            nonlocal xs, ys, held, done
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            at = 0
-            while len(y) - at >= block or (last and at < len(y)):
-                rng = np.random.default_rng([seed, epoch, worker, done["blocks"]])
-                done["theta"], total = adam_epoch(done["theta"], done["state"], shapes, activation, alpha, lr, batch,
-                                                  x[at:at + block], y[at:at + block], rng)
-                done["loss"] += total
-                done["rows"] += len(y[at:at + block])
-                done["blocks"] += 1
-                at += block
-            xs, ys, held = [x[at:]], [y[at:]], max(0, len(y) - at)
-
-        def result():
-            learn(True)
-            n, state = float(done["rows"]), done["state"]
-            packed = np.concatenate([done["theta"] * n, state.m * n, state.v * n, [n, done["loss"], float(state.t)]])
-            return pd.DataFrame({"vec": [packed.tolist()]})
-
-        for pdf in batches:
-            workers = pdf["_w"].to_numpy()
-            cuts = np.flatnonzero(np.diff(workers, prepend=-1)) if len(pdf) else []
-            for a, b in zip(cuts, [*cuts[1:], len(pdf)]):
-                if workers[a] != worker:
-                    if worker is not None:
-                        yield result()
-                    worker, xs, ys, held = int(workers[a]), [], [], 0
-                    done = {"theta": np.array(theta), "state": AdamState(np.array(m), np.array(v), t), "loss": 0.0, "rows": 0, "blocks": 0}
-                xs.append(np.stack(pdf["_x"].to_numpy()[a:b]).astype(np.float64))
-                ys.append(pdf["_y"].to_numpy()[a:b].astype(np.float64))
-                held += b - a
-                if held >= block:
-                    learn(False)
-        if worker is not None:
-            yield result()
-    return run
+def gradient_sums(rows: DataFrame, theta: np.ndarray, shapes, activation: str) -> tuple[float, np.ndarray, int]:
+    """Loss, gradient and number of ``rows (_x, _y)``, summed in one job: one vector a task, then one over all."""
+    def sums(batches):
+        total = np.zeros(len(theta) + 2)
+        for batch in batches:
+            if batch.num_rows:
+                y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+                loss, grad = loss_and_grad_sums(theta, shapes, activation, x, y)
+                total += np.concatenate([grad, [loss, len(y)]])
+        if total[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["vec"])
+
+    out = (rows.select("_x", "_y").mapInArrow(sums, "vec array<double>").select(F.posexplode("vec").alias("j", "x"))
+           .groupBy("j").agg(F.sum("x").alias("s")).collect())
+    vec = np.zeros(len(theta) + 2)
+    for row in out:
+        vec[row["j"]] = row["s"]
+    return vec[-2], vec[:-2], int(vec[-1])
 
 
 def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(3, 4),
             activation: str = "relu", batch_size: int = 50, learning_rate: float = 1e-3,
             alpha: float = 1e-4, max_iter: int = 200, tol: float = 1e-4, n_iter_no_change: int = 10,
             early_stopping: bool = False, validation_fraction: float = 0.1, seed: int = 123,
-            id_col: str | None = None, workers: int = 2) -> MLPModel:
+            id_col: str | None = None, slices: int = 1) -> MLPModel:
     """Train on ``features_col`` (array<double>, already scaled) and 0/1 ``label_col``.
 
-    ``workers`` logical workers train side by side and are averaged after each
-    epoch.  A row's worker and its place in the worker's stream follow from a
-    hash of its id (without ``id_col``: of its values), so the model depends on
-    neither the number of rows nor the partitions of the input.  On a cluster
-    set ``workers`` to the cores that should train; the step size is scaled by
-    it, as each worker takes that many fewer steps an epoch.
+    An epoch is ``slices`` updates, one Spark job each.  A row's slice follows
+    from a hash of its id (without ``id_col``: of its values).  ``batch_size``
+    sets the strength of the penalty and, against the rows of a slice, the step.
     """
     if activation not in ACTIVATIONS:
         raise PipelineError(f"activation must be one of {ACTIVATIONS}")
@@ -277,37 +253,31 @@ def fit_mlp(df: DataFrame, features_col: str, label_col: str = "label", hidden=(
         val = sp.where(F.col("_part") == "test").drop("_part").persist(StorageLevel.MEMORY_AND_DISK)
         data = sp.where(F.col("_part") == "train").drop("_part")
     own = F.xxhash64(F.lit(seed), *([F.col(id_col)] if id_col else [F.col("_x"), F.col("_y")]))
-    train = (data.withColumns({"_w": F.pmod(own, F.lit(workers)).cast("int"), "_k": own})
-             .repartition(workers, "_w").sortWithinPartitions("_w", "_k").drop("_k").persist(StorageLevel.MEMORY_AND_DISK))
+    train = persist_balanced(data.select("_x", "_y", F.pmod(own, F.lit(slices)).cast("int").alias("_slice")))
     first = train.select(F.size("_x")).first()
     if first is None:
         raise PipelineError("No training rows")
     n_in = int(first[0])
     shapes = layer_shapes(n_in, hidden)
     theta = init_params(shapes, activation, seed)
-    m, v, t = np.zeros_like(theta), np.zeros_like(theta), 0
-    n_params = len(theta)
+    state = AdamState(np.zeros_like(theta), np.zeros_like(theta))
     model = MLPModel(theta.tolist(), n_in, hidden, activation,
                      params={"hidden": list(hidden), "activation": activation, "batch_size": batch_size,
                              "learning_rate": learning_rate, "alpha": alpha, "max_iter": max_iter,
                              "early_stopping": early_stopping, "seed": seed})
     best, stall, best_theta = np.inf if not early_stopping else -np.inf, 0, theta.copy()
-    schema = "vec array<double>"
-    for epoch in range(max_iter):
-        fn = _epoch_fn(theta.tolist(), m.tolist(), v.tolist(), t, shapes, activation, alpha,
-                       learning_rate * workers, batch_size, seed, epoch)
-        # One job per epoch: slot-wise sums (and the largest Adam step count) are reduced by Spark,
-        # so 3·n_params + 3 rows reach the driver whatever the number of workers.
-        sums = (train.select("_x", "_y", "_w").mapInPandas(fn, schema).select(F.posexplode("vec").alias("j", "x"))
-                .groupBy("j").agg(F.sum("x").alias("s"), F.max("x").alias("mx")))
-        vec, mx = np.zeros(3 * n_params + 3), np.zeros(3 * n_params + 3)
-        for row in sums.collect():
-            vec[row["j"]], mx[row["j"]] = row["s"], row["mx"]
-        n = vec[3 * n_params]
-        theta, m, v = vec[:n_params] / n, vec[n_params:2 * n_params] / n, vec[2 * n_params:3 * n_params] / n
-        t = int(mx[3 * n_params + 2])
-        tot = {"loss": vec[3 * n_params + 1]}
-        epoch_loss = tot["loss"] / n
+    for _ in range(max_iter):
+        epoch_loss, seen = 0.0, 0
+        for k in range(slices):
+            loss, grad, n = gradient_sums(train if slices == 1 else train.where(F.col("_slice") == k), theta, shapes, activation)
+            if n == 0:
+                continue
+            batch = min(batch_size, n)
+            loss, grad = penalised(theta, shapes, alpha, loss, grad, n, batch)
+            rate = min(learning_rate * np.sqrt(n / batch), max(learning_rate, LONGEST_STEP))
+            theta = adam_step(theta, state, grad, rate)
+            epoch_loss, seen = epoch_loss + loss * n, seen + n
+        epoch_loss /= seen
         model.loss_curve.append(float(epoch_loss))
         if early_stopping:
             cand = MLPModel(theta.tolist(), n_in, hidden, activation)

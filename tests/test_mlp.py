@@ -62,7 +62,21 @@ def test_training_does_not_depend_on_partitions(spark):
     x = rng.uniform(0, 1, size=(700, 2))
     df = spark.createDataFrame([(i, [float(a), float(b)], int(a > b)) for i, (a, b) in enumerate(x)],
                                "id long, x array<double>, label int")
-    fits = [MLP.fit_mlp(df.repartition(n), "x", "label", hidden=(4,), batch_size=8, learning_rate=0.02, max_iter=4,
-                        id_col="id", seed=3, workers=3) for n in (1, 4)]
-    assert np.allclose(fits[0].loss_curve, fits[1].loss_curve, rtol=1e-9)
-    assert np.allclose(fits[0].theta, fits[1].theta, atol=1e-9)
+    for slices in (1, 3):
+        fits = [MLP.fit_mlp(df.repartition(n), "x", "label", hidden=(4,), batch_size=8, learning_rate=0.02, max_iter=4,
+                            id_col="id", seed=3, slices=slices) for n in (1, 4, 30)]
+        for other in fits[1:]:
+            assert np.allclose(fits[0].loss_curve, other.loss_curve, rtol=1e-9)
+            assert np.allclose(fits[0].theta, other.theta, atol=1e-9)
+
+
+def test_gradient_sums_are_those_of_all_rows(spark):
+    """Every partition adds its rows; the job's sums are NumPy's over the whole table."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(333, 3)), rng.integers(0, 2, 333)
+    df = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "_x array<double>, _y double").repartition(13)
+    shapes = MLP.layer_shapes(3, (4, 2))
+    theta = MLP.init_params(shapes, "tanh", 3)
+    loss, grad, n = MLP.gradient_sums(df, theta, shapes, "tanh")
+    want_loss, want_grad = MLP.loss_and_grad_sums(theta, shapes, "tanh", x, y.astype(float))
+    assert n == 333 and np.isclose(loss, want_loss) and np.allclose(grad, want_grad)
