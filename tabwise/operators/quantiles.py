@@ -4,15 +4,13 @@ Spark's exact ``percentile``/``median``/``mode`` aggregates keep a hash map of
 every distinct value; for a global (ungrouped) aggregate the final merge runs
 in one task, which does not survive a 100 TB high-cardinality column.
 
-``exact_quantiles`` instead narrows a value interval around each requested
-order statistic: every pass is ONE distributed ``groupBy(target, bucket)``
-aggregation with map-side combine over equal-width buckets of the current
-interval (16384 buckets by default), and only the bucket holding the wanted
-rank survives into the next pass.  The aggregated table has at most
-``targets × buckets`` rows, so nothing data-sized ever reaches the driver or a
-single task; a hot value simply ends in one bucket whose count combines.
-Passes needed ≈ log_buckets(n) (3–4 for 10^12 rows), after which the interval
-holds one distinct value.  Results use linear interpolation between the two
+``exact_quantiles`` brackets each wanted order statistic with a mergeable
+quantile sketch (one scan, whatever the spread of the values), then counts the
+values inside the bracket and those below it (another scan) and picks the rank.
+A bracket that may hold more than ``close`` rows is sketched once more first:
+two scans up to some 10^10 rows, three up to some 10^12.  Infinities are counted
+apart.  Integers stay integers, so values above 2^53 are exact.  A hot value is
+one row of the count.  Results use linear interpolation between the two
 neighbouring order statistics (SQL ``percentile_cont``, pandas default).
 """
 
@@ -21,112 +19,169 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
-DEFAULT_BUCKETS = 16384
+#: The sketch's rank error is a share of 1 / ACCURACY; a bracket of up to CLOSE rows is counted.
+ACCURACY, CLOSE = 10_000, 1 << 22
+#: Points at which a wide bracket is sketched again.
+GRID = 256
 
 
 @dataclass
 class _Target:
     column: str
-    rank: int          # 0-based order statistic among non-null values
-    lo: float
-    hi: float
-    value: float | None = None
-
-
-def _refine(df: DataFrame, targets: list[_Target], buckets: int, max_passes: int) -> None:
-    for _ in range(max_passes):
-        for t in targets:
-            if t.value is None and t.lo == t.hi:
-                t.value = t.lo
-        active = [i for i, t in enumerate(targets) if t.value is None]
-        if not active:
-            return
-        # Targets on the same column and interval share one histogram (all of them on pass 1).
-        groups: dict[tuple, list[int]] = {}
-        for i in active:
-            t = targets[i]
-            groups.setdefault((t.column, t.lo, t.hi), []).append(i)
-        keys = list(groups)
-        entries = []
-        for g, (column, lo, hi) in enumerate(keys):
-            v = F.col(column).cast("double")
-            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(buckets)),
-                             F.lit(buckets - 1)).cast("int")
-            entries.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                                  F.struct(F.lit(g).alias("g"), bucket.alias("b"), v.alias("v"))))
-        exploded = (df.select(F.explode(F.array(*entries)).alias("s"))
-                    .where(F.col("s").isNotNull()).select("s.*"))
-        per_bucket = exploded.groupBy("g", "b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-        ranks = F.element_at(F.array(*[F.array(*[F.lit(targets[i].rank) for i in groups[k]]) for k in keys]),
-                             F.col("g") + 1)
-        w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        picked = (per_bucket.withColumn("cum", F.sum("n").over(w))
-                  .withColumn("before", F.col("cum") - F.col("n"))
-                  .where(F.exists(ranks, lambda r: (F.col("before") <= r) & (r < F.col("cum"))))
-                  .select("g", "before", "cum", "mn", "mx").collect())
-        for row in picked:
-            for i in groups[keys[row["g"]]]:
-                t = targets[i]
-                if row["before"] <= t.rank < row["cum"]:
-                    t.rank -= int(row["before"])
-                    t.lo, t.hi = float(row["mn"]), float(row["mx"])
-                    if t.lo == t.hi:
-                        t.value = t.lo
-    raise RuntimeError("exact_quantiles did not converge")  # pragma: no cover
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    buckets: int = DEFAULT_BUCKETS, max_passes: int = 200,
-                    stats: dict | None = None) -> dict[str, list[float | None]]:
-    """Exact ``percentile_cont`` of each column at each probability (NULLs ignored).
-
-    ``stats`` may carry precomputed ``{col: (count, min, max)}`` to save a pass.
+    rank: int                     # 0-based order statistic among finite values
+    rows: int                     # rows that the bracket may hold
+    lo: float | int | None = None     # bracket, both ends included; None: open
+    hi: float | int | None = None
+    margin: float = 2.0           # in sketch errors
+    value: float | int | None = None
+
+    def start_over(self, accuracy: int) -> None:
+        """The rank is not in the bracket, beyond the sketch's error: take a wider one, in the end all values."""
+        self.lo = self.hi = None
+        self.margin *= 4
+        if self.margin > accuracy / 8:
+            self.rows = 0
+
+    def inside(self, kind: str) -> Column:
+        v = F.col(self.column)
+        low = F.lit(True) if self.lo is None else v >= F.lit(self.lo).cast(kind)
+        return v.isNotNull() & low & (F.lit(True) if self.hi is None else v <= F.lit(self.hi).cast(kind))
+
+    def below(self, kind: str) -> Column:
+        return F.lit(False) if self.lo is None else F.coalesce(F.col(self.column) < F.lit(self.lo).cast(kind), F.lit(False))
+
+
+def _widened(value, kind: str, step: int):
+    """A sketch's value as an end of a bracket; sketches hold doubles, so large integers move outwards."""
+    if kind == "double":
+        return value
+    return max(-(1 << 63), min((1 << 63) - 1, int(value) + step * (0 if abs(value) < 1 << 52 else 1 << 11)))
+
+
+def _bracket(target: _Target, points: list[float], values: list, at: float, accuracy: int, kind: str) -> None:
+    """Ends for the share ``at`` of the sketched rows from the sketch's ``values`` at ``points``."""
+    reach = target.margin / accuracy
+    lows = [v for p, v in zip(points, values) if p <= at - reach]
+    highs = [v for p, v in zip(points, values) if p >= at + reach]
+    target.lo = _widened(lows[-1], kind, -1) if lows else target.lo
+    target.hi = _widened(highs[0], kind, 1) if highs else target.hi
+
+
+def _sketch_again(data: DataFrame, targets: list[_Target], kinds: dict, accuracy: int) -> None:
+    points = [k / GRID for k in range(GRID + 1)]
+    aggs = []
+    for k, t in enumerate(targets):
+        held = t.inside(kinds[t.column])
+        aggs += [F.count_if(t.below(kinds[t.column])).alias(f"b{k}"), F.count_if(held).alias(f"n{k}"),
+                 F.approx_count_distinct(F.when(held, F.col(t.column))).alias(f"d{k}"),
+                 F.percentile_approx(F.when(held, F.col(t.column)), points, accuracy).alias(f"q{k}")]
+    row = data.agg(*aggs).first()
+    for k, t in enumerate(targets):
+        n, want = row[f"n{k}"], t.rank - row[f"b{k}"]
+        if not 0 <= want < n:
+            t.start_over(accuracy)
+            continue
+        if t.lo is not None and t.lo == t.hi:
+            t.value = t.lo
+            continue
+        _bracket(t, points, row[f"q{k}"], want / n, accuracy, kinds[t.column])
+        t.rows = min(math.ceil(n * (1 / GRID + 4 * t.margin / accuracy)), row[f"d{k}"])     # a count has one row a value
+
+
+def _close(data: DataFrame, targets: list[_Target], kinds: dict, accuracy: int) -> None:
+    """Count the values in the targets' brackets, and the rows below, in one scan; find the wanted ranks."""
+    groups: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        groups.setdefault((t.column, t.lo, t.hi), []).append(t)
+    entries = []
+    for g, (t, *_) in enumerate(groups.values()):
+        kind, none = kinds[t.column], F.lit(None)
+        value = [(F.col(t.column) if kind == k else none).cast(k) for k in ("double", "long")]
+        entry = lambda x, i: F.struct(F.lit(g).alias("g"), x.cast("double").alias("x"), i.cast("long").alias("i"))  # noqa: B023, E731
+        entries.append(F.when(t.inside(kind), entry(*value)).when(t.below(kind), entry(none, none)))
+    counts = (data.select(F.explode(F.array_compact(F.array(*entries))).alias("s")).select("s.*")
+              .groupBy("g", "x", "i").agg(F.count(F.lit(1)).alias("n")))
+    # The rows below a bracket are one row without a value, first in its order.
+    order = Window.partitionBy("g").orderBy("x", "i").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.element_at(F.array(*[F.array(*[F.lit(t.rank).cast("long") for t in ts]) for ts in groups.values()]), F.col("g") + 1)
+    found = (counts.withColumn("upto", F.sum("n").over(order)).where(F.coalesce("x", "i").isNotNull())
+             .where(F.exists(ranks, lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto")))).collect())
+    members = list(groups.values())
+    for row in found:
+        for t in members[row["g"]]:
+            if row["upto"] - row["n"] <= t.rank < row["upto"]:
+                t.value = row["x"] if row["i"] is None else row["i"]
+    for t in targets:
+        if t.value is None:
+            t.start_over(accuracy)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = ACCURACY, close: int = CLOSE,
+                    stats: dict | None = None, scans: list | None = None) -> dict[str, list[float | None]]:
+    """Exact ``percentile_cont`` of each column at each probability (NULL and NaN ignored).
+
+    ``stats`` may carry ``{col: (count, ...)}``: columns without values are left
+    out of the scans.  ``scans`` gets an entry for each scan.  Values are floats;
+    integers above 2^53 stay integers.
     """
+    scans = [] if scans is None else scans
+    kinds = {c: "long" if isinstance(df.schema[c].dataType, IntegralType) else "double" for c in columns}
+    used = [c for c in dict.fromkeys(columns) if stats is None or stats[c][0]]
     # NaN counts as missing (pandas semantics); Spark would order it above every value.
-    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    if stats is None:
+    data = df.select(*[F.col(c).cast("long").alias(c) if kinds[c] == "long" else F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+                       for c in used])
+    finite = data.select(*[F.col(c) if kinds[c] == "long" else F.when(F.abs(c) < math.inf, F.col(c)).alias(c) for c in used])
+    points = sorted({min(1.0, max(0.0, p + e * 2 / accuracy)) for p in probs for e in (-1, 1)})
+    plan: dict[str, list] = {c: [None] * len(probs) for c in columns}
+    targets: dict[tuple[str, int], _Target] = {}
+    if used:
         aggs = []
-        for c in columns:
-            v = F.col(c).cast("double")
-            aggs += [F.count(v).alias(f"n_{c}"), F.min(v).alias(f"lo_{c}"), F.max(v).alias(f"hi_{c}")]
+        for k, c in enumerate(used):
+            held = F.col(c) if kinds[c] == "long" else F.when(F.abs(c) < math.inf, F.col(c))
+            ends = [F.lit(0), F.lit(0)] if kinds[c] == "long" else [F.count_if(F.col(c) == F.lit(e)) for e in (-math.inf, math.inf)]
+            aggs += [F.count(c).alias(f"n{k}"), ends[0].alias(f"lo{k}"), ends[1].alias(f"hi{k}"),
+                     F.percentile_approx(held, points, accuracy).alias(f"q{k}")]
         row = data.agg(*aggs).first()
-        stats = {c: (row[f"n_{c}"], row[f"lo_{c}"], row[f"hi_{c}"]) for c in columns}
-    targets: list[_Target] = []
-    index: dict[tuple[str, int], int] = {}
-    plan: dict[str, list[tuple[int, int, float] | None]] = {}
-    for c in columns:
-        n, lo, hi = stats[c]
-        plan[c] = []
-        for p in probs:
-            if not n:
-                plan[c].append(None)
-                continue
-            h = (n - 1) * p
-            lo_rank, hi_rank = math.floor(h), math.ceil(h)
-            ids = []
-            for r in (lo_rank, hi_rank):
-                if (c, r) not in index:
-                    index[(c, r)] = len(targets)
-                    targets.append(_Target(c, r, float(lo), float(hi)))
-                ids.append(index[(c, r)])
-            plan[c].append((ids[0], ids[1], h - lo_rank))
-    _refine(data, targets, buckets, max_passes)
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        vals = []
-        for entry in plan[c]:
-            if entry is None:
-                vals.append(None)
-                continue
-            a, b, frac = targets[entry[0]].value, targets[entry[1]].value, entry[2]
-            vals.append(a if frac == 0 else a + frac * (b - a))
-        out[c] = vals
-    return out
+        scans.append("sketch")
+        for k, c in enumerate(used):
+            n, low, high = row[f"n{k}"], row[f"lo{k}"], row[f"hi{k}"]
+            for j, p in enumerate(probs if n else []):
+                h = (n - 1) * p
+                ends = []
+                for rank in (math.floor(h), math.ceil(h)):
+                    if rank < low or rank >= n - high:
+                        ends.append(_Target(c, 0, 0, value=-math.inf if rank < low else math.inf))
+                        continue
+                    t = targets.get((c, rank))
+                    if t is None:
+                        t = targets[c, rank] = _Target(c, rank - low, n - low - high)
+                        if t.rows > close and not low + high:
+                            _bracket(t, points, row[f"q{k}"], p, accuracy, kinds[c])
+                            t.rows = math.ceil(n * 4 * t.margin / accuracy)
+                    ends.append(t)
+                plan[c][j] = (*ends, h - math.floor(h))
+    open_targets = list(targets.values())
+    while open_targets:
+        wide = [t for t in open_targets if t.rows > close]
+        if wide:
+            _sketch_again(finite, wide, kinds, accuracy)
+        else:
+            _close(finite, open_targets, kinds, accuracy)
+        scans.append("sketch" if wide else "count")
+        open_targets = [t for t in open_targets if t.value is None]
+
+    def value(entry):
+        if entry is None:
+            return None
+        a, b, share = entry[0].value, entry[1].value, entry[2]
+        out = a if share == 0 or a == b else a + share * (b - a) if math.isfinite(a) and math.isfinite(b) else a * (1 - share) + b * share
+        return out if isinstance(out, int) and abs(out) > 1 << 53 else float(out)
+
+    return {c: [value(e) for e in plan[c]] for c in columns}
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
@@ -158,14 +213,15 @@ def modes(df: DataFrame, columns: list[str]) -> dict:
     types = {f.name: f.dataType for f in df.schema.fields}
     entries = []
     for c in columns:
-        numeric = isinstance(types[c], NumericType)
+        numeric, whole = isinstance(types[c], NumericType), isinstance(types[c], IntegralType)
         entries.append(F.struct(F.lit(c).alias("k"),
-                                (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
+                                (F.col(c).cast("double") if numeric and not whole else F.lit(None).cast("double")).alias("num"),
+                                (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("int"),
                                 F.col(c).cast("string").alias("txt")))
     stacked = df.select(F.explode(F.array(*entries)).alias("s")).select("s.*").where(F.col("txt").isNotNull())
-    counts = stacked.groupBy("k", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("k").agg(F.min_by(F.struct("num", "txt", "n"),
-                                            F.struct((-F.col("n")).alias("neg"), "num", "txt")).alias("b"))
+    counts = stacked.groupBy("k", "num", "int", "txt").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("k").agg(F.min_by(F.struct("num", "int", "txt", "n"),
+                                            F.struct((-F.col("n")).alias("neg"), "num", "int", "txt")).alias("b"))
     found = {r["k"]: r["b"] for r in best.collect()}
     out = {}
     for c in columns:
@@ -175,7 +231,7 @@ def modes(df: DataFrame, columns: list[str]) -> dict:
             continue
         t = types[c]
         if isinstance(t, NumericType):
-            value = int(b["num"]) if t.typeName() in ("integer", "long", "short", "byte") else b["num"]
+            value = b["int"] if isinstance(t, IntegralType) else b["num"]
         else:
             value = b["txt"]
         out[c] = (value, int(b["n"]))

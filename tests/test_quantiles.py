@@ -10,7 +10,7 @@ def test_exact_quantiles_match_numpy_with_ties_and_nulls(spark):
     rows = [(float(v),) for v in vals] + [(None,)] * 37
     df = spark.createDataFrame(rows, "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, ["x"], probs, buckets=16)  # few buckets → several refinement passes
+    got = exact_quantiles(df, ["x"], probs, accuracy=50, close=16)  # coarse sketches, small brackets: several passes
     want = np.quantile(vals, probs)  # linear interpolation
     assert np.allclose(got["x"], want, rtol=0, atol=1e-12)
 
@@ -52,3 +52,29 @@ def test_approx_quantiles_close(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     got = approx_quantiles(df, ["x"], [0.5])["x"][0]
     assert abs(got - 5000) <= 2
+
+
+@pytest.mark.parametrize("accuracy, close, most", [(10_000, 1 << 22, 2), (10_000, 64, 3)])
+def test_few_scans_whatever_the_spread(spark, accuracy, close, most):
+    rng = np.random.default_rng(8)
+    tiny = np.exp(rng.uniform(np.log(1e-100), np.log(1e100), 3000))
+    columns = {"a": rng.lognormal(0, 8, 3000), "b": tiny, "c": np.concatenate([[-np.inf] * 40, rng.normal(size=2900), [np.inf] * 60]),
+               "d": np.where(rng.random(3000) < 0.4, 5.0, rng.normal(size=3000))}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in columns.values()))), ", ".join(f"{c} double" for c in columns))
+    probs, scans = [0.0, 0.25, 0.5, 0.9, 1.0], []
+    got = exact_quantiles(df, list(columns), probs, accuracy=accuracy, close=close, scans=scans)
+    for c, values in columns.items():
+        low, high = (np.quantile(values, probs, method=m) for m in ("lower", "higher"))     # NumPy's own mix of equal infinities is NaN
+        share = np.array([(len(values) - 1) * p % 1 for p in probs])
+        with np.errstate(invalid="ignore"):
+            assert np.allclose(got[c], np.where(low == high, low, low + share * (high - low)), rtol=1e-9, atol=0)
+    assert len(scans) <= most
+
+
+def test_integers_above_two_to_the_53(spark):
+    base = 1 << 60
+    df = spark.createDataFrame([(base + k,) for k in (0, 1, 1, 2, 3, 4, 5)], "n long")
+    assert exact_quantiles(df, ["n"], [0.5, 1.0])["n"] == [base + 2, base + 5]
+    assert exact_quantiles(df, ["n"], [0.5], accuracy=50, close=2)["n"] == [base + 2]
+    assert modes(df, ["n"])["n"] == (base + 1, 2)
+    assert exact_quantiles(df.where("false"), ["n"], [0.5])["n"] == [None]
