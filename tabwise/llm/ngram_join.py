@@ -5,9 +5,9 @@ from the start.  Two sets can only be similar when they share one of the first
 ``n - ceil(t n) + 1`` n-grams in any common order, so an inverted index over
 those prefixes finds every candidate.  Two kinds of skipping keep it small:
 
-* Index lists are sorted into blocks by set size and position.  Of a list, only
-  the blocks whose size and position allow enough overlap are visited, all
-  others are skipped; lists whose sets are connected already are skipped whole.
+* Index lists are sorted by set size and position.  Of a list, only the sets
+  whose size fits are visited, and pairs whose positions leave too little overlap
+  are dropped; lists whose sets are connected already are skipped whole.
   How many prefix n-grams two sets share then bounds their overlap once more.
 * Answers are derived from a highly similar set.  First every set is compared
   with two leaders only: its neighbour and the hub in most of its lists.
