@@ -18,7 +18,7 @@ SETTINGS = dict(max_examples=12, deadline=None, suppress_health_check=[HealthChe
        st.lists(st.floats(0, 1), min_size=1, max_size=4))
 def test_exact_quantiles_equal_numpy(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = exact_quantiles(df, ["x"], probs, buckets=8)["x"]
+    got = exact_quantiles(df, ["x"], probs, accuracy=50, close=8)["x"]
     want = np.quantile(np.array(values), probs)
     assert np.allclose(got, want, rtol=1e-12, atol=1e-9)
 
