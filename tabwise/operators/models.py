@@ -26,6 +26,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
-from tabwise.session import materialize, session_conf
+from tabwise.session import session_conf
 
 MAX_DEPTH = 30
 # More node statistics per pass over the data (fewer passes per tree level) and node ids
@@ -179,44 +181,44 @@ def param_table(spark: SparkSession, model: FittedModel) -> DataFrame:
 class LeafMedianForest:
     """Variance-grown forest whose leaves predict a median (``absolute_error`` stand-in).
 
-    Scoring: when the (tree, leaf) → median table is small (checked:
-    ``≤ LEAF_LITERAL_CELLS`` dense cells) it is embedded as a constant nested
-    array and every row averages ``table[t][leaf_t]`` inside its own projection —
-    no shuffle.  Beyond that bound the table stays distributed: rows × trees
-    leaf ids are joined to it and re-averaged per row id (a shuffle).
+    ``leaves`` has one array per tree, the value of each leaf by its number (None:
+    the trees' own means).  Like the trees themselves it is model, one double a
+    leaf, and goes to the tasks the same way, by broadcast; a row looks up its
+    leaf of each tree in place.  Rows are neither joined nor regrouped, so ids
+    are not needed and equal rows get equal predictions.
     """
 
     forest: FittedModel
-    leaf_values: DataFrame | None  # (tree, leaf, value); None → plain means
-    n_trees: int
-    dense: list | None = None      # dense[tree][leaf] when small enough
+    leaves: list[list[float]] | None
 
     @property
     def features(self) -> list[str]:
         return self.forest.features
 
-    def transform(self, df: DataFrame, id_cols) -> DataFrame:
-        ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    def transform(self, df: DataFrame) -> DataFrame:
         scored = self.forest.transform(df)
-        if self.leaf_values is None:
+        if self.leaves is None:
             return scored
-        if self.dense is not None:
-            table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.dense])
-            leaves = vector_to_array("_leaf")
-            per_tree = F.transform(leaves, lambda leaf, t: F.element_at(F.element_at(table, t + 1),
-                                                                         leaf.cast("int") + 1))
-            total = F.aggregate(per_tree, F.lit(0.0), lambda acc, v: acc + v)
-            return scored.withColumn("prediction", total / F.lit(float(self.n_trees)))
-        exploded = (scored.select(*ids, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-                    .withColumn("leaf", F.col("leaf").cast("int")))
-        joined = exploded.join(self.leaf_values, ["tree", "leaf"], "inner")
-        pred = joined.groupBy(*ids).agg(F.avg("value").alias("_median_prediction"))
-        return (scored.join(pred, ids, "left")
-                .withColumn("prediction", F.col("_median_prediction")).drop("_median_prediction"))
-
-
-LEAF_BROADCAST_ROWS = 1 << 20
-LEAF_LITERAL_CELLS = 200_000
+        lookup = leaf_mean(df.sparkSession, self.leaves)
+        return scored.withColumn("prediction", lookup(vector_to_array("_leaf")))
+
+
+def leaf_mean(spark: SparkSession, leaves: list[list[float]]):
+    """Column function: mean over trees of ``leaves[tree][number]`` for an array of leaf numbers (NULL stays NULL)."""
+    shared = spark.sparkContext.broadcast([np.asarray(values, float) for values in leaves])
+
+    @F.pandas_udf("double")
+    def mean_of_leaves(numbers: pd.Series) -> pd.Series:
+        out = np.full(len(numbers), np.nan)
+        known = numbers.notna().to_numpy()
+        if known.any():
+            at = np.stack(numbers[known].to_numpy()).astype(np.int64)
+            out[known] = sum(values[at[:, tree]] for tree, values in enumerate(shared.value)) / len(shared.value)
+        return pd.Series(out).where(known, None)
+
+    return mean_of_leaves
+
+
 LEAF_MEDIAN_ACCURACY = 1000   # percentile_approx: rank error ≤ 0.1 % of the leaf size
 
 
@@ -234,24 +236,23 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
     fitted = _fit("random_forest_regressor", df, features, label, est,
                   {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth})
     if criterion == "squared_error":
-        return LeafMedianForest(fitted, None, n_estimators)
+        return LeafMedianForest(fitted, None)
     train = fitted.transform(df.select(*features, label))
-    per_leaf = (train.select(F.col(label).cast("double").alias("y"),
-                             F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-                .withColumn("leaf", F.col("leaf").cast("int"))
-                .groupBy("tree", "leaf")
-                .agg(F.percentile_approx("y", 0.5, LEAF_MEDIAN_ACCURACY).alias("value")))
     # Thousands of (tree, leaf) sketches per task would exceed the object-hash aggregate's
     # default key limit (128) and force a sort of rows × trees; keep hashing up to 64 Ki
     # keys per task (the sort-based path still takes over beyond that, spill-safe).
     with session_conf(df.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536"):
-        per_leaf = materialize(per_leaf)  # written table: reused by every later transform
-    size = per_leaf.agg(F.count(F.lit(1)).alias("n"), F.max("leaf").alias("mx")).first()
-    n_leaves, max_leaf = int(size["n"]), int(size["mx"] or 0)
-    dense = None
-    if n_estimators * (max_leaf + 1) <= LEAF_LITERAL_CELLS:
-        dense = [[0.0] * (max_leaf + 1) for _ in range(n_estimators)]
-        for r in per_leaf.collect():  # bounded by the check above
-            dense[r["tree"]][r["leaf"]] = float(r["value"])
-    leaf_values = F.broadcast(per_leaf) if n_leaves <= LEAF_BROADCAST_ROWS else per_leaf
-    return LeafMedianForest(fitted, leaf_values, n_estimators, dense)
+        per_leaf = (train.select(F.col(label).cast("double").alias("y"),
+                                 F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+                    .withColumn("leaf", F.col("leaf").cast("int"))
+                    .groupBy("tree", "leaf")
+                    .agg(F.percentile_approx("y", 0.5, LEAF_MEDIAN_ACCURACY).alias("value")))
+        by_tree = per_leaf.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("leaf", "value"))).alias("leaves"))
+        rows = {r["tree"]: r["leaves"] for r in by_tree.collect()}   # one row a tree: model
+    leaves = []
+    for tree in range(n_estimators):
+        values = [math.nan] * (rows[tree][-1]["leaf"] + 1)
+        for leaf in rows[tree]:
+            values[leaf["leaf"]] = leaf["value"]
+        leaves.append(values)
+    return LeafMedianForest(fitted, leaves)

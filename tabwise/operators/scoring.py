@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
+from tabwise.functions.columns import quoted
 from tabwise.operators import cluster as CL
 from tabwise.operators import mlp as MLP
+from tabwise.operators import models as MO
 from tabwise.operators import prep as PR
 from tabwise.operators.metrics import predicted_class
 from tabwise.sources.models_io import Bundle
@@ -79,9 +81,18 @@ def score_mlp(df: DataFrame, bundle: Bundle) -> DataFrame:
                            pred_col="predicted_class").drop("_x")
 
 
-def score_regressor(df: DataFrame, model) -> DataFrame:
-    """Absent features → 0.0, then the model's prediction column."""
-    return model.transform(df)
+def score_regressor(df: DataFrame, bundle: Bundle, out_col: str = "prediction") -> DataFrame:
+    """The stored linear model's or forest's prediction beside the given columns; absent and NULL features are 0.0.
+
+    A projection: rows are not joined, so repeated ids and streams are fine.
+    """
+    if bundle.spark_model is None:
+        raise PipelineError("This bundle has no Spark model to score with")
+    given = F.struct(*[quoted(c) for c in df.columns]).alias("_given")
+    ready = MO.prepare_features(df.withColumn("_given", given), bundle.features).select("_given", *bundle.features)
+    fitted = MO.FittedModel(bundle.kind, bundle.spark_model, bundle.features, "label")
+    scored = MO.LeafMedianForest(fitted, bundle.leaves).transform(ready)
+    return scored.select("_given.*", F.col("prediction").alias(out_col))
 
 
 def assign_clusters(df: DataFrame, bundle: Bundle, out_col: str = "Cluster") -> DataFrame:

@@ -19,7 +19,6 @@ from tabwise.operators import cluster as CL
 from tabwise.operators import metrics as ME
 from tabwise.operators import models as MO
 from tabwise.operators import scoring as SC
-from tabwise.operators import split as SP
 from tabwise.operators import tuning as TU
 from tabwise.plans import tables as T
 from tabwise.plans import workflows as WF
@@ -192,6 +191,18 @@ def q_price_coefficients(spark, sf_dir):
     return _r(t.orderBy(F.desc(F.abs("estimate")), "term"), 6)
 
 
+@register("price_scoring")
+def q_price_scoring(spark, sf_dir):
+    """S7/S8 + X1: both price models saved, loaded (kind checked) and applied to every raw row."""
+    res = price(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark)}/bundles/price-{uuid.uuid4().hex}"
+    scored = price_input(spark, sf_dir).drop("l_extendedprice")
+    for name, out_col in (("linear_regression", "linear_price"), ("random_forest", "forest_price")):
+        path = save_bundle(spark, res.bundles[name], f"{base}/{name}")
+        scored = SC.score_regressor(scored, load_bundle(spark, path, "price"), out_col)
+    return _r(scored.select("l_orderkey", "l_linenumber", "linear_price", "forest_price"), 2)
+
+
 # =============================================================================== segmentation
 def segmentation(spark, sf_dir) -> WF.SegmentationResult:
     cust = T.customer_with_gaps(spark, sf_dir)
@@ -308,8 +319,7 @@ def q_streaming_scoring(spark, sf_dir):
 def q_prediction_preview(spark, sf_dir):
     """L2: the first 10 test predictions of the OLS price model in id order, actual beside predicted."""
     res = price(spark, sf_dir)
-    sp = SP.train_test_split(price_input(spark, sf_dir), ["l_orderkey", "l_linenumber"], "returned", 0.2, 42)
-    pred = res.linear.transform(sp.where(F.col("split") == "test"))
+    pred = res.linear.transform(res.split.where(F.col("split") == "test"))
     return _r(pred.orderBy("l_orderkey", "l_linenumber").limit(10)
               .select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("actual"),
                       F.col("prediction").alias("predicted")), 2)

@@ -208,6 +208,8 @@ class RegressionResult:
     mae: DataFrame
     comparison: DataFrame
     best: object
+    split: DataFrame
+    bundles: dict        # by model name
 
 
 def regression_workflow(spark: SparkSession, df: DataFrame, id_col, target: str = "price",
@@ -228,12 +230,17 @@ def regression_workflow(spark: SparkSession, df: DataFrame, id_col, target: str
     forest = None
     if with_forest:
         forest = MO.fit_forest_regressor(train, features, target, n_estimators, criterion, max_depth, seed=seed)
-        tables["random_forest"] = ME.mae(forest.transform(sp, ids).withColumn("label", F.col(target)),
+        tables["random_forest"] = ME.mae(forest.transform(sp).withColumn("label", F.col(target)),
                                          "label", "prediction", ["split"])
     mae = TU.comparison_table(tables, "mae", descending=False)
     comparison = mae.where(F.col("split") == "test").orderBy("mae", "model")
     best = TU.best_model(comparison, "mae", maximise=False)
-    return RegressionResult(features, strat, linear, forest, mae, comparison, best)
+    extras = {"target": target, "stratify_used": strat}
+    bundles = {"linear_regression": Bundle("price", features, {"model_name": "linear_regression", **extras}, linear.pipeline)}
+    if forest is not None:
+        bundles["random_forest"] = Bundle("price", features, {"model_name": "random_forest", **extras},
+                                          forest.forest.pipeline, forest.leaves)
+    return RegressionResult(features, strat, linear, forest, mae, comparison, best, sp, bundles)
 
 
 # =============================================================================== segmentation

@@ -2,7 +2,8 @@
 
 Layout: ``<path>/meta`` (one-row parquet: kind, feature order, JSON extras
 such as imputation defaults, scaler min/max, threshold, MLP weights) and,
-for Spark ML models, ``<path>/model`` (``PipelineModel`` format).  Loading
+for Spark ML models, ``<path>/model`` (``PipelineModel`` format).  Forests with
+leaf values of their own keep these in ``<path>/leaves``, one row a tree.  Loading
 checks ``kind`` and raises ``PipelineError`` on a mismatch.  No arbitrary code
 is deserialised.
 """
@@ -24,15 +25,19 @@ class Bundle:
     features: list[str]
     extras: dict = field(default_factory=dict)
     spark_model: PipelineModel | None = None
+    leaves: list[list[float]] | None = None    # by tree and leaf number
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> str:
     meta = spark.createDataFrame([(bundle.kind, bundle.features, json.dumps(bundle.extras, default=str),
-                                   bundle.spark_model is not None)],
-                                 "kind string, features array<string>, extras string, has_model boolean")
+                                   bundle.spark_model is not None, bundle.leaves is not None)],
+                                 "kind string, features array<string>, extras string, has_model boolean, has_leaves boolean")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     if bundle.spark_model is not None:
         bundle.spark_model.write().overwrite().save(f"{path}/model")
+    if bundle.leaves is not None:
+        table = spark.createDataFrame(list(enumerate(bundle.leaves)), "tree int, leaf_values array<double>")
+        table.write.mode("overwrite").parquet(f"{path}/leaves")
     return path
 
 
@@ -46,4 +51,8 @@ def load_bundle(spark: SparkSession, path: str, expected_kind: str | None = None
     if expected_kind is not None and row["kind"] != expected_kind:
         raise PipelineError(f"The bundle at {path} is a `{row['kind']}` model, not `{expected_kind}`.")
     model = PipelineModel.load(f"{path}/model") if row["has_model"] else None
-    return Bundle(row["kind"], list(row["features"]), json.loads(row["extras"]), model)
+    leaves = None
+    if "has_leaves" in row and row["has_leaves"]:
+        table = spark.read.parquet(f"{path}/leaves").orderBy("tree")
+        leaves = [r["leaf_values"] for r in table.collect()]     # one row a tree
+    return Bundle(row["kind"], list(row["features"]), json.loads(row["extras"]), model, leaves)

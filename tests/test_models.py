@@ -69,8 +69,8 @@ def test_leaf_median_forest_not_worse_than_mean_leaves_on_train(spark):
                                "id long, a double, b double, y double").cache()
     med = MO.fit_forest_regressor(df, ["a", "b"], "y", 10, "absolute_error", 6, seed=1)
     mean = MO.fit_forest_regressor(df, ["a", "b"], "y", 10, "squared_error", 6, seed=1)
-    mae_med = med.transform(df, "id").agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
-    mae_mean = mean.transform(df, "id").agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    mae_med = med.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    mae_mean = mean.transform(df).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
     assert mae_med <= mae_mean + 1e-9
 
 
@@ -89,6 +89,29 @@ def test_bundle_round_trip_same_predictions_and_kind_check(spark, tmp_dir):
         load_bundle(spark, f"{tmp_dir}/b", "kmeans")
 
 
+def test_price_bundle_scores_as_the_fitted_forest_also_equal_ids_and_missing_features(spark, tmp_dir):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 10, size=(300, 2))
+    df = spark.createDataFrame([(1, float(a), float(b), float(a * b)) for a, b in x], "id long, a double, b double, y double").cache()
+    forest = MO.fit_forest_regressor(df, ["a", "b"], "y", 7, "absolute_error", 5, seed=2)
+    bundle = Bundle("price", ["a", "b"], {}, forest.forest.pipeline, forest.leaves)
+    loaded = load_bundle(spark, save_bundle(spark, bundle, f"{tmp_dir}/price"), "price")
+    assert loaded.leaves == forest.leaves
+    want = {(r.a, r.b): r.prediction for r in forest.transform(df).collect()}
+    got = SC.score_regressor(df, loaded).collect()
+    assert len(got) == 300 and {(r.a, r.b): r.prediction for r in got} == want
+    # each leaf's value is the median of the training labels in it
+    leaf = {(r.a, r.b): (r.y, r._leaf.toArray()) for r in forest.forest.transform(df).collect()}
+    tree_0 = {}
+    for y, at in leaf.values():
+        tree_0.setdefault(int(at[0]), []).append(y)
+    assert all(forest.leaves[0][n] == sorted(ys)[(len(ys) - 1) // 2] for n, ys in tree_0.items())
+    raw = spark.createDataFrame([(5, None, "x"), (6, 2.0, "y")], "id long, a double, prediction string")
+    some = SC.score_regressor(raw, loaded, "price")
+    assert some.columns == ["id", "a", "prediction", "price"] and [r.a for r in some.collect()] == [None, 2.0]
+    assert SC.score_regressor(raw.limit(0), loaded, "price").count() == 0
+
+
 def test_score_time_encoding_missing_and_unseen(spark):
     b = Bundle("classification", ["x", "c_a", "c_b"], {"categories": {"c": ["a", "b"]}})
     raw = spark.createDataFrame([("b", 2.0), ("zzz", None)], "c string, x double")
