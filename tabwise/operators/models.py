@@ -12,10 +12,12 @@ Parameter mapping from the scikit-learn originals:
   ``standardization=False`` (penalty on the raw coefficients);
 * ``max_depth=None`` → 30 (Spark's maximum); ``min_samples_split=2`` ↔
   ``minInstancesPerNode=1``; other ``min_samples_split`` values have no exact
-  counterpart and are rejected rather than silently mapped;
+  counterpart there and are fitted by ``trees.fit_trees``, without a depth limit;
 * ``max_features`` 'sqrt'/'log2' → an explicit integer rounded *down* like
   sklearn (Spark would round up); floats → fraction; ints → count;
-* regression forests: Spark only has the variance criterion.  For
+* regression forests: Spark only has the variance criterion, which is also what
+  ``friedman_mse`` amounts to (its gain is the drop in the sum of squares);
+  ``poisson`` is fitted by ``trees.fit_trees``.  For
   ``absolute_error`` the forest is grown on variance and each leaf then
   predicts the (approximate, rank error ≤ 1e-3) median of its training labels
   instead of the mean — see ``LeafMedianForest``.
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
+from tabwise.operators.trees import TreeTable, fit_trees
 from tabwise.session import session_conf
 
 MAX_DEPTH = 30
@@ -140,9 +143,9 @@ def feature_subset(max_features, n_features: int) -> str:
 
 def fit_decision_tree(df: DataFrame, features: list[str], label: str, criterion: str = "gini",
                       max_depth=None, min_samples_split: int = 2, max_bins: int = 64,
-                      seed: int = 42) -> FittedModel:
+                      seed: int = 42) -> FittedModel | TreeTable:
     if min_samples_split != 2:
-        raise PipelineError("min_samples_split other than 2 has no exact Spark counterpart")
+        return fit_trees(df, features, label, criterion, 1, max_depth, min_samples_split, max_bins=max_bins, seed=seed)
     est = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity=_impurity(criterion),
                                  maxDepth=_depth(max_depth), minInstancesPerNode=1, maxBins=max_bins,
                                  seed=seed, **TREE_TUNING)
@@ -162,17 +165,17 @@ def fit_random_forest(df: DataFrame, features: list[str], label: str, n_estimato
                  "max_features": max_features})
 
 
-def importance_table(spark: SparkSession, model: FittedModel) -> DataFrame:
+def importance_table(spark: SparkSession, model: FittedModel | TreeTable) -> DataFrame:
     """M2: feature importances, descending."""
-    imp = model.estimator.featureImportances.toArray()
+    imp = model.importances() if isinstance(model, TreeTable) else model.estimator.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(model.features, imp)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def param_table(spark: SparkSession, model: FittedModel) -> DataFrame:
+def param_table(spark: SparkSession, model: FittedModel | TreeTable) -> DataFrame:
     """M3: the estimator's parameters as (name, value) text rows."""
-    pm = model.estimator.extractParamMap()
-    rows = sorted((p.name, str(v)) for p, v in pm.items())
+    pm = model.params if isinstance(model, TreeTable) else {p.name: v for p, v in model.estimator.extractParamMap().items()}
+    rows = sorted((name, str(v)) for name, v in pm.items())
     return spark.createDataFrame(rows, "param string, value string")
 
 
@@ -224,10 +227,15 @@ LEAF_MEDIAN_ACCURACY = 1000   # percentile_approx: rank error ≤ 0.1 % of the l
 
 def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estimators: int = 200,
                          criterion: str = "absolute_error", max_depth=None, max_features=None,
-                         max_bins: int = 64, seed: int = 42) -> LeafMedianForest:
-    if criterion not in ("absolute_error", "squared_error"):
-        raise PipelineError(f"Unsupported regression criterion: {criterion} "
-                            "(Spark grows variance trees; only absolute_error via leaf medians)")
+                         max_bins: int = 64, seed: int = 42, min_samples_split: int = 2,
+                         id_cols: list[str] | None = None) -> LeafMedianForest | TreeTable:
+    """``id_cols`` (for ``poisson`` and other ``min_samples_split``): what the bootstrap samples are drawn by."""
+    if criterion not in ("absolute_error", "squared_error", "friedman_mse", "poisson"):
+        raise PipelineError(f"No such regression criterion: {criterion}")
+    if criterion == "poisson" or min_samples_split != 2:
+        subset = feature_subset(max_features, len(features))
+        return fit_trees(df, features, label, criterion, n_estimators, max_depth, min_samples_split,
+                         None if subset == "all" else int(subset), id_cols, max_bins, seed=seed)
     est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
                                 impurity="variance", maxDepth=_depth(max_depth),
                                 featureSubsetStrategy=feature_subset(max_features, len(features)),
@@ -235,7 +243,7 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
                                 **TREE_TUNING)
     fitted = _fit("random_forest_regressor", df, features, label, est,
                   {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth})
-    if criterion == "squared_error":
+    if criterion != "absolute_error":
         return LeafMedianForest(fitted, None)
     train = fitted.transform(df.select(*features, label))
     # Thousands of (tree, leaf) sketches per task would exceed the object-hash aggregate's

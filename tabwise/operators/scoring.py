@@ -62,10 +62,10 @@ def _scale(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 def score_classifier(df: DataFrame, bundle: Bundle, threshold: float = 0.5) -> DataFrame:
     """Encode → scale → P(class 1) → class with the inclusive ``>=`` rule."""
-    if bundle.spark_model is None:
-        raise PipelineError("This bundle has no Spark model to score with")
+    if bundle.spark_model is None and bundle.trees is None:
+        raise PipelineError("This bundle has no model to score with")
     ready = _scale(encode_raw(df, bundle), bundle)
-    out = bundle.spark_model.transform(ready)
+    out = (bundle.trees or bundle.spark_model).transform(ready)
     out = out.withColumn("probability_1", vector_to_array("probability")[1])
     return out.withColumn("predicted_class", predicted_class("probability_1", threshold)) \
         .drop("features", "rawPrediction", "probability", "prediction")
@@ -86,12 +86,12 @@ def score_regressor(df: DataFrame, bundle: Bundle, out_col: str = "prediction")
 
     A projection: rows are not joined, so repeated ids and streams are fine.
     """
-    if bundle.spark_model is None:
-        raise PipelineError("This bundle has no Spark model to score with")
+    if bundle.spark_model is None and bundle.trees is None:
+        raise PipelineError("This bundle has no model to score with")
     given = F.struct(*[quoted(c) for c in df.columns]).alias("_given")
     ready = MO.prepare_features(df.withColumn("_given", given), bundle.features).select("_given", *bundle.features)
     fitted = MO.FittedModel(bundle.kind, bundle.spark_model, bundle.features, "label")
-    scored = MO.LeafMedianForest(fitted, bundle.leaves).transform(ready)
+    scored = (bundle.trees or MO.LeafMedianForest(fitted, bundle.leaves)).transform(ready)
     return scored.select("_given.*", F.col("prediction").alias(out_col))
 
 

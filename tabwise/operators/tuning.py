@@ -64,10 +64,23 @@ def cross_validate(spark: SparkSession, df: DataFrame, id_col: str, label: str,
     return out
 
 
-def cv_summary(scores: DataFrame) -> DataFrame:
-    """A25 + F10: mean, population std and the fold scores joined as text, one aggregation."""
+def cross_validate_models(spark: SparkSession, df: DataFrame, id_col: str, label: str,
+                          fits: dict[str, Callable[[DataFrame], object]],
+                          predict: Callable[[object, DataFrame], DataFrame], folds: int = 5,
+                          stratified: bool = False, seed: int = 42, parallelism: int = 4,
+                          shuffle: bool = True) -> DataFrame:
+    """Per-fold accuracy of several models on the same folds: (model, fold, n_train, n_test, score)."""
+    assigned = assign_folds(df, id_col, label, folds, stratified, seed, shuffle)
+    tables = {name: _run_folds(spark, assigned, label, fit, predict, folds, parallelism) for name, fit in fits.items()}
+    assigned.unpersist()
+    parts = [t.select(F.lit(name).alias("model"), "*") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cv_summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A25 + F10: mean, population std and the fold scores joined as text, one aggregation (for each ``by``, if given)."""
     ordered = F.array_sort(F.collect_list(F.struct("fold", "score")))
-    return scores.agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
+    return scores.groupBy(*(by or [])).agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
                       F.count(F.lit(1)).alias("n_folds"),
                       F.array_join(F.transform(ordered, lambda x: F.format_number(x["score"], 4)), ", ")
                       .alias("scores"))

@@ -19,6 +19,7 @@ from tabwise.operators import cluster as CL
 from tabwise.operators import metrics as ME
 from tabwise.operators import models as MO
 from tabwise.operators import scoring as SC
+from tabwise.operators import trees as TR
 from tabwise.operators import tuning as TU
 from tabwise.plans import tables as T
 from tabwise.plans import workflows as WF
@@ -147,6 +148,33 @@ def q_eligibility_scoring(spark, sf_dir):
     return scored.select("o_orderkey", F.round("probability_1", 6).alias("probability_1"), "predicted_class")
 
 
+def _cv_models(spark, sf_dir) -> DataFrame:
+    res, c = eligibility(spark, sf_dir), ELIGIBILITY
+    train = WF.PR.apply_minmax(res.split, res.scaler).where(F.col("split") == "train").drop("split")
+    fits = {"logistic": lambda part: MO.fit_logistic(part, res.features, "label", c.logistic_C, c.logistic_max_iter),
+            "decision_tree": lambda part: MO.fit_decision_tree(part, res.features, "label", c.tree_criterion, c.tree_max_depth, seed=c.seed),
+            "random_forest": lambda part: MO.fit_random_forest(part, res.features, "label", c.forest_trees, c.forest_criterion,
+                                                               c.forest_max_depth, c.forest_max_features, seed=c.seed)}
+
+    def predict(model, part):
+        return model.transform(part).withColumn("prediction", F.col("prediction").cast("int"))
+
+    return _memo("cv_models", spark, sf_dir, lambda: TU.cross_validate_models(
+        spark, train, c.id_col, "label", fits, predict, c.cv_folds, c.cv_stratified, c.seed))
+
+
+@register("eligibility_cv_models")
+def q_eligibility_cv_models(spark, sf_dir):
+    """Cross-validation of all three classifiers on the same folds, one row a model and fold."""
+    return _r(_cv_models(spark, sf_dir))
+
+
+@register("eligibility_cv_models_summary")
+def q_eligibility_cv_models_summary(spark, sf_dir):
+    """A25 + F10: mean, population std and fold scores of each classifier."""
+    return _r(TU.cv_summary(_cv_models(spark, sf_dir), ["model"]))
+
+
 @register("tree_depth_trials")
 def q_tree_depth_trials(spark, sf_dir):
     """A small hyperparameter grid (tree depth) scored by 3-fold stratified CV."""
@@ -191,6 +219,50 @@ def q_price_coefficients(spark, sf_dir):
     return _r(t.orderBy(F.desc(F.abs("estimate")), "term"), 6)
 
 
+ROOT_CRITERIA = ("squared_error", "friedman_mse", "poisson")
+
+
+@register("tree_root_cuts", """WITH t AS (
+  SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount,
+         CAST(l_tax AS DOUBLE) AS l_tax, CAST(l_returnflag = 'R' AS DOUBLE) AS returned FROM lineitem),
+u AS (UNPIVOT t ON l_quantity, l_discount, l_tax, returned INTO NAME feature VALUE x),
+g AS (SELECT feature, x, count(*) AS n, sum(y - (SELECT avg(y) FROM t)) AS s FROM u GROUP BY 1, 2),
+c AS (SELECT feature, x, lead(x) OVER w AS above, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+             sum(n) OVER (PARTITION BY feature) AS n, sum(s) OVER (PARTITION BY feature) AS s
+      FROM g WINDOW w AS (PARTITION BY feature ORDER BY x)),
+m AS (SELECT feature, (x + above) / 2 AS threshold, nl, n - nl AS nr, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS square,
+             (sl + nl * a) * ln(sl / nl + a) + (s - sl + (n - nl) * a) * ln((s - sl) / (n - nl) + a) - (s + n * a) * ln(s / n + a) AS dev
+      FROM c, (SELECT avg(y) AS a FROM t) WHERE above IS NOT NULL),
+k(criterion) AS (VALUES ('squared_error'), ('friedman_mse'), ('poisson')),
+r AS (SELECT *, row_number() OVER (PARTITION BY criterion ORDER BY CASE criterion WHEN 'poisson' THEN dev ELSE square END DESC) AS place FROM m, k)
+SELECT criterion, feature, round(threshold, 6) AS threshold, CAST(nl AS BIGINT) AS n_left, CAST(nr AS BIGINT) AS n_right,
+       round(CASE criterion WHEN 'poisson' THEN dev ELSE square END / (nl + nr), 4) AS gain_per_row
+FROM r WHERE place = 1""")
+def q_tree_root_cuts(spark, sf_dir):
+    """The first cut of a price tree by each moment criterion, on all rows."""
+    data, features = price_input(spark, sf_dir), ["l_quantity", "l_discount", "l_tax", "returned"]
+    rows = []
+    for criterion in ROOT_CRITERIA:
+        nodes = TR.fit_trees(data, features, "l_extendedprice", criterion, max_depth=1).nodes
+        _, _, feature, threshold, left, right, n, gain, _ = nodes[0]
+        rows.append((criterion, features[feature], round(threshold, 6), nodes[left][6], nodes[right][6], round(gain / n, 4)))
+    return spark.createDataFrame(rows, "criterion string, feature string, threshold double, n_left bigint, n_right bigint, gain_per_row double")
+
+
+@register("price_tree_criteria")
+def q_price_tree_criteria(spark, sf_dir):
+    """E2 + A21: train/test MAE of a price tree by each criterion, nodes of fewer than 100 rows uncut (depth 6)."""
+    res = price(spark, sf_dir)
+    train = res.split.where(F.col("split") == "train")
+    tables = {}
+    for criterion in TR.NUMBER_CRITERIA:
+        model = TR.fit_trees(train, res.features, "l_extendedprice", criterion, max_depth=6, min_samples_split=100)
+        scored = model.transform(res.split).withColumn("label", F.col("l_extendedprice"))
+        tables[criterion] = ME.mae(scored, "label", "prediction", ["split"])
+    return _r(TU.comparison_table(tables, "mae", descending=False).withColumnRenamed("model", "criterion")
+              .select("criterion", "split", "n", "mae"), 4)
+
+
 @register("price_scoring")
 def q_price_scoring(spark, sf_dir):
     """S7/S8 + X1: both price models saved, loaded (kind checked) and applied to every raw row."""

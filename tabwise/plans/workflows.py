@@ -35,6 +35,7 @@ from tabwise.operators import mlp as MLP
 from tabwise.operators import prep as PR
 from tabwise.operators import split as SP
 from tabwise.operators import tuning as TU
+from tabwise.operators.trees import TreeTable
 from tabwise.operators.quantiles import exact_quantiles, modes
 from tabwise.session import ensure_parallelism, materialize, persist_balanced
 from tabwise.sources.models_io import Bundle
@@ -58,6 +59,7 @@ class ClassificationConfig:
     logistic_max_iter: int = 1000
     tree_criterion: str = "gini"
     tree_max_depth: int | None = None
+    tree_min_samples_split: int = 2
     forest_trees: int = 100
     forest_criterion: str = "gini"
     forest_max_depth: int | None = None
@@ -145,7 +147,7 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
         "logistic": lambda: MO.fit_logistic(s_train, features, "label", cfg.logistic_C,
                                             cfg.logistic_max_iter, n_train),
         "decision_tree": lambda: MO.fit_decision_tree(s_train, features, "label", cfg.tree_criterion,
-                                                      cfg.tree_max_depth, seed=cfg.seed),
+                                                      cfg.tree_max_depth, cfg.tree_min_samples_split, seed=cfg.seed),
         "random_forest": lambda: MO.fit_random_forest(s_train, features, "label", cfg.forest_trees,
                                                       cfg.forest_criterion, cfg.forest_max_depth,
                                                       cfg.forest_max_features, seed=cfg.seed),
@@ -179,7 +181,7 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
                 return MO.fit_logistic(part, features, "label", cfg.logistic_C, cfg.logistic_max_iter)
             if name == "decision_tree":
                 return MO.fit_decision_tree(part, features, "label", cfg.tree_criterion, cfg.tree_max_depth,
-                                            seed=cfg.seed)
+                                            cfg.tree_min_samples_split, seed=cfg.seed)
             return MO.fit_random_forest(part, features, "label", cfg.forest_trees, cfg.forest_criterion,
                                         cfg.forest_max_depth, cfg.forest_max_features, seed=cfg.seed)
 
@@ -192,8 +194,11 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     bundle = Bundle("classification", features,
                     {"model_name": best, "defaults": defaults, "categories": onehot.categories,
                      "mins": scaler.mins, "maxs": scaler.maxs, "threshold": 0.5,
-                     "categorical": cfg.categorical_cols, "numeric": cfg.numeric_cols},
-                    fitted[best].pipeline)
+                     "categorical": cfg.categorical_cols, "numeric": cfg.numeric_cols})
+    if isinstance(fitted[best], TreeTable):
+        bundle.trees = fitted[best]
+    else:
+        bundle.spark_model = fitted[best].pipeline
     return ClassificationResult(features, sp, scaler, fitted, metrics, confusion, comparison, cv_scores,
                                 defaults, bundle)
 
@@ -204,7 +209,7 @@ class RegressionResult:
     features: list
     stratify_used: str | None
     linear: MO.FittedModel
-    forest: MO.LeafMedianForest | None
+    forest: MO.LeafMedianForest | TreeTable | None
     mae: DataFrame
     comparison: DataFrame
     best: object
@@ -215,8 +220,8 @@ class RegressionResult:
 def regression_workflow(spark: SparkSession, df: DataFrame, id_col, target: str = "price",
                         stratify_col: str | None = "property_type_Condo", use_stratify: bool = True,
                         test_size: float = 0.2, seed: int = 42, n_estimators: int = 200,
-                        criterion: str = "absolute_error", max_depth=None, with_forest: bool = True
-                        ) -> RegressionResult:
+                        criterion: str = "absolute_error", max_depth=None, with_forest: bool = True,
+                        min_samples_split: int = 2) -> RegressionResult:
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     require_columns(df, [target, *ids])
     require_numeric(df)
@@ -229,7 +234,8 @@ def regression_workflow(spark: SparkSession, df: DataFrame, id_col, target: str
                                           "label", "prediction", ["split"])}
     forest = None
     if with_forest:
-        forest = MO.fit_forest_regressor(train, features, target, n_estimators, criterion, max_depth, seed=seed)
+        forest = MO.fit_forest_regressor(train, features, target, n_estimators, criterion, max_depth, seed=seed,
+                                         min_samples_split=min_samples_split, id_cols=ids)
         tables["random_forest"] = ME.mae(forest.transform(sp).withColumn("label", F.col(target)),
                                          "label", "prediction", ["split"])
     mae = TU.comparison_table(tables, "mae", descending=False)
@@ -237,7 +243,9 @@ def regression_workflow(spark: SparkSession, df: DataFrame, id_col, target: str
     best = TU.best_model(comparison, "mae", maximise=False)
     extras = {"target": target, "stratify_used": strat}
     bundles = {"linear_regression": Bundle("price", features, {"model_name": "linear_regression", **extras}, linear.pipeline)}
-    if forest is not None:
+    if isinstance(forest, TreeTable):
+        bundles["random_forest"] = Bundle("price", features, {"model_name": "random_forest", **extras}, trees=forest)
+    elif forest is not None:
         bundles["random_forest"] = Bundle("price", features, {"model_name": "random_forest", **extras},
                                           forest.forest.pipeline, forest.leaves)
     return RegressionResult(features, strat, linear, forest, mae, comparison, best, sp, bundles)

@@ -54,10 +54,26 @@ def test_tree_parameter_mapping():
         MO._depth(31)
 
 
-def test_min_samples_split_other_than_two_rejected(spark):
-    df, _, _ = _linear_frame(spark, 20)
+def test_min_samples_split_and_poisson_through_fit_save_load_and_score(spark, tmp_dir):
+    df, _, _ = _linear_frame(spark, 120)
+    df = df.withColumn("label", (F.col("y") > 2).cast("double"))
+    tree = MO.fit_decision_tree(df, ["a", "b", "c"], "label", min_samples_split=30)
+    rows = {r[1]: r for r in tree.nodes}
+    assert all(r[6] >= 30 for r in tree.nodes if r[2] >= 0)              # what was cut was large enough
+    assert any(r[6] > 2 for r in tree.nodes if r[2] < 0) and rows[0][6] == 120
+    assert {r.param for r in MO.param_table(spark, tree).collect()} >= {"criterion", "min_samples_split"}
+    assert MO.importance_table(spark, tree).count() == 3
+    bundle = Bundle("classification", ["a", "b", "c"], {"categories": {}}, trees=tree)
+    loaded = load_bundle(spark, save_bundle(spark, bundle, f"{tmp_dir}/tree"), "classification")
+    scored = SC.score_classifier(df.select("id", "a", "b", "c", "label"), loaded).collect()
+    right = sum(r.predicted_class == r.label for r in scored)
+    assert len(scored) == 120 and right > 100
+    forest = MO.fit_forest_regressor(df.withColumn("y", F.exp("b")), ["a", "b"], "y", 3, "poisson", 4, id_cols=["id"])
+    stored = load_bundle(spark, save_bundle(spark, Bundle("price", ["a", "b"], trees=forest), f"{tmp_dir}/forest"), "price")
+    want = {r.id: r.prediction for r in forest.transform(df).collect()}
+    assert {r.id: r.prediction for r in SC.score_regressor(df, stored).collect()} == want
     with pytest.raises(PipelineError):
-        MO.fit_decision_tree(df.withColumn("y", (F.col("y") > 2).cast("double")), ["a"], "y", min_samples_split=5)
+        MO.fit_forest_regressor(df, ["a"], "y", 3, "gini", 4)
 
 
 def test_leaf_median_forest_not_worse_than_mean_leaves_on_train(spark):
