@@ -11,8 +11,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib import clustering as rdd_clustering
+from pyspark.mllib.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,33 +56,36 @@ def _literal_matrix(rows: list[list[float]]) -> Column:
 class ClusterStats:
     ids: list            # cluster ids in ascending order
     counts: list[int]
-    sums: list[list[float]]
-    sq_norm_sums: list[float]
+    sums: list[list[float]]      # of coordinates less the origin
+    sq_norm_sums: list[float]    # of the same
+    origin: list[float]          # the mean of all rows: sums stay exact far from zero
 
     @property
     def centres(self) -> list[list[float]]:
-        return [[x / n for x in s] for s, n in zip(self.sums, self.counts)]
+        return [[x / n + o for x, o in zip(s, self.origin)] for s, n in zip(self.sums, self.counts)]
+
+
+def _shifted(x: Column, origin: list[float]) -> Column:
+    return F.zip_with(x, F.array(*[F.lit(float(o)) for o in origin]), lambda a, b: a - b)
 
 
 def cluster_stats(df: DataFrame, features: list[str] | str, cluster_col: str) -> ClusterStats:
-    """Counts, coordinate sums and squared-norm sums per cluster (one aggregation)."""
-    arr = _as_array(df, features)
-    exploded = df.select(F.col(cluster_col).alias("c"), arr.alias("x"))
+    """Counts, coordinate sums and squared-norm sums per cluster: the mean of all rows, then one aggregation about it."""
+    points = df.select(F.col(cluster_col).alias("c"), _as_array(df, features).alias("x"))
+    mean = points.agg(Summarizer.mean(array_to_vector("x")).alias("m")).first()["m"]
+    if mean is None:
+        raise PipelineError("Cluster statistics need at least one row")
+    origin = [float(v) for v in mean]
+    near = points.select("c", _shifted(F.col("x"), origin).alias("x"))
     sq = F.aggregate(F.col("x"), F.lit(0.0), lambda acc, v: acc + v * v)
-    base = exploded.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("psi"))
-    coords = (exploded.select("c", F.posexplode("x").alias("j", "v"))
-              .groupBy("c", "j").agg(F.sum("v").alias("s")))
-    n_clusters = base.count()
-    if n_clusters > MAX_CENTRES:
-        raise PipelineError(f"{n_clusters} clusters exceed the supported {MAX_CENTRES}")
-    b = {r["c"]: (int(r["n"]), float(r["psi"])) for r in base.collect()}
-    sums: dict = {}
-    for r in coords.collect():
-        sums.setdefault(r["c"], {})[r["j"]] = float(r["s"])
-    ids = sorted(b)
-    dim = max(len(v) for v in sums.values())
-    return ClusterStats(ids, [b[i][0] for i in ids], [[sums[i].get(j, 0.0) for j in range(dim)] for i in ids],
-                        [b[i][1] for i in ids])
+    rows = (near.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("psi"),
+                                  Summarizer.sum(array_to_vector("x")).alias("s"))
+            .limit(MAX_CENTRES + 1).collect())
+    if len(rows) > MAX_CENTRES:
+        raise PipelineError(f"More clusters than the supported {MAX_CENTRES}")
+    rows.sort(key=lambda r: r["c"])
+    return ClusterStats([r["c"] for r in rows], [int(r["n"]) for r in rows], [[float(v) for v in r["s"]] for r in rows],
+                        [float(r["psi"]) for r in rows], origin)
 
 
 # --------------------------------------------------------------------------- X4
@@ -110,13 +118,14 @@ def silhouette_points(df: DataFrame, features: list[str] | str, cluster_col: str
 
     Mean squared distance from x to cluster C is ‖x‖² + Ψ_C/n_C − 2·x·S_C/n_C,
     with S_C the coordinate sums and Ψ_C the sum of squared norms of C; for x's
-    own cluster the sum is divided by n_C − 1 (x itself contributes 0).
+    own cluster the sum is divided by n_C − 1 (x itself contributes 0).  All are
+    taken about the mean of the data, so nothing cancels far from zero.
     Singleton clusters score 0.  Same definition as Spark's ClusteringEvaluator.
     """
     stats = stats or cluster_stats(df, features, cluster_col)
     if len(stats.ids) < 2:
         raise PipelineError("Silhouette needs at least two clusters")
-    x = _as_array(df, features)
+    x = _shifted(_as_array(df, features), stats.origin)
     sums = _literal_matrix(stats.sums)
     psi = F.array(*[F.lit(float(p)) for p in stats.sq_norm_sums])
     cnt = F.array(*[F.lit(float(n)) for n in stats.counts])
@@ -150,17 +159,18 @@ def silhouette_score(df: DataFrame, features: list[str] | str, cluster_col: str,
 # --------------------------------------------------------------------------- E6 / M4
 @dataclass
 class KMeansResult:
-    model: object
     k: int
     wcss: float
     seed: int
     features: list[str] | str
+    centre_rows: list[list[float]]
+    cluster_sizes: list[int]
 
     def centres(self) -> list[list[float]]:
-        return [list(map(float, c)) for c in self.model.clusterCenters()]
+        return self.centre_rows
 
     def sizes(self) -> list[int]:
-        return list(self.model.summary.clusterSizes)
+        return self.cluster_sizes
 
 
 def vectorize(df: DataFrame, features: list[str] | str, out_col: str = "features") -> DataFrame:
@@ -173,24 +183,88 @@ def vectorize(df: DataFrame, features: list[str] | str, out_col: str = "features
     return VectorAssembler(inputCols=list(features), outputCol=out_col).transform(df)
 
 
+def distance_draws(points: DataFrame, k: int, seeds: list[int]) -> list[list[list[float]]]:
+    """k-means++ centres for each seed: each next one a row drawn with a chance proportional to its squared
+    distance from the centres so far (D² weighting), the first one at equal chances.
+
+    One pass over ``points (x array<double>)`` a centre serves all seeds: a row's
+    exponential waiting time over its weight is compared, and the least waits
+    (a weighted reservoir of one).  Draws follow the row's place, so ``points`` should
+    be persisted or a scan.  With fewer than ``k`` distinct rows, these are the centres.
+    """
+    shared = None
+    drawn: list[list[list[float]]] = [[] for _ in seeds]
+    for step in range(k):
+        if step == 0:
+            weights = F.array(*[F.lit(1.0) for _ in seeds])
+        else:
+            shared = points.sparkSession.sparkContext.broadcast([np.array(c) for c in drawn])
+            weights = _squared_distances(shared)(F.col("x"))
+        waits = points.select("x", weights.alias("w"), *[F.rand(s * 1_000_003 + step).alias(f"u{i}") for i, s in enumerate(seeds)])
+        race = [F.min(F.when(F.col("w")[i] > 0, F.struct((-F.log(F.lit(1.0) - F.col(f"u{i}")) / F.col("w")[i]).alias("wait"), "x")))
+                .alias(f"first{i}") for i in range(len(seeds))]
+        row = waits.agg(*race).first()
+        if shared is not None:
+            shared.destroy()
+        if row["first0"] is None:
+            break
+        for i, centres in enumerate(drawn):
+            if row[f"first{i}"] is not None:
+                centres.append(list(row[f"first{i}"]["x"]))
+    return drawn
+
+
+def _squared_distances(shared):
+    """Column function: for each list of centres, the squared distance of a row from the nearest."""
+
+    @F.pandas_udf("array<double>")
+    def nearest(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        at = np.stack(x.to_numpy())
+        out = np.full((len(at), len(shared.value)), np.inf)
+        for i, centres in enumerate(shared.value):
+            for centre in centres:
+                out[:, i] = np.minimum(out[:, i], ((at - centre) ** 2).sum(axis=1))
+        return pd.Series(list(out))
+
+    return nearest
+
+
 def fit_kmeans(df: DataFrame, features: list[str] | str, k: int, init: str = "k-means||",
                n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42,
                parallelism: int = 4) -> KMeansResult:
     """Best of ``n_init`` seeded restarts by WCSS (training cost).
 
-    ``init`` accepts 'k-means++' (mapped to Spark's scalable k-means||) or 'random'.
+    ``init``: 'k-means++' (D² draws, one pass a centre for all restarts; the
+    iterations are those of Spark's RDD-based K-means, the only one that takes
+    given centres), 'k-means||' (Spark's scalable variant) or 'random'.
     The caller should cache ``df``; each restart is an iterative Spark job.
     """
-    mode = "random" if init == "random" else "k-means||"
+    if init not in ("k-means++", "k-means||", "random"):
+        raise PipelineError(f"No such K-means start: {init}")
     owned = "_features" not in df.columns
     # assemble once and share the cached vectors between concurrent restarts
     data = vectorize(df, features, "_features").persist() if owned else df
 
+    if init == "k-means++":
+        starts = distance_draws(data.select(vector_to_array("_features").alias("x")), k, [seed + r for r in range(n_init)])
+        vectors = data.select("_features").rdd.map(lambda row: Vectors.fromML(row[0]))
+
     def one(r: int) -> KMeansResult:
-        km = KMeans(k=k, initMode=mode, maxIter=max_iter, tol=tol, seed=seed + r,
-                    featuresCol="_features", predictionCol="_cluster")
-        model = km.fit(data)
-        return KMeansResult(model, k, float(model.summary.trainingCost), seed + r, features)
+        if init == "k-means++":
+            model = rdd_clustering.KMeans.train(vectors, len(starts[r]), max_iter, epsilon=tol, seed=seed + r,
+                                                initialModel=rdd_clustering.KMeansModel([Vectors.dense(c) for c in starts[r]]))
+            centres = [[float(v) for v in c] for c in model.clusterCenters]
+            assigned = assign_nearest(data.select("_features"), "_features", centres)
+            found = {row["cluster"]: row for row in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
+                                                                                    F.sum("sq_distance").alias("cost")).collect()}
+            sizes = [int(found[i]["n"]) if i in found else 0 for i in range(len(centres))]
+            return KMeansResult(k, sum(float(row["cost"]) for row in found.values()), seed + r, features, centres, sizes)
+        model = KMeans(k=k, initMode=init, maxIter=max_iter, tol=tol, seed=seed + r,
+                       featuresCol="_features", predictionCol="_cluster").fit(data)
+        return KMeansResult(k, float(model.summary.trainingCost), seed + r, features,
+                            [[float(v) for v in c] for c in model.clusterCenters()], [int(n) for n in model.summary.clusterSizes])
 
     # Restarts are independent fits: run them as concurrent Spark jobs, keep the lowest WCSS
     # (ties → the earliest seed, as a sequential loop would).
@@ -218,13 +292,13 @@ def cluster_diagnostics(df: DataFrame, features: list[str] | str, k_values, init
     def one(k):
         res = fit_kmeans(data, features, int(k), init, n_init, max_iter, seed=seed, parallelism=1)
         labelled = predict_clusters(res, data, "_c")
-        return (int(k), res.wcss, silhouette_score(labelled, features, "_c"))
+        return (int(k), res.wcss, silhouette_score(labelled, features, "_c"), "squared_euclidean")
 
     # Fits for different k are independent Spark jobs: run them concurrently.
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(k_values)))) as pool:
         rows = list(pool.map(one, k_values))
     data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "cluster int, WCSS_Score double, Silhouette_Score double")
+    return df.sparkSession.createDataFrame(rows, "cluster int, WCSS_Score double, Silhouette_Score double, Silhouette_Metric string")
 
 
 def centre_table(spark, result: KMeansResult, names: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabwise.errors import PipelineError
 from tabwise.operators import cluster as CL
 from tabwise.operators import metrics as ME
 
@@ -55,6 +56,53 @@ def test_silhouette_matches_all_pairs_brute_force(spark):
     assert pts[55] == 0.0
 
 
+def test_silhouette_far_from_zero_and_shifted_statistics(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, (20, 2)), rng.normal(3, 1, (20, 2))]) + 1e8
+    lab = np.repeat([0, 1], 20)
+    df = spark.createDataFrame([(int(i), [float(v) for v in row], int(l)) for i, (row, l) in enumerate(zip(x, lab))],
+                               "id long, f array<double>, c int")
+    pts = {r.id: r.silhouette for r in CL.silhouette_points(df, "f", "c").collect()}
+    assert np.allclose([pts[i] for i in range(len(x))], _brute_silhouette(x, lab), atol=1e-9)
+    centres = CL.cluster_stats(df, "f", "c").centres
+    assert np.allclose(centres, [x[lab == i].mean(axis=0) for i in (0, 1)], rtol=1e-15)
+
+
+def test_distance_draws_follow_the_sampling_law(spark):
+    # from 0 the squared distances are 1 (three rows at 1) and 4 (one row at 2), from 2 they are 4 and 1 (three rows), ...
+    points = spark.createDataFrame([([v],) for v in (0.0, 1.0, 1.0, 1.0, 2.0)], "x array<double>").coalesce(1).persist()
+    seeds = list(range(200))
+    batches = [CL.distance_draws(points, 2, seeds[i:i + 20]) for i in range(0, 200, 20)]
+    drawn = [centres for batch in batches for centres in batch]
+    values = [0.0, 1.0, 1.0, 1.0, 2.0]
+    for first in (0.0, 1.0, 2.0):
+        after = [c[1][0] for c in drawn if c[0][0] == first]
+        share = values.count(first) / 5
+        assert abs(len(after) / len(seeds) - share) < 4 * (share * (1 - share) / len(seeds)) ** 0.5
+        whole = sum((v - first) ** 2 for v in values)
+        for second in set(values) - {first}:
+            p = values.count(second) * (second - first) ** 2 / whole
+            assert abs(after.count(second) / len(after) - p) < 4 * (p * (1 - p) / len(after)) ** 0.5
+    assert batches[0] == CL.distance_draws(points, 2, seeds[:20])
+    assert sorted(c[0] for c in CL.distance_draws(points, 5, [3])[0]) == [0.0, 1.0, 2.0]      # no more distinct rows
+    assert CL.distance_draws(points.limit(0), 2, [1]) == [[]]
+    points.unpersist()
+
+
+def test_kmeans_plus_plus_finds_far_groups_and_differs_from_the_scalable_start(spark):
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([rng.normal(c, 0.1, (n, 2)) for c, n in ((0, 300), (50, 5), (80, 5), (110, 5))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "a double, b double").cache()
+    res = CL.fit_kmeans(df, ["a", "b"], 4, "k-means++", n_init=2, max_iter=20, seed=1)
+    assert sorted(res.sizes()) == [5, 5, 5, 300]
+    want = sum(((pts[i:j] - pts[i:j].mean(axis=0)) ** 2).sum() for i, j in ((0, 300), (300, 305), (305, 310), (310, 315)))
+    assert abs(res.wcss - want) < 1e-6
+    again = CL.fit_kmeans(df, ["a", "b"], 4, "k-means++", n_init=2, max_iter=20, seed=1)
+    assert again.centres() == res.centres()
+    with pytest.raises(PipelineError):
+        CL.fit_kmeans(df, ["a", "b"], 4, "kmeans")
+
+
 def test_assign_nearest_and_wcss(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0), (3, 1.0, 0.0)], "id int, a double, b double")
     out = CL.assign_nearest(df, ["a", "b"], [[0.0, 0.0], [10.0, 10.0]], ids=[7, 8])
