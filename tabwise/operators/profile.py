@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType)
 
-from tabwise.functions.columns import is_missing, nan_as_null
+from tabwise.errors import PipelineError
+from tabwise.functions.columns import is_missing, nan_as_null, numeric_columns, quoted
 from tabwise.operators.quantiles import exact_quantiles, modes
 from tabwise.operators.ranking import hash_key
 
@@ -88,6 +89,26 @@ def describe_strings(df: DataFrame, columns: list[str]) -> DataFrame:
         rows, "column string, count bigint, unique bigint, top string, freq bigint")
 
 
+def describe_all(df: DataFrame) -> DataFrame:
+    """One row a column, in any mix of types: count, unique, top and freq of the others, mean to max of the numbers.
+
+    What does not apply to a column's type is NULL; NaN counts as missing.  Dates,
+    booleans and the like are described by their text.
+    """
+    numbers = numeric_columns(df)
+    others = [c for c in df.columns if c not in numbers]
+    parts = []
+    if others:
+        parts.append(describe_strings(df.select(*[quoted(c).cast("string").alias(c) for c in others]), others))
+    if numbers:
+        parts.append(describe_numeric(df.select(*numbers), numbers))
+    if not parts:
+        raise PipelineError("No columns to describe")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    kinds = {"unique": "bigint", "top": "string", "freq": "bigint", **{c: "double" for c in ("mean", "std", "min", "p25", "p50", "p75", "max")}}
+    return both.select("column", "count", *[F.col(c) if c in both.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+
 # --------------------------------------------------------------------------- A5 / A6
 def value_counts(df: DataFrame, column: str, order: str = "count") -> DataFrame:
     """Group sizes without NULLs, by count desc (ties by value) or by value."""
@@ -159,6 +180,24 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
             .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count")))
 
 
+def scatter_matrix(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+    """Binned pair counts of every pair of columns, and each column's own counts on the diagonal, in one aggregation.
+
+    (x_column, y_column, x_bin, y_bin, count) for columns in the given order, non-empty cells only.
+    A row counts in the pairs of which it has both values; NaN counts as missing.
+    """
+    data = nan_as_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    ends = data.agg(*[f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    places = [bin_index(F.col(c), ends[f"lo_{i}"], ends[f"hi_{i}"], bins) if ends[f"lo_{i}"] is not None else F.lit(None).cast("int")
+              for i, c in enumerate(columns)]
+    cells = [F.struct(F.lit(columns[i]).alias("x_column"), F.lit(columns[j]).alias("y_column"),
+                      places[i].alias("x_bin"), places[j].alias("y_bin"))
+             for i in range(len(columns)) for j in range(i, len(columns))]
+    return (data.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+            .where("x_bin IS NOT NULL AND y_bin IS NOT NULL")
+            .groupBy("x_column", "y_column", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count")))
+
+
 # --------------------------------------------------------------------------- A17
 def density_grid(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     """Gaussian KDE on an even grid over [min, max], bandwidth σ·n^(-1/5) (Scott).
@@ -167,7 +206,9 @@ def density_grid(df: DataFrame, column: str, points: int = 50) -> DataFrame:
     point as its own ``avg`` aggregate in a single HashAggregate, so the work is
     O(n · points) in codegen with no row amplification or pair generation.
     Output ``kernel_mean`` = mean of exp(-½u²); ``density`` divides by h·√(2π).
+    NULL and NaN are left out.
     """
+    df = nan_as_null(df, [column])
     v = F.col(column).cast("double")
     s = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"),
                F.max(v).alias("hi")).first()

@@ -119,6 +119,25 @@ def q_describe_strings(spark, sf_dir):
                     F.col("unique").alias("n_unique"), "top", "freq")
 
 
+_PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
+
+
+@register("describe_all", "\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS column_name, (SELECT count({c}) FROM part) AS n, (SELECT count(DISTINCT {c}) FROM part) AS n_unique, t.v AS top, "
+     f"t.c AS freq, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS lo, NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, "
+     f"NULL::DOUBLE AS p75, NULL::DOUBLE AS hi FROM "
+     f"(SELECT {c} AS v, count(*) AS c FROM part WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY c DESC, v LIMIT 1) t" for c in _PART_TEXT] +
+    [f"SELECT '{c}', count({c}), NULL, NULL, NULL, round(avg({c}), 4), round(stddev_samp({c}), 4), min({c})::DOUBLE, "
+     + ", ".join(f"round(quantile_cont({c}::DOUBLE, {p}), 4)" for p in (0.25, 0.5, 0.75)) + f", max({c})::DOUBLE FROM part"
+     for c in _PART_NUMBERS]))
+def q_describe_all(spark, sf_dir):
+    """A4: text and number columns described in one table."""
+    d = PF.describe_all(read_table(spark, sf_dir, "part").select(*_PART_TEXT, *_PART_NUMBERS))
+    return d.select(F.col("column").alias("column_name"), F.col("count").alias("n"), F.col("unique").alias("n_unique"), "top", "freq",
+                    r("mean", 4).alias("mean"), r("std", 4).alias("std"), F.col("min").alias("lo"), r("p25", 4).alias("p25"),
+                    r("p50", 4).alias("p50"), r("p75", 4).alias("p75"), F.col("max").alias("hi"))
+
+
 # =============================================================================== A5 / A6
 @register("value_counts", "SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL "
                           "GROUP BY event_type")
@@ -257,6 +276,23 @@ def q_histogram_2d(spark, sf_dir):
         .withColumnRenamed("count", "n")
 
 
+_SCATTER = ["l_quantity", "l_discount", "l_extendedprice"]
+
+
+@register("scatter_matrix", "WITH e AS (SELECT " + ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(_SCATTER))
+          + " FROM lineitem),\nb AS (SELECT "
+          + ", ".join(f"LEAST(CAST(floor(({c} - lo{i}) * 10 / (hi{i} - lo{i})) AS INTEGER) + 1, 10) AS b{i}" for i, c in enumerate(_SCATTER))
+          + " FROM lineitem, e)\n" + "\nUNION ALL\n".join(
+              f"SELECT '{x}' AS x_column, '{y}' AS y_column, b{i} AS x_bin, b{j} AS y_bin, count(*) AS n FROM b GROUP BY b{i}, b{j}"
+              if i != j else f"SELECT '{x}', '{x}', b{i}, b{i}, count(*) FROM b GROUP BY b{i}"
+              for i, x in enumerate(_SCATTER) for j, y in enumerate(_SCATTER) if i <= j)
+          .replace("SELECT 'l_quantity', 'l_quantity', b0, b0, count(*)",
+                   "SELECT 'l_quantity' AS x_column, 'l_quantity' AS y_column, b0 AS x_bin, b0 AS y_bin, count(*) AS n", 1))
+def q_scatter_matrix(spark, sf_dir):
+    """Every pair of three columns binned, with marginals on the diagonal."""
+    return PF.scatter_matrix(read_table(spark, sf_dir, "lineitem"), _SCATTER, 10).withColumnRenamed("count", "n")
+
+
 @register("density_grid", """WITH s AS (SELECT count(c_acctbal) AS n, stddev_samp(c_acctbal) AS sd,
   min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer),
 p AS (SELECT sd * pow(n, -0.2) AS h, lo, hi FROM s),

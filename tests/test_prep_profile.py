@@ -154,3 +154,45 @@ def test_average_ranks_with_heavy_ties_across_partitions(spark):
             assert got[i] is None
         else:
             assert got[i] == want[i]
+
+
+def test_describe_all_mixes_types_and_counts_nan_as_missing(spark):
+    df = spark.createDataFrame([("a", 1.0, 3, True), ("b", float("nan"), 5, False), ("a", 3.0, None, True)],
+                               "t string, x double, n int, f boolean")
+    rows = {r["column"]: r for r in PF.describe_all(df).collect()}
+    assert (rows["t"]["count"], rows["t"]["unique"], rows["t"]["top"], rows["t"]["freq"], rows["t"]["mean"]) == (3, 2, "a", 2, None)
+    assert (rows["f"]["top"], rows["f"]["freq"]) == ("true", 2)
+    assert (rows["x"]["count"], rows["x"]["mean"], rows["x"]["p50"], rows["x"]["unique"]) == (2, 2.0, 2.0, None)
+    assert (rows["n"]["min"], rows["n"]["max"]) == (3.0, 5.0)
+    assert PF.describe_all(df.select("t")).columns == PF.describe_all(df.select("n")).columns
+
+
+def test_scatter_matrix_matches_brute_force_with_missing_values(spark):
+    rows = [(0.0, 0.0, 5.0), (1.0, 10.0, 5.0), (2.0, None, 5.0), (4.0, 10.0, None), (float("nan"), 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.x_column, r.y_column, r.x_bin, r.y_bin): r["count"] for r in PF.scatter_matrix(df, ["a", "b", "c"], 4).collect()}
+
+    def place(c, v):
+        seen = [r[c] for r in rows if r[c] is not None and not math.isnan(r[c])]
+        if v is None or math.isnan(v):
+            return None
+        lo, hi = min(seen), max(seen)
+        return 1 if hi == lo else min(int((v - lo) * 4 / (hi - lo)) + 1, 4)
+
+    want = {}
+    for r in rows:
+        for i in range(3):
+            for j in range(i, 3):
+                cell = ("abc"[i], "abc"[j], place(i, r[i]), place(j, r[j]))
+                if None not in cell:
+                    want[cell] = want.get(cell, 0) + 1
+    assert got == want
+    assert PF.scatter_matrix(df.limit(0), ["a", "b"], 4).count() == 0
+
+
+def test_density_leaves_nan_out(spark):
+    values = [1.0, 2.0, 4.0, 8.0]
+    clean = spark.createDataFrame([(v,) for v in values], "x double")
+    dirty = spark.createDataFrame([(v,) for v in values + [float("nan"), None]], "x double")
+    assert [tuple(r) for r in PF.density_grid(dirty, "x", 7).orderBy("grid_index").collect()] == \
+        [tuple(r) for r in PF.density_grid(clean, "x", 7).orderBy("grid_index").collect()]
