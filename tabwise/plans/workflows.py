@@ -277,7 +277,8 @@ def segmentation_workflow(spark: SparkSession, df: DataFrame, id_col: str, featu
     clustered = CL.predict_clusters(result, data, "Cluster")
     diagnostics = CL.cluster_diagnostics(data, features, k_values, init, n_init, max_iter, seed) \
         if k_values else None
-    profile = CL.cluster_profile(clustered, "Cluster", id_col, profile_means, share)
+    # k rows, written once: medians, names and the lookup read these, not the customers again
+    profile = materialize(CL.cluster_profile(clustered, "Cluster", id_col, profile_means, share), spread=False)
     names = CL.segment_names(profile, "Cluster", income_col, spend_col)
     named = CL.attach_segments(clustered, names, "Cluster")
     bundle = Bundle("kmeans", list(features), {"centres": result.centres(), "k": k})
