@@ -37,6 +37,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The same rows under positional names, and their columns by exact name (which may differ from another only in case)."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {c: F.col(n) for c, n in zip(df.columns, names)}
+
+
 def nan_as_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """NaN becomes NULL in the floating columns of ``columns`` (all if not given)."""
     wanted = set(df.columns if columns is None else columns)

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
+from tabwise.functions.columns import by_position, quoted
 from tabwise.operators.trees import TreeTable, fit_trees
 from tabwise.session import session_conf
 
@@ -51,9 +52,14 @@ TREE_TUNING = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval"
 
 @dataclass
 class FittedModel:
+    """The pipeline reads its inputs under names of its own, so features may have any names.
+
+    ``features``: names in order, or the name of one vector column.
+    """
+
     kind: str
     pipeline: PipelineModel
-    features: list[str]
+    features: list[str] | str
     label: str
     params: dict = field(default_factory=dict)
 
@@ -62,27 +68,28 @@ class FittedModel:
         return self.pipeline.stages[-1]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.pipeline.transform(prepare_features(df, self.features))
-
-
-def prepare_features(df: DataFrame, features: list[str]) -> DataFrame:
-    """Score-time guard: absent features become 0.0 and NULL features 0.0."""
-    cols = set(df.columns)
-    out = df
-    for c in features:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in cols else F.lit(0.0))
-    return out
-
-
-def _assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-
-
-def _fit(kind: str, df: DataFrame, features: list[str], label: str, est, params: dict) -> FittedModel:
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                     F.col(label).cast("double").alias("label"))
-    pipe = Pipeline(stages=[_assembler(features), est]).fit(data)
-    return FittedModel(kind, pipe, list(features), label, params)
+        """``df`` and the model's columns; absent and NULL features count as 0.0."""
+        rows, at = by_position(df)
+        if isinstance(self.features, str):
+            names = ["features"]
+            ready = rows.withColumn("features", at[self.features])
+        else:
+            names = self.pipeline.stages[0].getInputCols()
+            ready = rows.select("*", *[(F.coalesce(at[c].cast("double"), F.lit(0.0)) if c in at else F.lit(0.0)).alias(name)
+                                       for c, name in zip(self.features, names)])
+        out = self.pipeline.transform(ready).drop(*names)
+        return out.toDF(*df.columns, *out.columns[len(df.columns):])
+
+
+def _fit(kind: str, df: DataFrame, features: list[str] | str, label: str, est, params: dict) -> FittedModel:
+    rows, at = by_position(df)
+    target = at[label].cast("double").alias("label")
+    if isinstance(features, str):
+        return FittedModel(kind, Pipeline(stages=[est]).fit(rows.select(at[features].alias("features"), target)), features, label, params)
+    names = [f"_f{i}" for i in range(len(features))]
+    data = rows.select(*[at[c].cast("double").alias(name) for c, name in zip(features, names)], target)
+    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
+    return FittedModel(kind, Pipeline(stages=[assembler, est]).fit(data), list(features), label, params)
 
 
 # --------------------------------------------------------------------------- E1
@@ -103,8 +110,9 @@ def coefficient_table(spark: SparkSession, model: FittedModel, features: list[st
 
 
 # --------------------------------------------------------------------------- E3
-def fit_logistic(df: DataFrame, features: list[str], label: str, C: float = 1.0,
+def fit_logistic(df: DataFrame, features: list[str] | str, label: str, C: float = 1.0,
                  max_iter: int = 1000, n_train: int | None = None) -> FittedModel:
+    """``features``: columns, or one vector column (such as ``encoding.sparse_one_hot`` makes)."""
     n_train = n_train or df.count()
     est = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
                              regParam=1.0 / (C * n_train), elasticNetParam=0.0,
@@ -245,12 +253,12 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
                   {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth})
     if criterion != "absolute_error":
         return LeafMedianForest(fitted, None)
-    train = fitted.transform(df.select(*features, label))
+    train = fitted.transform(df)
     # Thousands of (tree, leaf) sketches per task would exceed the object-hash aggregate's
     # default key limit (128) and force a sort of rows × trees; keep hashing up to 64 Ki
     # keys per task (the sort-based path still takes over beyond that, spill-safe).
     with session_conf(df.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536"):
-        per_leaf = (train.select(F.col(label).cast("double").alias("y"),
+        per_leaf = (train.select(quoted(label).cast("double").alias("y"),
                                  F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
                     .withColumn("leaf", F.col("leaf").cast("int"))
                     .groupBy("tree", "leaf")

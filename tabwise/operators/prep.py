@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tabwise.errors import PipelineError
-from tabwise.functions.columns import dummy_name, nan_as_null, quoted
+from tabwise.functions.columns import by_position, dummy_name, nan_as_null, quoted
 from tabwise.operators.quantiles import exact_quantiles, modes
 
 MAX_CATEGORIES = 10_000
@@ -89,33 +89,35 @@ def fit_one_hot(df: DataFrame, columns: list[str], max_categories: int = MAX_CAT
 
     ``collect_set`` per column is partially aggregated per task; the bound is
     checked first with ``approx_count_distinct`` so an id-like column errors out
-    instead of flooding the driver.
+    instead of flooding the driver.  More categories than a table can have columns
+    go into sparse vectors: ``encoding.fit_categories``.
     """
     if not columns:
         return OneHotModel({})
-    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if approx[c] > max_categories * 1.1]
+    rows, at = by_position(df)
+    approx = rows.agg(*[F.approx_count_distinct(at[c]) for c in columns]).first()
+    wide = [c for c, found in zip(columns, approx) if found > max_categories * 1.1]
     if wide:
         raise PipelineError(f"Too many categories to one-hot encode: {wide}")
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
+    row = rows.agg(*[F.array_sort(F.collect_set(at[c])) for c in columns]).first()
     cats = {}
-    for c in columns:
-        vals = list(row[c])
+    for c, found in zip(columns, row):
+        vals = list(found)
         if len(vals) > max_categories:
             raise PipelineError(f"Too many categories to one-hot encode `{c}`: {len(vals)}")
         cats[c] = vals
     return OneHotModel(cats)
 
 
-def one_hot_columns(model: OneHotModel, available: set[str] | None = None) -> list[Column]:
+def one_hot_columns(model: OneHotModel, available: dict[str, Column]) -> list[Column]:
     cols = []
     for c, vals in model.categories.items():
         for v in vals:
             name = dummy_name(c, v)
-            if available is not None and c not in available:
+            if c not in available:
                 cols.append(F.lit(0).alias(name))  # absent raw column → zeros (score time)
             else:
-                cols.append(F.when(quoted(c) == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name))
+                cols.append(F.when(available[c] == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(name))
     return cols
 
 
@@ -123,9 +125,11 @@ def apply_one_hot(df: DataFrame, model: OneHotModel) -> DataFrame:
     """Other columns first (original order), then each column's dummies in sorted order.
 
     NULL and categories unseen at fit time give all zeros (score-time encoding).
+    Dummies may differ only in case; such columns are reached by position (``by_position``).
     """
-    keep = [quoted(c) for c in df.columns if c not in model.categories]
-    return df.select(*keep, *one_hot_columns(model, set(df.columns)))
+    rows, at = by_position(df)
+    keep = [at[c].alias(c) for c in df.columns if c not in model.categories]
+    return rows.select(*keep, *one_hot_columns(model, at))
 
 
 def one_hot(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES):
@@ -174,23 +178,28 @@ class MinMaxModel:
     mins: dict
     maxs: dict
 
+    def renamed(self, names: dict) -> MinMaxModel:
+        return MinMaxModel({names.get(c, c): v for c, v in self.mins.items()}, {names.get(c, c): v for c, v in self.maxs.items()})
+
     def table_rows(self) -> list[tuple]:
         return [(c, self.mins[c], self.maxs[c]) for c in self.mins]
 
 
 def fit_minmax(train: DataFrame, columns: list[str]) -> MinMaxModel:
-    values = [quoted(c).cast("double") for c in columns]
-    row = train.agg(*[F.min(v).alias(f"mn{i}") for i, v in enumerate(values)],
+    rows, at = by_position(train)
+    values = [at[c].cast("double") for c in columns]
+    row = rows.agg(*[F.min(v).alias(f"mn{i}") for i, v in enumerate(values)],
                     *[F.max(v).alias(f"mx{i}") for i, v in enumerate(values)]).first()
     return MinMaxModel({c: row[f"mn{i}"] for i, c in enumerate(columns)}, {c: row[f"mx{i}"] for i, c in enumerate(columns)})
 
 
-def minmax_expr(c: str, model: MinMaxModel) -> Column:
+def minmax_expr(value: Column, c: str, model: MinMaxModel) -> Column:
     """(x - min) / (max - min); a constant column keeps range 1 (x - min); no clipping."""
     mn, mx = model.mins[c], model.maxs[c]
     rng = (mx - mn) if (mx is not None and mn is not None and mx != mn) else 1.0
-    return ((quoted(c).cast("double") - F.lit(mn)) / F.lit(rng)).alias(c)
+    return ((value.cast("double") - F.lit(mn)) / F.lit(rng)).alias(c)
 
 
 def apply_minmax(df: DataFrame, model: MinMaxModel) -> DataFrame:
-    return df.select([minmax_expr(c, model) if c in model.mins else quoted(c) for c in df.columns])
+    rows, at = by_position(df)
+    return rows.select([minmax_expr(at[c], c, model) if c in model.mins else at[c].alias(c) for c in df.columns])

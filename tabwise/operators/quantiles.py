@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
+from tabwise.functions.columns import by_position
+
 #: The sketch's rank error is a share of 1 / ACCURACY; a bracket of up to CLOSE rows is counted.
 ACCURACY, CLOSE = 10_000, 1 << 22
 #: Points at which a wide bracket is sketched again.
@@ -128,7 +130,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accur
     out of the scans.  ``scans`` gets an entry for each scan.  Values are floats;
     integers above 2^53 stay integers.
     """
-    scans = [] if scans is None else scans
+    rows, _ = by_position(df)
+    inner = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    if stats is not None:
+        stats = {inner[c]: stats[c] for c in columns}
+    found = _quantiles(rows, [inner[c] for c in columns], probs, accuracy, close, stats, [] if scans is None else scans)
+    return {c: found[inner[c]] for c in columns}
+
+
+def _quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int, close: int, stats: dict | None,
+               scans: list) -> dict[str, list[float | None]]:
     kinds = {c: "long" if isinstance(df.schema[c].dataType, IntegralType) else "double" for c in columns}
     used = [c for c in dict.fromkeys(columns) if stats is None or stats[c][0]]
     # NaN counts as missing (pandas semantics); Spark would order it above every value.
@@ -211,14 +222,15 @@ def modes(df: DataFrame, columns: list[str]) -> dict:
     high-cardinality column never builds a map in one task.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    rows, at = by_position(df)
     entries = []
     for c in columns:
         numeric, whole = isinstance(types[c], NumericType), isinstance(types[c], IntegralType)
         entries.append(F.struct(F.lit(c).alias("k"),
-                                (F.col(c).cast("double") if numeric and not whole else F.lit(None).cast("double")).alias("num"),
-                                (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("int"),
-                                F.col(c).cast("string").alias("txt")))
-    stacked = df.select(F.explode(F.array(*entries)).alias("s")).select("s.*").where(F.col("txt").isNotNull())
+                                (at[c].cast("double") if numeric and not whole else F.lit(None).cast("double")).alias("num"),
+                                (at[c].cast("long") if whole else F.lit(None).cast("long")).alias("int"),
+                                at[c].cast("string").alias("txt")))
+    stacked = rows.select(F.explode(F.array(*entries)).alias("s")).select("s.*").where(F.col("txt").isNotNull())
     counts = stacked.groupBy("k", "num", "int", "txt").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("k").agg(F.min_by(F.struct("num", "int", "txt", "n"),
                                             F.struct((-F.col("n")).alias("neg"), "num", "int", "txt")).alias("b"))

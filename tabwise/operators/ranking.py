@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, StructField, StructType, VariantType
 
+from tabwise.functions.columns import quoted
 from tabwise.session import materialize
 
 ROWS_PER_BUCKET = 1 << 16
@@ -134,7 +135,7 @@ def rank_segments(df: DataFrame, id_cols: list[str], seed: int, cuts: dict | Dat
 
     # Without strata there is one row of cuts: constants, and no join.
     keyed = df.withColumn("_h", hash_key(id_cols, seed)).withColumn("_s", stratum)
-    own = F.struct("_h", *id_cols)
+    own, own_columns = F.struct("_h", *id_cols), [quoted(c) for c in df.columns]
     if by is None:
         row = table.first()
         cuts = [_constant(row[f"_k{j}"], [(c, df.schema[c].dataType) for c in id_cols]) for j in range(width) if row[f"_k{j}"] is not None]
@@ -148,15 +149,15 @@ def rank_segments(df: DataFrame, id_cols: list[str], seed: int, cuts: dict | Dat
         return reduce(Column.__add__, passed, base).cast("int").alias(seg_col)
 
     if not tied:
-        return keyed.select(*df.columns, segment(F.lit(0)))
+        return keyed.select(*own_columns, segment(F.lit(0)))
     at_tie = reduce(Column.__or__, [F.coalesce(c["tied"] & (own == c["key"]), F.lit(False)) for c in cuts])
     sortable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType)) and f.name not in id_cols]
-    order = [F.col(c) for c in ["_s", "_h", *id_cols, *sortable, "_place"]]
+    order = [quoted(c) for c in ["_s", "_h", *id_cols, *sortable, "_place"]]
     ties = ordered_totals(keyed.where(at_tie).withColumn("_place", F.monotonically_increasing_id()), order, F.lit(1), "_r")
     first = ties.groupBy(F.col("_s").alias("_fs"), F.col("_h").alias("_fh"), *[F.col(c).alias(f"_f{k}") for k, c in enumerate(id_cols)]).agg(F.min("_r").alias("_r0"))
     same = [F.col("_s").eqNullSafe(F.col("_fs")), F.col("_h") == F.col("_fh"), *[F.col(c).eqNullSafe(F.col(f"_f{k}")) for k, c in enumerate(id_cols)]]
     ranked = ties.join(first, same)
-    return keyed.where(~at_tie).select(*df.columns, segment(F.lit(0))).unionByName(ranked.select(*df.columns, segment(F.col("_r") - F.col("_r0"))))
+    return keyed.where(~at_tie).select(*own_columns, segment(F.lit(0))).unionByName(ranked.select(*own_columns, segment(F.col("_r") - F.col("_r0"))))
 
 
 def _constant(cut, ids: list[tuple]) -> Column:

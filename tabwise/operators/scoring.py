@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
-from tabwise.functions.columns import quoted
+from tabwise.functions.columns import by_position, dummy_name
 from tabwise.operators import cluster as CL
 from tabwise.operators import mlp as MLP
 from tabwise.operators import models as MO
@@ -30,27 +30,30 @@ def _text(value) -> str | None:
 
 def encode_raw(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Rebuild the training feature columns from raw columns; missing values take the training defaults, else 0."""
+    rows, at = by_position(df)
     cats = bundle.extras.get("categories", {})
     onehot = PR.OneHotModel({c: list(v) for c, v in cats.items()})
-    cols = set(df.columns)
     defaults = bundle.extras.get("defaults") or {}
     enc = {}
     for c, vals in onehot.categories.items():
         for v in vals:
-            name = f"{c}_{v}"
-            value = F.coalesce(F.col(c).cast("string"), F.lit(_text(defaults.get(c))))
-            enc[name] = F.when(value == F.lit(_text(v)), F.lit(1)).otherwise(F.lit(0)) if c in cols else F.lit(0)
+            name = dummy_name(c, v)
+            if c not in at:
+                enc[name] = F.lit(0)
+                continue
+            value = F.coalesce(at[c].cast("string"), F.lit(_text(defaults.get(c))))
+            enc[name] = F.when(value == F.lit(_text(v)), F.lit(1)).otherwise(F.lit(0))
     out = []
     for f in bundle.features:
         if f in enc:
             out.append(enc[f].cast("double").alias(f))
-        elif f in cols:
-            number = F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+        elif f in at:
+            number = F.nanvl(at[f].cast("double"), F.lit(None).cast("double"))
             out.append(F.coalesce(number, F.lit(float(defaults.get(f) or 0.0))).alias(f))
         else:
             out.append(F.lit(0.0).alias(f))
-    keep = [F.col(c) for c in df.columns if c not in bundle.features]
-    return df.select(*keep, *out)
+    keep = [at[c].alias(c) for c in df.columns if c not in bundle.features]
+    return rows.select(*keep, *out)
 
 
 def _scale(df: DataFrame, bundle: Bundle) -> DataFrame:
@@ -65,7 +68,7 @@ def score_classifier(df: DataFrame, bundle: Bundle, threshold: float = 0.5) -> D
     if bundle.spark_model is None and bundle.trees is None:
         raise PipelineError("This bundle has no model to score with")
     ready = _scale(encode_raw(df, bundle), bundle)
-    out = (bundle.trees or bundle.spark_model).transform(ready)
+    out = (bundle.trees or MO.FittedModel(bundle.kind, bundle.spark_model, bundle.features, "label")).transform(ready)
     out = out.withColumn("probability_1", vector_to_array("probability")[1])
     return out.withColumn("predicted_class", predicted_class("probability_1", threshold)) \
         .drop("features", "rawPrediction", "probability", "prediction")
@@ -76,7 +79,8 @@ def score_mlp(df: DataFrame, bundle: Bundle) -> DataFrame:
     ready = _scale(encode_raw(df, bundle), bundle)
     model = MLP.MLPModel(bundle.extras["theta"], len(bundle.features), tuple(bundle.extras["hidden"]),
                          bundle.extras["activation"])
-    arr = ready.withColumn("_x", F.array(*[F.col(c) for c in bundle.features]))
+    rows, at = by_position(ready)
+    arr = rows.select("*", F.array(*[at[c] for c in bundle.features])).toDF(*ready.columns, "_x")
     return MLP.predict_mlp(arr, model, "_x", 0.5, inclusive=True, prob_col="probability_1",
                            pred_col="predicted_class").drop("_x")
 
@@ -88,11 +92,13 @@ def score_regressor(df: DataFrame, bundle: Bundle, out_col: str = "prediction")
     """
     if bundle.spark_model is None and bundle.trees is None:
         raise PipelineError("This bundle has no model to score with")
-    given = F.struct(*[quoted(c) for c in df.columns]).alias("_given")
-    ready = MO.prepare_features(df.withColumn("_given", given), bundle.features).select("_given", *bundle.features)
+    rows, at = by_position(df)
+    given = F.struct(*[at[c].alias(c) for c in df.columns]).alias("_given")
+    ready = rows.select(given, *[at[c].alias(c) for c in bundle.features if c in at])
     fitted = MO.FittedModel(bundle.kind, bundle.spark_model, bundle.features, "label")
     scored = (bundle.trees or MO.LeafMedianForest(fitted, bundle.leaves)).transform(ready)
-    return scored.select("_given.*", F.col("prediction").alias(out_col))
+    scored = scored.select("_given", "prediction")
+    return scored.select("_given.*", "prediction").toDF(*df.columns, out_col)
 
 
 def assign_clusters(df: DataFrame, bundle: Bundle, out_col: str = "Cluster") -> DataFrame:

@@ -14,8 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
+
 from tabwise.operators import cluster as CL
 from tabwise.operators import correlation as CO
+from tabwise.operators import encoding as EN
 from tabwise.operators import metrics as ME
 from tabwise.operators import prep as PR
 from tabwise.operators import profile as PF
@@ -799,6 +803,34 @@ def q_first_test_row(spark, sf_dir):
     return PF.head(sp.where(F.col("split") == "test"), "c_custkey", 1).select("c_custkey", "c_acctbal")
 
 
+_CODED = ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+_CODED_SQL = "WITH c AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, '{c}' AS name, {c if k < 2 else 'NULL'} AS whole, CAST({c} AS VARCHAR) AS category, count(*) AS n FROM lineitem "
+    f"WHERE {c} IS NOT NULL GROUP BY {c}" for k, c in enumerate(_CODED)) + """),
+placed AS (SELECT *, row_number() OVER (ORDER BY k, whole, category) - 1 AS place, sum(n) OVER (PARTITION BY k) AS of_column FROM c)
+"""
+
+
+@register("category_dictionary", _CODED_SQL + """SELECT name, category, place, n AS rows_at_fit, n * 1024 > of_column AS hot FROM placed""")
+def q_category_dictionary(spark, sf_dir):
+    """The categories of two id columns and two flags as one table with their vector places."""
+    words = EN.fit_categories(read_table(spark, sf_dir, "lineitem"), _CODED)
+    names = spark.createDataFrame(list(enumerate(_CODED)), "k int, name string")
+    return words.entries.join(F.broadcast(names), "k").select("name", "category", "place", F.col("n").alias("rows_at_fit"), "hot")
+
+
+@register("sparse_one_hot", _CODED_SQL + """SELECT 0 AS place, 'l_discount' AS feature, count(*) FILTER (WHERE l_discount <> 0) AS nonzero FROM lineitem
+UNION ALL SELECT place + 1, name || '_' || category, n FROM placed""")
+def q_sparse_one_hot(spark, sf_dir):
+    """Every line item as a sparse vector of a number and its categories; how many vectors have each feature."""
+    items = read_table(spark, sf_dir, "lineitem").select("l_discount", *_CODED)
+    words = EN.fit_categories(items, _CODED)
+    vectors = EN.sparse_one_hot(items, words, ["l_discount"])
+    counts = vectors.agg(vector_to_array(Summarizer.numNonZeros(F.col("features"))).alias("n")).select(F.posexplode("n").alias("place", "nonzero"))
+    return (counts.join(EN.feature_names(words, ["l_discount"]), "place")
+            .select(F.col("place").cast("long").alias("place"), "feature", F.col("nonzero").cast("long").alias("nonzero")))
+
+
 @register("processed_table_sink", ORACLE_SQL["one_hot"])
 def q_processed_table_sink(spark, sf_dir):
     """S6 + S1: the encoded table written as headered CSV, read back through validated ingest."""

@@ -94,12 +94,18 @@ def _scored_class(model: MO.FittedModel, df: DataFrame, threshold: float, use_pr
     return out.withColumn("prediction", F.col("prediction").cast("int"))
 
 
+def _inner_names(columns: list[str], shown: dict) -> list[str]:
+    """Names that any table can hold in place of the features' own (which may have dots or differ only in case)."""
+    inner = {c: name for name, c in shown.items()}
+    return [inner.get(c, c) for c in columns]
+
+
 def default_raw_values(df: DataFrame, categorical: list[str], numeric: list[str]) -> dict:
     """Mode per category, exact median per number."""
     found = modes(df, categorical) if categorical else {}
     out = {c: (found[c] or (None,))[0] for c in categorical}
     if numeric:
-        med = exact_quantiles(df.select(*[F.col(c).cast("double").alias(c) for c in numeric]), numeric, [0.5])
+        med = exact_quantiles(df.select(*[quoted(c).cast("double").alias(c) for c in numeric]), numeric, [0.5])
         out.update({c: med[c][0] for c in numeric})
     return out
 
@@ -117,7 +123,7 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     mode_cols = list(dict.fromkeys([*cfg.mode_cols, *cfg.categorical_cols]))
     median_cols = list(dict.fromkeys([*cfg.median_cols, *cfg.numeric_cols]))
     found = modes(df, mode_cols) if mode_cols else {}
-    meds = exact_quantiles(df.select(*[F.col(c).cast("double").alias(c) for c in median_cols]),
+    meds = exact_quantiles(df.select(*[quoted(c).cast("double").alias(c) for c in median_cols]),
                            median_cols, [0.5]) if median_cols else {}
     stats = PR.ImputeStats()
     for c in cfg.mode_cols:
@@ -134,6 +140,9 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     encoded, onehot = PR.one_hot(imputed, cfg.categorical_cols)
     labelled = PR.map_target(encoded, cfg.target, cfg.mapping, "label").drop(cfg.target)
     features = [c for c in labelled.columns if c not in (cfg.id_col, "label")]
+    shown = dict(zip((f"_f{i}" for i in range(len(features))), features))
+    labelled = labelled.toDF(*_inner_names(labelled.columns, shown))
+    features = list(shown)
     sp = SP.train_test_split(labelled, cfg.id_col, "label", cfg.test_size, cfg.seed)
     sp = materialize(sp)
     df.unpersist()
@@ -190,6 +199,11 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
 
         cv_scores = TU.cross_validate(spark, s_train.drop("split"), cfg.id_col, "label", fit, predict,
                                       cfg.cv_folds, cfg.cv_stratified, cfg.seed, shuffle=cfg.cv_shuffle)
+    # From here on, the features have their own names again.
+    features = list(shown.values())
+    sp, scaler = sp.toDF(*[shown.get(c, c) for c in sp.columns]), scaler.renamed(shown)
+    for model in fitted.values():
+        model.features = features
     best = "logistic" if "logistic" in fitted else next(iter(fitted))
     bundle = Bundle("classification", features,
                     {"model_name": best, "defaults": defaults, "categories": onehot.categories,
@@ -319,7 +333,10 @@ def mlp_workflow(spark: SparkSession, df: DataFrame, id_col: str, target: str, r
     features = [c for c in encoded.columns if c not in (id_col, "label")]
     if not features:
         raise PipelineError("No features left to train on")
+    shown = dict(zip((f"_f{i}" for i in range(len(features))), features))
+    encoded = encoded.toDF(*_inner_names(encoded.columns, shown))
     sp = materialize(SP.train_test_split(encoded, id_col, "label", test_size, seed))
+    features = list(shown)
     scaler = PR.fit_minmax(sp.where(F.col("split") == "train"), features)
     scaled = PR.apply_minmax(sp, scaler).select(id_col, "label", "split",
                                                 F.array(*[quoted(c) for c in features]).alias("x"))
@@ -329,6 +346,7 @@ def mlp_workflow(spark: SparkSession, df: DataFrame, id_col: str, target: str, r
     scored = MLP.predict_mlp(scaled, model, "x")
     metrics = ME.binary_metrics(scored, "label", "prediction", ["split"])
     confusion = ME.confusion_matrix(scored.where(F.col("split") == "test"), "label", "prediction")
+    features, scaler = list(shown.values()), scaler.renamed(shown)
     bundle = Bundle("mlp", features, {"theta": model.theta, "hidden": list(hidden), "activation": activation,
                                       "mins": scaler.mins, "maxs": scaler.maxs, "threshold": threshold,
                                       "categories": onehot.categories})

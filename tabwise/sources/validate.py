@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tabwise.errors import PipelineError
-from tabwise.functions.columns import is_missing, text_to_double
+from tabwise.functions.columns import is_missing, quoted, text_to_double
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, in
 def coerce_and_reject(df: DataFrame, columns: list[str]) -> DataFrame:
     """``to_numeric(errors='coerce')`` on ``columns`` then fail if any became/was NULL."""
     coerced = df.select([
-        text_to_double(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns
+        text_to_double(quoted(c)).alias(c) if c in columns else quoted(c) for c in df.columns
     ])
     counts = null_counts(coerced, columns)
     bad = [c for c in columns if counts[c] > 0]

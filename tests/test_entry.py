@@ -13,7 +13,7 @@ ORACLE_FAST = ["null_report", "describe_numeric", "value_counts", "class_shares"
                "class_names", "first_test_row", "null_report_before_after", "processed_table_sink",
                "score_time_encoding", "mae_baseline", "describe_strings", "catalog_counts",
                "ols_fit", "ols_two_features", "kfold_ids_unshuffled", "corr_spearman_gaps",
-               "tree_root_cuts", "describe_all", "scatter_matrix"]
+               "tree_root_cuts", "describe_all", "scatter_matrix", "category_dictionary", "sparse_one_hot"]
 
 
 def test_entry_smoke(spark):
