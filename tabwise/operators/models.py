@@ -42,12 +42,29 @@ from pyspark.sql import functions as F
 from tabwise.errors import PipelineError
 from tabwise.functions.columns import by_position, quoted
 from tabwise.operators.trees import TreeTable, fit_trees
-from tabwise.session import session_conf
+from tabwise.session import bounded_tasks, session_conf
 
 MAX_DEPTH = 30
-# More node statistics per pass over the data (fewer passes per tree level) and node ids
-# cached with the rows (checkpointed to the reliable checkpoint dir every 10 iterations).
-TREE_TUNING = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+# Deep trees keep each row's nodes beside the rows (checkpointed to the reliable checkpoint
+# dir every 10 iterations); others walk a row down from the root, which is as fast and needs
+# less than half the memory.
+NODE_IDS_FROM = 13
+
+
+def _tree_tuning(depth: int) -> dict:
+    # more node statistics per pass over the data: fewer passes per tree level
+    return {"maxMemoryInMB": 1024, "cacheNodeIds": depth >= NODE_IDS_FROM, "checkpointInterval": 10}
+
+
+def _vector_bytes(n_features: int) -> int:
+    """What a row takes in a fit that keeps numbers."""
+    return 32 + 8 * n_features
+
+
+def tree_bytes(n_features: int, n_trees: int, depth: int) -> int:
+    """What a row takes in a tree fit: its bins, its weight in each tree and, in deep trees, its nodes (two versions, read with the row twice)."""
+    row = 112 + 4 * n_features + 4 * n_trees
+    return 2 * row + 2 * (24 + 4 * n_trees) if depth >= NODE_IDS_FROM else row
 
 
 @dataclass
@@ -81,13 +98,18 @@ class FittedModel:
         return out.toDF(*df.columns, *out.columns[len(df.columns):])
 
 
-def _fit(kind: str, df: DataFrame, features: list[str] | str, label: str, est, params: dict) -> FittedModel:
+def _fit(kind: str, df: DataFrame, features: list[str] | str, label: str, est, params: dict,
+         bytes_a_row: int | None = None, n_rows: int | None = None) -> FittedModel:
+    """``bytes_a_row``: what a fit of several passes keeps of each row (None: nothing is, or ``df`` is bounded)."""
     rows, at = by_position(df)
     target = at[label].cast("double").alias("label")
     if isinstance(features, str):
-        return FittedModel(kind, Pipeline(stages=[est]).fit(rows.select(at[features].alias("features"), target)), features, label, params)
+        data = rows.select(at[features].alias("features"), target)
+        data = data if bytes_a_row is None else bounded_tasks(data, bytes_a_row, n_rows)
+        return FittedModel(kind, Pipeline(stages=[est]).fit(data), features, label, params)
     names = [f"_f{i}" for i in range(len(features))]
     data = rows.select(*[at[c].cast("double").alias(name) for c, name in zip(features, names)], target)
+    data = data if bytes_a_row is None else bounded_tasks(data, bytes_a_row, n_rows)
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error")
     return FittedModel(kind, Pipeline(stages=[assembler, est]).fit(data), list(features), label, params)
 
@@ -117,7 +139,9 @@ def fit_logistic(df: DataFrame, features: list[str] | str, label: str, C: float
     est = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
                              regParam=1.0 / (C * n_train), elasticNetParam=0.0,
                              standardization=False, family="binomial", tol=1e-6)
-    return _fit("logistic_regression", df, features, label, est, {"C": C, "max_iter": max_iter})
+    # of a vector column the width is not known: as for 32 numbers
+    width = _vector_bytes(32 if isinstance(features, str) else len(features))
+    return _fit("logistic_regression", df, features, label, est, {"C": C, "max_iter": max_iter}, width, n_train)
 
 
 # --------------------------------------------------------------------------- E4 / E5
@@ -154,23 +178,26 @@ def fit_decision_tree(df: DataFrame, features: list[str], label: str, criterion:
                       seed: int = 42) -> FittedModel | TreeTable:
     if min_samples_split != 2:
         return fit_trees(df, features, label, criterion, 1, max_depth, min_samples_split, max_bins=max_bins, seed=seed)
+    depth = _depth(max_depth)
     est = DecisionTreeClassifier(featuresCol="features", labelCol="label", impurity=_impurity(criterion),
-                                 maxDepth=_depth(max_depth), minInstancesPerNode=1, maxBins=max_bins,
-                                 seed=seed, **TREE_TUNING)
+                                 maxDepth=depth, minInstancesPerNode=1, maxBins=max_bins,
+                                 seed=seed, **_tree_tuning(depth))
     return _fit("decision_tree", df, features, label, est,
-                {"criterion": criterion, "max_depth": max_depth, "min_samples_split": min_samples_split})
+                {"criterion": criterion, "max_depth": max_depth, "min_samples_split": min_samples_split},
+                tree_bytes(len(features), 1, depth))
 
 
 def fit_random_forest(df: DataFrame, features: list[str], label: str, n_estimators: int = 100,
                       criterion: str = "gini", max_depth=None, max_features="sqrt",
                       max_bins: int = 64, seed: int = 42) -> FittedModel:
+    depth = _depth(max_depth)
     est = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                                 impurity=_impurity(criterion), maxDepth=_depth(max_depth),
+                                 impurity=_impurity(criterion), maxDepth=depth,
                                  featureSubsetStrategy=feature_subset(max_features, len(features)),
-                                 maxBins=max_bins, seed=seed, bootstrap=True, **TREE_TUNING)
+                                 maxBins=max_bins, seed=seed, bootstrap=True, **_tree_tuning(depth))
     return _fit("random_forest", df, features, label, est,
                 {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth,
-                 "max_features": max_features})
+                 "max_features": max_features}, tree_bytes(len(features), n_estimators, depth))
 
 
 def importance_table(spark: SparkSession, model: FittedModel | TreeTable) -> DataFrame:
@@ -244,11 +271,13 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
         subset = feature_subset(max_features, len(features))
         return fit_trees(df, features, label, criterion, n_estimators, max_depth, min_samples_split,
                          None if subset == "all" else int(subset), id_cols, max_bins, seed=seed)
+    depth = _depth(max_depth)
     est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                                impurity="variance", maxDepth=_depth(max_depth),
+                                impurity="variance", maxDepth=depth,
                                 featureSubsetStrategy=feature_subset(max_features, len(features)),
                                 maxBins=max_bins, seed=seed, bootstrap=True, leafCol="_leaf",
-                                **TREE_TUNING)
+                                **_tree_tuning(depth))
+    df = bounded_tasks(df, tree_bytes(len(features), n_estimators, depth))
     fitted = _fit("random_forest_regressor", df, features, label, est,
                   {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth})
     if criterion != "absolute_error":

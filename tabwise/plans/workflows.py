@@ -37,7 +37,7 @@ from tabwise.operators import split as SP
 from tabwise.operators import tuning as TU
 from tabwise.operators.trees import TreeTable
 from tabwise.operators.quantiles import exact_quantiles, modes
-from tabwise.session import ensure_parallelism, materialize, persist_balanced
+from tabwise.session import deal_out, ensure_parallelism, materialize, persist_balanced
 from tabwise.sources.models_io import Bundle
 from tabwise.sources.validate import coerce_and_reject, require_columns, require_numeric
 
@@ -243,15 +243,23 @@ def regression_workflow(spark: SparkSession, df: DataFrame, id_col, target: str
     sp = materialize(SP.train_test_split(df, ids, strat, test_size, seed))
     features = [c for c in df.columns if c not in (target, *ids)]
     train = sp.where(F.col("split") == "train")
+    if with_forest:     # every pass of the forest reads these rows: dealt out and kept once
+        width = MO.tree_bytes(len(features), n_estimators, MO._depth(max_depth))
+        train = deal_out(train, width, train.count()).persist(StorageLevel.MEMORY_AND_DISK)
     linear = MO.fit_linear(train, features, target)
-    tables = {"linear_regression": ME.mae(linear.transform(sp).withColumn("label", F.col(target)),
-                                          "label", "prediction", ["split"])}
+
+    def errors(model) -> DataFrame:     # two rows, kept: the choice of the best model and every reader would score all rows again
+        kept = ME.mae(model.transform(sp).withColumn("label", F.col(target)), "label", "prediction", ["split"]).persist()
+        kept.count()
+        return kept
+
+    tables = {"linear_regression": errors(linear)}
     forest = None
     if with_forest:
         forest = MO.fit_forest_regressor(train, features, target, n_estimators, criterion, max_depth, seed=seed,
                                          min_samples_split=min_samples_split, id_cols=ids)
-        tables["random_forest"] = ME.mae(forest.transform(sp).withColumn("label", F.col(target)),
-                                         "label", "prediction", ["split"])
+        tables["random_forest"] = errors(forest)
+        train.unpersist()
     mae = TU.comparison_table(tables, "mae", descending=False)
     comparison = mae.where(F.col("split") == "test").orderBy("mae", "model")
     best = TU.best_model(comparison, "mae", maximise=False)

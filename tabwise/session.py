@@ -75,8 +75,42 @@ def session_conf(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, old)
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a frame that has fewer partitions than the cluster has cores.
+#: What one task of an iterative fit keeps in memory and reads in every pass, at most about.
+TASK_BYTES = 128 << 20
+#: Rows of a task of a frame that was spread.
+TASK_ROWS = 1 << 20
+
+
+def _tasks(rows: int, bytes_a_row: int) -> int:
+    return -(-rows * bytes_a_row // TASK_BYTES)
+
+
+def deal_out(df: DataFrame, bytes_a_row: int, rows: int) -> DataFrame:
+    """Spread a frame so that the ``bytes_a_row`` an iterative fit keeps come to at most about TASK_BYTES a task.
+
+    A scan has a task for each 128 MB of compressed columns, a spread table one a
+    core: as objects of a fit, these rows can be several GB.  Frames of less than
+    one task stay as they are.  Persist the result: every reader would shuffle again.
+    """
+    tasks = _tasks(rows, bytes_a_row)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else df
+
+
+def bounded_tasks(df: DataFrame, bytes_a_row: int, rows: int | None = None) -> DataFrame:
+    """``deal_out`` for frames that have too few partitions; persisted ones that are dealt out already stay."""
+    rows = df.count() if rows is None else rows
+    tasks = _tasks(rows, bytes_a_row)
+    return deal_out(df, bytes_a_row, rows) if tasks > 1 and df.rdd.getNumPartitions() < tasks else df
+
+
+def fits_at_once(spark: SparkSession, rows: int, bytes_a_row: int, most: int) -> int:
+    """``most`` as long as one fit keeps less than TASK_BYTES a core, else 1: large fits have work for every core,
+    and side by side they push each other's rows out of memory."""
+    return most if rows * bytes_a_row <= TASK_BYTES * spark.sparkContext.defaultParallelism else 1
+
+
+def ensure_parallelism(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Spread a frame that has fewer partitions than the cluster has cores, to at most TASK_ROWS of ``rows`` each.
 
     Only call it on frames without pending shuffles (scans, written tables,
     persisted frames): asking an adaptive plan for its partitions would run its
@@ -85,14 +119,16 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     and iterative passes running on one core.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(target, -(-rows // TASK_ROWS)))
 
 
 def persist_balanced(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist (spilling to disk) and, if it came out with too few partitions, rebalance once."""
     kept = df.persist(level)
-    kept.count()
-    balanced = ensure_parallelism(kept)
+    balanced = ensure_parallelism(kept, kept.count())
     if balanced is kept:
         return kept
     balanced = balanced.persist(level)

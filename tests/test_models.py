@@ -133,3 +133,32 @@ def test_score_time_encoding_missing_and_unseen(spark):
     raw = spark.createDataFrame([("b", 2.0), ("zzz", None)], "c string, x double")
     rows = SC.encode_raw(raw, b).collect()
     assert [(r.x, r.c_a, r.c_b) for r in rows] == [(2.0, 0.0, 1.0), (0.0, 0.0, 0.0)]
+
+
+def test_tree_fits_deal_large_tables_out(spark, monkeypatch):
+    """A task of a fit keeps at most about TASK_BYTES of rows, however few partitions the table has."""
+    from pyspark.ml import Pipeline
+    from tabwise import session
+    monkeypatch.setattr(session, "TASK_BYTES", 8_000)
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, data, *a: seen.append(data.rdd.getNumPartitions()) or fit(self, data, *a))
+    df = spark.range(2000).selectExpr("id", "CAST(id % 50 AS double) AS x", "CAST(id % 7 AS double) AS z", "CAST(id % 2 AS int) AS label").coalesce(2)
+    MO.fit_forest_regressor(df, ["x", "z"], "label", 3, max_depth=3)
+    MO.fit_random_forest(df, ["x", "z"], "label", 3, max_depth=3)
+    MO.fit_decision_tree(df, ["x", "z"], "label", max_depth=3)
+    MO.fit_logistic(df, ["x", "z"], "label", max_iter=3)
+    assert all(n * 8_000 >= 2000 * 48 for n in seen) and seen[0] * 8_000 >= 2000 * MO.tree_bytes(2, 3, 3), seen
+
+
+def test_price_workflow_deals_the_training_rows_out_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from tabwise import session
+    from tabwise.plans import workflows as WF
+    monkeypatch.setattr(session, "TASK_BYTES", 8_000)
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, data, *a: seen.append(data.rdd.getNumPartitions()) or fit(self, data, *a))
+    df = spark.range(2000).selectExpr("id", "CAST(id % 50 AS double) AS x", "CAST(id * id % 97 AS double) AS price")
+    res = WF.regression_workflow(spark, df, "id", use_stratify=False, n_estimators=3, max_depth=3)
+    assert all(n * 8_000 >= 1600 * MO.tree_bytes(1, 3, 3) for n in seen), seen
+    assert {(r["model"], r["split"], r["n"]) for r in res.mae.collect()} == {
+        (m, s, n) for m in ("linear_regression", "random_forest") for s, n in (("train", 1600), ("test", 400))}
