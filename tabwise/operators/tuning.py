@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from tabwise.operators import metrics as ME
 from tabwise.operators.split import kfold_ids, stratified_kfold_ids
+from tabwise.session import deal_out, fits_at_once
+
+#: What a fit of unknown kind keeps of a row.
+FIT_BYTES = 512
 
 
 def accuracy_of(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
@@ -31,22 +35,31 @@ def assign_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, stratif
     ``shuffle=False`` gives the unshuffled KFold of the notebooks (folds in id order)."""
     assigned = (stratified_kfold_ids(df, id_col, label, folds, seed) if stratified
                 else kfold_ids(df, id_col, folds, seed, shuffle=shuffle))
-    return assigned.persist(StorageLevel.MEMORY_AND_DISK)
+    return deal_out(assigned, FIT_BYTES, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _at_once(spark: SparkSession, rows: int, parallelism: int) -> int:
+    return fits_at_once(spark, rows, FIT_BYTES, max(1, parallelism))
+
+
+def _fold_sizes(assigned: DataFrame) -> dict[int, int]:
+    """Rows of each fold; this also fills the cache before several fits ask for it at once."""
+    return {r["fold"]: r["count"] for r in assigned.groupBy("fold").count().collect()}      # one row a fold
+
 
+def _run_folds(spark, assigned: DataFrame, sizes: dict[int, int], label: str, fit, predict, folds: int, parallelism: int):
+    n = sum(sizes.values())
 
-def _run_folds(spark, assigned: DataFrame, label: str, fit, predict, folds: int, parallelism: int):
     def one(f: int):
         train = assigned.where(F.col("fold") != f)
         test = assigned.where(F.col("fold") == f)
         model = fit(train)
         scored = predict(model, test)
-        counts = assigned.groupBy((F.col("fold") == f).alias("held_out")).count().collect()
-        n = {r["held_out"]: r["count"] for r in counts}
-        return (f, n.get(False, 0), n.get(True, 0), accuracy_of(scored, label))
+        return (f, n - sizes.get(f, 0), sizes.get(f, 0), accuracy_of(scored, label))
 
     # Independent fits run as concurrent Spark jobs (like CrossValidator's parallelism):
     # small fits leave most of the cluster idle, so overlapping them cuts wall time.
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    with ThreadPoolExecutor(max_workers=_at_once(spark, n, parallelism)) as pool:
         rows = list(pool.map(one, range(folds)))
     return spark.createDataFrame(rows, "fold int, n_train bigint, n_test bigint, score double")
 
@@ -57,7 +70,7 @@ def cross_validate(spark: SparkSession, df: DataFrame, id_col: str, label: str,
                    parallelism: int = 4, shuffle: bool = True) -> DataFrame:
     """Per-fold accuracy table (fold, n_train, n_test, score)."""
     assigned = assign_folds(df, id_col, label, folds, stratified, seed, shuffle)
-    out = _run_folds(spark, assigned, label, fit, predict, folds, parallelism)
+    out = _run_folds(spark, assigned, _fold_sizes(assigned), label, fit, predict, folds, parallelism)
     out = out.persist()
     out.count()
     assigned.unpersist()
@@ -71,7 +84,8 @@ def cross_validate_models(spark: SparkSession, df: DataFrame, id_col: str, label
                           shuffle: bool = True) -> DataFrame:
     """Per-fold accuracy of several models on the same folds: (model, fold, n_train, n_test, score)."""
     assigned = assign_folds(df, id_col, label, folds, stratified, seed, shuffle)
-    tables = {name: _run_folds(spark, assigned, label, fit, predict, folds, parallelism) for name, fit in fits.items()}
+    sizes = _fold_sizes(assigned)
+    tables = {name: _run_folds(spark, assigned, sizes, label, fit, predict, folds, parallelism) for name, fit in fits.items()}
     assigned.unpersist()
     parts = [t.select(F.lit(name).alias("model"), "*") for name, t in tables.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -92,13 +106,14 @@ def parameter_trials(spark: SparkSession, df: DataFrame, id_col: str, label: str
                      parallelism: int = 4) -> DataFrame:
     """One CV run per configuration on ONE shared fold assignment → (config, mean, std)."""
     assigned = assign_folds(df, id_col, label, folds, stratified, seed)
+    sizes = _fold_sizes(assigned)
 
     def one(cfg):
-        scores = _run_folds(spark, assigned, label, make_fit(cfg), predict, folds, 1)
+        scores = _run_folds(spark, assigned, sizes, label, make_fit(cfg), predict, folds, 1)
         row = ME.score_summary(scores, "score").first()
         return (str(sorted(cfg.items())), float(row["mean_score"]), float(row["std_score"]))
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    with ThreadPoolExecutor(max_workers=_at_once(spark, sum(sizes.values()), parallelism)) as pool:
         out = list(pool.map(one, grid))
     assigned.unpersist()
     return (spark.createDataFrame(out, "config string, mean_score double, std_score double")

@@ -37,7 +37,7 @@ from tabwise.operators import split as SP
 from tabwise.operators import tuning as TU
 from tabwise.operators.trees import TreeTable
 from tabwise.operators.quantiles import exact_quantiles, modes
-from tabwise.session import deal_out, ensure_parallelism, materialize, persist_balanced
+from tabwise.session import deal_out, ensure_parallelism, fits_at_once, materialize, persist_balanced
 from tabwise.sources.models_io import Bundle
 from tabwise.sources.validate import coerce_and_reject, require_columns, require_numeric
 
@@ -149,8 +149,11 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
     train = sp.where(F.col("split") == "train")
     scaler = PR.fit_minmax(train, features)
     scaled = PR.apply_minmax(sp, scaler)
-    s_train = scaled.where(F.col("split") == "train")
-    n_train = s_train.count()
+    n_train = train.count()
+    # every pass of every fit reads these rows: dealt out and kept once
+    width = MO.tree_bytes(len(features), cfg.forest_trees, MO._depth(cfg.forest_max_depth))
+    s_train = deal_out(scaled.where(F.col("split") == "train"), width, n_train).persist(StorageLevel.MEMORY_AND_DISK)
+    s_train.count()
 
     builders = {
         "logistic": lambda: MO.fit_logistic(s_train, features, "label", cfg.logistic_C,
@@ -162,8 +165,8 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
                                                       cfg.forest_max_features, seed=cfg.seed),
     }
     wanted = [m for m in builders if m in models]
-    # The three estimators are independent: fit them as concurrent Spark jobs.
-    with ThreadPoolExecutor(max_workers=len(wanted) or 1) as pool:
+    # The three estimators are independent: fit them as concurrent Spark jobs, unless each fills the cluster.
+    with ThreadPoolExecutor(max_workers=fits_at_once(spark, n_train, TU.FIT_BYTES, len(wanted) or 1)) as pool:
         fitted = dict(zip(wanted, pool.map(lambda m: builders[m](), wanted)))
     def evaluate(name):
         # The decision slider applies to the logistic model; trees use 0.5.
@@ -199,6 +202,7 @@ def classification_workflow(spark: SparkSession, df: DataFrame, cfg: Classificat
 
         cv_scores = TU.cross_validate(spark, s_train.drop("split"), cfg.id_col, "label", fit, predict,
                                       cfg.cv_folds, cfg.cv_stratified, cfg.seed, shuffle=cfg.cv_shuffle)
+    s_train.unpersist()
     # From here on, the features have their own names again.
     features = list(shown.values())
     sp, scaler = sp.toDF(*[shown.get(c, c) for c in sp.columns]), scaler.renamed(shown)

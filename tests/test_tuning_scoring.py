@@ -43,3 +43,27 @@ def test_cross_validate_fold_counts(spark):
     cv = TU.cross_validate(spark, df, "id", "label", fit, predict, folds=4, stratified=True, seed=1).collect()
     assert sorted(r.n_test for r in cv) == [15, 15, 15, 15]
     assert all(r.n_train + r.n_test == 60 for r in cv)
+
+
+def test_large_folds_are_dealt_out_and_fitted_one_by_one(spark, monkeypatch):
+    import threading
+    from tabwise import session
+    from tabwise.operators import tuning as TU
+    monkeypatch.setattr(session, "TASK_BYTES", 8_000)
+    df = spark.range(1000).selectExpr("id", "CAST(id % 3 = 0 AS int) AS label").coalesce(2)
+    running, most, parts, lock = [0], [0], [], threading.Lock()
+
+    def fit(part):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        parts.append(part.rdd.getNumPartitions())
+        threading.Event().wait(0.3)
+        with lock:
+            running[0] -= 1
+        return None
+
+    rows = TU.cross_validate(spark, df, "id", "label", fit, lambda m, part: part.selectExpr("label", "0 AS prediction"), 5, True).orderBy("fold").collect()
+    assert most[0] == 1 and min(parts) * 8_000 >= 1000 * TU.FIT_BYTES
+    assert [(r["n_train"], r["n_test"]) for r in rows] == [(800, 200)] * 5
+    assert sum(r["score"] * r["n_test"] for r in rows) == 666
