@@ -15,7 +15,10 @@ as a whole: first every set is compared with one leader, the set of its keys
 that shares most keys with others.  Then only keys that still hold several
 components are joined, the sets outside the leader's component with all, in a
 grid of salted parts, under the condition that their signatures and their parity sketches
-(a lower bound of the difference of two sets) are close enough.
+(a lower bound of the difference of two sets) are close enough.  In the first rounds
+each set outside is compared with the closest of these partners alone, which joins most of
+a large group of near copies; the last round compares all pairs that are still
+in different components.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ STEP = 2048
 PART = 4096
 #: Pairs whose signatures a task compares at once.
 PAIRS = 1 << 16
+#: Rounds in which each set outside its key's leading component is compared with its closest partner only.
+ROUNDS = 2
 #: A list of texts to fetch of up to so many rows (24 bytes each) is broadcast.
 BROADCAST_ROWS = 1 << 20
 
@@ -217,12 +222,14 @@ def _near_pairs(pairs: DataFrame, known: DataFrame, near: Nearness) -> DataFrame
     return pairs.select("a", "b", *words).mapInArrow(test, "a long, b long")
 
 
-def _crossing(postings: DataFrame, groups: DataFrame, known: DataFrame, scratch: Scratch, near: Nearness) -> DataFrame:
+def _crossing(postings: DataFrame, groups: DataFrame, known: DataFrame, scratch: Scratch, near: Nearness, nearest: bool = False) -> DataFrame:
     """(a, b): sets of different components that share a key and pass ``near``.
 
     A key's sets outside its leading component (side 0) meet all of its sets
     (side 1) in a grid of salted parts of about PART sets each.  Parts stream
-    through the tasks in order.
+    through the tasks in order.  With ``nearest``, only the closest of these
+    partners of each set outside (by sketch, then name): one row a set, and none
+    at all only if there are no such pairs.
     """
     rows = postings.join(groups, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
     keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
@@ -234,7 +241,7 @@ def _crossing(postings: DataFrame, groups: DataFrame, known: DataFrame, scratch:
     minor = placed.where("minor").select("key", part.alias("one"), spread.alias("two"), F.lit(0).alias("side"), "sid", "component", "minor")
     every = placed.select("key", spread.alias("one"), part.alias("two"), F.lit(1).alias("side"), "sid", "component", "minor")
     count = len(known.columns) - 2
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), *([("apart", pa.int64())] if nearest else [])])
 
     def meet(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
@@ -244,10 +251,19 @@ def _crossing(postings: DataFrame, groups: DataFrame, known: DataFrame, scratch:
         step = max(1, PAIRS // max(1, len(sid) - split))
         for at in range(0, split, step):
             left = np.arange(at, min(at + step, split))
-            fits = (component[left, None] != component[split:]) & (~outside[split:] | (sid[left, None] < sid[split:]))
+            fits = component[left, None] != component[split:]
+            if not nearest:
+                fits &= ~outside[split:] | (sid[left, None] < sid[split:])
             i, j = np.nonzero(fits)
             i, j = left[i], split + j
             keep = near(words[i], words[j], n[i], n[j])
+            if nearest:
+                i, j = i[keep], j[keep]
+                apart = np.bitwise_count(words[i, near.words:] ^ words[j, near.words:]).sum(axis=1, dtype=np.int64)
+                order = np.lexsort((sid[j], apart, i))
+                best = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[i[best]]), pa.array(sid[j[best]]), pa.array(apart[best])], schema=kind)
+                continue
             one, other = sid[i[keep]], sid[j[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], schema=kind)
 
@@ -270,8 +286,11 @@ def _crossing(postings: DataFrame, groups: DataFrame, known: DataFrame, scratch:
             yield from meet(held)
 
     dealt = minor.unionByName(every).join(known, "sid").select("key", "one", "two", "side", "sid", "component", "minor", *known.columns[1:])
-    return (dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "side")
-            .mapInArrow(stream, "a long, b long").distinct())
+    dealt = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "side")
+    if not nearest:
+        return dealt.mapInArrow(stream, "a long, b long").distinct()
+    closest = dealt.mapInArrow(stream, "a long, b long, apart long").groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    return closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, slots: int = SLOTS, bits: int = BITS, chunks: int = CHUNKS,
@@ -307,11 +326,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, slots: in
     linked = f"100 * overlap >= {percent} * (size_a + size_b - overlap)"
     links = scratch.write(exact_overlaps(led, docs, sets, Scratch(scratch.spark, "minhash-led"), size).where(linked).select("a", "b"), "led")
     groups = connected_components(links, scratch, "first").withColumnRenamed("node", "sid")
-    crossing = scratch.write(_crossing(postings, groups, known, scratch, near), "crossing")
-    if not crossing.isEmpty():
-        rest = exact_overlaps(crossing, docs, sets, Scratch(scratch.spark, "minhash-rest"), size).where(linked).select("a", "b")
-        groups = connected_components(links.unionByName(rest), scratch, "all").withColumnRenamed("node", "sid")
-    scratch.drop("postings", "open", "crossing")
+    for step in range(ROUNDS + 1):
+        last = step == ROUNDS       # then every pair that is left
+        crossing = scratch.write(_crossing(postings, groups, known, scratch, near, not last), f"crossing{step}")
+        scratch.drop("open")
+        if crossing.isEmpty():
+            break
+        rest = exact_overlaps(crossing, docs, sets, Scratch(scratch.spark, f"minhash-rest{step}"), size).where(linked).select("a", "b")
+        links = scratch.write(links.unionByName(rest), f"links{step}")
+        groups = connected_components(links, scratch, f"all{step}").withColumnRenamed("node", "sid")
+    scratch.drop("postings", *[f"crossing{step}" for step in range(ROUNDS + 1)])
 
     of_set = sets.select("set_id", "sid").join(groups, "sid", "left").select("set_id", F.coalesce("component", "sid").alias("component"))
     named = rows.select("doc_id", "n", "set_id", *([] if key is None else ["key"])).join(of_set, "set_id", "left")
