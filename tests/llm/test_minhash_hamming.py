@@ -103,3 +103,15 @@ def test_signatures_estimate_similarity():
         one, other = np.concatenate([tokens[:340], tokens[340:370]]), np.concatenate([tokens[:340], tokens[370:]])
         apart.append((M.signature(one, *hashers, 8).view(np.uint8) != M.signature(other, *hashers, 8).view(np.uint8)).sum())
     assert abs(np.mean(apart) - 64 * 0.15 * 255 / 256) < 0.5 and max(apart) <= 23
+
+
+def test_large_group_of_near_copies_is_not_paired_as_a_whole(spark, monkeypatch):
+    """Sets that their leader does not link meet their closest partners first; the components are those of all pairs."""
+    from tabwise.llm import minhash_hamming
+    walk = [f"w{k}" for k in range(540)]
+    texts = [" ".join(walk[k:k + 300]) for k in range(240)]        # each is near some 24 on either side
+    compared, count = [], minhash_hamming.exact_overlaps
+    monkeypatch.setattr(minhash_hamming, "exact_overlaps", lambda pairs, *a: compared.append(pairs.count()) or count(pairs, *a))
+    got = minhash_hamming.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == components(texts)
+    assert max(compared) < 3 * len(texts), compared
