@@ -2,10 +2,12 @@
 
 Criteria ``absolute_error``, ``poisson``, ``squared_error`` and ``friedman_mse``
 for numbers, ``gini``, ``entropy`` and ``log_loss`` for classes, each with any
-``min_samples_split``.  One job handles the nodes of a level, of all trees
-together: tasks walk their rows down the trees so far and add up sufficient
-statistics by (node, feature, bin), Spark sums these, and each (node, feature)
-finds its best cut.  Only cuts reach the driver, which holds the model.
+``min_samples_split``.  One job handles the nodes of a level, of all trees and all
+wanted criteria together: tasks walk their rows down the trees so far and add up
+sufficient statistics by (node, feature, bin), Spark sums these, and each (node,
+feature) finds its best cut.  Nodes of the same rows share their statistics between
+criteria, each of which chooses its own cut from them.  Only cuts reach the driver,
+which holds the model.
 
 * A feature with at most ``max_bins`` distinct values can be cut between any two
   of them, halfway between the node's own neighbours, as in an exact tree;
@@ -24,13 +26,14 @@ finds its best cut.  Only cuts reach the driver, which holds the model.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,7 @@ from tabwise.functions.columns import quoted
 from tabwise.session import materialize
 
 CELLS = 1 << 22
+BLOCK = 1 << 17
 CLASS_CRITERIA = ("gini", "entropy", "log_loss")
 NUMBER_CRITERIA = ("squared_error", "friedman_mse", "poisson", "absolute_error")
 # P(Poisson(1) <= k)
@@ -145,13 +149,16 @@ class Tree:
 
 
 def _walk(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The leaf of each row of ``x``: left where its value is at most the node's ``cut``."""
-    node = np.zeros(len(x), np.int64)
-    open_rows = np.arange(len(x)) if feature[0] >= 0 else np.zeros(0, np.int64)
-    while len(open_rows):
-        at = node[open_rows]
-        node[open_rows] = np.where(x[open_rows, feature[at]] <= cut[at], left[at], right[at])
-        open_rows = open_rows[feature[node[open_rows]] >= 0]
+    """The leaf of each row, a column of ``x``: left where its value is at most the node's ``cut``."""
+    values, n = x.ravel(), x.shape[1]
+    node = np.zeros(n, np.int64)
+    rows, at = (np.arange(n), node) if feature[0] >= 0 else (node[:0], node[:0])
+    while len(rows):
+        at = np.where(values.take(feature[at] * n + rows) <= cut[at], left[at], right[at])
+        node[rows] = at
+        inner = feature[at] >= 0
+        if not inner.all():
+            rows, at = rows[inner], at[inner]
     return node
 
 
@@ -195,32 +202,66 @@ class TreeTable:
             trees.append((np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]),
                           np.array([r[5] for r in rows]), np.array([r[8] for r in rows], float)))
         shared = df.sparkSession.sparkContext.broadcast(trees)
-
-        @F.pandas_udf("array<double>")
-        def leaf_values(given: pd.Series) -> pd.Series:
-            x = np.stack(given.to_numpy()) if len(given) else np.zeros((0, 1))
-            total = sum(value[_walk(feature, cut, left, right, x)] for feature, cut, left, right, value in shared.value)
-            return pd.Series(list(total / len(shared.value)), dtype=object)
-
-        x = F.array(*[F.coalesce(F.nanvl(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0)) if c in df.columns else F.lit(0.0)
-                      for c in self.features])
-        out = df.withColumn("_values", leaf_values(x))
+        width = len(self.nodes[0][8])
+
+        def mean_leaf(*columns: pa.Array) -> pa.Array:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
+            mean = sum(value[_walk(feature, cut, left, right, x)] for feature, cut, left, right, value in shared.value) / len(shared.value)
+            if width == 1:
+                return pa.array(mean[:, 0])
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(mean) + 1, dtype=np.int32) * width), pa.array(mean.ravel()))
+
+        x = [F.coalesce(F.nanvl(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+             for c in self.features]
+        kind = "double" if width == 1 else "array<double>"
+        values = F.arrow_udf(mean_leaf, kind)(*x)
         if self.classes is None:
-            return out.withColumn("prediction", F.col("_values")[0]).drop("_values")
+            return df.withColumn("prediction", values)
+        out = df.withColumn("_values", F.array(values) if width == 1 else values)
         first_best = F.array_position("_values", F.array_max("_values")).cast("int")
         named = F.element_at(F.array(*[F.lit(float(c)) for c in self.classes]), first_best)
         return out.withColumn("probability", array_to_vector("_values")).withColumn("prediction", named).drop("_values")
 
 
 # --------------------------------------------------------------------------- training
-def cut_points(df: DataFrame, column: str, bins: int) -> tuple[list[float], list[float] | None]:
-    """(ascending cut points, distinct values if at most ``bins`` else None)."""
-    few = df.select(column).distinct().limit(bins + 1).collect()     # one more than wanted tells that there are too many
-    if len(few) <= bins:
-        values = sorted(r[0] for r in few)
-        return [_middle(a, b) for a, b in zip(values, values[1:])], values
-    quantiles = df.approxQuantile(column, [i / bins for i in range(1, bins)], 1 / (8 * bins))
-    return sorted(set(quantiles)), None
+def few_values(df: DataFrame, most: dict[str, int]) -> dict[str, list[float] | None]:
+    """The ascending distinct values of each column of doubles, or None if it has more than ``most``; one pass for all."""
+    columns = list(most)
+    kind = pa.schema([("column", pa.int32()), ("value", pa.float64())])
+
+    def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set | None] = [set() for _ in columns]
+        for batch in batches:
+            for i, name in enumerate(columns):
+                if seen[i] is not None:
+                    seen[i].update((pc.unique(batch.column(i)).to_numpy() + 0.0).tolist())       # -0.0 is 0.0
+                    if len(seen[i]) > most[name]:
+                        seen[i] = None
+        found = [(i, v) for i, values in enumerate(seen) for v in ([None] if values is None else values)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], schema=kind)
+
+    # at most ``most`` values of a column and task; NULL says that a task met more
+    by_column = df.select(*[quoted(c) for c in columns]).mapInArrow(distinct, "column int, value double").groupBy("column").agg(
+        F.count_if(F.col("value").isNull()).alias("many"), F.collect_set("value").alias("seen"))
+    rows = by_column.select("column", (F.col("many") > 0).alias("many"), F.slice(F.array_sort("seen"), 1, max(most.values()) + 1).alias("seen")).collect()
+    out = {columns[r["column"]]: None if r["many"] or len(r["seen"]) > most[columns[r["column"]]] else list(r["seen"]) for r in rows}
+    return {c: out.get(c, []) for c in columns}
+
+
+def cut_points(df: DataFrame, bins: dict[str, int]) -> dict[str, tuple[list[float], list[float] | None]]:
+    """For each column (ascending cut points, distinct values if at most ``bins`` else None)."""
+    out: dict[str, tuple[list[float], list[float] | None]] = {}
+    few = few_values(df, bins)
+    for number in sorted(set(bins.values())):       # columns of the same bins share a sketching pass
+        many = [c for c in bins if bins[c] == number and few[c] is None]
+        probabilities = [i / number for i in range(1, number)]
+        if many:
+            for c, quantiles in zip(many, df.approxQuantile(many, probabilities, 1 / (8 * number))):
+                out[c] = sorted(set(quantiles)), None
+    for c, values in few.items():
+        if values is not None:
+            out[c] = [_middle(a, b) for a, b in zip(values, values[1:])], values
+    return out
 
 
 def _middle(a: float, b: float) -> float:
@@ -239,59 +280,102 @@ def _weights(key: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) / 2**53, "right")
 
 
-def _level_cuts(binned: DataFrame, trees: list[Tree], slots: list[tuple[int, int]], bins: int, n_features: int,
-                criterion: Criterion, bootstrap: bool, seed: int) -> list:
-    """For each node of ``slots`` and feature: its best cut, gain, and the statistics of both sides."""
-    width = criterion.width
-    active: dict[int, np.ndarray] = {}
-    for slot, (tree, node) in enumerate(slots):
-        active.setdefault(tree, np.full(len(trees[tree].feature), -1))[node] = slot
-    paths = {t: (np.array(trees[t].feature), np.array(trees[t].bin), np.array(trees[t].left), np.array(trees[t].right)) for t in active}
-    shape = (len(slots), n_features, bins, width)
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of about BLOCK rows at a time."""
+    held, rows = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= BLOCK or (batch is None and rows):
+            yield {name: np.concatenate([b.column(i).to_numpy() for b in held]) for i, name in enumerate(held[0].schema.names)}
+            held, rows = [], 0
+
+
+@dataclass
+class Cells:
+    """Statistics that a job adds up: of some nodes of a tree, as weights by code or as moments."""
+
+    coded: bool
+    width: int
+    tree: int
+    path: int               #: place of the tree's nodes among the job's
+    nodes: list[int]
+    first: int              #: slot of the first node
+
+
+def _level_cuts(binned: DataFrame, rules: list[Criterion], forests: list[list[Tree]], wanted: list[tuple[int, int, int]], bins: int,
+                n_features: int, bootstrap: bool, seed: int) -> dict[tuple[int, int, int], list]:
+    """For each (rule, tree, node) of ``wanted``, by feature: its best cut, gain, and the statistics of both sides."""
+    # Trees cut alike so far have the same rows in nodes of the same number: walked once, and added up once a kind of statistics.
+    paths: dict[tuple, int] = {}
+    sums: dict[tuple, dict[int, list[int]]] = {}        # nodes, and the rules that want them
+    for rule, tree, node in wanted:
+        grown = forests[rule][tree]
+        path = paths.setdefault((tuple(grown.feature), tuple(grown.bin), tuple(grown.left), tuple(grown.right)), len(paths))
+        sums.setdefault((rules[rule].values is not None, rules[rule].width, tree, path), {}).setdefault(node, []).append(rule)
+    walks = [(np.array(f), np.array(cut, np.int16 if bins < 1 << 15 else np.int32), np.array(left), np.array(right)) for f, cut, left, right in paths]
+    parts, users = [], []
+    for of, nodes in sums.items():
+        parts.append(Cells(*of, list(nodes), len(users)))
+        users += [(of[2], node, users_of) for node, users_of in nodes.items()]
+    centre = next((r.centre for r in rules if r.values is None), 0.0)
     kind = pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("stat", pa.int32()), ("value", pa.float64())])
 
     def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(math.prod(shape))
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x = batch.column(2).flatten().to_numpy().reshape(n, n_features)
-            for tree, slot_of in active.items():
-                slot = slot_of[_walk(*paths[tree], x)]
-                weight = _weights(key, seed, tree) if bootstrap else np.ones(n, np.int64)
+        shapes = [(len(p.nodes), n_features, bins, p.width) for p in parts]
+        totals = [np.zeros(math.prod(shape)) for shape in shapes]
+        slots = []
+        for p in parts:
+            slot_of = np.full(len(walks[p.path][0]), -1)
+            slot_of[p.nodes] = range(len(p.nodes))
+            slots.append(slot_of)
+        for block in _blocks(batches):
+            x = np.stack([block[f"x{f}"] for f in range(n_features)])
+            at_node = [_walk(*walk, x) for walk in walks]
+            for p, slot_of, total in zip(parts, slots, totals):
+                slot = slot_of[at_node[p.path]]
+                weight = _weights(block["key"], seed, p.tree) if bootstrap else np.ones(len(slot), np.int64)
                 used = np.flatnonzero((slot >= 0) & (weight > 0))
-                w, label = weight[used].astype(float), y[used]
+                place, w = slot[used] * (n_features * bins * p.width), weight[used].astype(float)
+                if p.coded:
+                    stats = [(w, 1 + block["code"][used].astype(np.int64))]
+                else:
+                    label = block["y"][used] - centre
+                    stats = [(w, 1), (w * label, 2), (w * label * label, 3)]
                 for f in range(n_features):
-                    at = ((slot[used] * n_features + f) * bins + x[used, f]) * width
-                    np.add.at(sums, at, 1.0)
-                    if criterion.values is None:
-                        for stat, v in enumerate((w, w * label, w * label * label), 1):
-                            np.add.at(sums, at + stat, v)
-                    else:
-                        np.add.at(sums, at + 1 + label.astype(np.int64), w)
-        for place in np.array_split(np.flatnonzero(sums), max(1, np.count_nonzero(sums) >> 16)):
-            columns = [pa.array(c.astype(np.int32)) for c in np.unravel_index(place, shape)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[place])], schema=kind)
-
-    found = pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("cut", pa.int32()), ("next", pa.int32()), ("gain", pa.float64()),
-                       ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
+                    at = place + (f * bins + x[f][used].astype(np.int64)) * p.width
+                    np.add.at(total, at, 1.0)
+                    for v, stat in stats:
+                        np.add.at(total, at + stat, v)
+        for p, shape, total in zip(parts, shapes, totals):
+            for place in np.array_split(np.flatnonzero(total), max(1, np.count_nonzero(total) >> 16)):
+                slot, *rest = (c.astype(np.int32) for c in np.unravel_index(place, shape))
+                yield pa.RecordBatch.from_arrays([pa.array(slot + np.int32(p.first)), *map(pa.array, rest), pa.array(total[place])], schema=kind)
+
+    found = pa.schema([("rule", pa.int32()), ("slot", pa.int32()), ("feature", pa.int32()), ("cut", pa.int32()), ("next", pa.int32()),
+                       ("gain", pa.float64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
 
     def choose(key: tuple, table: pa.Table) -> pa.Table:
-        stats = np.zeros((bins, width))
-        stats[table["bin"].to_numpy(), table["stat"].to_numpy()] = table["value"].to_numpy()
-        cut, gain = best_cut(stats, criterion)
-        low, high = stats[:cut + 1].sum(axis=0), stats[cut + 1:].sum(axis=0)
-        above = cut + 1 + int(np.argmax(stats[cut + 1:, 0] > 0))       # the next bin with rows of the node
-        return pa.Table.from_pylist([{"slot": key[0].as_py(), "feature": key[1].as_py(), "cut": cut, "next": above, "gain": gain,
-                                      "low": low.tolist(), "high": high.tolist()}], schema=found)
+        slot, rows = key[0].as_py(), []
+        for rule in users[slot][2]:
+            stats = np.zeros((bins, rules[rule].width))
+            stats[table["bin"].to_numpy(), table["stat"].to_numpy()] = table["value"].to_numpy()
+            cut, gain = best_cut(stats, rules[rule])
+            low, high = stats[:cut + 1].sum(axis=0), stats[cut + 1:].sum(axis=0)
+            above = cut + 1 + int(np.argmax(stats[cut + 1:, 0] > 0))       # the next bin with rows of the node
+            rows.append({"rule": rule, "slot": slot, "feature": key[1].as_py(), "cut": cut, "next": above, "gain": gain,
+                         "low": low.tolist(), "high": high.tolist()})
+        return pa.Table.from_pylist(rows, schema=found)
 
     # placed once by (slot, feature): sums and cuts need no other shuffle
     cells = binned.mapInArrow(add_up, "slot int, feature int, bin int, stat int, value double").repartition("slot", "feature")
-    sums = cells.groupBy("slot", "feature", "bin", "stat").agg(F.sum("value").alias("value"))
-    cuts = sums.groupBy("slot", "feature").applyInArrow(choose, "slot int, feature int, cut int, next int, gain double, low array<double>, high array<double>")
-    return cuts.collect()       # one row a node and feature, of at most CELLS statistics in all
+    added = cells.groupBy("slot", "feature", "bin", "stat").agg(F.sum("value").alias("value"))
+    cuts = added.groupBy("slot", "feature").applyInArrow(choose, "rule int, slot int, feature int, cut int, next int, gain double, low array<double>, high array<double>")
+    out: dict[tuple[int, int, int], list] = {}
+    for r in cuts.collect():       # one row a rule, node and feature, of at most CELLS statistics in all
+        out.setdefault((r["rule"], *users[r["slot"]][:2]), []).append(r)
+    return out
 
 
 def _pick(rows: list, criterion: Criterion, tree: int, node: int, wanted: int, n_features: int, seed: int):
@@ -306,17 +390,23 @@ def _pick(rows: list, criterion: Criterion, tree: int, node: int, wanted: int, n
     return by_feature[usable[int(np.argmax(np.round(np.array([by_feature[f]["gain"] for f in usable]) / scale, 9)))]]
 
 
-def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str, n_estimators: int = 1, max_depth: int | None = None,
-              min_samples_split: int = 2, max_features: int | None = None, id_cols: list[str] | None = None,
-              max_bins: int = 64, label_bins: int = 256, seed: int = 42) -> TreeTable:
+def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str | Sequence[str], n_estimators: int = 1,
+              max_depth: int | None = None, min_samples_split: int = 2, max_features: int | None = None,
+              id_cols: list[str] | None = None, max_bins: int = 64, label_bins: int = 256,
+              seed: int = 42) -> TreeTable | dict[str, TreeTable]:
     """Fit one tree on all rows, or with ``id_cols`` a forest of ``n_estimators`` bootstrap trees.
 
+    Several criteria are fitted in the same passes over the rows, and give a model each, by name.
     ``max_features``: features drawn for each node (all by default).  ``max_depth=None``
     grows until nodes are pure or smaller than ``min_samples_split``.  Rows without a
     label, and missing features, are errors, as are negative labels with ``poisson``.
     """
-    if criterion not in CLASS_CRITERIA + NUMBER_CRITERIA:
-        raise PipelineError(f"No such tree criterion: {criterion}")
+    criteria = [criterion] if isinstance(criterion, str) else list(dict.fromkeys(criterion))
+    for name in criteria:
+        if name not in CLASS_CRITERIA + NUMBER_CRITERIA:
+            raise PipelineError(f"No such tree criterion: {name}")
+    if not criteria or len({name in CLASS_CRITERIA for name in criteria}) > 1:
+        raise PipelineError("Trees are fitted by criteria for numbers or for classes")
     if min_samples_split < 2 or n_estimators < 1:
         raise PipelineError("min_samples_split starts at 2 and n_estimators at 1")
     if n_estimators > 1 and not id_cols:
@@ -329,70 +419,92 @@ def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str, n_
                    *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"missing_{c}") for c in columns]).first()
     if not row["n"] or any(row[f"missing_{c}"] for c in columns):
         raise PipelineError("Trees need at least one row, and labels and features without missing values")
-    if criterion == "poisson" and (row["low"] < 0 or row["mean"] <= 0):
+    if "poisson" in criteria and (row["low"] < 0 or row["mean"] <= 0):
         raise PipelineError("The poisson criterion needs labels of 0 or more, and some above 0")
 
-    cuts, known = zip(*[cut_points(data, f"x{i}", max_bins) for i in range(len(features))])
+    by_class, by_code = criteria[0] in CLASS_CRITERIA, "absolute_error" in criteria
+    points = cut_points(data, {f"x{i}": max_bins for i in range(len(features))} | ({"y": label_bins} if by_code else {}))
+    cuts, known = zip(*[points[f"x{i}"] for i in range(len(features))])
     shared = [np.array(c) for c in cuts]
-    rule, classes = Criterion(criterion, None, float(row["mean"])), None
-    label_cuts = None
-    if criterion in CLASS_CRITERIA:
+    classes, label_cuts = None, None
+    if by_class:
         classes = sorted(r["y"] for r in data.select("y").distinct().collect())     # classes
-        rule, label_cuts = Criterion("gini" if criterion == "gini" else "entropy", np.array(classes)), np.array(classes[:-1])
-    elif criterion == "absolute_error":
-        points, values = cut_points(data, "y", label_bins)
-        label_cuts = np.array(points)
-        if values is None:
-            code = F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < F.col("y")))
-            means = {r["code"]: r["v"] for r in data.groupBy(code.alias("code")).agg(F.avg("y").alias("v")).collect()}
-            values = [means.get(i, points[min(i, len(points) - 1)]) for i in range(len(points) + 1)]
-        rule = Criterion(criterion, np.array(values))
-    centre = rule.centre
-    kind = pa.schema([("key", pa.int64()), ("y", pa.float64()), ("x", pa.list_(pa.int32()))])
+        label_cuts = np.array(classes[:-1])
+    elif by_code:
+        label_cuts = np.array(points["y"][0])
+    bins, bootstrap = 1 + max(len(c) for c in cuts), n_estimators > 1
+    step = np.int16 if bins < 1 << 15 else np.int32
+    kept = [*([("key", pa.int64())] if bootstrap else []), *([("y", pa.float64())] if not by_class else []),
+            *([("code", pa.int32())] if label_cuts is not None else []), *[(f"x{i}", pa.from_numpy_dtype(step)) for i in range(len(features))]]
+    kind = pa.schema(kept)
 
     def to_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column(1).to_numpy()
-            y = y - centre if label_cuts is None else np.searchsorted(label_cuts, y, "left").astype(float)
-            x = np.stack([np.searchsorted(c, batch.column(2 + i).to_numpy(), "left") for i, c in enumerate(shared)], axis=1)
-            ends = np.arange(len(y) + 1, dtype=np.int32) * len(shared)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y), lists], schema=kind)
-
-    binned = materialize(data.mapInArrow(to_bins, "key long, y double, x array<int>"))
-    bins, wanted = 1 + max(len(c) for c in cuts), min(max_features or len(features), len(features))
-    trees = [Tree() for _ in range(n_estimators)]
-    level, depth = [(t, 0) for t in range(n_estimators)], 0
-    nodes_a_job = max(1, CELLS // (len(features) * bins * rule.width))
+            out = {"key": batch.column(0), "y": batch.column(1)}
+            if label_cuts is not None:
+                out["code"] = pa.array(np.searchsorted(label_cuts, batch.column(1).to_numpy(), "left").astype(np.int32))
+            for i, c in enumerate(shared):
+                out[f"x{i}"] = pa.array(np.searchsorted(c, batch.column(2 + i).to_numpy(), "left").astype(step))
+            yield pa.RecordBatch.from_arrays([out[name] for name in kind.names], schema=kind)
+
+    types = {pa.int64(): "long", pa.float64(): "double", pa.int32(): "int", pa.int16(): "short"}
+    binned = materialize(data.mapInArrow(to_bins, ", ".join(f"{f.name} {types[f.type]}" for f in kind)))
+    rules = []
+    for name in criteria:
+        if by_class:
+            rules.append(Criterion("gini" if name == "gini" else "entropy", np.array(classes)))
+        elif name == "absolute_error":
+            label_points, values = points["y"]
+            if values is None:
+                means = {r["code"]: r["v"] for r in binned.groupBy("code").agg(F.avg("y").alias("v")).collect()}
+                values = [means.get(i, label_points[min(i, len(label_points) - 1)]) for i in range(len(label_points) + 1)]
+            rules.append(Criterion(name, np.array(values)))
+        else:
+            rules.append(Criterion(name, None, float(row["mean"])))
+
+    take = min(max_features or len(features), len(features))
+    forests = [[Tree() for _ in range(n_estimators)] for _ in rules]
+    level, depth = [(r, t, 0) for r in range(len(rules)) for t in range(n_estimators)], 0
     while level and (max_depth is None or depth < max_depth):
-        below: list[tuple[int, int]] = []
-        for start in range(0, len(level), nodes_a_job):
-            slots = level[start:start + nodes_a_job]
-            found: dict[int, list] = {}
-            for r in _level_cuts(binned, trees, slots, bins, len(features), rule, n_estimators > 1, seed):
-                found.setdefault(r["slot"], []).append(r)
-            for slot, rows in sorted(found.items()):
-                tree, node = slots[slot]
-                grown = trees[tree]
+        below: list[tuple[int, int, int]] = []
+        for wanted in _jobs(level, [len(features) * bins * rule.width for rule in rules]):
+            found = _level_cuts(binned, rules, forests, wanted, bins, len(features), bootstrap, seed)
+            for (r, tree, node), rows in sorted(found.items()):
+                rule, grown = rules[r], forests[r][tree]
                 if node == 0:
                     grown.stats[0] = np.array(rows[0]["low"]) + np.array(rows[0]["high"])
                     if grown.stats[0][0] < min_samples_split or rule.pure(grown.stats[0]):
                         continue
-                best = _pick(rows, rule, tree, node, wanted, len(features), seed)
+                best = _pick(rows, rule, tree, node, take, len(features), seed)
                 if best is None:
                     continue
                 sides = [np.array(best["low"]), np.array(best["high"])]
                 f, values = best["feature"], known[best["feature"]]
                 threshold = _middle(values[best["cut"]], values[best["next"]]) if values else cuts[f][best["cut"]]
                 new = grown.cut(node, f, best["cut"], threshold, best["gain"], sides)
-                below += [(tree, n) for n, s in zip(new, sides) if s[0] >= min_samples_split and not rule.pure(s)]
+                below += [(r, tree, n) for n, s in zip(new, sides) if s[0] >= min_samples_split and not rule.pure(s)]
         level, depth = below, depth + 1
 
-    sampled = [g for g in trees if g.stats[0] is not None]      # a small table can leave a tree without rows
-    if not sampled:
-        raise PipelineError("No tree has drawn a row")
-    nodes = [(t, n, g.feature[n], g.threshold[n], g.left[n], g.right[n], int(g.stats[n][0]), float(g.gain[n]), rule.leaf(g.stats[n]))
-             for t, g in enumerate(sampled) for n in range(len(g.feature))]
-    return TreeTable(list(features), label, classes, nodes,
-                     {"criterion": criterion, "n_estimators": n_estimators, "max_depth": max_depth,
-                      "min_samples_split": min_samples_split, "max_features": max_features})
+    models = {}
+    for name, rule, forest in zip(criteria, rules, forests):
+        sampled = [g for g in forest if g.stats[0] is not None]      # a small table can leave a tree without rows
+        if not sampled:
+            raise PipelineError("No tree has drawn a row")
+        nodes = [(t, n, g.feature[n], g.threshold[n], g.left[n], g.right[n], int(g.stats[n][0]), float(g.gain[n]), rule.leaf(g.stats[n]))
+                 for t, g in enumerate(sampled) for n in range(len(g.feature))]
+        models[name] = TreeTable(list(features), label, classes, nodes,
+                                 {"criterion": name, "n_estimators": n_estimators, "max_depth": max_depth,
+                                  "min_samples_split": min_samples_split, "max_features": max_features})
+    return models[criterion] if isinstance(criterion, str) else models
+
+
+def _jobs(level: list[tuple[int, int, int]], cells: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """The nodes of a level by job: at most CELLS statistics, or one node."""
+    part, held = [], 0
+    for item in level:
+        if part and held + cells[item[0]] > CELLS:
+            yield part
+            part, held = [], 0
+        part.append(item)
+        held += cells[item[0]]
+    yield part

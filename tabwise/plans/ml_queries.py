@@ -255,8 +255,8 @@ def q_price_tree_criteria(spark, sf_dir):
     res = price(spark, sf_dir)
     train = res.split.where(F.col("split") == "train")
     tables = {}
-    for criterion in TR.NUMBER_CRITERIA:
-        model = TR.fit_trees(train, res.features, "l_extendedprice", criterion, max_depth=6, min_samples_split=100)
+    models = TR.fit_trees(train, res.features, "l_extendedprice", TR.NUMBER_CRITERIA, max_depth=6, min_samples_split=100)
+    for criterion, model in models.items():
         scored = model.transform(res.split).withColumn("label", F.col("l_extendedprice"))
         tables[criterion] = ME.mae(scored, "label", "prediction", ["split"])
     return _r(TU.comparison_table(tables, "mae", descending=False).withColumnRenamed("model", "criterion")

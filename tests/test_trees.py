@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
 from tabwise.operators import trees as TR
+from tests.conftest import SF_SMALL
 
 
 def _cost(y, criterion):
@@ -127,3 +128,46 @@ def test_one_row_constant_columns_missing_values_and_wrong_labels(spark):
         TR.fit_trees(one, ["a"], "y", "gain")
     with pytest.raises(PipelineError):
         TR.fit_trees(one, ["a"], "y", "gini", n_estimators=3)
+
+
+def test_criteria_share_the_passes_and_give_the_models_of_separate_fits(spark, monkeypatch):
+    x, y = _data(400, 3)
+    df = _frame(spark, x, y).repartition(3).cache()
+    passes = []
+    level_cuts = TR._level_cuts
+    monkeypatch.setattr(TR, "_level_cuts", lambda *a: passes.append(len(a[3])) or level_cuts(*a))
+    args = dict(max_depth=4, min_samples_split=20, max_bins=128)
+    together = TR.fit_trees(df, ["a", "b", "c.d"], "y", TR.NUMBER_CRITERIA, **args)
+    assert list(together) == list(TR.NUMBER_CRITERIA) and len(passes) == 4       # one for each level
+    for criterion in TR.NUMBER_CRITERIA:
+        assert _same(_nested(together[criterion]), _grow(x, y, criterion, 4, 20))
+    classes = df.withColumn("y", F.least(F.floor(F.col("y") / 6), F.lit(2)).cast("double"))
+    del passes[:]
+    both = TR.fit_trees(classes, ["a", "b", "c.d"], "y", ("gini", "entropy"), 3, 3, id_cols=["id"])
+    assert len(passes) == 3
+    for criterion, model in both.items():
+        alone = TR.fit_trees(classes, ["a", "b", "c.d"], "y", criterion, 3, 3, id_cols=["id"])
+        assert [n[:3] + n[4:7] for n in model.nodes] == [n[:3] + n[4:7] for n in alone.nodes]
+    for wrong in ((), ("gini", "poisson"), ("poisson", "gain")):
+        with pytest.raises(PipelineError):
+            TR.fit_trees(df, ["a"], "y", wrong)
+
+
+def test_price_tree_criteria_reads_the_rows_once_a_level(spark, monkeypatch):
+    from tabwise.plans import ml_queries as Q
+
+    passes = []
+    level_cuts = TR._level_cuts
+    monkeypatch.setattr(TR, "_level_cuts", lambda *a: passes.append(1) or level_cuts(*a))
+    rows = Q.q_price_tree_criteria(spark, SF_SMALL).collect()
+    assert {(r.criterion, r.split) for r in rows} == {(c, s) for c in TR.NUMBER_CRITERIA for s in ("train", "test")}
+    assert len(passes) <= 6      # 24 when each criterion was fitted on its own
+
+
+def test_few_values_across_tasks(spark):
+    df = spark.range(1000, numPartitions=5).select(
+        (F.col("id") % 7).cast("double").alias("a"), (F.col("id") / 100).alias("many"),
+        F.floor(F.col("id") / 100).cast("double").alias("ten"), F.when(F.col("id") < 500, -0.0).otherwise(0.0).alias("zero"))
+    got = TR.few_values(df, {"a": 7, "many": 7, "ten": 9, "zero": 7})
+    assert got == {"a": [float(v) for v in range(7)], "many": None, "ten": None, "zero": [0.0]}   # two or three of ten in a task
+    assert TR.few_values(df, {"ten": 10})["ten"] == [float(v) for v in range(10)]
