@@ -19,24 +19,25 @@ Parameter mapping from the scikit-learn originals:
   ``friedman_mse`` amounts to (its gain is the drop in the sum of squares);
   ``poisson`` is fitted by ``trees.fit_trees``.  For
   ``absolute_error`` the forest is grown on variance and each leaf then
-  predicts the (approximate, rank error ≤ 1e-3) median of its training labels
-  instead of the mean — see ``LeafMedianForest``.
+  predicts the (lower) median of its training labels instead of the
+  mean — see ``LeafMedianForest``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwise.errors import PipelineError
@@ -245,19 +246,22 @@ def leaf_mean(spark: SparkSession, leaves: list[list[float]]):
     """Column function: mean over trees of ``leaves[tree][number]`` for an array of leaf numbers (NULL stays NULL)."""
     shared = spark.sparkContext.broadcast([np.asarray(values, float) for values in leaves])
 
-    @F.pandas_udf("double")
-    def mean_of_leaves(numbers: pd.Series) -> pd.Series:
+    def mean_of_leaves(numbers: pa.Array) -> pa.Array:
         out = np.full(len(numbers), np.nan)
-        known = numbers.notna().to_numpy()
+        known = numbers.is_valid().to_numpy(zero_copy_only=False)
         if known.any():
-            at = np.stack(numbers[known].to_numpy()).astype(np.int64)
+            at = numbers.flatten().to_numpy().reshape(int(known.sum()), -1).astype(np.int64)
             out[known] = sum(values[at[:, tree]] for tree, values in enumerate(shared.value)) / len(shared.value)
-        return pd.Series(out).where(known, None)
+        return pa.array(out, mask=~known)
 
+    mean_of_leaves = F.arrow_udf(mean_of_leaves, "double")
     return mean_of_leaves
 
 
-LEAF_MEDIAN_ACCURACY = 1000   # percentile_approx: rank error ≤ 0.1 % of the leaf size
+LEAF_BUCKETS = 128      #: buckets of the label in which a leaf's rows are counted
+LEAF_CELLS = 1 << 21    #: counts of a task
+LEAF_MEDIAN_ACCURACY = 1000     #: percentile_approx: rank error ≤ 0.1 % of the leaf size
+LEAF_ROWS = 1 << 22     #: rows, over all leaves, from which medians are picked
 
 
 def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estimators: int = 200,
@@ -282,22 +286,114 @@ def fit_forest_regressor(df: DataFrame, features: list[str], label: str, n_estim
                   {"n_estimators": n_estimators, "criterion": criterion, "max_depth": max_depth})
     if criterion != "absolute_error":
         return LeafMedianForest(fitted, None)
-    train = fitted.transform(df)
-    # Thousands of (tree, leaf) sketches per task would exceed the object-hash aggregate's
-    # default key limit (128) and force a sort of rows × trees; keep hashing up to 64 Ki
-    # keys per task (the sort-based path still takes over beyond that, spill-safe).
-    with session_conf(df.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536"):
-        per_leaf = (train.select(quoted(label).cast("double").alias("y"),
-                                 F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-                    .withColumn("leaf", F.col("leaf").cast("int"))
-                    .groupBy("tree", "leaf")
-                    .agg(F.percentile_approx("y", 0.5, LEAF_MEDIAN_ACCURACY).alias("value")))
-        by_tree = per_leaf.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("leaf", "value"))).alias("leaves"))
-        rows = {r["tree"]: r["leaves"] for r in by_tree.collect()}   # one row a tree: model
-    leaves = []
-    for tree in range(n_estimators):
-        values = [math.nan] * (rows[tree][-1]["leaf"] + 1)
-        for leaf in rows[tree]:
-            values[leaf["leaf"]] = leaf["value"]
-        leaves.append(values)
+    train = fitted.transform(df).select(quoted(label).cast("double").alias("y"), vector_to_array("_leaf").alias("leaf"))
+    leaves = leaf_medians(train, [(tree.numNodes + 1) // 2 for tree in fitted.estimator.trees])
     return LeafMedianForest(fitted, leaves)
+
+
+def leaf_medians(rows: DataFrame, sizes: list[int]) -> list[list[float]]:
+    """The lower median ``y`` of the rows in each leaf; NaN in leaves without rows.
+
+    ``rows``: y, and ``leaf`` with each tree's leaf number; ``sizes``: leaves by tree.
+    Exact in trees whose counts fit LEAF_CELLS numbers a task; they are taken together
+    as far as these fit.  In larger ones, with a rank error of at most 0.1 % of a leaf.
+    """
+    out: list[list[float]] = []
+    while len(out) < len(sizes):
+        start = len(out)
+        exact = sizes[start] * LEAF_BUCKETS <= LEAF_CELLS
+        end = start + 1
+        while end < len(sizes) and (sizes[end] * LEAF_BUCKETS <= LEAF_CELLS) == exact and (
+                not exact or sum(sizes[start:end + 1]) * LEAF_BUCKETS <= LEAF_CELLS):
+            end += 1
+        found = (_few_leaf_medians if exact else _many_leaf_medians)(rows, start, sizes[start:end])
+        for size in sizes[start:end]:
+            out.append(found[:size])
+            found = found[size:]
+    return out
+
+
+def _many_leaf_medians(rows: DataFrame, first: int, sizes: list[int]) -> list[float]:
+    """A sketch for each leaf, which keeps a leaf of very many rows small."""
+    # Thousands of sketches per task would exceed the object-hash aggregate's default key limit (128) and force a sort of
+    # rows × trees; keep hashing up to 64 Ki keys per task (the sort-based path still takes over beyond that, spill-safe).
+    with session_conf(rows.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536"):
+        per_leaf = (rows.select("y", F.posexplode(F.slice("leaf", first + 1, len(sizes))).alias("tree", "leaf"))
+                    .groupBy("tree", F.col("leaf").cast("int").alias("leaf"))
+                    .agg(F.percentile_approx("y", 0.5, LEAF_MEDIAN_ACCURACY).alias("value")))
+        found = per_leaf.groupBy("tree").agg(F.collect_list(F.struct("leaf", "value")).alias("leaves")).collect()    # one row a tree: model
+    base, medians = np.cumsum([0, *sizes[:-1]]), np.full(sum(sizes), math.nan)
+    for r in found:
+        for leaf in r["leaves"]:
+            medians[base[r["tree"]] + leaf["leaf"]] = leaf["value"]
+    return medians.tolist()
+
+
+def _few_leaf_medians(rows: DataFrame, first: int, sizes: list[int]) -> list[float]:
+    """Each leaf's rows are counted in buckets of the label, then in buckets of the one that holds the middle row, until
+    few rows are left in all these; the middle ones are picked from them."""
+    spark, groups = rows.sparkSession, sum(sizes)
+    base = np.cumsum([0, *sizes[:-1]])
+    rows = rows.coalesce(2 * spark.sparkContext.defaultParallelism)     # every task hands on its counts
+    cuts = np.array(sorted(set(rows.approxQuantile("y", [i / LEAF_BUCKETS for i in range(1, LEAF_BUCKETS)], 1 / (8 * LEAF_BUCKETS)))))
+    low, high = np.full(groups, -math.inf), np.full(groups, math.inf)       # of the bucket that holds the middle row
+    want = np.zeros(groups, np.int64)                                       # its place among the rows of the bucket
+
+    def in_buckets(batches: Iterable[pa.RecordBatch], code: bool = False) -> Iterator[tuple]:
+        """(leaf, label, bucket by the cuts if ``code``) of the rows in their leaf's bucket, tree by tree."""
+        for batch in batches:
+            y, leaf = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            coded = np.searchsorted(cuts, y, "left") if code else None
+            for tree, start in enumerate(base, first):
+                group = leaf[:, tree].astype(np.int64) + start
+                inside = np.flatnonzero((y >= low[group]) & (y <= high[group]) & (low[group] < high[group]))
+                yield group[inside], y[inside], coded[inside] if code else None
+
+    kind = pa.schema([("leaf", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, least, most = np.zeros(groups * LEAF_BUCKETS, np.int64), np.full(groups * LEAF_BUCKETS, math.inf), np.full(groups * LEAF_BUCKETS, -math.inf)
+        for group, y, bucket in in_buckets(batches, code=not np.isfinite(low).any()):
+            if bucket is None:
+                bucket = np.minimum(((y - low[group]) / (high[group] - low[group]) * LEAF_BUCKETS).astype(np.int64), LEAF_BUCKETS - 1)
+            at = group * LEAF_BUCKETS + bucket
+            np.add.at(n, at, 1)
+            np.minimum.at(least, at, y)
+            np.maximum.at(most, at, y)
+        for at in np.array_split(np.flatnonzero(n), max(1, np.count_nonzero(n) >> 16)):
+            group, bucket = np.divmod(at.astype(np.int32), np.int32(LEAF_BUCKETS))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (group, bucket, n[at], least[at], most[at])], schema=kind)
+
+    by_label = Window.partitionBy("leaf").orderBy("bucket")
+    while True:
+        wanted = spark.createDataFrame(pa.table({"leaf": np.arange(groups, dtype=np.int32), "want": want}))
+        cells = (rows.mapInArrow(count, "leaf int, bucket int, n bigint, low double, high double")
+                 .groupBy("leaf", "bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+                 .withColumn("upto", F.sum("n").over(by_label)).withColumn("all", F.sum("n").over(Window.partitionBy("leaf")))
+                 .join(F.broadcast(wanted), "leaf")
+                 .withColumn("want", F.when(F.col("want") > 0, F.col("want")).otherwise(F.expr("(all + 1) div 2")))
+                 .where("upto >= want AND upto - n < want"))
+        found = cells.select("leaf", "n", "low", "high", (F.col("want") - (F.col("upto") - F.col("n"))).alias("want")).collect()   # one row a leaf
+        for r in found:
+            low[r["leaf"]], high[r["leaf"]], want[r["leaf"]] = r["low"], r["high"], r["want"]
+        # leaves without rows, and those whose bucket has one value, are done
+        empty = ~np.isfinite(low)
+        high[empty] = low[empty]
+        left = sum(r["n"] for r in found if r["low"] < r["high"])
+        if left <= LEAF_ROWS:
+            break
+
+    picked = pa.schema([("leaf", pa.int32()), ("y", pa.float64())])
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, y, _ in in_buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(y)], schema=picked)
+
+    medians = np.where(np.isfinite(low), low, math.nan)
+    if left:
+        wanted = spark.createDataFrame(pa.table({"leaf": np.arange(groups, dtype=np.int32), "want": want}))
+        ranked = (rows.mapInArrow(pick, "leaf int, y double").groupBy("leaf", "y").agg(F.count(F.lit(1)).alias("n"))
+                  .withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("y"))).join(F.broadcast(wanted), "leaf"))
+        for r in ranked.where("upto >= want").groupBy("leaf").agg(F.min("y").alias("y")).collect():     # one row a leaf
+            medians[r["leaf"]] = r["y"]
+    return medians.tolist()

@@ -19,6 +19,8 @@ which holds the model.
   node whose best cut gains nothing is still cut, as long as it is not pure.
 * Statistics of a job are bounded by CELLS numbers a task: levels with more
   nodes than fit take several jobs.
+* Binned rows are written once, as blocks of arrays: handing rows to Python one by
+  one costs more than all that a level does with them.
 * Bootstrap weights are Poisson numbers drawn from a hash of the row's id, so a
   task that runs again draws the same.  ``min_samples_split`` counts rows drawn,
   once each.
@@ -26,14 +28,12 @@ which holds the model.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +43,9 @@ from tabwise.functions.columns import quoted
 from tabwise.session import materialize
 
 CELLS = 1 << 22
-BLOCK = 1 << 17
+# Binned rows are kept in blocks of about so many bytes, a block a row of a table.
+BLOCK = 1 << 20
+BLOCK_ROWS = 1 << 16
 CLASS_CRITERIA = ("gini", "entropy", "log_loss")
 NUMBER_CRITERIA = ("squared_error", "friedman_mse", "poisson", "absolute_error")
 # P(Poisson(1) <= k)
@@ -224,34 +226,23 @@ class TreeTable:
 
 
 # --------------------------------------------------------------------------- training
-def few_values(df: DataFrame, most: dict[str, int]) -> dict[str, list[float] | None]:
-    """The ascending distinct values of each column of doubles, or None if it has more than ``most``; one pass for all."""
-    columns = list(most)
-    kind = pa.schema([("column", pa.int32()), ("value", pa.float64())])
+def few_values(df: DataFrame, most: dict[str, int], about: dict[str, int]) -> dict[str, list[float] | None]:
+    """The ascending distinct values of each column of doubles, or None if it has more than ``most``; one pass for all.
 
-    def distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[set | None] = [set() for _ in columns]
-        for batch in batches:
-            for i, name in enumerate(columns):
-                if seen[i] is not None:
-                    seen[i].update((pc.unique(batch.column(i)).to_numpy() + 0.0).tolist())       # -0.0 is 0.0
-                    if len(seen[i]) > most[name]:
-                        seen[i] = None
-        found = [(i, v) for i, values in enumerate(seen) for v in ([None] if values is None else values)]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], schema=kind)
-
-    # at most ``most`` values of a column and task; NULL says that a task met more
-    by_column = df.select(*[quoted(c) for c in columns]).mapInArrow(distinct, "column int, value double").groupBy("column").agg(
-        F.count_if(F.col("value").isNull()).alias("many"), F.collect_set("value").alias("seen"))
-    rows = by_column.select("column", (F.col("many") > 0).alias("many"), F.slice(F.array_sort("seen"), 1, max(most.values()) + 1).alias("seen")).collect()
-    out = {columns[r["column"]]: None if r["many"] or len(r["seen"]) > most[columns[r["column"]]] else list(r["seen"]) for r in rows}
-    return {c: out.get(c, []) for c in columns}
-
-
-def cut_points(df: DataFrame, bins: dict[str, int]) -> dict[str, tuple[list[float], list[float] | None]]:
+    ``about``: estimated numbers of values.  Columns far above ``most`` are not looked
+    at, so a task keeps few values; the others are counted exactly.
+    """
+    near = [c for c in most if about[c] <= 2 * most[c]]
+    if not near:
+        return {c: None for c in most}
+    row = df.agg(*[F.collect_set(quoted(c) + 0.0).alias(f"v{i}") for i, c in enumerate(near)]).first()      # -0.0 is 0.0
+    return {c: None for c in most} | {c: sorted(row[i]) for i, c in enumerate(near) if len(row[i]) <= most[c]}
+
+
+def cut_points(df: DataFrame, bins: dict[str, int], about: dict[str, int]) -> dict[str, tuple[list[float], list[float] | None]]:
     """For each column (ascending cut points, distinct values if at most ``bins`` else None)."""
     out: dict[str, tuple[list[float], list[float] | None]] = {}
-    few = few_values(df, bins)
+    few = few_values(df, bins, about)
     for number in sorted(set(bins.values())):       # columns of the same bins share a sketching pass
         many = [c for c in bins if bins[c] == number and few[c] is None]
         probabilities = [i / number for i in range(1, number)]
@@ -280,16 +271,59 @@ def _weights(key: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) / 2**53, "right")
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of about BLOCK rows at a time."""
-    held, rows = [], 0
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= BLOCK or (batch is None and rows):
-            yield {name: np.concatenate([b.column(i).to_numpy() for b in held]) for i, name in enumerate(held[0].schema.names)}
-            held, rows = [], 0
+def _small(most: int) -> type:
+    """The least unsigned type for numbers up to ``most``."""
+    return next(t for t in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(t).max)
+
+
+@dataclass
+class Layout:
+    """What a block of binned rows holds of each row: the kind of its key, label, label code (None: not kept) and bins."""
+
+    key: type | None
+    y: type | None
+    code: type | None
+    x: type
+    n_features: int
+
+    @property
+    def kinds(self) -> dict[str, type]:
+        return {name: kind for name in ("key", "y", "code", "x") if (kind := getattr(self, name)) is not None}
+
+    @property
+    def schema(self) -> str:
+        return ", ".join(f"{name} binary" for name in self.kinds)
+
+    @property
+    def rows(self) -> int:
+        width = sum(np.dtype(kind).itemsize * (self.n_features if name == "x" else 1) for name, kind in self.kinds.items())
+        return max(1, min(BLOCK_ROWS, BLOCK // width))
+
+    def write(self, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """One row, of ``columns`` by name (x: a row for each feature)."""
+        return pa.RecordBatch.from_pydict({name: pa.array([columns[name].astype(kind).tobytes()], pa.binary()) for name, kind in self.kinds.items()})
+
+    def read(self, batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = {name: np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, (name, kind) in enumerate(self.kinds.items())}
+                block["x"] = block["x"].reshape(self.n_features, -1)
+                yield block
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of ``rows`` rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        while n + batch.num_rows >= rows:
+            held.append(batch.slice(0, rows - n))
+            batch = batch.slice(rows - n)
+            yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(batch.num_columns)]
+            held, n = [], 0
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)]
 
 
 @dataclass
@@ -304,17 +338,18 @@ class Cells:
     first: int              #: slot of the first node
 
 
-def _level_cuts(binned: DataFrame, rules: list[Criterion], forests: list[list[Tree]], wanted: list[tuple[int, int, int]], bins: int,
-                n_features: int, bootstrap: bool, seed: int) -> dict[tuple[int, int, int], list]:
+def _level_cuts(binned: DataFrame, layout: Layout, rules: list[Criterion], forests: list[list[Tree]], wanted: list[tuple[int, int, int]],
+                bins: int, seed: int) -> dict[tuple[int, int, int], list]:
     """For each (rule, tree, node) of ``wanted``, by feature: its best cut, gain, and the statistics of both sides."""
     # Trees cut alike so far have the same rows in nodes of the same number: walked once, and added up once a kind of statistics.
+    n_features = layout.n_features
     paths: dict[tuple, int] = {}
     sums: dict[tuple, dict[int, list[int]]] = {}        # nodes, and the rules that want them
     for rule, tree, node in wanted:
         grown = forests[rule][tree]
         path = paths.setdefault((tuple(grown.feature), tuple(grown.bin), tuple(grown.left), tuple(grown.right)), len(paths))
         sums.setdefault((rules[rule].values is not None, rules[rule].width, tree, path), {}).setdefault(node, []).append(rule)
-    walks = [(np.array(f), np.array(cut, np.int16 if bins < 1 << 15 else np.int32), np.array(left), np.array(right)) for f, cut, left, right in paths]
+    walks = [(np.array(f), np.array(cut, layout.x), np.array(left), np.array(right)) for f, cut, left, right in paths]
     parts, users = [], []
     for of, nodes in sums.items():
         parts.append(Cells(*of, list(nodes), len(users)))
@@ -330,12 +365,12 @@ def _level_cuts(binned: DataFrame, rules: list[Criterion], forests: list[list[Tr
             slot_of = np.full(len(walks[p.path][0]), -1)
             slot_of[p.nodes] = range(len(p.nodes))
             slots.append(slot_of)
-        for block in _blocks(batches):
-            x = np.stack([block[f"x{f}"] for f in range(n_features)])
+        for block in layout.read(batches):
+            x = block["x"]
             at_node = [_walk(*walk, x) for walk in walks]
             for p, slot_of, total in zip(parts, slots, totals):
                 slot = slot_of[at_node[p.path]]
-                weight = _weights(block["key"], seed, p.tree) if bootstrap else np.ones(len(slot), np.int64)
+                weight = _weights(block["key"], seed, p.tree) if layout.key else np.ones(len(slot), np.int64)
                 used = np.flatnonzero((slot >= 0) & (weight > 0))
                 place, w = slot[used] * (n_features * bins * p.width), weight[used].astype(float)
                 if p.coded:
@@ -390,6 +425,20 @@ def _pick(rows: list, criterion: Criterion, tree: int, node: int, wanted: int, n
     return by_feature[usable[int(np.argmax(np.round(np.array([by_feature[f]["gain"] for f in usable]) / scale, 9)))]]
 
 
+def _code_means(binned: DataFrame, layout: Layout, codes: int) -> dict[int, float]:
+    """The mean label of each code."""
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(codes, np.int64), np.zeros(codes)
+        for block in layout.read(batches):
+            n += np.bincount(block["code"], minlength=codes)
+            total += np.bincount(block["code"], block["y"], codes)
+        code = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"code": code.astype(np.int32), "n": n[code], "total": total[code]})
+
+    sums = binned.mapInArrow(add_up, "code int, n bigint, total double").groupBy("code").agg((F.sum("total") / F.sum("n")).alias("v"))
+    return {r["code"]: r["v"] for r in sums.collect()}
+
+
 def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str | Sequence[str], n_estimators: int = 1,
               max_depth: int | None = None, min_samples_split: int = 2, max_features: int | None = None,
               id_cols: list[str] | None = None, max_bins: int = 64, label_bins: int = 256,
@@ -416,14 +465,16 @@ def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str | S
                      *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     columns = [c for c in data.columns if c != "key"]
     row = data.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.min("y").alias("low"),
-                   *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"missing_{c}") for c in columns]).first()
+                   *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"missing_{c}") for c in columns],
+                   *[F.approx_count_distinct(c).alias(f"about_{c}") for c in columns]).first()
     if not row["n"] or any(row[f"missing_{c}"] for c in columns):
         raise PipelineError("Trees need at least one row, and labels and features without missing values")
     if "poisson" in criteria and (row["low"] < 0 or row["mean"] <= 0):
         raise PipelineError("The poisson criterion needs labels of 0 or more, and some above 0")
 
     by_class, by_code = criteria[0] in CLASS_CRITERIA, "absolute_error" in criteria
-    points = cut_points(data, {f"x{i}": max_bins for i in range(len(features))} | ({"y": label_bins} if by_code else {}))
+    wanted_bins = {f"x{i}": max_bins for i in range(len(features))} | ({"y": label_bins} if by_code else {})
+    points = cut_points(data, wanted_bins, {c: row[f"about_{c}"] for c in wanted_bins})
     cuts, known = zip(*[points[f"x{i}"] for i in range(len(features))])
     shared = [np.array(c) for c in cuts]
     classes, label_cuts = None, None
@@ -432,23 +483,17 @@ def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str | S
         label_cuts = np.array(classes[:-1])
     elif by_code:
         label_cuts = np.array(points["y"][0])
-    bins, bootstrap = 1 + max(len(c) for c in cuts), n_estimators > 1
-    step = np.int16 if bins < 1 << 15 else np.int32
-    kept = [*([("key", pa.int64())] if bootstrap else []), *([("y", pa.float64())] if not by_class else []),
-            *([("code", pa.int32())] if label_cuts is not None else []), *[(f"x{i}", pa.from_numpy_dtype(step)) for i in range(len(features))]]
-    kind = pa.schema(kept)
+    bins = 1 + max(len(c) for c in cuts)
+    layout = Layout(np.int64 if n_estimators > 1 else None, None if by_class else np.float64,
+                    None if label_cuts is None else _small(len(label_cuts)), _small(bins), len(features))
 
     def to_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"key": batch.column(0), "y": batch.column(1)}
-            if label_cuts is not None:
-                out["code"] = pa.array(np.searchsorted(label_cuts, batch.column(1).to_numpy(), "left").astype(np.int32))
-            for i, c in enumerate(shared):
-                out[f"x{i}"] = pa.array(np.searchsorted(c, batch.column(2 + i).to_numpy(), "left").astype(step))
-            yield pa.RecordBatch.from_arrays([out[name] for name in kind.names], schema=kind)
-
-    types = {pa.int64(): "long", pa.float64(): "double", pa.int32(): "int", pa.int16(): "short"}
-    binned = materialize(data.mapInArrow(to_bins, ", ".join(f"{f.name} {types[f.type]}" for f in kind)))
+        for y, *values in _blocks(batches, layout.rows):
+            yield layout.write({"key": values[-1], "y": y, "code": None if label_cuts is None else np.searchsorted(label_cuts, y, "left"),
+                                "x": np.stack([np.searchsorted(c, v, "left") for c, v in zip(shared, values)])})
+
+    # small row groups: a reader holds the blocks of one
+    binned = materialize(data.select(*columns, *(["key"] if layout.key else [])).mapInArrow(to_bins, layout.schema), **{"parquet.block.size": 32 * BLOCK})
     rules = []
     for name in criteria:
         if by_class:
@@ -456,7 +501,7 @@ def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str | S
         elif name == "absolute_error":
             label_points, values = points["y"]
             if values is None:
-                means = {r["code"]: r["v"] for r in binned.groupBy("code").agg(F.avg("y").alias("v")).collect()}
+                means = _code_means(binned, layout, len(label_points) + 1)
                 values = [means.get(i, label_points[min(i, len(label_points) - 1)]) for i in range(len(label_points) + 1)]
             rules.append(Criterion(name, np.array(values)))
         else:
@@ -468,7 +513,7 @@ def fit_trees(df: DataFrame, features: list[str], label: str, criterion: str | S
     while level and (max_depth is None or depth < max_depth):
         below: list[tuple[int, int, int]] = []
         for wanted in _jobs(level, [len(features) * bins * rule.width for rule in rules]):
-            found = _level_cuts(binned, rules, forests, wanted, bins, len(features), bootstrap, seed)
+            found = _level_cuts(binned, layout, rules, forests, wanted, bins, seed)
             for (r, tree, node), rows in sorted(found.items()):
                 rule, grown = rules[r], forests[r][tree]
                 if node == 0:

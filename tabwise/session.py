@@ -137,16 +137,16 @@ def persist_balanced(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AN
     return balanced
 
 
-def materialize(df: DataFrame, spread: bool = True) -> DataFrame:
+def materialize(df: DataFrame, spread: bool = True, **options) -> DataFrame:
     """Cut lineage by writing a parquet table under the reliable checkpoint directory.
 
     One job (``Dataset.checkpoint`` on an unpersisted plan computes it twice),
     compressed columnar files, and later readers get column pruning and filter
     pushdown; a lost executor only re-reads files.  ``spread=False`` leaves a
-    small table in as few partitions as it was written.
+    small table in as few partitions as it was written.  ``options``: of the writer.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").options(**options).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     return ensure_parallelism(written) if spread else written

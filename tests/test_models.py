@@ -162,3 +162,28 @@ def test_price_workflow_deals_the_training_rows_out_once(spark, monkeypatch):
     assert all(n * 8_000 >= 1600 * MO.tree_bytes(1, 3, 3) for n in seen), seen
     assert {(r["model"], r["split"], r["n"]) for r in res.mae.collect()} == {
         (m, s, n) for m in ("linear_regression", "random_forest") for s, n in (("train", 1600), ("test", 400))}
+
+
+def test_leaf_medians_of_few_and_many_leaves_are_the_middle_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n, sizes = 6000, [5, 1, 40]
+    y = np.concatenate([rng.lognormal(0, 6, n - 2500), np.full(1500, 7.25), -rng.integers(0, 4, 1000).astype(float)])
+    leaf = np.column_stack([rng.choice([0, 1, 2, 4], n), np.zeros(n, int), np.minimum(rng.geometric(0.2, n), 40) - 1])   # leaf 3 of the first tree is empty
+    rows = spark.createDataFrame([(float(v), [float(c) for c in r]) for v, r in zip(y, leaf)], "y double, leaf array<double>").repartition(5).cache()
+
+    def middle(tree, number):
+        values = np.sort(y[leaf[:, tree] == number])
+        return values[(len(values) - 1) // 2] if len(values) else None
+
+    want = [[middle(t, k) for k in range(size)] for t, size in enumerate(sizes)]
+    clean = lambda got: [[None if np.isnan(v) else v for v in tree] for tree in got]
+    assert clean(MO.leaf_medians(rows, sizes)) == want
+    monkeypatch.setattr(MO, "LEAF_ROWS", 0)                 # down to single values
+    monkeypatch.setattr(MO, "LEAF_BUCKETS", 4)
+    monkeypatch.setattr(MO, "LEAF_CELLS", 5 * 4)            # the third tree has too many leaves, and each other its own pass
+    got = clean(MO.leaf_medians(rows, sizes))
+    assert got[:2] == want[:2]
+    for number, value in enumerate(got[2]):
+        values = np.sort(y[leaf[:, 2] == number])
+        near = (len(values) - 1) // 2 + np.arange(-2, 3)
+        assert (value is None) == (len(values) == 0) and (value is None or value in values[np.clip(near, 0, len(values) - 1)])

@@ -135,7 +135,7 @@ def test_criteria_share_the_passes_and_give_the_models_of_separate_fits(spark, m
     df = _frame(spark, x, y).repartition(3).cache()
     passes = []
     level_cuts = TR._level_cuts
-    monkeypatch.setattr(TR, "_level_cuts", lambda *a: passes.append(len(a[3])) or level_cuts(*a))
+    monkeypatch.setattr(TR, "_level_cuts", lambda *a: passes.append(1) or level_cuts(*a))
     args = dict(max_depth=4, min_samples_split=20, max_bins=128)
     together = TR.fit_trees(df, ["a", "b", "c.d"], "y", TR.NUMBER_CRITERIA, **args)
     assert list(together) == list(TR.NUMBER_CRITERIA) and len(passes) == 4       # one for each level
@@ -168,6 +168,18 @@ def test_few_values_across_tasks(spark):
     df = spark.range(1000, numPartitions=5).select(
         (F.col("id") % 7).cast("double").alias("a"), (F.col("id") / 100).alias("many"),
         F.floor(F.col("id") / 100).cast("double").alias("ten"), F.when(F.col("id") < 500, -0.0).otherwise(0.0).alias("zero"))
-    got = TR.few_values(df, {"a": 7, "many": 7, "ten": 9, "zero": 7})
+    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    got = TR.few_values(df, {"a": 7, "many": 7, "ten": 9, "zero": 7}, about)
     assert got == {"a": [float(v) for v in range(7)], "many": None, "ten": None, "zero": [0.0]}   # two or three of ten in a task
-    assert TR.few_values(df, {"ten": 10})["ten"] == [float(v) for v in range(10)]
+    assert TR.few_values(df, {"ten": 10}, about)["ten"] == [float(v) for v in range(10)]
+
+
+def test_blocks_hold_every_row_and_many_codes(spark, monkeypatch):
+    monkeypatch.setattr(TR, "BLOCK", 200)
+    rng = np.random.default_rng(8)
+    x = rng.permutation(900).astype(float)      # more bins and codes than fit a byte
+    y = np.abs(x - 450) + rng.integers(0, 3, 900)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, y double").repartition(4)
+    for criterion in ("absolute_error", "poisson"):
+        model = TR.fit_trees(df, ["a"], "y", criterion, max_depth=3, max_bins=1000, label_bins=1000)
+        assert model.nodes[0][6] == 900 and _same(_nested(model), _grow(x[:, None], y, criterion, 3, 2))
